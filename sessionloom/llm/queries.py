@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, packing, piece_tokens, quality, tiff_media
+from . import language_id, near_dedup, packing, piece_tokens, quality, tiff_media
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_sentencepiece": piece_tokens.op3_sentencepiece,
     "op5_packing": packing.op5_packing,
     "op6_media": tiff_media.op6_media,
