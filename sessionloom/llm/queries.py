@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import language_id, near_dedup, packing, piece_tokens, quality, tiff_media
+from . import embedding_dedup, html_text, language_id, license_scan, near_dedup, packing, piece_tokens, quality, tiff_media, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_sentencepiece": piece_tokens.op3_sentencepiece,
+    "op4_html_text": html_text.op4_html_text,
     "op5_packing": packing.op5_packing,
     "op6_media": tiff_media.op6_media,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op8_license_scan": license_scan.op8_license_scan,
     "op9_language": language_id.op9_language,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 
 SQL: dict[str, str] = {}
