@@ -2,11 +2,10 @@
 
 A candidate block is a run of lines that hold a trigger word, with the lines around it where they are short; a line of
 any length is searched whole. Every block is compressed by itself and with each template as zstandard raw dictionary; the
-templates are ranked by the bytes that the dictionary saves. A winner that saves enough is confirmed by its exact wording:
-its words are aligned to the block's and the differences (words missing or put in between) counted; at most
-MOST_DIFFERENT of them may differ, and no word of the template with a digit or in its own key words may be missing. Where the winner is not
-confirmed the next ones are tried; a confirmed notice's words are taken out and the rest of the block ranked again, so a
-block may hold several.
+templates are ranked by the bytes that the dictionary saves. The first TRIES ranks are held against the exact wording:
+a template's words are aligned to the block's and the differences (words missing or put in between) counted; at most
+MOST_DIFFERENT of them may differ, and no word of the template with a digit or in its own key words may be missing. A confirmed notice's words are taken
+out and the rest ranked again, so a block may hold several; lines with a trigger word go first, then what is left.
 
 Null and empty texts have no licenses. Ties of saved bytes go by template name. Repeated rows get equal results; columns
 named like a result are replaced. A worker keeps a bounded memory of blocks seen.
@@ -47,7 +46,7 @@ TEMPLATES = {
 TRIGGER = r"(?i)licen[sc]|copyright|all rights reserved|public domain|CC[- ]BY|CC0|hereby granted|redistribution"
 _TRIGGER, _WORD = re.compile(TRIGGER), re.compile(r"[\w][\w.\-+]*\w|\w")
 MOST_DIFFERENT = 0.25
-LEAST_SAVED = 0.35  # of what the dictionary saves on the template itself
+TRIES = 6  # ranks that are held against the wording
 AROUND_CHARS = 200
 SEEN_BLOCKS = 20_000
 
@@ -108,24 +107,38 @@ def wording(template: list[str], words: list[str], keys: set[str]) -> tuple[int,
     return different, low, high
 
 
-def scan_block(text: str) -> list[tuple[str, int, float]]:
-    """(license, wording differences, share of the possible saving) of each notice confirmed in the block."""
-    tools, words, out = compressors(), block_words(text), []
+def ranked(words: list[str]) -> list[tuple[str, float]]:
+    """(license, share of the possible saving), most saved bytes first."""
+    tools, data = compressors(), " ".join(words).encode()
+    alone = len(tools["plain"].compress(data))
+    saved = {name: alone - len(own.compress(data)) for name, (own, *_) in tools["by"].items()}
+    return [(name, saved[name] / tools["by"][name][1]) for name in sorted(saved, key=lambda n: (-saved[n], n))]
+
+
+def confirmed(words: list[str]) -> tuple[list[tuple[str, int, float]], list[str]]:
+    """Notices confirmed one after the other, and the words left."""
+    out, by = [], compressors()["by"]
     while words:
-        data = " ".join(words).encode()
-        alone = len(tools["plain"].compress(data))
-        saved = {name: (alone - len(own.compress(data))) / most for name, (own, most, _, _) in tools["by"].items()}
-        for name in sorted(saved, key=lambda n: (-saved[n] * tools["by"][n][1], n)):
-            if saved[name] < LEAST_SAVED:
-                continue
-            found = wording(tools["by"][name][2], words, tools["by"][name][3])
-            if found:
-                out.append((name, found[0], round(saved[name], 4)))
+        for name, share in ranked(words)[:TRIES]:
+            if found := wording(by[name][2], words, by[name][3]):
+                out.append((name, found[0], round(share, 4)))
                 words = words[: found[1]] + words[found[2] :]
                 break
         else:
-            return out
-    return out
+            break
+    return out, words
+
+
+def scan_block(text: str) -> list[tuple[str, int, float]]:
+    """(license, wording differences, share of the possible saving) of each notice: trigger lines first, then what is left."""
+    out, left = [], []
+    for line in text.split("\n"):
+        words = block_words(line)
+        if _TRIGGER.search(line):
+            found, words = confirmed(words)
+            out += found
+        left += words
+    return out + (confirmed(left)[0] if _TRIGGER.search(" ".join(left)) else [])
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
