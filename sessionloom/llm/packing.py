@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ GROUP_BINS = 20_000
 #: Distinct words that a worker keeps before it starts its table anew.
 TABLE_ROWS = 400_000
 #: Bytes of text between two look-ups in the table.
-STEP_BYTES = 3 << 20
+STEP_BYTES = 6 << 20
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -70,29 +71,34 @@ class WordTable:
         data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [data[i:j] for i, j in zip(at, at[1:], strict=False)]
 
-    def add(self, distinct: set[str]) -> None:
-        missing = distinct.difference(self.new)
-        if len(self.new) + 2 * len(missing) > self.rows:
-            self.old, self.new, missing = self.new, {}, distinct
-        if kept := missing.intersection(self.old):
-            self.new.update((word, self.old[word]) for word in kept)
-            missing = missing.difference(kept)
-        cores = {w: (c.lower() if c.isascii() else c) for w in missing if (c := w.rstrip(".,")).isalpha() and c.lower().isalpha()}
-        tails = {w[len(c) :] for w, c in cores.items()}
-        letters = [c for c in set(cores.values()) if c not in self.new]
-        others = [w for w in tails.union(missing).difference(cores) if w not in self.new]
+    def add(self, distinct: list[str]) -> None:
+        if len(self.new) > self.rows:
+            self.old, self.new = self.new, {}
+        new, old, missing = self.new, self.old, []
+        for word in distinct:
+            if word not in new:
+                if (ids := old.get(word)) is None:
+                    missing.append(word)
+                else:
+                    new[word] = ids
+        cores = {w: c for w in missing if (c := w.rstrip(".,")).isalpha() and (c.isascii() or c.lower().isalpha())}
+        letters = list({c for c in cores.values() if c not in new})
+        others = [w for w in {w[len(c) :] for w, c in cores.items()}.union(missing).difference(cores) if w not in new]
         for at in range(0, len(letters), 2000):
             part = letters[at : at + 2000]
-            self.new.update(zip(part, self.code_letters(part), strict=True))
+            new.update(zip(part, self.code_letters(part), strict=True))
         if others:
-            self.new.update(zip(others, self.code_each(others), strict=True))
+            new.update(zip(others, self.code_each(others), strict=True))
         for word, core in cores.items():
             if word != core:
-                self.new[word] = self.new[core] + self.new[word[len(core) :]]
+                new[word] = new[core] + new[word[len(core) :]]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        offsets, number, distinct = distinct_words(texts, newline=True)
-        self.add(set(distinct))
+        # The vocabulary's normaliser lower-cases; only its special tokens, matched before that, tell cases apart.
+        plain = pc.ascii_lower(texts)
+        special = pc.any(pc.match_substring(plain, "<|")).as_py()
+        offsets, number, distinct = distinct_words(texts if special else plain, newline=True)
+        self.add(distinct)
         coded = [*map(self.new.__getitem__, distinct)]
         ids = np.frombuffer(b"".join(coded), "<u4")
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
