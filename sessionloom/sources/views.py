@@ -1,0 +1,82 @@
+"""Normalised base views over the driver's tables: records, requests, turns, ledger, findings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Sources in registry order.
+SOURCES = ["omp", "pi", "claude", "codex", "opencode"]
+ROUTER = "nine_router"
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; times are read as UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as normalised source records."""
+    kind = F.create_map(*[F.lit(x) for x in ("signup", "session_start", "view", "message", "click", "message", "error", "error", "purchase", "router_request")])
+    e = load(spark, sf_dir, "events").withColumn("record_type", kind[F.col("event_type")])
+    source = F.element_at(F.array(*map(F.lit, SOURCES)), (F.col("user_id") % 5 + 1).cast("int"))
+    return e.select(
+        F.when(F.col("record_type") == "router_request", ROUTER).otherwise(source).alias("source_id"),
+        F.col("event_id").alias("native_id"),
+        F.expr("unix_micros(cast(ts as timestamp)) div 1000").alias("ms"),
+        "record_type",
+        F.expr("case event_type when 'view' then 'user' when 'click' then 'assistant' else '' end").alias("role"),
+        F.expr("case when user_id % 11 = 0 then '' else concat('/p/', user_id % 16) end").alias("project_path"),
+        F.expr("concat('m', user_id % 50)").alias("model"),
+        F.expr("concat(user_id, '/', date_format(ts, 'yyyy-MM-dd'))").alias("source_file"),
+        F.col("props").alias("excerpt"),
+        F.col("value").alias("cost"),
+        "user_id",
+    )
+
+
+def requests(rec: DataFrame) -> DataFrame:
+    hint = F.when(F.col("user_id") % 3 == 0, F.col("native_id") - 1)
+    return rec.where("record_type = 'router_request'").select("native_id", "ms", "model", "cost", "excerpt", hint.alias("hint"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("idx"), "role", "text")
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(analysed: run, project), (observed: run, project, finding, resolved) from orders by month, nation and customer."""
+    o = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    m = o.select(F.expr("year(o_orderdate) * 12 + month(o_orderdate)").cast("long").alias("run"), F.col("c_nationkey").alias("project"), F.col("c_custkey").alias("finding"), (F.col("o_orderstatus") == "F").alias("final"))
+    observed = m.groupBy("run", "project", "finding").agg(F.bool_and("final").alias("resolved"))
+    return observed.select("run", "project").distinct(), observed
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "customer")
+    severity = F.when(F.col("c_acctbal") >= 6000, "high").when(F.col("c_acctbal") >= 2000, "medium").otherwise("low")
+    return c.select(F.col("c_custkey").alias("finding"), F.col("c_nationkey").alias("project"), F.col("c_mktsegment").alias("category"), severity.alias("severity"), F.col("c_name").alias("title"), (F.col("c_acctbal") < 0).alias("dismissed"))
+
+
+#: The same views for DuckDB.
+SQL_VIEWS = """
+rec as (select case when event_type = 'purchase' then 'nine_router' else (['omp','pi','claude','codex','opencode'])[user_id % 5 + 1] end as source_id,
+  event_id as native_id, epoch_us(ts) // 1000 as ms,
+  case event_type when 'signup' then 'session_start' when 'error' then 'error' when 'purchase' then 'router_request' else 'message' end as record_type,
+  case event_type when 'view' then 'user' when 'click' then 'assistant' else '' end as role,
+  case when user_id % 11 = 0 then '' else '/p/' || (user_id % 16) end as project_path, 'm' || (user_id % 50) as model,
+  user_id || '/' || strftime(ts, '%Y-%m-%d') as source_file, props as excerpt, value as cost, user_id from events),
+req as (select native_id, ms, model, cost, excerpt, case when user_id % 3 = 0 then native_id - 1 end as hint from rec where record_type = 'router_request'),
+ses as (select source_id, source_file, min(ms) as started_ms, max(ms) as ended_ms, count(*) filter (where record_type = 'message') as record_count,
+  coalesce(arg_min(project_path, native_id) filter (where project_path <> ''), '') as project_path,
+  coalesce(arg_min(model, native_id) filter (where model <> ''), '') as model
+  from rec where record_type <> 'router_request' group by 1, 2),
+turn as (select conv_id as session_id, turn as idx, role, text from conversations),
+obs as (select year(o_orderdate) * 12 + month(o_orderdate) as run, c_nationkey as project, c_custkey as finding, bool_and(o_orderstatus = 'F') as resolved
+  from orders join customer on o_custkey = c_custkey group by 1, 2, 3),
+ap as (select distinct run, project from obs),
+fin as (select c_custkey as finding, c_nationkey as project, c_mktsegment as category,
+  case when c_acctbal >= 6000 then 'high' when c_acctbal >= 2000 then 'medium' else 'low' end as severity, c_name as title, c_acctbal < 0 as dismissed from customer)
+"""
