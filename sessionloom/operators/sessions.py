@@ -71,8 +71,8 @@ def tier2(req: DataFrame, sessions: DataFrame, window_ms: int = WINDOW_MS) -> Da
 
 
 def tier3(req: DataFrame, rec: DataFrame, sessions: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
-    """Equal fingerprint of the request's text and of a message of a session that has a project."""
-    prints = rec.where("record_type = 'message'").select("source_id", "source_file", fingerprint(F.col("excerpt")).alias("print")).where("print <> ''").distinct()
+    """Equal fingerprint of the request's text and of a record of a session that has a project."""
+    prints = rec.where("record_type <> 'router_request'").select("source_id", "source_file", fingerprint(F.col("excerpt")).alias("print")).where("print <> ''").distinct()
     owned = sessions.where("project_path <> ''").drop("model").join(prints, ["source_id", "source_file"])
     asked = req.select("native_id", "ms", fingerprint(F.col("excerpt")).alias("print"))
     return _best(unambiguous(within(asked, owned, ["print"], window_ms)))

@@ -96,7 +96,7 @@ one as (select native_id, {_PICK} from (select i.native_id, s.* from ids i join
 cand2 as (select q.native_id, q.ms, s.* from req q join ses s on q.model = s.model and q.ms between s.started_ms - 30000 and s.ended_ms + 30000),
 clear2 as (select * from cand2 where project_path <> '' and native_id in (select native_id from cand2 where project_path <> '' group by 1 having count(distinct project_path) = 1)),
 two as (select native_id, {_PICK} from clear2 where native_id not in (select native_id from one) group by 1),
-prints as (select distinct source_id, source_file, lower(trim(regexp_replace(excerpt, '[\\s\\p{{Z}}]+', ' ', 'g'))) as p from rec where record_type = 'message'),
+prints as (select distinct source_id, source_file, lower(trim(regexp_replace(excerpt, '[\\s\\p{{Z}}]+', ' ', 'g'))) as p from rec where record_type <> 'router_request'),
 cand3 as (select q.native_id, s.* from req q join prints f on lower(trim(regexp_replace(q.excerpt, '[\\s\\p{{Z}}]+', ' ', 'g'))) = f.p join ses s using (source_id, source_file)
   where s.project_path <> '' and q.ms between s.started_ms - 30000 and s.ended_ms + 30000),
 three as (select native_id, {_PICK} from cand3 where native_id in (select native_id from cand3 group by 1 having count(distinct project_path) = 1)
