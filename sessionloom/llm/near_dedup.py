@@ -7,13 +7,17 @@ its whole word sequence where it has fewer words. Steps:
    class's least id stands for it from here on.
 2. Inverted lists of retained values. Two sets of similarity s share about s * K retained values, at least LEAST_SHARED
    but for about one pair in 10^8 at the limit of 0.8. So with all sketches in one order, two similar sets meet in the
-   first K - LEAST_SHARED + 1 values of each (a smaller set needs ceil(0.8 n) shared). The order puts the commonest values
+   first K - LEAST_SHARED + MEETINGS values of each, MEETINGS times (a smaller set needs ceil(0.8 n) shared). The order puts the commonest values
    last (the HEAVY_VALUES most frequent ones, a bounded list): values of shared passages rarely make a list.
-3. In every list each member meets the list's least member. Pairs that the estimate from the union sketch lets through
-   are verified on the words of both texts. Verified pairs join components.
-4. In lists that still span several components, members outside the least member's component meet all members of other
-   components, with the same filter and check. A group of copies is thus linked by a number of pairs linear in its size,
-   and no pair of different components that shares a list goes untested.
+3. In every list each member meets the list's lead, the set whose values are commonest (the centre of a group of copies).
+   Pairs that the estimate from the union sketch lets through are verified on the words of both texts, which also gives
+   the shingles shared with the lead. Verified pairs join components.
+4. In lists that still span several components, members outside the lead's component meet members of other components,
+   unless sizes or the overlaps with the lead rule a link out, and pairs that meet in too few lists for the sketches'
+   order fall away; the rest take the same estimate and check. Where a lead has more than CROWD members, its strangers
+   meet all of them inside tasks, block by block, on full sets; only pairs that join components come out. A group of
+   copies is thus linked by a number of pairs linear in its size, and no pair of different components that could link
+   goes untested.
 
 Null and blank texts have an empty set, link with nothing and stand alone. Repeated rows of one id count as one document
 (the result repeats per input row). Extra columns are not carried. Ties do not matter: components are sets.
@@ -36,8 +40,9 @@ from .components import components
 SKETCH = 48
 LEAST_SHARED = 22
 PERCENT = 80
-HEAVY_VALUES = 1 << 15
-HEAVY_COUNT = 32
+MEETINGS = 3
+HEAVY_VALUES = 1 << 18
+HEAVY_COUNT = 4
 SKETCHES = "doc_id bigint, n_shingles bigint, set_key binary, sketch array<bigint>"
 
 
@@ -82,12 +87,16 @@ def sketches(docs: DataFrame, text: str = "text", size: int = 2, k: int = SKETCH
     return docs.select("doc_id", text).mapInArrow(run, SKETCHES)
 
 
-def _lists(sets: DataFrame, heavy: np.ndarray, k: int, least_shared: int) -> DataFrame:
-    """(value, doc_id) for the first values of each sketch, the common ones last."""
-    sent = sets.sparkSession.sparkContext.broadcast(heavy)  # HEAVY_VALUES numbers at most
+def _lists(sets: DataFrame, heavy: tuple[np.ndarray, np.ndarray], k: int, least_shared: int) -> DataFrame:
+    """(value, doc_id, n, score) for the first values of each sketch, the common ones last; heavy: sorted values, their counts.
+
+    Two sets that share LEAST_SHARED values of their sketches share MEETINGS of these (or all, where sets are smaller).
+    The score, the mean count of a sketch's values, is highest for the set at the centre of a group of copies.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(heavy)  # HEAVY_VALUES values at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = sent.value
+        common, times = sent.value
         for batch in batches:
             sketch = batch.column("sketch")
             offsets = sketch.offsets.to_numpy().astype(np.int64)
@@ -95,14 +104,19 @@ def _lists(sets: DataFrame, heavy: np.ndarray, k: int, least_shared: int) -> Dat
             offsets = offsets - offsets[0]
             size = np.diff(offsets)
             row = np.repeat(np.arange(len(size)), size)
-            late = np.isin(values, common)
+            late = np.zeros(len(values), np.int64)
+            if len(common):
+                near = np.minimum(np.searchsorted(common, values), len(common) - 1)
+                late = np.where(common[near] == values, times[near], 0)
             order = np.lexsort((values.view(np.uint64), late, row))
             place = np.arange(len(values)) - offsets[row]
             shared = np.minimum(np.where(size < k, -(-PERCENT * size // 100), least_shared), least_shared)
-            keep = place < (size - shared + 1)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(values[order][keep]), batch.column("doc_id").take(pa.array(row[keep]))], names=["value", "doc_id"])
+            keep = place < (size - shared + np.minimum(MEETINGS, shared))[row]
+            score = np.bincount(row, late, len(size)) / np.maximum(size, 1)
+            held = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(values[order][keep]), batch.column("doc_id").take(held), batch.column("n_shingles").take(held), pa.array(score[row[keep]])], names=["value", "doc_id", "n", "score"])
 
-    return sets.select("doc_id", "sketch").mapInArrow(run, "value bigint, doc_id bigint")
+    return sets.select("doc_id", "n_shingles", "sketch").mapInArrow(run, "value bigint, doc_id bigint, n bigint, score double")
 
 
 def _estimated(pairs: DataFrame, sets: DataFrame, k: int, least_shared: int) -> DataFrame:
@@ -134,11 +148,12 @@ def shingle_set(text: str | None, size: int) -> set:
     return set(zip(*(found[k:] for k in range(size)), strict=False))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str, size: int) -> DataFrame:
-    """Pairs whose sets, from the words themselves, reach the similarity."""
-    pairs = cut_lineage(pairs)
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    # A bit per hashed id, BITMAP_WORDS long words at most: lets most texts that no pair needs stay where they are.
+def _needed(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """doc_id and text of at least the documents wanted.
+
+    A bit per hashed id, BITMAP_WORDS long words at most, lets most texts that nothing needs stay where they are; what
+    passes by chance is dropped by the join that follows.
+    """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_WORDS * 64))
     bits = wanted.select(place.alias("place")).groupBy(F.expr("cast(place div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")).collect()
     bitmap = np.zeros(BITMAP_WORDS, np.int64)
@@ -151,25 +166,117 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, size: int) -> DataFr
             hit = (sent.value[at // 64].view(np.uint64) >> (at % 64).astype(np.uint64)) & np.uint64(1)
             yield batch.select(["doc_id", text]).filter(pa.array(hit.astype(bool)))
 
-    texts = docs.select("doc_id", text, place.alias("place")).mapInArrow(needed, f"doc_id bigint, `{text}` string")
+    return docs.select("doc_id", text, place.alias("place")).mapInArrow(needed, f"doc_id bigint, `{text}` string")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, text: str, size: int) -> DataFrame:
+    """Each pair with the shingles both have, from the words themselves, and whether they reach the similarity."""
+    pairs = cut_lineage(pairs)
+    texts = _needed(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), text)
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col(text).alias(f"t_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, set()
         for batch in batches:
-            keep = []
+            shared, linked = [], []
             for a, x, y in zip(batch.column("a").to_pylist(), batch.column("t_a"), batch.column("t_b"), strict=True):
                 if a != last:
                     last, own = a, shingle_set(x.as_py(), size)
                 other = shingle_set(y.as_py(), size)
-                shared = len(own & other)
-                keep.append(100 * shared >= PERCENT * (len(own) + len(other) - shared) and shared > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(check, "a bigint, b bigint").distinct()
-
-
+                shared.append(len(own & other))
+                linked.append(shared[-1] > 0 and 100 * shared[-1] >= PERCENT * (len(own) + len(other) - shared[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "shared", "linked"])
+
+    return both.mapInArrow(check, "a bigint, b bigint, shared bigint, linked boolean").groupBy("a", "b").agg(F.max("shared").alias("shared"), F.max("linked").alias("linked"))
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b: common values by one matrix product, the rest one by one."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    value = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
+    row = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (a, b)]
+    both = np.intersect1d(value[0], value[1])
+    if not len(both):
+        return out
+    column = []
+    for k in range(2):
+        at = np.minimum(np.searchsorted(both, value[k]), len(both) - 1)
+        hit = both[at] == value[k]
+        order = np.argsort(at[hit], kind="stable")
+        column.append((at[hit][order], row[k][hit][order]))
+    counts = [np.bincount(c[0], minlength=len(both)) for c in column]
+    dense = np.flatnonzero(counts[0] * counts[1] > 512)
+    for low in range(0, len(dense), 4096):
+        part = dense[low : low + 4096]
+        sides = []
+        for k, n in enumerate((len(a), len(b))):
+            at = np.minimum(np.searchsorted(part, column[k][0]), len(part) - 1)
+            hit = part[at] == column[k][0]
+            ones = np.zeros((n, len(part)), np.float32)
+            ones[column[k][1][hit], at[hit]] = 1
+            sides.append(ones)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    begin = [np.cumsum(c) - c for c in counts]
+    light = np.ones(len(both), bool)
+    light[dense] = False
+    light = np.flatnonzero(light)
+    total = counts[0][light] * counts[1][light]
+    which = np.repeat(light, total)
+    k = np.arange(int(total.sum())) - np.repeat(np.cumsum(total) - total, total)
+    np.add.at(out, (column[0][1][begin[0][which] + k // counts[1][which]], column[1][1][begin[1][which] + k % counts[1][which]]), 1)
+    return out
+
+
+def _hot_links(clusters: DataFrame, hot: DataFrame, docs: DataFrame, text: str, size: int) -> DataFrame:
+    """Pairs (a, b) that join the components of crowded leads: strangers against all members, in blocks of full sets.
+
+    clusters: lead, doc_id, own, stranger; hot: lead, members, strangers. No pair leaves a task but those that join two
+    components which no other pair of the task has joined.
+    """
+    crowd = cut_lineage(clusters.join(hot, "lead").where("doc_id <> lead"))
+
+    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in text_slices(whole, text)):
+            hashes, begin = shingle_hashes(*flat_bytes(batch.column(text)), size)
+            held = [np.unique(hashes[low:high]).tobytes() for low, high in zip(begin[:-1], begin[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.binary())], names=["doc_id", "full"])
+
+    full = _needed(docs, crowd.select("doc_id"), text).mapInArrow(full_sets, "doc_id bigint, full binary")
+    rows = crowd.join(full, "doc_id")
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(n) / BLOCK)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK) - 1).cast("int")))
+    asking = rows.where("stranger").select("lead", block("strangers").alias("s"), every("members").alias("o"), F.lit(True).alias("asks"), "doc_id", "own", "full")
+    asked = rows.select("lead", every("strangers").alias("s"), block("members").alias("o"), F.lit(False).alias("asks"), "doc_id", "own", "full")
+
+    def match(group: pa.Table) -> pa.Table:
+        asks = np.array(group.column("asks").to_pylist(), bool)
+        ids, own = group.column("doc_id").to_numpy(), group.column("own").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("full").to_pylist()]
+        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+        found = shared_counts([sets[i] for i in x], [sets[i] for i in y])
+        n = np.array([len(v) for v in sets])
+        hit = (100 * found >= PERCENT * (n[x][:, None] + n[y][None, :] - found)) & (found > 0) & (own[x][:, None] != own[y][None, :])
+        root: dict[int, int] = {}
+
+        def top(v: int) -> int:
+            while root.setdefault(v, v) != v:
+                v = root[v]
+            return v
+
+        out = []
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            p, q = top(int(own[x[i]])), top(int(own[y[j]]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((min(ids[x[i]], ids[y[j]]), max(ids[x[i]], ids[y[j]])))
+        return pa.table([pa.array([k[c] for k in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return asking.union(asked).groupBy("lead", "s", "o").applyInArrow(match, "a bigint, b bigint").distinct()
+
+
+#: A lead with more members than this has its strangers matched in blocks of BLOCK sets.
+CROWD, BLOCK = 128, 256
 BITMAP_WORDS = 1 << 17
 
 
@@ -178,23 +285,47 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, k: int =
     found = cut_lineage(sketches(docs, text, size, k))
     live = found.where("n_shingles > 0")
     classes = cut_lineage(live.groupBy("set_key").agg(F.min("doc_id").alias("class_id")))
-    sets = cut_lineage(found.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    counts = sets.select(F.explode("sketch").alias("value")).groupBy("value").count().where(F.col("count") >= HEAVY_COUNT)
-    heavy = np.sort(np.array([r["value"] for r in counts.orderBy(F.desc("count"), "value").limit(HEAVY_VALUES).collect()], np.int64))
+    sets = cut_lineage(found.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi"))
+    counts = cut_lineage(sets.select(F.explode("sketch").alias("value")).groupBy("value").count().where(F.col("count") >= HEAVY_COUNT))
+    least, values = HEAVY_COUNT, 0  # the least count that leaves HEAVY_VALUES values at most; counts in powers of 2
+    for row in counts.groupBy(F.expr("cast(log2(count) as int)").alias("power")).agg(F.count("*").alias("n")).orderBy(F.desc("power")).collect():
+        values += row["n"]
+        if values > HEAVY_VALUES:
+            least = 2 << row["power"]
+            break
+    common = counts.where(F.col("count") >= least).toArrow().sort_by("value")
+    heavy = common.column("value").to_numpy(), common.column("count").to_numpy()
     entries = cut_lineage(_lists(sets, heavy, k, least_shared))
-    leads = cut_lineage(entries.groupBy("value").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("value", "lead"))
-    listed = cut_lineage(entries.join(leads, "value"))
-    stars = listed.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = cut_lineage(_verified(_estimated(stars, sets, k, least_shared), docs, text, size))
+    lead = F.max(F.struct("score", (-F.col("doc_id")).alias("minus"), "n"))
+    leads = cut_lineage(entries.groupBy("value").agg(lead.alias("lead"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("value", (-F.col("lead.minus")).alias("lead"), F.col("lead.n").alias("lead_n")))
+    listed = cut_lineage(entries.drop("score").join(leads, "value"))
+    alike = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)  # noqa: E731  sizes further apart cannot link
+    stars = listed.where(F.col("doc_id") != F.col("lead")).where(alike("n", "lead_n")).select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    tested = cut_lineage(_verified(_estimated(stars, sets, k, least_shared), docs, text, size))
+    links = tested.where("linked").select("a", "b")
     named = components(links)
-    tag = lambda df, col: df.join(named.select(F.col("id").alias(col), F.col("component").alias(f"{col}_in")), col, "left").withColumn(f"{col}_in", F.coalesce(f"{col}_in", col))
-    tagged = cut_lineage(tag(listed, "doc_id").select("value", "lead", "doc_id", F.col("doc_id_in").alias("own")))
+    known = named.select(F.col("id").alias("doc_id"), F.col("component").alias("own"))
+    overlap = tested.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), F.col("shared").alias("c"))
+    tagged = listed.join(overlap, ["lead", "doc_id"], "left").join(known, "doc_id", "left").select("value", "lead", "doc_id", "n", "c", F.coalesce("own", "doc_id").alias("own"))
+    tagged = cut_lineage(tagged)
     led = tagged.where("doc_id = lead").select("value", F.col("own").alias("lead_own"))
-    strangers = cut_lineage(tagged.join(led, "value").where("own <> lead_own and doc_id <> lead").select("value", F.col("doc_id").alias("x"), F.col("own").alias("x_own")))
-    others = tagged.where("doc_id <> lead")  # the lead has met all members of its list
-    cross = others.join(strangers, "value").where("own <> x_own and doc_id <> x")
-    more = cross.select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
-    extra = cut_lineage(_verified(_estimated(more, sets, k, least_shared), docs, text, size))
+    others = cut_lineage(tagged.join(led, "value").select("value", "lead", "doc_id", "n", "c", "own", (F.col("own") != F.col("lead_own")).alias("stranger")))
+    clusters = cut_lineage(others.groupBy("lead", "doc_id").agg(F.min("own").alias("own"), F.bool_or("stranger").alias("stranger")))
+    members = clusters.groupBy("lead").agg(F.count("*").alias("members"), F.count_if("stranger").alias("strangers"))
+    hot = cut_lineage(members.where((F.col("members") > CROWD) & (F.col("strangers") > 0)))
+    joining = _hot_links(clusters, hot, docs, text, size)
+    others = others.where("doc_id <> lead").join(hot.select("lead"), "lead", "left_anti")
+    mixed = cut_lineage(others.where("stranger").select("value").distinct())
+    others = others.join(mixed, "value", "left_semi")
+    strangers = cut_lineage(others.where("stranger").select("value", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("c").alias("x_c"), F.col("own").alias("x_own")))
+    # Shared by x and y: at most min(c) of the lead's shingles and min(n - c) others; unknown c bounds nothing.
+    most = F.coalesce(F.least("c", "x_c") + F.least(F.col("n") - F.col("c"), F.col("x_n") - F.col("x_c")) + F.col("c") * 0 + F.col("x_c") * 0, F.least("n", "x_n"))
+    able = (100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("x_n"))
+    cross = others.join(strangers, "value").where("own <> x_own and (not stranger or doc_id < x)").where(alike("n", "x_n") & able)
+    pairs = cross.groupBy(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).agg(F.count("*").alias("meetings"), F.min(F.least("n", "x_n")).alias("least"))
+    more = pairs.where(F.col("meetings") >= F.least(F.lit(MEETINGS), F.col("least"))).select("a", "b")
+    checked = _estimated(more, sets, k, least_shared).union(joining).distinct()
+    extra = cut_lineage(_verified(checked, docs, text, size).where("linked").select("a", "b"))
     if extra.take(1):
         named = components(links.union(extra))
     heads = cut_lineage(classes.join(named.withColumnRenamed("id", "class_id"), "class_id", "left").select("set_key", F.coalesce("component", "class_id").alias("component_id")))
