@@ -284,8 +284,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, k: int =
     """doc_id, n_shingles, component_id (least id reachable by links) and kept, a row for each input row."""
     found = cut_lineage(sketches(docs, text, size, k))
     live = found.where("n_shingles > 0")
-    classes = cut_lineage(live.groupBy("set_key").agg(F.min("doc_id").alias("class_id")))
-    sets = cut_lineage(found.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi"))
+    sets = cut_lineage(live.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch")))
+    classes = sets.select("set_key", F.col("doc_id").alias("class_id"))
     counts = cut_lineage(sets.select(F.explode("sketch").alias("value")).groupBy("value").count().where(F.col("count") >= HEAVY_COUNT))
     least, values = HEAVY_COUNT, 0  # the least count that leaves HEAVY_VALUES values at most; counts in powers of 2
     for row in counts.groupBy(F.expr("cast(log2(count) as int)").alias("power")).agg(F.count("*").alias("n")).orderBy(F.desc("power")).collect():
@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, k: int =
     clusters = cut_lineage(others.groupBy("lead", "doc_id").agg(F.min("own").alias("own"), F.bool_or("stranger").alias("stranger")))
     members = clusters.groupBy("lead").agg(F.count("*").alias("members"), F.count_if("stranger").alias("strangers"))
     hot = cut_lineage(members.where((F.col("members") > CROWD) & (F.col("strangers") > 0)))
-    joining = _hot_links(clusters, hot, docs, text, size)
+    joining = _hot_links(clusters, hot, docs, text, size) if hot.take(1) else links.limit(0)
     others = others.where("doc_id <> lead").join(hot.select("lead"), "lead", "left_anti")
     mixed = cut_lineage(others.where("stranger").select("value").distinct())
     others = others.join(mixed, "value", "left_semi")
