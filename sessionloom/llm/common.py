@@ -26,12 +26,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Spark's setting for shuffle files to go when the query that wrote them ends, not when the driver collects garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() to the shared folder the session names; a folder of our own only where it names none."""
-    context = df.sparkSession.sparkContext
+    """checkpoint() to the shared folder the session names; a folder of our own only where it names none.
+
+    The shuffle files behind the checkpoint go at once: nothing reads them again.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint()  # a new query: the setting holds for those made under it
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
 
 
 def crc_mod(column: Column, n: int) -> Column:
