@@ -33,7 +33,7 @@ GROUP_BINS = 20_000
 #: Distinct words that a worker keeps before it starts its table anew.
 TABLE_ROWS = 400_000
 #: Bytes of text between two look-ups in the table.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 2 << 20
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
