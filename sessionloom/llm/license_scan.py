@@ -2,10 +2,11 @@
 
 A candidate block is a run of lines that hold a trigger word, with the lines around it where they are short; a line of
 any length is searched whole. Every block is compressed by itself and with each template as zstandard raw dictionary; the
-templates are ranked by the bytes that the dictionary saves. The first TRIES ranks are held against the exact wording:
-a template's words are aligned to the block's and the differences (words missing or put in between) counted; at most
-MOST_DIFFERENT of them may differ, and no word of the template with a digit or in its own key words may be missing. A confirmed notice's words are taken
-out and the rest ranked again, so a block may hold several; lines with a trigger word go first, then what is left.
+templates are ranked by the bytes that the dictionary saves. In this order all are held against the exact wording until
+one is confirmed, so the ranking decides the order only: a template's words are aligned to the block's and the differences
+(words missing or put in between) counted; at most MOST_DIFFERENT of them may differ, and no word of the template with a
+digit or in its own key words may be missing. A confirmed notice's words are taken out and the rest ranked again, so a
+block may hold several; lines with a trigger word go first, then what is left.
 
 Null and empty texts have no licenses. Ties of saved bytes go by template name. Repeated rows get equal results; columns
 named like a result are replaced. A worker keeps a bounded memory of blocks seen.
@@ -46,7 +47,6 @@ TEMPLATES = {
 TRIGGER = r"(?i)licen[sc]|copyright|all rights reserved|public domain|CC[- ]BY|CC0|hereby granted|redistribution"
 _TRIGGER, _WORD = re.compile(TRIGGER), re.compile(r"[\w][\w.\-+]*\w|\w")
 MOST_DIFFERENT = 0.25
-TRIES = 6  # ranks that are held against the wording
 AROUND_CHARS = 200
 SEEN_BLOCKS = 20_000
 
@@ -119,8 +119,11 @@ def confirmed(words: list[str]) -> tuple[list[tuple[str, int, float]], list[str]
     """Notices confirmed one after the other, and the words left."""
     out, by = [], compressors()["by"]
     while words:
-        for name, share in ranked(words)[:TRIES]:
-            if found := wording(by[name][2], words, by[name][3]):
+        there = set(words)
+        if not any(keys <= there for *_, keys in by.values()):
+            break
+        for name, share in ranked(words):
+            if by[name][3] <= there and (found := wording(by[name][2], words, by[name][3])):
                 out.append((name, found[0], round(share, 4)))
                 words = words[: found[1]] + words[found[2] :]
                 break

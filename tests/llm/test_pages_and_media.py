@@ -60,6 +60,17 @@ def test_licenses(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_licenses_of_low_rank():
+    """A notice is found wherever the compression ranks it."""
+    lines = {
+        "See the GNU General Public License, version 3, for more details. All rights reserved.": ["ARR"],
+        "You may redistribute it under the GNU General Public License, version 2 or any later one, subject to the terms of use. Copyright 2020 Acme. All rights reserved.": ["ARR"],
+    }
+    ranks = [[name for name, _ in license_scan.ranked(license_scan.block_words(line))].index("ARR") for line in lines]
+    assert min(ranks) >= 6
+    assert {line: [name for name, *_ in license_scan.scan_block(line)] for line in lines} == lines
+
+
 def test_tiff_codecs():
     rng = np.random.default_rng(4)
     for data in (b"", b"a", b"aaaa" * 300, bytes(rng.integers(0, 256, 5000, np.uint8)), b"abcabcabd" * 700):
