@@ -5,8 +5,10 @@ the text between two block borders (block elements and line breaks); it knows it
 and the like are skipped; elements that are by name, role or class a menu, footer, advert, notice, form or comment are
 marked as furniture. The text-to-tag ratio of each line (characters per tag) is smoothed with a Gaussian over the
 neighbouring lines; a threshold between two clusters of the smoothed ratios (means of two groups) selects the content
-lines. The innermost container that holds nearly all selected text that is not furniture is the region; all its lines that are
-not furniture are the text, however short.
+lines. The region starts as the page and goes down to a container only while that holds every selected line that is not
+furniture and what lies beside it is no text of the page's own: beside article and main no heading or paragraph, beside
+any other container nothing but lines made of links. It never goes below article or main. All lines of the region that
+are not furniture are the text, however short.
 
 Character references are decoded, white space inside a line becomes one space, lines join by one newline. Null or empty
 html, or a page of furniture only, gives the empty string. Repeated rows repeat; result columns replace clashing names.
@@ -31,32 +33,38 @@ SILENT = frozenset("script style template noscript svg math iframe object canvas
 FURNITURE = frozenset("nav footer aside form button dialog menu".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article main section div td body html blockquote".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|notices?|alert|popup|modal|overlay|navbar|nav|navigation|menu|breadcrumbs?|sidebar|side-?bar|widget|masthead|site-?header|page-?header|site-?footer|footer|comments?|comment-?list|respond|disqus|replies|discussion|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|signup|login|search|pagination|pager|tags|toolbar|skip-?link|legal|disclaimer|copyright)(?:$|[-_ ])", re.I)
 SIGMA, RADIUS = 1.0, 2
 _KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
 _KERNEL /= _KERNEL.sum()
+_WORD = re.compile(r"\w")
+OUTSIDE = ("", 0, False, False, False, False)  # where no element is open
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, furniture, container path) of each line."""
+    """Collects (text, tags, furniture, container, in a heading or paragraph, made of links) of each line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # name, container number, furniture, silent
+        self.stack: list[tuple[str, int, bool, bool, bool, bool]] = []  # name, container number, furniture, silent, prose, link
         self.parents: list[int] = [-1]  # of each container; number 0 is the page
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.names: list[str] = [""]  # of each container
+        self.lines: list[tuple[str, int, bool, int, bool, bool]] = []
         self.parts: list[str] = []
+        self.plain = 0  # characters of the line's parts that are words outside links
         self.tags = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         self.parts.clear()
         if text:
-            _, container, furniture, _ = self.stack[-1] if self.stack else ("", 0, False, False)
-            self.lines.append((text, max(1, self.tags), furniture, container))
+            _, container, furniture, _, prose, _ = self.stack[-1] if self.stack else OUTSIDE
+            self.lines.append((text, max(1, self.tags), furniture, container, prose, not self.plain))
             self.tags = 0
+        self.plain = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK or tag == "br":
@@ -68,8 +76,8 @@ class Lines(HTMLParser):
             self.close_open(tag, {"ul", "ol", "dl", "table", "div", "article", "section", "body"})
         if tag in VOID:
             return
-        _, container, furniture, silent = self.stack[-1] if self.stack else ("", 0, False, False)
-        silent = silent or tag in SILENT
+        _, container, furniture, silent, prose, link = self.stack[-1] if self.stack else OUTSIDE
+        silent, prose, link = silent or tag in SILENT, prose or tag in PROSE, link or (tag == "a" and any(name == "href" for name, _ in attrs))
         if not furniture and tag not in ("html", "body", "article", "main"):
             given = dict(attrs)
             names = f"{given.get('class') or ''} {given.get('id') or ''}"
@@ -78,8 +86,9 @@ class Lines(HTMLParser):
                 furniture = True
         if tag in CONTAINER:
             self.parents.append(container)
+            self.names.append(tag)
             container = len(self.parents) - 1
-        self.stack.append((tag, container, furniture, silent))
+        self.stack.append((tag, container, furniture, silent, prose, link))
 
     def close_open(self, tag: str, borders: set[str]) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -102,6 +111,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.stack and self.stack[-1][3]):
             self.parts.append(data)
+            if not (self.stack and self.stack[-1][5]) and _WORD.search(data):
+                self.plain += len(data)
 
 
 def threshold(values: np.ndarray) -> float:
@@ -128,31 +139,32 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = np.array([len(text) / tags for text, tags, _, _ in lines])
+    ratio = np.array([len(text) / tags for text, tags, *_ in lines])
     padded = np.pad(ratio, RADIUS, mode="edge")
     smooth = np.convolve(padded, _KERNEL, mode="valid")
-    own = np.array([not furniture for _, _, furniture, _ in lines])
+    own = np.array([not line[2] for line in lines])
     if not own.any():
         return ""
     chosen = (smooth >= threshold(smooth)) & own
     if not chosen.any():
         chosen = own
-    held = np.zeros(len(parser.parents))
-    size = np.array([len(text) for text, *_ in lines], float)
-    for k in np.flatnonzero(chosen):
-        container = lines[k][3]
-        while container >= 0:
-            held[container] += size[k]
-            container = parser.parents[container]
+    held = np.zeros((len(parser.parents), 3), np.int64)  # chosen lines, prose lines, lines not made of links
+    for k in np.flatnonzero(own):
+        held[lines[k][3]] += (chosen[k], lines[k][4], not lines[k][5])
+    for k in range(len(held) - 1, 0, -1):  # children follow their parents
+        held[parser.parents[k]] += held[k]
     region = 0
-    for k, parent in enumerate(parser.parents):  # children follow their parents
-        if parent == region and held[k] >= 0.9 * held[0]:
+    for k, parent in enumerate(parser.parents):
+        if parent != region or parser.names[region] in ("article", "main"):
+            continue
+        selected, prose, text = held[region] - held[k]
+        if not selected and not prose and (not text or parser.names[k] in ("article", "main")):
             region = k
     inside = {region}
     for k, parent in enumerate(parser.parents):
         if parent in inside:
             inside.add(k)
-    return "\n".join(text for text, _, furniture, container in lines if not furniture and container in inside)
+    return "\n".join(text for text, _, furniture, container, *_ in lines if not furniture and container in inside)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

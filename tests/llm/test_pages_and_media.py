@@ -21,6 +21,18 @@ def test_main_text():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
 
 
+def test_main_text_beside_a_long_section():
+    """Titles, leads and short closing parts stay, however long the part beside them is."""
+    long = "long body of text " * 200
+    body = long.strip()
+    assert html_text.main_text(f"<article><h1>Title</h1><p>short lead</p><section><p>{long}</section></article>") == f"Title\nshort lead\n{body}"
+    assert html_text.main_text(f"<article><section>{long}</section><section>The end.</section></article>") == f"{body}\nThe end."
+    assert html_text.main_text(f"<body><div><h2><a href='/'>Title</a></h2><div>lead</div><div><p>{long}</div><div>The end.</div></div>") == f"Title\nlead\n{body}\nThe end."
+    assert html_text.main_text(f"<main><h1>Title</h1><article>{long}</article></main>") == f"Title\n{body}"
+    assert html_text.main_text(f"<body><div><a href='/a'>One</a> | <a href='/b'>Two</a></div><div><p>{long}</div>") == body
+    assert html_text.main_text(f"<body><div>Call us</div><article><p>{long}</article>") == body
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5), (2, None, None, 5), (3, "u", "<p>" + "long text " * 200_000, 5)], "page_id long, url string, html string, n_chars int")
     rows = html_text.extract(pages).orderBy("page_id").collect()
