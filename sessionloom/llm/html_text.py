@@ -3,7 +3,10 @@
 The standard library's parser feeds events; nothing but the open elements and the lines found so far is held. A line is
 the text between two block borders (block elements and line breaks); it knows its tags and its container. Script, style
 and the like are skipped; elements that are by name, role or class a menu, footer, advert, notice, form or comment are
-marked as furniture. The text-to-tag ratio of each line (characters per tag) is smoothed with a Gaussian over the
+marked as furniture. A class or id counts where all parts of the whole token are such words. The mark of a class, an id or
+a form is void inside article, and where the element holds more than half of the words outside links and no article lies
+beside it; that of comments and related pages where it holds all words; main voids every mark around it but that of hidden elements. head ends where
+body, another element of the page or text begins. The text-to-tag ratio of each line (characters per tag) is smoothed with a Gaussian over the
 neighbouring lines; a threshold between two clusters of the smoothed ratios (means of two groups) selects the content
 lines. The region starts as the page and goes down to a container only while that holds every selected line that is not
 furniture and what lies beside it is no text of the page's own: beside article and main no heading or paragraph, beside
@@ -11,7 +14,7 @@ any other container nothing but lines made of links. It never goes below article
 are not furniture are the text, however short.
 
 Character references are decoded, white space inside a line becomes one space, lines join by one newline. Null or empty
-html, or a page of furniture only, gives the empty string. Repeated rows repeat; result columns replace clashing names.
+html, or a page of menus and the like only, gives the empty string. Repeated rows repeat; result columns replace clashing names.
 """
 
 from __future__ import annotations
@@ -36,23 +39,48 @@ CONTAINER = frozenset("article main section div td body html blockquote".split()
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
-NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|notices?|alert|popup|modal|overlay|navbar|nav|navigation|menu|breadcrumbs?|sidebar|side-?bar|widget|masthead|site-?header|page-?header|site-?footer|footer|comments?|comment-?list|respond|disqus|replies|discussion|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|signup|login|search|pagination|pager|tags|toolbar|skip-?link|legal|disclaimer|copyright)(?:$|[-_ ])", re.I)
+#: A class or id names furniture where each part of the whole token is one of these words or a filling word.
+NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion promotions banner cookie cookies consent notice notices alert popup modal overlay navbar nav navigation menu breadcrumb breadcrumbs sidebar widget masthead siteheader pageheader sitefooter footer share sharing social newsletter subscribe signup login search pagination pager tags toolbar skiplink legal disclaimer copyright".split())
+REPLIES = frozenset("comment comments commentlist respond disqus replies discussion related recommend recommended recommendation recommendations".split())
+FILLING = frozenset("area bar block box bottom button buttons container form icon icons inner item items left link links list main page panel posts right section site top wrap wrapper".split())
+PAIRS = frozenset({("side", "bar"), ("site", "header"), ("page", "header"), ("skip", "link")})
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+#: Marks of furniture, by what makes them void: article, main or holding most text; main or holding all text; main; nothing.
+BY_NAME, OF_REPLIES, BY_ELEMENT, HIDDEN = range(4)
 SIGMA, RADIUS = 1.0, 2
 _KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
 _KERNEL /= _KERNEL.sum()
 _WORD = re.compile(r"\w")
-OUTSIDE = ("", 0, False, False, False, False)  # where no element is open
+_PART = re.compile(r"[-_]+")
+OUTSIDE = ("", 0, 0, 0, False, False, False)  # where no element is open
+
+
+def named(given: dict[str, str | None]) -> int | None:
+    """Kind of the mark that an element's class and id tokens make."""
+    kinds = []
+    for token in f"{given.get('class') or ''} {given.get('id') or ''}".lower().split():
+        parts = [part for part in _PART.split(token) if part]
+        pair = any(two in PAIRS for two in zip(parts, parts[1:]))
+        if all(part in NAMES or part in REPLIES or part in FILLING or pair and part in ("side", "header", "skip") for part in parts):
+            if any(part in REPLIES for part in parts):
+                kinds.append(OF_REPLIES)
+            elif pair or any(part in NAMES for part in parts):
+                kinds.append(BY_NAME)
+    return max(kinds, default=None)
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, furniture, container, in a heading or paragraph, made of links) of each line."""
+    """Collects (text, tags, mark, container, marked element, in a heading or paragraph, characters outside links) of each line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool, bool, bool]] = []  # name, container number, furniture, silent, prose, link
+        self.stack: list[tuple[str, int, int, int, bool, bool, bool]] = []  # name, container number, mark, marked element, silent, prose, link
         self.parents: list[int] = [-1]  # of each container; number 0 is the page
         self.names: list[str] = [""]  # of each container
-        self.lines: list[tuple[str, int, bool, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, int, int, int, bool, int]] = []
+        self.marks: list[tuple[int, int, int]] = [(-1, 0, -1)]  # mark around it, element, kind; number 0 is no mark
+        self.under: list[tuple[int, int]] = [(0, 0)]  # of each mark: what is left of it inside article, and inside main
+        self.marked: list[int] = [-1]  # marked element around each marked element; number 0 is none
         self.parts: list[str] = []
         self.plain = 0  # characters of the line's parts that are words outside links
         self.tags = 0
@@ -61,8 +89,8 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         self.parts.clear()
         if text:
-            _, container, furniture, _, prose, _ = self.stack[-1] if self.stack else OUTSIDE
-            self.lines.append((text, max(1, self.tags), furniture, container, prose, not self.plain))
+            _, container, mark, marked, _, prose, _ = self.stack[-1] if self.stack else OUTSIDE
+            self.lines.append((text, max(1, self.tags), mark, container, marked, prose, self.plain))
             self.tags = 0
         self.plain = 0
 
@@ -70,25 +98,54 @@ class Lines(HTMLParser):
         if tag in BLOCK or tag == "br":
             self.flush()
         self.tags += 1
+        if tag == "body" or (self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD):
+            self.close_open("head", {"body"})
         if tag in CLOSES_P:
             self.close_open("p", {"button", "td", "th", "table", "div", "article", "section", "body"})
         if tag in ("li", "dd", "dt", "option", "tr", "td", "th"):
             self.close_open(tag, {"ul", "ol", "dl", "table", "div", "article", "section", "body"})
         if tag in VOID:
             return
-        _, container, furniture, silent, prose, link = self.stack[-1] if self.stack else OUTSIDE
+        _, container, mark, marked, silent, prose, link = self.stack[-1] if self.stack else OUTSIDE
         silent, prose, link = silent or tag in SILENT, prose or tag in PROSE, link or (tag == "a" and any(name == "href" for name, _ in attrs))
-        if not furniture and tag not in ("html", "body", "article", "main"):
-            given = dict(attrs)
-            names = f"{given.get('class') or ''} {given.get('id') or ''}"
-            furniture = tag in FURNITURE or (given.get("role") or "").lower() in ROLES or "hidden" in given or (given.get("aria-hidden") or "").lower() == "true" or bool(names.strip() and NAMES.search(names))
-            if tag == "header" and not any(name in ("article", "main") for name, *_ in self.stack):
-                furniture = True
+        if tag in ("article", "main"):
+            mark = self.under[mark][tag == "main"]
+        elif tag not in ("html", "body"):
+            kind = self.kind(tag, dict(attrs))
+            if kind is not None:
+                self.marked.append(marked)
+                mark, marked = self.add_mark(mark, kind), len(self.marked) - 1
         if tag in CONTAINER:
             self.parents.append(container)
             self.names.append(tag)
             container = len(self.parents) - 1
-        self.stack.append((tag, container, furniture, silent, prose, link))
+        self.stack.append((tag, container, mark, marked, silent, prose, link))
+
+    def kind(self, tag: str, given: dict[str, str | None]) -> int | None:
+        role = (given.get("role") or "").lower()
+        if "hidden" in given or (given.get("aria-hidden") or "").lower() == "true":
+            return HIDDEN
+        if tag == "header" and not any(name in ("article", "main") for name, *_ in self.stack):
+            return BY_ELEMENT
+        if tag != "form" and tag in FURNITURE or role != "form" and role in ROLES:
+            return BY_ELEMENT
+        return BY_NAME if named(given) is None and (tag == "form" or role == "form") else named(given)
+
+    def add_mark(self, around: int, kind: int) -> int:
+        """A mark of the newest marked element; what of it holds inside article and main is made beside it."""
+
+        def made(around: int, under: tuple[int, int] | None) -> int:
+            self.marks.append((around, len(self.marked) - 1, kind))
+            self.under.append(under or (len(self.marks) - 1,) * 2)
+            return len(self.marks) - 1
+
+        article, main = self.under[around]
+        if kind == HIDDEN:
+            main = made(main, None)
+        if kind != BY_NAME:
+            article = made(article, None)
+            self.under[article] = (article, main)
+        return made(around, (article, main))
 
     def close_open(self, tag: str, borders: set[str]) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -109,12 +166,38 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not (self.stack and self.stack[-1][3]):
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.close_open("head", set())
+        if not (self.stack and self.stack[-1][4]):
             self.parts.append(data)
-            if not (self.stack and self.stack[-1][5]) and _WORD.search(data):
+            if not (self.stack and self.stack[-1][6]) and _WORD.search(data):
                 self.plain += len(data)
 
 
+def in_furniture(parser: Lines) -> list[bool]:
+    """Of each line: whether a mark holds there."""
+    article = [False]
+    for parent, name in zip(parser.parents[1:], parser.names[1:]):
+        article.append(article[parent] or name in ("article", "main"))
+    kinds = [BY_NAME]
+    for around, _, kind in parser.marks[1:]:  # marks follow those around them
+        kinds.append(max(kinds[around], kind))
+    words, in_article = [0] * len(parser.marked), [0] * len(parser.marked)
+    for _, _, mark, container, marked, _, plain in parser.lines:
+        if kinds[mark] < BY_ELEMENT:
+            words[marked] += plain
+        if kinds[mark] == BY_NAME and article[container]:
+            in_article[marked] += plain
+    for m in range(len(words) - 1, 0, -1):
+        words[parser.marked[m]] += words[m]
+        in_article[parser.marked[m]] += in_article[m]
+    holds = [False]
+    for around, element, kind in parser.marks[1:]:
+        void = kind == BY_NAME and 2 * words[element] > words[0] and in_article[element] == in_article[0] or kind == OF_REPLIES and words[element] == words[0] > 0
+        holds.append(holds[around] or not void)
+    return [holds[line[2]] for line in parser.lines]
+
+
 def threshold(values: np.ndarray) -> float:
     """Border between two clusters: midpoint of the group means, moved until it stays."""
     cut = float(values.mean())
@@ -142,7 +225,7 @@ def main_text(html: str | None) -> str:
     ratio = np.array([len(text) / tags for text, tags, *_ in lines])
     padded = np.pad(ratio, RADIUS, mode="edge")
     smooth = np.convolve(padded, _KERNEL, mode="valid")
-    own = np.array([not line[2] for line in lines])
+    own = ~np.array(in_furniture(parser))
     if not own.any():
         return ""
     chosen = (smooth >= threshold(smooth)) & own
@@ -150,7 +233,7 @@ def main_text(html: str | None) -> str:
         chosen = own
     held = np.zeros((len(parser.parents), 3), np.int64)  # chosen lines, prose lines, lines not made of links
     for k in np.flatnonzero(own):
-        held[lines[k][3]] += (chosen[k], lines[k][4], not lines[k][5])
+        held[lines[k][3]] += (chosen[k], lines[k][5], lines[k][6] > 0)
     for k in range(len(held) - 1, 0, -1):  # children follow their parents
         held[parser.parents[k]] += held[k]
     region = 0
@@ -164,7 +247,7 @@ def main_text(html: str | None) -> str:
     for k, parent in enumerate(parser.parents):
         if parent in inside:
             inside.add(k)
-    return "\n".join(text for text, _, furniture, container, *_ in lines if not furniture and container in inside)
+    return "\n".join(line[0] for line, kept in zip(lines, own) if kept and line[3] in inside)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

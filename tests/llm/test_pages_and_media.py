@@ -33,6 +33,27 @@ def test_main_text_beside_a_long_section():
     assert html_text.main_text(f"<body><div>Call us</div><article><p>{long}</article>") == body
 
 
+def test_main_text_in_marked_wrappers():
+    """One word in a wrapper's class, or an open head, does not lose the page."""
+    text = "Some words of the page, some more of them."
+    for page in (
+        f"<body><div class='layout has-sidebar'><nav>menu</nav><p>{text}</div>",
+        f"<body><div class='post category-social'><p>{text}</div><div class='newsletter'>Join the list now</div>",
+        f"<body><div class='sidebar'><div class='ad'>Buy</div><p>{text}</div>",
+        f"<body><div class='modal'><article><p>{text}</article></div><aside><p>{text * 9}</aside>",
+        f"<article>{text}</article><div class='ad'>{text * 3}</div>",
+        f"<form id='aspnet'><div class='menu'>One</div><p>{text}</form>",
+        f"<html><head><title>T</title><meta name=a><body><p>{text}",
+        f"<head><style>p{{}}</style><p>{text}",
+        f"<head><title>T</title>{text}",
+        f"<div class='comments'><main>{text}</main><article class='comment'>nice</article></div><div hidden>{text}</div>",
+    ):
+        assert html_text.main_text(page) == text, page
+    assert html_text.main_text(f"<div class='sidebar'><h1>T</h1><article><p>{text}</article></div>") == f"T\n{text}"
+    assert html_text.main_text(f"<p>{text}<div id='comments'><article>{text * 3}</article></div>") == text
+    assert html_text.main_text(f"<p>{text}<div class='site-footer'>x</div><div class='Side-Bar'>x</div><div id='comment-list'>x</div>") == text
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5), (2, None, None, 5), (3, "u", "<p>" + "long text " * 200_000, 5)], "page_id long, url string, html string, n_chars int")
     rows = html_text.extract(pages).orderBy("page_id").collect()
