@@ -30,7 +30,7 @@ MIN_COSINE = 0.95
 BLOCK_ROWS = 2048
 PIVOTS = 2048
 LEVELS = (1.0, 0.5, 0.25, 0.125)
-SLACK = 1e-5  # for single-precision distances in pruning
+SLACK = 1e-5  # for radii and pivot distances, which are right to 1e-7
 STEP_PAIRS = 1 << 18
 VECTORS = "vec_id bigint, dim int, set_key binary, vec binary"
 
@@ -67,7 +67,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cover_tree(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each level and point: its node's centre (a point), and that node's covering radius."""
+    """For each level and point: its node's centre (a point), and that node's covering radius.
+
+    Single precision only chooses the nodes; the radii bound what is pruned and come from differences in double precision,
+    as 2 - 2 * cosine loses all digits between near copies.
+    """
     n = len(u)
     single = u.astype(np.float32)
     near = np.sqrt(np.maximum(0, 2 - 2 * (single @ single.T)))
@@ -86,7 +90,10 @@ def cover_tree(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 left = left[left != centre]
                 centre = int(left[0]) if len(left) else centre
         node[level] = own
-        np.maximum.at(radius[level], own, near[np.arange(n), own])
+        far = np.zeros(n)
+        for low in range(0, n, 512):
+            far[low : low + 512] = np.linalg.norm(u[low : low + 512] - u[own[low : low + 512]], axis=1)
+        np.maximum.at(radius[level], own, far)
         above = own
     return node, radius
 
@@ -142,10 +149,10 @@ class _Levels:
 
 def dual_links(a: _Levels, b: _Levels, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked point pairs of two trees (i < j where both are one tree)."""
-    reach = np.sqrt(2 - 2 * cosine)
+    reach, least = np.sqrt(2 - 2 * cosine), 1 - (a.u.shape[1] + 4) * np.finfo(np.float32).eps  # less what a single-precision product can be off
     shared = a.single[a.centre[0]] @ b.single[b.centre[0]].T
     bound = reach + SLACK + a.radius[0][:, None] + b.radius[0][None, :] if a.radius[0].any() or b.radius[0].any() else np.float32(reach + SLACK)
-    i, j = np.nonzero(shared >= 1 - bound * bound / 2)
+    i, j = np.nonzero(shared >= least - bound * bound / 2)
     if same:
         i, j = i[i <= j], j[i <= j]
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -172,7 +179,7 @@ def dual_links(a: _Levels, b: _Levels, same: bool, cosine: float) -> tuple[np.nd
             s, t = p[k : k + STEP_PAIRS], q[k : k + STEP_PAIRS]
             shared = np.einsum("ij,ij->i", a.single[a.centre[level + 1][s]], b.single[b.centre[level + 1][t]])
             bound = reach + SLACK + a.radius[level + 1][s] + b.radius[level + 1][t]
-            keep = shared >= 1 - bound * bound / 2
+            keep = shared >= least - bound * bound / 2
             s, t = s[keep], t[keep]
             level_pairs += [(level + 1, s[m : m + 4096], t[m : m + 4096]) for m in range(0, len(s), 4096)]
     if not found:

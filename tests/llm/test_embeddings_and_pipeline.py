@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_components import searched
@@ -37,6 +38,31 @@ def test_links_equal_all_pairs(spark, block_rows, pivots):
     assert got == brute(list(range(len(rows))), rows)
 
 
+@pytest.mark.parametrize("dim", [64, 256])
+def test_links_of_near_copies_at_the_limit(dim):
+    """Radii cover their points, and nodes of near copies keep every partner just above the limit."""
+    rng = np.random.default_rng(3)
+    points = []
+    for _ in range(60):
+        centre = embedding_dedup.unit(rng.normal(size=(1, dim)))[0]
+        aside = rng.normal(size=dim)
+        aside = embedding_dedup.unit((aside - (aside @ centre) * centre)[None, :])[0]
+        tilt = np.arccos(0.95) + 2.5e-4 + rng.uniform(-1e-5, 1e-5, 4)
+        points += [centre, *(centre * np.cos(t) + aside * np.sin(t) for t in rng.uniform(1e-4, 3e-4, 8))]
+        points += [centre * np.cos(t) + aside * np.sin(t) for t in tilt]
+    u = embedding_dedup.unit(np.array(points))
+    node, radius = embedding_dedup.cover_tree(u)
+    for own, far in zip(node, radius):
+        assert (np.linalg.norm(u - u[own], axis=1) <= far[own] + 1e-7).all()
+    ids = list(range(len(u)))
+    rows = [pa.array(ids), pa.array([1] * len(u)), pa.array([x.tobytes() for x in u]), pa.array(list(node.T)), pa.array(list(radius.T))]
+    tree = embedding_dedup._Levels(pa.table(rows, names=["vec_id", "copies", "vec", "node", "radius"]), dim)
+    i, j = embedding_dedup.dual_links(tree, tree, True, 0.95)
+    cosines = np.einsum("ij,kj->ik", tree.x, tree.x) / np.outer(np.linalg.norm(tree.x, axis=1), np.linalg.norm(tree.x, axis=1))
+    sure = {(p, q) for p, q in zip(*np.nonzero(cosines >= 0.95 + 1e-12)) if p < q}
+    assert sure <= set(zip(i.tolist(), j.tolist()))
+
+
 def test_driver_table(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
     df = embedding_dedup.op10_embedding_dedup(spark, sf_dir)
