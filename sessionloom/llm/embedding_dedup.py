@@ -1,12 +1,13 @@
 """Exact near-duplicate links between embeddings by dual traversal of cover trees.
 
 Cosine >= MIN_COSINE is a Euclidean distance of at most REACH between unit vectors. Equal vectors form a class first; its
-least id stands for it. Class vectors fall to the nearest of a bounded number of pivots (the top level); a cell with many
-rows is split by a hash into blocks, so a block stays near BLOCK_ROWS rows however hot the cell. Each block's cover tree
-has nested levels whose radii halve (1, 1/2, 1/4, 1/8); a node knows its covering radius, the distance of its farthest
-descendant. Cells, then node pairs level by level, are pruned where the centres' distance exceeds both covering radii and
-REACH; the surviving member pairs are decided by their cosine in double precision. A pair of blocks returns per vector
-the number of linked vectors and the least id of its links' local component, never the pairs themselves.
+least id stands for it. Class vectors fall to the nearest of a bounded number of pivots of their length (the top level),
+all lengths in one pass; a cell with many rows is split by a hash into blocks, so a block stays near BLOCK_ROWS rows
+however hot the cell. Each block's cover tree has nested levels whose radii halve (1, 1/2, 1/4, 1/8); a node knows its
+covering radius, the distance of its farthest descendant. Cells, then node pairs level by level, are pruned where the
+centres' distance exceeds both covering radii and REACH; the surviving member pairs are decided by their cosine in double
+precision. A pair of blocks returns per vector the number of linked vectors and the least id of its links' local
+component, never the pairs themselves.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different length
 do not link. Repeated vec_ids get a row each. Labels are not read. Ties at the limit count as links. On vectors that lie
@@ -221,46 +222,80 @@ def _linked(pairs: DataFrame, cosine: float) -> DataFrame:
     return pairs.groupBy("first", "second").applyInArrow(traverse, "vec_id bigint, links bigint, least bigint")
 
 
-def _links_of_dim(reps: DataFrame, dim: int, cosine: float, block_rows: int, most_pivots: int) -> DataFrame:
+def _cells(reps: DataFrame, block_rows: int, most_pivots: int) -> dict[int, tuple[int, np.ndarray | None]]:
+    """Vector length -> its first cell, and its pivots (one a cell); None is one cell for all, where rows are few."""
+    sizes = {r["dim"]: r["count"] for r in reps.groupBy("dim").count().collect()}
+    counts = {dim: min(most_pivots, n // (2 * block_rows)) for dim, n in sizes.items()}
+    wanted = {dim: (count + 6 * count**0.5 + 16) / sizes[dim] for dim, count in counts.items() if count > 1}
+    pivots: dict[int, np.ndarray] = {}
+    if wanted:  # a few more rows than pivots, of which the least hashes stay
+        share = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
+        reps = reps.withColumn("hash", F.xxhash64("vec_id"))
+        part = F.col("hash").cast("double") / F.lit(2.0**64) + 0.5
+        picked = reps.where(F.col("dim").isin(list(wanted)) & (part < share[F.col("dim")])).select("hash", "vec_id", "dim", "vec").toArrow()
+        dims, order = picked.column("dim").to_numpy(), np.lexsort((picked.column("vec_id").to_numpy(), picked.column("hash").to_numpy()))
+        for dim in np.unique(dims).tolist():
+            pivots[dim] = unit(matrix(picked.column("vec").take(pa.array(order[dims[order] == dim][: counts[dim]])), dim))
+    out, first = {}, 0
+    for dim in sorted(sizes):
+        out[dim] = (first, pivots.get(dim))
+        first += len(pivots[dim]) if dim in pivots else 1
+    return out
+
+
+def _block_links(reps: DataFrame, cosine: float, block_rows: int, most_pivots: int) -> DataFrame:
+    """Links of all vectors; cells and blocks are of one vector length each, and only those of the same length meet."""
     spark = reps.sparkSession
-    n = reps.count()
-    count = max(1, min(most_pivots, n // (2 * block_rows)))
-    picked = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(count).toArrow()  # PIVOTS rows at most
-    pivots = spark.sparkContext.broadcast(unit(matrix(picked.column("vec"), dim)))
+    cells = _cells(reps, block_rows, most_pivots)
+    known = spark.sparkContext.broadcast(cells)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            shared = unit(matrix(batch.column("vec"), dim)) @ pivots.value.T
-            cell = shared.argmax(1)
-            far = np.sqrt(np.maximum(0, 2 - 2 * shared[np.arange(len(cell)), cell]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64()), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
+            dims = batch.column("dim").to_numpy()
+            cell, far = np.zeros(len(dims), np.int64), np.zeros(len(dims))
+            for dim in np.unique(dims).tolist():
+                first, pivots = known.value[dim]
+                rows = np.flatnonzero(dims == dim)
+                cell[rows] = first
+                if pivots is not None:
+                    shared = unit(matrix(batch.column("vec").take(pa.array(rows)), dim)) @ pivots.T
+                    near = shared.argmax(1)
+                    cell[rows] += near
+                    far[rows] = np.sqrt(np.maximum(0, 2 - 2 * shared[np.arange(len(rows)), near]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
 
     fields = "vec_id bigint, copies bigint, dim int, vec binary"
     celled = cut_lineage(reps.select("vec_id", "copies", "dim", "vec").mapInArrow(nearest, f"{fields}, cell bigint, far double"))
-    radius, splits = np.zeros(len(pivots.value)), np.zeros(len(pivots.value), np.int64)
+    n_cells = sum(1 if pivots is None else len(pivots) for _, pivots in cells.values())
+    radius, splits = np.zeros(n_cells), np.zeros(n_cells, np.int64)
     for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
         radius[r["cell"]], splits[r["cell"]] = r["far"], -(-r["n"] // block_rows)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * (pivots.value @ pivots.value.T)))
-    meet = (apart <= radius[:, None] + radius[None, :] + np.sqrt(2 - 2 * cosine) + SLACK) & (splits > 0)[:, None] & (splits > 0)[None, :]
     begin = np.cumsum(splits) - splits
-    shape = spark.sparkContext.broadcast((meet, begin, splits))
+    meet: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}  # length -> first block, cells that meet, cell of each block
+    for dim, (first, pivots) in cells.items():
+        own = slice(first, first + (1 if pivots is None else len(pivots)))
+        apart = np.zeros((1, 1)) if pivots is None else np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)))
+        reach = radius[own, None] + radius[None, own] + np.sqrt(2 - 2 * cosine) + SLACK
+        some = splits[own] > 0
+        meet[dim] = (int(begin[first]), (apart <= reach) & some[:, None] & some[None, :], np.repeat(np.arange(len(some)), splits[own]))
+    shape = spark.sparkContext.broadcast(meet)
     split = F.pmod(F.xxhash64("vec_id"), F.element_at(F.lit(splits.tolist()), (F.col("cell") + 1).cast("int")))
     start = F.element_at(F.lit(begin.tolist()), (F.col("cell") + 1).cast("int"))
     trees = cut_lineage(_trees(celled.select("vec_id", "copies", "dim", "vec", (start + split).alias("block"))))
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meet, begin, splits = shape.value
-        cell_of = np.repeat(np.arange(len(splits)), splits)
-        step = max(1, 20_000 // max(1, len(cell_of)))
         for batch in batches:
-            for low in range(0, batch.num_rows, step):
-                part = batch.slice(low, step)
-                block = part.column("block").to_numpy()
-                rows, others = np.nonzero(meet[cell_of[block]][:, cell_of])
-                own = block[rows]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, others)), pa.array(np.maximum(own, others)), *part.take(pa.array(rows)).columns], names=["first", "second", *part.schema.names])
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                before, meet, cell_of = shape.value[dim]
+                whole = batch if (dims == dim).all() else batch.filter(pa.array(dims == dim))
+                step = max(1, 20_000 // max(1, len(cell_of)))
+                for low in range(0, whole.num_rows, step):
+                    part = whole.slice(low, step)
+                    block = part.column("block").to_numpy() - before
+                    rows, others = np.nonzero(meet[cell_of[block]][:, cell_of])
+                    own = block[rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(before + np.minimum(own, others)), pa.array(before + np.maximum(own, others)), *part.take(pa.array(rows)).columns], names=["first", "second", *part.schema.names])
 
     return _linked(trees.mapInArrow(partners, f"first bigint, second bigint, {TREE}"), cosine)
 
@@ -270,11 +305,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     valid = cut_lineage(usable(vectors, key, column))
     classes = cut_lineage(valid.groupBy("set_key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies")))
     reps = cut_lineage(valid.join(classes, "set_key").where("vec_id = class_id").dropDuplicates(["set_key"]).select("vec_id", "copies", "dim", "vec"))
-    parts = [_links_of_dim(reps.where(F.col("dim") == r["dim"]), r["dim"], cosine, block_rows, pivots) for r in reps.select("dim").distinct().orderBy("dim").limit(64).collect()]
-    linked = reps.sparkSession.createDataFrame([], "vec_id bigint, links bigint, least bigint") if not parts else parts[0]
-    for part in parts[1:]:
-        linked = linked.union(part)
-    linked = cut_lineage(linked)
+    linked = cut_lineage(_block_links(reps, cosine, block_rows, pivots))
     named = components(linked.select(F.col("vec_id").alias("a"), F.col("least").alias("b")))
     totals = linked.groupBy("vec_id").agg(F.sum("links").alias("links"))
     heads = classes.withColumnRenamed("class_id", "vec_id").join(totals, "vec_id", "left").join(named.withColumnRenamed("id", "vec_id"), "vec_id", "left")

@@ -63,6 +63,20 @@ def test_links_of_near_copies_at_the_limit(dim):
     assert sure <= set(zip(i.tolist(), j.tolist()))
 
 
+def test_every_length_is_compared(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for dim in range(2, 90):
+        one = rng.normal(size=dim)
+        rows += [one.tolist(), (one + 1e-3).tolist()]
+    rows += [rng.normal(size=70).tolist() for _ in range(3)]
+    many = rng.normal(size=(6, 5))
+    rows += [(many[rng.integers(6)] + rng.normal(size=5) * 0.2).tolist() for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, block_rows=16, pivots=8).collect()}
+    assert got == brute(list(range(len(rows))), rows) and all(got[i][0] for i in range(2 * 88))
+
+
 def test_driver_table(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
     df = embedding_dedup.op10_embedding_dedup(spark, sf_dir)
