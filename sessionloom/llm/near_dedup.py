@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, flat_bytes, mix64, table, text_slices, words
+from .common import cut_lineage, flat_bytes, give_back, mix64, table, text_slices, words
 from .components import components
 
 SKETCH = 48
@@ -83,6 +83,7 @@ def sketches(docs: DataFrame, text: str = "text", size: int = 2, k: int = SKETCH
                 flat = pa.array(np.concatenate(least) if least else np.zeros(0, np.int64))
                 sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), sketch], names=["doc_id", "n_shingles", "set_key", "sketch"])
+        give_back()
 
     return docs.select("doc_id", text).mapInArrow(run, SKETCHES)
 
@@ -187,6 +188,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, size: int) -> DataFr
                 shared.append(len(own & other))
                 linked.append(shared[-1] > 0 and 100 * shared[-1] >= PERCENT * (len(own) + len(other) - shared[-1]))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "shared", "linked"])
+        own = other = None
+        give_back()
 
     return both.mapInArrow(check, "a bigint, b bigint, shared bigint, linked boolean").groupBy("a", "b").agg(F.max("shared").alias("shared"), F.max("linked").alias("linked"))
 
@@ -241,6 +244,7 @@ def _hot_links(clusters: DataFrame, hot: DataFrame, docs: DataFrame, text: str,
             hashes, begin = shingle_hashes(*flat_bytes(batch.column(text)), size)
             held = [np.unique(hashes[low:high]).tobytes() for low, high in zip(begin[:-1], begin[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.binary())], names=["doc_id", "full"])
+        give_back()
 
     full = _needed(docs, crowd.select("doc_id"), text).mapInArrow(full_sets, "doc_id bigint, full binary")
     rows = crowd.join(full, "doc_id")

@@ -24,14 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, distinct_words, table, text_slices, tokenizer_path
+from .common import cut_lineage, distinct_words, give_back, table, text_slices, tokenizer_path
 
 MODEL = "word_bpe_49k.json"
 CAPACITY = 2048
 FAN_IN = 8
 GROUP_BINS = 20_000
-#: Distinct words that a worker keeps before it starts its table anew.
-TABLE_ROWS = 400_000
+#: Distinct words that a task keeps before it starts its table anew; the table goes with the task.
+TABLE_ROWS = 200_000
 #: Bytes of text between two look-ups in the table.
 STEP_BYTES = 2 << 20
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -111,18 +111,12 @@ class WordTable:
         return [data[4 * i : 4 * j] for i, j in zip(at, at[1:], strict=False)]
 
 
-@functools.lru_cache(2)
-def word_table(path: str) -> WordTable:
-    """The worker's table, kept from task to task."""
-    return WordTable(path)
-
-
 def pieces(docs: DataFrame, text: str = "text", model: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece of a document: doc_id, piece, start, length and the crc32 of its ids."""
     path = model or tokenizer_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = word_table(path), np.array([end_id], "<u4").tobytes()
+        known, end = WordTable(path), np.array([end_id], "<u4").tobytes()
         for batch in (part for whole in batches for part in text_slices(whole, text, STEP_BYTES)):
             rows = []
             coded = known.encode(batch.column(1))
@@ -134,6 +128,8 @@ def pieces(docs: DataFrame, text: str = "text", model: str | None = None, capaci
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        del known
+        give_back()
 
     return docs.select("doc_id", text).mapInArrow(run, PIECES)
 

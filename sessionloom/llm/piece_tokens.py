@@ -6,7 +6,8 @@ Each task therefore segments every distinct chunk once, keeps its ids and its de
 back by position in the text. ``chunkable`` checks the vocabulary and the normaliser; a model that fails the check is
 encoded text by text.
 
-Null text counts as empty: its only id is the end id and it decodes to the empty string. Ties cannot occur (a chunk has
+Null text counts as empty: its only id is the end id and it decodes to the empty string. An empty table gives an empty one;
+a text of any length is encoded whole, in memory that follows the longest text of a step. Ties cannot occur (a chunk has
 one segmentation); repeated rows give repeated results; extra columns are carried through, except those with the name of
 a result column, which the result replaces.
 """
@@ -25,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import distinct_words, text_slices, tokenizer_path
+from .common import distinct_words, give_back, text_slices, tokenizer_path
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Distinct chunks that a worker keeps before it starts its table anew.
+#: Distinct chunks that a task keeps before it starts its table anew; the table goes with the task.
 TABLE_ROWS = 250_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Texts in which splitting at single spaces does not give the chunks.
@@ -108,12 +109,6 @@ class ChunkTable:
         return out
 
 
-@functools.lru_cache(2)
-def chunk_table(path: str) -> ChunkTable:
-    """The worker's table, kept from task to task."""
-    return ChunkTable(path)
-
-
 def encode_digests(docs: DataFrame, text: str = "text", model: str | None = None) -> DataFrame:
     """Encode and decode every text; adds n_tokens, ids_sha256 and decoded_sha256 (of decimal ids, and of UTF-8 text)."""
     path = model or tokenizer_path(MODEL)
@@ -122,7 +117,7 @@ def encode_digests(docs: DataFrame, text: str = "text", model: str | None = None
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, kind) for c, kind in added.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = chunk_table(path), str(processor(path).eos_id())
+        known, end = ChunkTable(path), str(processor(path).eos_id())
         for batch in (part for whole in batches for part in text_slices(whole, text, STEP_BYTES)):
             counts, ids_hash, text_hash = [], [], []
             for ids, decoded in known.encode(batch.column(text)):
@@ -132,6 +127,8 @@ def encode_digests(docs: DataFrame, text: str = "text", model: str | None = None
                 text_hash.append(hashlib.sha256(decoded.encode()).hexdigest())
             arrays = [batch.column(c) for c in keep] + [pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *added])
+        del known
+        give_back()
 
     return docs.select(*keep, text).mapInArrow(run, schema)
 
@@ -143,11 +140,13 @@ def encode_ids(docs: DataFrame, text: str = "text", model: str | None = None) ->
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = chunk_table(path), processor(path).eos_id()
+        known, end = ChunkTable(path), processor(path).eos_id()
         for batch in (part for whole in batches for part in text_slices(whole, text, STEP_BYTES)):
             coded = known.encode(batch.column(text))
             ids = pa.array([[*map(int, part.split()), end] for part, _ in coded], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [ids, pa.array([t for _, t in coded], pa.string())], names=[*keep, "ids", "decoded"])
+        del known
+        give_back()
 
     return docs.select(*keep).mapInArrow(run, schema)
 

@@ -7,8 +7,9 @@ rules are compiled into one Spark column expression: score = 1 / (1 + exp(-(inte
 hold))). Rows are scored by that expression, inside whole-stage code.
 
 Training reads only the rows it is given, at most about SAMPLE_ROWS of them by a hash of the id (a documented bound).
-Null or empty texts have all statistics 0 and are scored like any other row. With no labelled row, or one class only, the
-score is the smoothed share of label 1. Repeated rows get equal scores; columns named like a result are replaced.
+Null or empty texts have all statistics 0 and are scored like any other row; a text of any length is measured whole. With
+no labelled row, or one class only, the score is the smoothed share of label 1; an empty table gives an empty one. Repeated
+rows get equal scores (and, in training, all count); columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -19,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import SPACE, crc_mod, flat_bytes, table, text_slices, words
+from .common import SPACE, crc_mod, flat_bytes, give_back, table, text_slices, words
 
 SAMPLE_ROWS = 12_000
 TREES, DEPTH, LEARNING_RATE, SUBSAMPLE, LEAST_ROWS = 40, 3, 0.2, 0.5, 20
@@ -86,20 +86,20 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows' other columns with the statistics of their texts as s_<name>."""
+def with_statistics(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """The rows' other columns with the statistics of their texts as s_<name>; only texts go to Python."""
     names = [f"s_{s}" for s in STATS]
-    keep = [c for c in docs.columns if c not in names and c != text]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.DoubleType(), False) for c in names])
+    keep = [c for c in docs.columns if c not in names and (c != text or keep_text)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, text):
-                found = statistics(*flat_bytes(part.column(text)))
-                arrays = [part.column(c) for c in keep] + [pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([part.schema.field(c) for c in keep] + [pa.field(c, pa.float64(), False) for c in names]))
+    @F.arrow_udf(", ".join(f"{c} double" for c in names))
+    def measure(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in arrays:
+            parts = [statistics(*flat_bytes(part.column(0))) for part in text_slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t")]
+            found = np.concatenate(parts) if parts else np.zeros((0, len(names)))
+            yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(names))], names=names)
+        give_back()
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.withColumn("_statistics", measure(F.col(text))).select(*keep, "_statistics.*")
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above?, threshold), all of which hold
