@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -40,6 +43,32 @@ def test_quality_of_odd_rows(spark):
     assert quality.score(docs.limit(0), quality.fit(np.zeros((0, len(quality.STATS))), np.zeros(0))).count() == 0
 
 
+def plain_statistics(text: str) -> list[float]:
+    """The statistics by their definition, character by character."""
+    data = text.encode()
+    if not data:
+        return [0.0] * len(quality.STATS)
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", data.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))) if w]
+    n, plain = max(1, len(words)), b".,;:?'\"-"
+    share = lambda kind: sum(map(kind, data)) / len(data)
+    return [
+        len(data), len(words), data.count(b"\n") + 1,
+        share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57), share(lambda b: b in plain),
+        share(lambda b: 32 < b < 127 and not chr(b).isalnum() and b not in plain), share(lambda b: b == 32 or 9 <= b <= 13), share(lambda b: b >= 128),
+        sum(map(len, words)) / n, sum(len(w) > 12 for w in words) / n, sum(len(w) < 4 for w in words) / n,
+        sum(a == b for a, b in zip(words, words[1:])) / n, len(set(words)) / n, share(lambda b: b == ord("|")), share(lambda b: b == ord("!")),
+        max(Counter(words).values(), default=0) / n,
+    ]
+
+
+def test_statistics_follow_their_definition(spark, sf_dir):
+    odd = [None, "", " ", "A", "aa Aa\tbb", "| ! |", "é\u00a0ü x", "w " * 3000]
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 4 = 0").collect()] + odd
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    for row in quality.with_statistics(docs).collect():
+        assert np.allclose([row[f"s_{s}"] for s in quality.STATS], plain_statistics(texts[row.i] or "")), texts[row.i]
+
+
 def test_language_on_held_out_rows(spark):
     sf_dir = "/root/testdata/sf0.01"
     df = language_id.op9_language(spark, sf_dir)
@@ -49,14 +78,18 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([r.lang_pred == r.lang for r in rows]) >= 0.95
 
 
-def plain_bits(texts: list[str], text: bytes, used: set[int]) -> float:
-    """Code length by the definition: longest context first, escapes with exclusion."""
+def plain_counts(texts: list[str]) -> dict[bytes, dict[int, int]]:
     counts: dict[bytes, dict[int, int]] = {}
     for t in (t.encode() for t in texts):
         for i, b in enumerate(t):
             for order in range(min(3, i) + 1):
                 counts.setdefault(t[i - order : i], {}).setdefault(b, 0)
                 counts[t[i - order : i]][b] += 1
+    return counts
+
+
+def plain_bits(counts: dict[bytes, dict[int, int]], text: bytes) -> float:
+    """Code length by the definition: longest context first, escapes with exclusion."""
     bits = 0.0
     for i, b in enumerate(text):
         excluded: set[int] = set()
@@ -77,19 +110,43 @@ def plain_bits(texts: list[str], text: bytes, used: set[int]) -> float:
 
 def test_code_lengths_follow_the_definition():
     texts = {"a": ["abracadabra abra", "cab"], "b": ["banana band", "nab"]}
-    model = language_id.train(texts)
-    used = {b for ts in texts.values() for t in ts for b in t.encode()}
+    model, counts = language_id.train(texts), {l: plain_counts(t) for l, t in texts.items()}
     for text in ("abra", "ban", "a", "zz top", "cabana banda abracadabra"):
         data = np.frombuffer(text.encode(), np.uint8)
         got = language_id.code_lengths(model, data, np.array([0, len(data)]))[0]
-        assert np.allclose(got, [plain_bits(texts[l], text.encode(), used) for l in "ab"], atol=1e-3)
+        assert np.allclose(got, [plain_bits(counts[l], text.encode()) for l in "ab"])
+
+
+def test_the_query_follows_the_definition(spark):
+    """Whole documents against the definition: over 10,000 contexts, predictions and bits a byte of the registered query."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sample: dict[str, list[str]] = {}
+    for row in language_id.training_sample(docs.where(~language_id.held_out(F.col("doc_id")))).collect():
+        sample.setdefault(row.lang, []).append(row.text)
+    counts = {l: plain_counts(t) for l, t in sorted(sample.items())}
+    assert sum(map(len, counts.values())) > 10_000
+    got = {r.doc_id: r for r in language_id.op9_language(spark, sf_dir).collect()}
+    short = [r for r in docs.where("length(text) < 1500 and doc_id % 3 = 0").collect() if any(c.isalpha() for c in r.text)]
+    assert len(short) > 20
+    for row in short:
+        bits = {l: plain_bits(c, row.text.encode()) for l, c in counts.items()}
+        best = min(bits, key=bits.get)
+        assert got[row.doc_id].lang_pred == best
+        assert abs(got[row.doc_id].bits_per_byte - bits[best] / len(row.text.encode())) < 1e-9
+        assert abs(got[row.doc_id].score - 1 / sum(2 ** ((bits[best] - b) / language_id.SCORE_BITS) for b in bits.values())) < 1e-9
 
 
 def test_language_of_odd_rows(spark):
     rows = [(1, "abra cadabra", "a"), (2, "banana band", "b"), (3, None, "a"), (4, "", None), (5, "123 !", "b"), (6, "ab " * 300_000, None), (6, "ab " * 300_000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language_id.train(language_id.training_sample(docs))
+    model = language_id.fit(language_id.training_sample(docs))
     got = [(r.doc_id, r.lang_pred) for r in language_id.predict(docs, model).orderBy("doc_id").collect()]
     assert got == [(1, "a"), (2, "b"), (3, "und"), (4, "und"), (5, "und"), (6, "a"), (6, "a")]
-    none = language_id.train(language_id.training_sample(docs.limit(0)))
+    none = language_id.fit(language_id.training_sample(docs.limit(0)))
     assert {r.lang_pred for r in language_id.predict(docs, none).collect()} == {"und"}
+    assert language_id.predict(docs.limit(0), model).count() == 0
+    clash = docs.withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1))
+    again = language_id.predict(clash, model, keep_text=True)
+    assert again.columns == ["doc_id", "text", "lang", "lang_pred", "score", "bits_per_byte"]
+    assert [(r.doc_id, r.lang_pred) for r in again.orderBy("doc_id").collect()] == got
