@@ -19,16 +19,16 @@ LEAST_QUALITY = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that have a known language; the model learns from this stage's input."""
-    model = language_id.train(language_id.training_sample(docs.where(~language_id.held_out(F.col("doc_id")))))
-    rated = language_id.predict(docs, model, keep_text=True)
-    return rated.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS)).select(docs.columns)
+    model = language_id.fit(language_id.training_sample(docs.where(~language_id.held_out(F.col("doc_id")))))
+    found = language_id.verdict_column(spark, model)
+    return docs.where((found["lang_pred"] != "und") & (found["bits_per_byte"] <= MOST_BITS))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose score reaches LEAST_QUALITY; learns from labels of the documents that came in."""
     labels = table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id")))
     model = quality.fit_labels(docs, labels)
-    rated = quality.with_statistics(docs.withColumn("_text", F.col("text"))).withColumnRenamed("_text", "text")
+    rated = quality.with_statistics(docs, keep_text=True)
     return rated.where(model.score_column() >= LEAST_QUALITY).select(docs.columns)
 
 
