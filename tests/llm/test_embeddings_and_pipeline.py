@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_components import searched
@@ -54,13 +53,16 @@ def test_links_of_near_copies_at_the_limit(dim):
     node, radius = embedding_dedup.cover_tree(u)
     for own, far in zip(node, radius):
         assert (np.linalg.norm(u - u[own], axis=1) <= far[own] + 1e-7).all()
-    ids = list(range(len(u)))
-    rows = [pa.array(ids), pa.array([1] * len(u)), pa.array([x.tobytes() for x in u]), pa.array(list(node.T)), pa.array(list(radius.T))]
-    tree = embedding_dedup._Levels(pa.table(rows, names=["vec_id", "copies", "vec", "node", "radius"]), dim)
-    i, j = embedding_dedup.dual_links(tree, tree, True, 0.95)
+    tree = embedding_dedup.Block.unpacked(embedding_dedup.Block(np.arange(len(u)), np.ones(len(u), np.int64), u).packed())
+    i, j, ranges = embedding_dedup.dual_links(tree, tree, True, 0.95)
+    pairs = set(zip(i.tolist(), j.tolist()))
+    for a, n, b, m in ranges.tolist():
+        pairs |= {(min(p, q), max(p, q)) for p in range(a, a + n) for q in range(b, b + m) if p != q}
     cosines = np.einsum("ij,kj->ik", tree.x, tree.x) / np.outer(np.linalg.norm(tree.x, axis=1), np.linalg.norm(tree.x, axis=1))
     sure = {(p, q) for p, q in zip(*np.nonzero(cosines >= 0.95 + 1e-12)) if p < q}
-    assert sure <= set(zip(i.tolist(), j.tolist()))
+    assert sure <= pairs <= {(p, q) for p, q in zip(*np.nonzero(cosines >= 0.95 - 1e-12)) if p < q}
+    links, least = embedding_dedup.tally(tree.ids, tree.copies, i, j, ranges)
+    assert links.sum() == 2 * len(pairs)
 
 
 def test_every_length_is_compared(spark):
@@ -77,6 +79,21 @@ def test_every_length_is_compared(spark):
     assert got == brute(list(range(len(rows))), rows) and all(got[i][0] for i in range(2 * 88))
 
 
+def test_repeated_ids_with_odd_rows(spark):
+    rows = [(1, [1.0, 0.0]), (1, None), (1, [0.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (4, None)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 0, 1, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True), (4, 0, 4, True)]
+
+
+def test_a_crowd_is_counted_by_ranges(spark):
+    """Near copies in several blocks: all link, most of them without a look at the pair."""
+    rng = np.random.default_rng(2)
+    rows = [(np.ones(8) + rng.normal(size=8) * 0.004).tolist() for _ in range(400)] + [rng.normal(size=8).tolist() for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, block_rows=64, pivots=4).collect()}
+    assert got == brute(list(range(500)), rows)
+
+
 def test_driver_table(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
     df = embedding_dedup.op10_embedding_dedup(spark, sf_dir)
