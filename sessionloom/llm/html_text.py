@@ -7,14 +7,16 @@ marked as furniture. A class or id counts where all parts of the whole token are
 a form is void inside article, and where the element holds more than half of the words outside links and no article lies
 beside it; that of comments and related pages where it holds all words; main voids every mark around it but that of hidden elements. head ends where
 body, another element of the page or text begins. The text-to-tag ratio of each line (characters per tag) is smoothed with a Gaussian over the
-neighbouring lines; a threshold between two clusters of the smoothed ratios (means of two groups) selects the content
-lines. The region starts as the page and goes down to a container only while that holds every selected line that is not
+neighbouring lines; a threshold between two clusters of the smoothed ratios (means of two groups) parts the lines into content and the
+rest. Outside article and main, a cluster of two or more neighbouring lines below the threshold whose characters are
+mostly those of links is navigation, whatever its elements are called, and is left out. The region starts as the page and goes down to a container only while that holds every selected line that is not
 furniture and what lies beside it is no text of the page's own: beside article and main no heading or paragraph, beside
 any other container nothing but lines made of links. It never goes below article or main. All lines of the region that
 are not furniture are the text, however short.
 
 Character references are decoded, white space inside a line becomes one space, lines join by one newline. Null or empty
-html, or a page of menus and the like only, gives the empty string. Repeated rows repeat; result columns replace clashing names.
+html, or a page of menus and the like only, gives the empty string; an empty table gives an empty one. Pages of any length
+are parsed whole, in memory that follows the longest page. Repeated rows repeat; result columns replace clashing names.
 """
 
 from __future__ import annotations
@@ -174,26 +176,31 @@ class Lines(HTMLParser):
                 self.plain += len(data)
 
 
-def in_furniture(parser: Lines) -> list[bool]:
-    """Of each line: whether a mark holds there."""
+def in_article(parser: Lines) -> list[bool]:
+    """Of each container: whether it is or lies in article or main."""
     article = [False]
     for parent, name in zip(parser.parents[1:], parser.names[1:]):
         article.append(article[parent] or name in ("article", "main"))
+    return article
+
+
+def in_furniture(parser: Lines, article: list[bool]) -> list[bool]:
+    """Of each line: whether a mark holds there."""
     kinds = [BY_NAME]
     for around, _, kind in parser.marks[1:]:  # marks follow those around them
         kinds.append(max(kinds[around], kind))
-    words, in_article = [0] * len(parser.marked), [0] * len(parser.marked)
+    words, held = [0] * len(parser.marked), [0] * len(parser.marked)
     for _, _, mark, container, marked, _, plain in parser.lines:
         if kinds[mark] < BY_ELEMENT:
             words[marked] += plain
         if kinds[mark] == BY_NAME and article[container]:
-            in_article[marked] += plain
+            held[marked] += plain
     for m in range(len(words) - 1, 0, -1):
         words[parser.marked[m]] += words[m]
-        in_article[parser.marked[m]] += in_article[m]
+        held[parser.marked[m]] += held[m]
     holds = [False]
     for around, element, kind in parser.marks[1:]:
-        void = kind == BY_NAME and 2 * words[element] > words[0] and in_article[element] == in_article[0] or kind == OF_REPLIES and words[element] == words[0] > 0
+        void = kind == BY_NAME and 2 * words[element] > words[0] and held[element] == held[0] or kind == OF_REPLIES and words[element] == words[0] > 0
         holds.append(holds[around] or not void)
     return [holds[line[2]] for line in parser.lines]
 
@@ -212,6 +219,24 @@ def threshold(values: np.ndarray) -> float:
     return min(cut, float(values.mean()))
 
 
+def link_clusters(parser: Lines, own: np.ndarray, low: np.ndarray, article: list[bool]) -> np.ndarray:
+    """Lines in clusters of low ratio, two lines or more, of whose characters most are those of links.
+
+    Smoothing lifts a cluster's edge beside text, so lines made of links alone belong to the cluster that they adjoin.
+    """
+    out, k = np.zeros(len(own), bool), 0
+    loose = [bool(own[i] and (low[i] or not line[6]) and not article[line[3]]) for i, line in enumerate(parser.lines)]
+    while k < len(out):
+        end = k
+        while end < len(out) and loose[end]:
+            end += 1
+        if end - k > 1 and low[k:end].any():
+            total, plain = (sum(of(line) for line in parser.lines[k:end]) for of in (lambda line: len(line[0]), lambda line: line[6]))
+            out[k:end] = 2 * plain < total
+        k = max(end, k + 1)
+    return out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -225,10 +250,12 @@ def main_text(html: str | None) -> str:
     ratio = np.array([len(text) / tags for text, tags, *_ in lines])
     padded = np.pad(ratio, RADIUS, mode="edge")
     smooth = np.convolve(padded, _KERNEL, mode="valid")
-    own = ~np.array(in_furniture(parser))
+    article = in_article(parser)
+    own, cut = ~np.array(in_furniture(parser, article)), threshold(smooth)
+    own &= ~link_clusters(parser, own, smooth < cut, article)
     if not own.any():
         return ""
-    chosen = (smooth >= threshold(smooth)) & own
+    chosen = (smooth >= cut) & own
     if not chosen.any():
         chosen = own
     held = np.zeros((len(parser.parents), 3), np.int64)  # chosen lines, prose lines, lines not made of links
