@@ -17,4 +17,4 @@ QUERIES = {
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_url_filter": url_filter.oracle_sql()}

@@ -6,19 +6,21 @@ and every subdomain where the path starts with the rule's; the longest wins (tie
 
 Template tree, per host: the path's segments down to DEPTH, the rest folded into one ``**``. A run of digits becomes
 ``#``; where a node has more than MOST_CHILDREN different children, its children become ``*``. Pages with a rule are the
-labelled ones. Sibling branches with labels whose rejected share is not told apart from their siblings' together (a
-two-proportion test, |z| < Z_APART) are merged: they take the pooled counts. A template is rejected where its purity,
-(blocked + SMOOTHING / 2) / (labelled + SMOOTHING), reaches LEAST_PURITY; one without labels is allowed. All tree work is
-on counts per template, not on pages.
-
-Repeated urls get equal verdicts, an empty table gives none, columns named like a result are replaced.
+labelled ones. Sibling branches stand in order of their rejected share; a branch that a two-proportion test does not tell
+apart from the one before it (|z| < Z_APART) joins its group, and a group takes its pooled counts. Branches without labels
+form one group with the whole family's counts, and where the family has none, with those of the host. A template is rejected where its purity,
+(blocked + SMOOTHING / 2) / (labelled + SMOOTHING), reaches LEAST_PURITY; on a host without labels all are allowed. All
+tree work is on counts per template, not on pages, and a family has at most MOST_CHILDREN branches and the wildcard.
+
+Repeated urls get equal verdicts, an empty table gives none, a url of any length is judged whole, columns named like a
+result are replaced.
 """
 
 from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, table
@@ -80,17 +82,25 @@ def generalise(counts: DataFrame) -> DataFrame:
 def judged_templates(counts: DataFrame) -> DataFrame:
     """Adds template, purity and reject to each (host, parts), after siblings that are alike have merged."""
     tree = generalise(counts)
-    nodes = cut_lineage(tree.groupBy("host", "node").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n")).withColumn("parent", F.slice("node", 1, F.greatest(F.size("node") - 1, F.lit(1)))))
-    families = cut_lineage(nodes.groupBy("host", "parent").agg(F.sum("b").alias("fb"), F.sum("n").alias("fn")))
-    rest_b, rest_n = F.col("fb") - F.col("b"), F.col("fn") - F.col("n")
-    pooled = F.try_divide("fb", "fn")
-    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("n")) + F.try_divide(F.lit(1), rest_n)))
-    z = F.coalesce(F.try_divide(F.abs(F.try_divide("b", "n") - F.try_divide(rest_b, rest_n)), spread), F.lit(0.0))
-    merged = (F.col("n") > 0) & (z < Z_APART)
-    b, n = F.when(merged, F.col("fb")).otherwise(F.col("b")), F.when(merged, F.col("fn")).otherwise(F.col("n"))
+    parent = F.slice("node", 1, F.greatest(F.size("node") - 1, F.lit(1)))
+    nodes = cut_lineage(tree.groupBy("host", "node").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n")).withColumn("parent", parent))
+    family = Window.partitionBy("host", "parent")
+    order = family.orderBy((F.col("n") == 0), F.try_divide("b", "n"), F.array_join("node", "/"))
+    b0, n0 = F.lag("b").over(order), F.lag("n").over(order)
+    pooled = F.try_divide(F.col("b") + b0, F.col("n") + n0)
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("n")) + F.try_divide(F.lit(1), n0)))
+    z = F.coalesce(F.try_divide(F.abs(F.try_divide("b", "n") - F.try_divide(b0, n0)), spread), F.lit(0.0))
+    apart = nodes.withColumn("apart", ((F.col("n") == 0) & (F.coalesce(n0, F.lit(0)) > 0) | (z >= Z_APART)).cast("int"))
+    grouped = apart.withColumn("fb", F.sum("b").over(family)).withColumn("fn", F.sum("n").over(family)).withColumn("part", F.sum("apart").over(order))
+    alike = Window.partitionBy("host", "parent", "part")
+    summed = grouped.withColumn("gb", F.sum("b").over(alike)).withColumn("gn", F.sum("n").over(alike))
+    hosts = nodes.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("n").alias("hn"))
+    met = cut_lineage(summed).join(hosts, "host")
+    pick = lambda g, f, h: F.when(F.col("n") > 0, F.col(g)).when(F.col("fn") > 0, F.col(f)).otherwise(F.col(h))
+    b, n = pick("gb", "fb", "hb"), pick("gn", "fn", "hn")
     purity = (b + SMOOTHING / 2) / (n + SMOOTHING)
     template = F.concat("host", F.array_join("node", "/"))
-    judged = nodes.join(families, ["host", "parent"]).select("host", "node", template.alias("template"), purity.alias("purity"), ((n > 0) & (purity >= LEAST_PURITY)).alias("reject"))
+    judged = met.select("host", "node", template.alias("template"), purity.alias("purity"), ((n > 0) & (purity >= LEAST_PURITY)).alias("reject"))
     return tree.select("host", "parts", "node").join(cut_lineage(judged), ["host", "node"]).select("host", "parts", "template", "purity", "reject")
 
 
@@ -108,5 +118,34 @@ def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]]
     return joined.select(*keep, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
 
 
+def oracle_sql() -> str:
+    """The same for DuckDB, over pages."""
+    fits = lambda r: f"when (host = '{r[0]}' or ends_with(host, '.{r[0]}')) and starts_with(path, '{r[1]}') then "
+    ordered = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
+    rule = " ".join(f"{fits(r)}'{r[0]}{r[1]}'" for r in ordered)
+    verdict = " ".join(f"{fits(r)}'{r[2]}'" for r in ordered)
+    steps, tree = [], "t0"
+    for d in range(1, DEPTH + 1):
+        steps.append(f"""c{d} as (select host, node[1:{d}] as prefix from (select distinct host, node[1:{d}] as node, node[{d + 1}] as segment from {tree} where len(node) > {d}) group by host, node having count(*) > {MOST_CHILDREN}),
+t{d} as (select t.host, t.parts, t.blocked, t.labelled, case when c.host is not null and len(t.node) > {d} then list_concat(list_concat(t.node[1:{d}], ['*']), t.node[{d + 2}:]) else t.node end as node
+  from {tree} t left join c{d} c on c.host = t.host and c.prefix = t.node[1:{d}])""".replace("node[1:%d] as prefix from" % d, "node as prefix from"))
+        tree = f"t{d}"
+    pick = lambda k: f"case when n > 0 then g{k} when fn > 0 then f{k} else h{k} end"
+    return f"""with u as (select page_id, coalesce(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end, '') as rest from pages),
+v as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+w as (select *, case {rule} end as rule, case {verdict} end as given, string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/') as cut from v),
+x as (select *, case when len(cut) > {DEPTH + 1} then list_concat(cut[1:{DEPTH + 1}], ['**']) else cut end as parts from w),
+t0 as (select host, parts, count(*) filter (where given = 'block') as blocked, count(rule) as labelled, parts as node from x group by host, parts),
+{", ".join(steps)},
+nodes as (select host, node, node[1:greatest(len(node) - 1, 1)] as parent, cast(sum(blocked) as double) as b, cast(sum(labelled) as double) as n from {tree} group by host, node),
+prior as (select *, lag(b) over o as b0, lag(n) over o as n0, array_to_string(node, '/') as name from nodes window o as (partition by host, parent order by n = 0, b / nullif(n, 0), array_to_string(node, '/'))),
+apart as (select *, case when n = 0 and coalesce(n0, 0) > 0 or coalesce(abs(b / nullif(n, 0) - b0 / nullif(n0, 0)) / nullif(sqrt((b + b0) / nullif(n + n0, 0) * (1 - (b + b0) / nullif(n + n0, 0)) * (1 / nullif(n, 0) + 1 / nullif(n0, 0))), 0), 0) >= {Z_APART} then 1 else 0 end as apart from prior),
+part as (select *, sum(apart) over (partition by host, parent order by n = 0, b / nullif(n, 0), name rows unbounded preceding) as part, sum(b) over (partition by host, parent) as fb, sum(n) over (partition by host, parent) as fn, sum(b) over (partition by host) as hb, sum(n) over (partition by host) as hn from apart),
+met as (select *, sum(b) over (partition by host, parent, part) as gb, sum(n) over (partition by host, parent, part) as gn from part),
+judged as (select host, node, name, {pick("b")} as jb, {pick("n")} as jn from met),
+templates as (select t.host, t.parts, t.host || j.name as template, (jb + {SMOOTHING / 2}) / (jn + {SMOOTHING}) as purity, jn > 0 and (jb + {SMOOTHING / 2}) / (jn + {SMOOTHING}) >= {LEAST_PURITY} as reject from {tree} t join judged j on j.host = t.host and j.node = t.node)
+select x.page_id, x.host, x.path, x.rule, coalesce(x.given, case when m.reject then 'block' else 'allow' end) as verdict, m.template, round(m.purity, 6) as purity from x left join templates m on m.host = x.host and m.parts = x.parts"""
+
+
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
