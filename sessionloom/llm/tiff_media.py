@@ -6,7 +6,9 @@ image's edge. A file that is cut short or no TIFF gives one row whose ``error``
 
 Text as media: a text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the 8-bit samples of grey
 pages 64 wide and at most 16384 rows high, deflated in strips of 256 rows after horizontal differencing. Null counts as
-empty (64 zero bytes). Equal texts give equal files. Repeated rows repeat; columns named like a result are replaced.
+empty (64 zero bytes). Equal texts give equal files. An empty table gives an empty one; a text of any length becomes one
+file of as many pages as it needs. Repeated rows repeat; columns named like a result are replaced. Rows are handled in
+steps of a megabyte of text or file, one row at least.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import table, text_slices
+
 WIDTH, PAGE_ROWS, STRIP_ROWS = 64, 16384, 256
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 #: TIFF field types and their sizes in bytes.
@@ -273,7 +277,7 @@ def media_column(docs: DataFrame, text: str = "text", media: str = "media") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+            for part in text_slices(batch, text):
                 texts = part.column(text).to_pylist()
                 sizes = pa.array([len((t or "").encode()) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [sizes, pa.array(map(text_media, texts), pa.binary())], names=[*keep, "n_bytes", media])
@@ -292,7 +296,7 @@ def page_rows(frame: DataFrame, media: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(k, 64) for k in range(0, batch.num_rows, 64)):
+            for part in text_slices(batch, media):
                 rows, found = [], []
                 for i, value in enumerate(part.column(media)):
                     if value.as_py() is None:
@@ -332,6 +336,4 @@ def media_digests(frame: DataFrame, media: str = "media") -> DataFrame:
 
 
 def op6_media(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return media_digests(media_column(table(spark, sf_dir, "documents").select("doc_id", F.col("text"))))

@@ -54,6 +54,41 @@ def test_main_text_in_marked_wrappers():
     assert html_text.main_text(f"<p>{text}<div class='site-footer'>x</div><div class='Side-Bar'>x</div><div id='comment-list'>x</div>") == text
 
 
+def test_the_threshold_parts_links_from_text():
+    """A list of links in plain elements goes where its ratio is low, and only there: without the threshold this fails."""
+    text = "Some words of the page, some more of them, and so on to the end of a line of text. " * 3
+    links = "".join(f"<a href='/{k}'>Item {k}</a><br>" for k in range(6))
+    page = f"<body>{links}<p>{text}<p>{text}</p>{links}</body>"
+    body = text.strip()
+    assert html_text.main_text(page) == f"{body}\n{body}"
+    assert html_text.main_text(f"<article><p>{text}</p>{links}</article>").count("Item") == 6
+    keep = html_text.threshold
+    try:
+        html_text.threshold = lambda values: -1.0
+        assert html_text.main_text(page).count("Item") == 12
+    finally:
+        html_text.threshold = keep
+
+
+def test_known_articles(spark):
+    """Pages made around known articles: the query gives exactly their blocks."""
+    import random
+
+    rng, rows, want = random.Random(5), [], {}
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    for k in range(60):
+        blocks = [line(rng.randint(3, 8)), *(line(rng.randint(8, 60)) for _ in range(rng.randint(2, 7)))]
+        menu = "".join(f"<li><a href='/{word()}'>{word()}</a>" for _ in range(6))
+        holder = rng.choice(["article", "main", "div class='content'", "div"])
+        body = f"<{holder}><h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:]) + f"</{holder.split()[0]}>"
+        extra = rng.choice([f"<aside>{line(30)}</aside>", f"<div class='ad'>{line(9)}</div>", f"<form><input>{line(4)}</form>", "<script>x('<p>')</script>", f"<section id='comments'><p>{line(40)}</section>"])
+        rows.append((k, f"http://h/{k}", f"<html><head><title>{blocks[0]}</title></head><body><nav><ul>{menu}</ul></nav>{body}{extra}<footer>{line(5)}</footer></body></html>", "x"))
+        want[k] = "\n".join(blocks)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5), (2, None, None, 5), (3, "u", "<p>" + "long text " * 200_000, 5)], "page_id long, url string, html string, n_chars int")
     rows = html_text.extract(pages).orderBy("page_id").collect()
@@ -86,6 +121,40 @@ def test_templates_learn_from_ruled_pages(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_unlabelled_templates_take_their_family(spark):
+    """Pages without a rule are blocked where the pages beside them are, and left alone where those are mixed."""
+    rules = [("bad.com", "/a/list/1", "block"), ("bad.com", "/a/more/1", "block"), ("mixed.com", "/a/x", "block"), ("mixed.com", "/a/y", "allow")]
+    urls = [f"http://bad.com/a/{s}/{n}" for s in ("list", "more") for n in range(10, 20)] + ["http://bad.com/a/new/5", "http://bad.com/other"]
+    urls += [f"http://mixed.com/a/{s}/{n}" for s in "xyz" for n in range(10)] + ["http://none.com/a/1"]
+    got = {r.url: r.verdict for r in url_filter.judge(spark.createDataFrame([(u, "t", "v") for u in urls], "url string, template string, verdict string"), rules=rules).collect()}
+    assert got["http://bad.com/a/new/5"] == "block" and got["http://bad.com/other"] == "block"
+    assert got["http://mixed.com/a/z/3"] == "allow" and got["http://none.com/a/1"] == "allow"
+
+
+def test_url_query_equals_its_sql(spark):
+    import duckdb
+
+    for sf_dir in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        df = url_filter.op7_url_filter(spark, sf_dir)
+        with duckdb.connect() as con:
+            con.execute(f"create view pages as select * from read_parquet('{sf_dir}/pages.parquet')")
+            got = con.execute(url_filter.oracle_sql())
+            names = [d[0] for d in got.description]
+            want = sorted(map(str, got.fetchall()))
+        assert sorted(str(tuple(r[c] for c in names)) for r in df.collect()) == want
+
+
+def test_license_texts_over_many_lines():
+    """Whole texts wrapped at any width, with phrases across line breaks, are one block and one notice."""
+    import textwrap
+
+    for name, (notice, _) in license_scan.TEMPLATES.items():
+        for width in (24, 60, 100_000):
+            text = "Vorher steht etwas anderes hier\n\n" + "\n".join(textwrap.wrap(notice, width, break_long_words=False, break_on_hyphens=False)) + "\n\nUnd danach etwas"
+            found = [m for low, high in license_scan.candidate_blocks(text) for m in license_scan.scan_block(text[low:high])]
+            assert name in [m[0] for m in found], (name, width, found)
+
+
 def test_licenses(spark):
     rows = [(1, "text\nLicensed under the Apache License, Version 2.0\nmore"), (2, "Released under the MIT License. All rights reserved."), (3, "a driving license is needed"), (4, None), (5, ""), (6, "filler " * 200_000 + "\nThis work is licensed under the GNU General Public License, version 3"), (7, "This work is licensed under the GNU General Public License, version 2")]
     got = {r.doc_id: sorted(m.license for m in r.matches) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -111,6 +180,46 @@ def test_tiff_codecs():
         assert tiff_media.lzw_decode(tiff_media.lzw_encode(data)) == data
 
 
+def test_files_of_every_kind(spark):
+    """Strips and tiles, all codecs, both byte orders, predictors and several pages give their samples back, a row a page."""
+    rng = np.random.default_rng(6)
+    images = [rng.integers(0, 256, (37, 50), np.uint8), np.zeros((70, 16), np.uint8), np.tile(np.arange(90, dtype=np.uint8), (33, 1))]
+    files, want = [], {}
+    for compression in (tiff_media.NONE, tiff_media.LZW, tiff_media.DEFLATE, tiff_media.PACKBITS):
+        for predictor in (1, 2):
+            for tile in (0, 16):
+                for order in "<>":
+                    want[len(files)] = compression
+                    files.append((len(files), tiff_media.write(images, compression, predictor, tile, 16, order), 3))
+    whole = tiff_media.write(images[:1])
+    broken = [b"", b"II", b"no tiff at all", whole[: len(whole) // 2], whole[:8], b"II*\0\x08\0\0\0\x01\0" + b"\xff" * 12 + b"\0\0\0\0"]
+    ring = bytearray(whole)
+    at = int.from_bytes(ring[4:8], "little")
+    count = int.from_bytes(ring[at : at + 2], "little")
+    ring[at + 2 + 12 * count : at + 6 + 12 * count] = ring[4:8]
+    rows = files + [(100 + k, data, 3) for k, data in enumerate([*broken, bytes(ring)])] + [(200, None, 3)]
+    found = tiff_media.page_rows(spark.createDataFrame(rows, "id long, media binary, page int")).collect()
+    by_id: dict[int, list] = {}
+    for r in found:
+        by_id.setdefault(r.id, []).append(r)
+    for k, compression in want.items():
+        pages = sorted(by_id[k], key=lambda r: r.page)
+        assert [(p.page, p.width, p.height, p.compression, bytes(p.samples)) for p in pages] == [(n, i.shape[1], i.shape[0], compression, i.tobytes()) for n, i in enumerate(images)]
+    for k in range(len(broken)):
+        assert [(r.page, bool(r.error)) for r in by_id[100 + k]] == [(None, True)], broken[k][:20]
+    assert any(r.error for r in by_id[100 + len(broken)]) and 200 not in by_id
+    assert tiff_media.page_rows(spark.createDataFrame([], "id long, media binary")).count() == 0
+
+
+def test_media_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, 9), (2, "", 9), (2, "", 9), (3, "é" * 700_000, 9), (4, "x" * 64, 9)], "doc_id long, text string, feature int")
+    rows = sorted(tiff_media.media_digests(tiff_media.media_column(docs)).collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.n_bytes, r.payload_bytes) for r in rows] == [(1, 0, 64), (2, 0, 64), (2, 0, 64), (3, 1_400_000, 1_400_000), (4, 64, 64)]
+    assert rows[0].media_sha256 == rows[1].media_sha256 == rows[2].media_sha256 and rows[0].feature == "pages=1;pixels=64;mean=0.0000;sd=0.0000;zero=1.000000;bits=0.0000"
+    assert rows[3].feature.startswith("pages=2;pixels=1400000;mean=182.0000;sd=13.0000;zero=0.000000;bits=1.0000")
+    assert tiff_media.media_digests(tiff_media.media_column(docs.limit(0))).count() == 0
+
+
 def test_media_query(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = tiff_media.op6_media(spark, sf_dir).collect()
