@@ -1,4 +1,4 @@
-"""Scalar expressions on text: ids, fingerprints, redaction, clipping, time stamps, keyword classes."""
+"""Scalar expressions on text: ids, fingerprints, redaction, clipping, time stamps, paths, keyword classes."""
 
 from __future__ import annotations
 
@@ -13,30 +13,120 @@ def stable_id(*parts: Column, length: int = 16) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts]), 256), 1, length)
 
 
+def hmac_id(key: str, text: Column, length: int = 32) -> Column:
+    """First hex digits of HMAC-SHA256 under a key, by the definition: two nested digests over the padded key."""
+    padded = key.encode().ljust(64, b"\0")
+    if len(padded) > 64:
+        raise ValueError("a key has at most 64 bytes")
+    inner, outer = (F.lit(bytes(b ^ pad for b in padded)) for pad in (0x36, 0x5C))
+    digest = F.unhex(F.sha2(F.concat(inner, F.coalesce(text, F.lit("")).cast("binary")), 256))
+    return F.substring(F.sha2(F.concat(outer, digest), 256), 1, length)
+
+
 def fingerprint(text: Column) -> Column:
     """White space runs as one space, trimmed, lower case."""
     return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
-#: Patterns replaced as a whole, and keyword-anchored ones of which the first group stays.
-SECRETS = [r"\bsk-[A-Za-z0-9_-]{20,}", r"\bgh[pousr]_[A-Za-z0-9]{20,}", r"\bAKIA[0-9A-Z]{16}\b", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", r"\bAIza[0-9A-Za-z_-]{30,}", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"]
-KEYED = [r'(?i)((?:api[_-]?key|auth[_-]?token|access[_-]?token|token|secret|password)"?\s*[:=]\s*"?)[A-Za-z0-9_./+-]{8,}', r"(?i)(bearer\s+)[A-Za-z0-9_.-]{12,}"]
-MASK = "[REDACTED]"
+#: Nine patterns replaced as a whole, and four keywords of which the keyword stays and the value goes.
+SECRETS = [
+    r"(?i)\bsk-ant-[A-Za-z0-9_\-]{20,}",
+    r"(?i)\bsk-[A-Za-z0-9_\-]{12,}",
+    r"(?i)Bearer\s+[A-Za-z0-9_\-\.]{20,}",
+    r"(?i)tok_[A-Za-z0-9]{20,}",
+    r"(?i)AKIA[0-9A-Z]{16}",
+    r"(?i)gh[pousr]_[A-Za-z0-9]{36,}",
+    r"(?i)-----BEGIN [A-Z ]+PRIVATE KEY-----[\s\S]*?-----END [A-Z ]+PRIVATE KEY-----",
+    r"(?i)mongodb(\+srv)?://[^\s'\"]+",
+    r"(?i)postgres(ql)?://[^\s'\"]+",
+]
+KEYWORDS = ["password", "secret", "token", "api[_-]?key"]
+MASK = "REDACTED_SECRET"
+KEYED = [rf"(?i)({word}\"?\s*[=:]\s*\"?)([^\s'\"]{{8,}})" for word in KEYWORDS]
+#: What every pattern needs to match; texts without any of it are passed by.
+SUSPECT = r"(?i)sk-|bearer|tok_|akia|gh[pousr]_|private key|mongodb|postgres|password|secret|token|api[_-]?key"
 
 
 def redact(text: Column, literals: list[str] = ()) -> Column:
-    """Secrets masked by pattern, then known literal secrets, the longest first."""
+    """Secrets masked by pattern, then known literal secrets, the longest first. One cheap test spares clean texts the rest."""
     out = functools.reduce(lambda c, p: F.regexp_replace(c, p, MASK), SECRETS, text)
-    out = functools.reduce(lambda c, p: F.regexp_replace(c, p, "$1" + MASK.replace("$", r"\$")), KEYED, out)
+    out = functools.reduce(lambda c, p: F.regexp_replace(c, p, "$1" + MASK), KEYED, out)
+    out = F.when(text.rlike(SUSPECT), out).otherwise(text)
     return functools.reduce(lambda c, s: F.replace(c, F.lit(s), F.lit(MASK)), sorted(literals, key=lambda s: (-len(s), s)), out)
 
 
+def redact_json(json: Column) -> Column:
+    """A JSON text with every string value and key redacted; what is no JSON is redacted as text.
+
+    Strings are masked one by one: a JSON string token never holds a bare quote, so the text is split at string tokens and
+    each is redacted by itself; numbers, names and structure stay as they are.
+    """
+    tokens = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*"|[^"]+'), F.lit(0))
+    inner = lambda t: F.substring(t, F.lit(2), F.length(t) - 2)
+    masked = F.array_join(F.transform(tokens, lambda t: F.when(t.startswith('"'), F.concat(F.lit('"'), redact(inner(t)), F.lit('"'))).otherwise(t)), "")
+    return F.when(F.try_parse_json(json).isNull(), redact(json)).when(json.rlike(SUSPECT), masked).otherwise(json)
+
+
+def leaks(text: Column, literals: list[str] = ()) -> Column:
+    """Whether redaction would change the text."""
+    return F.coalesce(redact(text, literals) != text, F.lit(False))
+
+
 def clip(text: Column, limit: int) -> Column:
-    """At most limit characters: cut at the last space before the limit where there is one, then an ellipsis."""
+    """At most limit characters and an ellipsis; a last word that the cut severs goes where it looks like a path or URL."""
     head = F.substring(text, 1, limit)
-    last = limit - F.locate(" ", F.reverse(head)) + 1
-    cut = F.when(F.locate(" ", head) > 0, F.substring(text, F.lit(1), last - 1)).otherwise(head)
-    return F.when(F.length(text) > limit, F.concat(F.rtrim(cut), F.lit("…"))).otherwise(text)
+    tail = F.substring_index(head, " ", -1)
+    severed = ~F.substring(text, limit + 1, 1).rlike(r"(?U)^\s") & tail.contains("/")
+    kept = F.when(severed, F.substring(head, F.lit(1), F.length(head) - F.length(tail))).otherwise(head)
+    return F.when(F.length(text) > limit, F.concat(F.regexp_replace(kept, r"(?U)\s+$", ""), F.lit("…"))).otherwise(text)
+
+
+def truncate(text: Column, width: int) -> Column:
+    """One line of at most width characters, the last of them an ellipsis where the text is longer."""
+    line = F.trim(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" ")))
+    return F.when(F.length(line) > width, F.concat(F.substring(line, 1, width - 1), F.lit("…"))).otherwise(line)
+
+
+#: Scratch paths and skill references that stand in quoted prose, and what takes their place.
+EPHEMERAL = r"(?:/private)?/tmp/[^\s'`\"<>)\],]+"
+EPHEMERAL_TOKEN = "<<ephemeral-runtime-path>>"
+SKILL_REFERENCE = r"Skill\(|/skill:|@skill"
+SKILL_TOKEN = "<<quoted-skill-ref>>"
+
+
+def defang(text: Column) -> Column:
+    """Quoted prose without paths and references that a reader or tool could follow."""
+    return F.regexp_replace(F.regexp_replace(text, EPHEMERAL, EPHEMERAL_TOKEN), SKILL_REFERENCE, SKILL_TOKEN)
+
+
+def sections(markdown: Column) -> Column:
+    """Array of (title, body) of the second-level headings of a Markdown text; what precedes the first one is left out."""
+    parts = F.split(F.concat(F.lit("\n"), markdown), r"\n## ")
+    named = lambda p: F.struct(F.trim(F.substring_index(p, "\n", 1)).alias("title"), F.when(F.locate("\n", p) > 0, F.trim(F.regexp_replace(p, r"^[^\n]*\n", ""))).otherwise("").alias("body"))
+    return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), named)
+
+
+def without_skills(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?s)<skill\b[^>]*>.*?</skill>", "")
+
+
+def absolute_paths(text: Column) -> Column:
+    """Distinct absolute paths under the usual roots in order of appearance, without punctuation at their end."""
+    found = F.regexp_extract_all(text, F.lit(r"(?<!\w)(/(?:Users|tmp|var|opt|private)/[^\s'`\"<>)\],]+)"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda p: F.regexp_replace(p, r"[.,;:]+$", "")))
+
+
+def html_escape(text: Column) -> Column:
+    for plain, coded in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(plain), F.lit(coded))
+    return text
+
+
+def script_json(json: Column) -> Column:
+    """JSON that can stand in a script element: no character that could close it."""
+    for plain, coded in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
+        json = F.replace(json, F.lit(plain), F.lit(coded))
+    return json
 
 
 def iso_to_ms(text: Column) -> Column:
@@ -44,6 +134,32 @@ def iso_to_ms(text: Column) -> Column:
     return F.coalesce(F.unix_millis(F.try_to_timestamp(text)), F.lit(0).cast("long"))
 
 
+def ms_to_iso(ms: Column, unknown: str = "unknown") -> Column:
+    """Epoch milliseconds to seconds of UTC; null and 0 are unknown. The session's time zone plays no part."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int"))
+    second = F.floor(F.pmod(ms, F.lit(86_400_000)) / 1000)
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    clock = F.concat(two(second / 3600), F.lit(":"), two(second % 3600 / 60), F.lit(":"), two(second % 60))
+    return F.when(F.coalesce(ms, F.lit(0)) == 0, unknown).otherwise(F.concat(day.cast("string"), F.lit("T"), clock, F.lit("Z")))
+
+
+def duration(ms: Column) -> Column:
+    """Milliseconds as 1.2s or 3m04s; nothing, 0 and what is negative is a dash."""
+    whole = F.floor(ms / 1000)
+    long = F.concat(F.floor(whole / 60).cast("string"), F.lit("m"), F.lpad((whole % 60).cast("string"), 2, "0"), F.lit("s"))
+    short = F.concat(F.format_string("%.1f", ms / F.lit(1000.0)), F.lit("s"))
+    return F.when(F.coalesce(ms, F.lit(0)) <= 0, "—").when(ms < 60_000, short).otherwise(long)
+
+
+def days_between(earlier: Column, later: Column) -> Column:
+    return (later - earlier) / F.lit(86_400_000.0)
+
+
+def is_utc_stamp(text: Column) -> Column:
+    """Whether a text is an ISO time stamp of UTC that exists."""
+    return F.coalesce(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|\+00:00)$") & F.try_to_timestamp(text).isNotNull(), F.lit(False))
+
+
 def canonical_json(text: Column) -> Column:
     """JSON with sorted keys; text that is no JSON stays as it is."""
     return F.coalesce(F.to_json(F.try_parse_json(text)), text)
@@ -53,14 +169,40 @@ def evidence_digest(text: Column) -> Column:
     return F.substring(F.sha2(F.coalesce(canonical_json(text), F.lit("")), 256), 1, 16)
 
 
+def counts_map(json: Column) -> Column:
+    """A map of counts from JSON; what cannot be read is an empty map."""
+    return F.coalesce(F.from_json(F.when(F.try_parse_json(json).isNotNull(), json), "map<string,bigint>"), F.from_json(F.lit("{}"), "map<string,bigint>"))
+
+
 def id_shaped(key: Column) -> Column:
     return F.lower(F.regexp_replace(key, "[_-]", "")).rlike("id$")
 
 
 def id_values(json: Column) -> Column:
-    """Values of a flat JSON object's id-shaped keys, in order of key."""
-    entries = F.map_entries(F.from_json(json, "map<string,string>"))
-    return F.transform(F.array_sort(F.filter(entries, lambda e: id_shaped(e["key"]))), lambda e: e["value"])
+    """Values of an object's id-shaped keys, in order of key; those of nested objects follow."""
+    entries = lambda c: F.array_sort(F.map_entries(F.from_json(c, "map<string,string>")))
+    top = entries(json)
+    picked = lambda e: F.transform(F.filter(e, lambda x: id_shaped(x["key"]) & ~x["value"].startswith("{")), lambda x: x["value"])
+    nested = F.flatten(F.transform(F.filter(top, lambda x: x["value"].startswith("{")), lambda x: picked(entries(x["value"]))))
+    return F.concat(picked(top), nested)
+
+
+def session_id_of(json: Column) -> Column:
+    """The first value under a key that names a session id, the object's own keys before those of nested objects."""
+    names = F.array(*map(F.lit, ["sessionid", "nativesessionid", "session"]))
+    entries = lambda c: F.array_sort(F.map_entries(F.from_json(c, "map<string,string>")))
+    hit = lambda e: F.transform(F.filter(e, lambda x: F.array_contains(names, F.lower(F.regexp_replace(x["key"], "[_-]", "")))), lambda x: x["value"])
+    top = entries(json)
+    nested = F.flatten(F.transform(F.filter(top, lambda x: x["value"].startswith("{")), lambda x: hit(entries(x["value"]))))
+    return F.get(F.concat(hit(top), nested), F.lit(0))
+
+
+#: The keyword classes, matched as whole words in any case.
+DONE = ["done", "completed", "fixed", "all tests pass"]
+ERRORS = ["error", "exception", "traceback", "failed", "failure"]
+PIVOT = ["actually", "instead", "pivot"]
+TODO = ["TODO", "FIXME"]
+PENDING = ["next", "still need", "pending", "not yet"]
 
 
 def has_word(text: Column, words: list[str]) -> Column:
@@ -77,6 +219,11 @@ def project_name(path: Column) -> Column:
     return F.coalesce(F.nullif(F.element_at(F.split(F.rtrim(path, F.lit("/")), "/"), -1), F.lit("")), path)
 
 
+def plain_path(path: Column) -> Column:
+    """Without slashes at the end; the root stays."""
+    return F.regexp_replace(path, r"(?<=.)/+$", "")
+
+
 def under_prefix(path: Column, prefixes: list[str]) -> Column:
     """Whether the path is one of the prefixes or lies under one."""
     return functools.reduce(lambda c, p: c | (path == p) | path.startswith(p + "/"), prefixes, F.lit(False))
@@ -85,3 +232,13 @@ def under_prefix(path: Column, prefixes: list[str]) -> Column:
 def porcelain_path(line: Column) -> Column:
     """Path of a short status line; of a rename, the new one."""
     return F.element_at(F.split(F.substring(line, 4, 1 << 20), " -> "), -1)
+
+
+def diffstat_path(line: Column) -> Column:
+    """Path of a line of change statistics; null for the summary line."""
+    return F.when(line.contains("|"), F.trim(F.substring_index(line, "|", 1)))
+
+
+def is_docs(path: Column) -> Column:
+    low = F.lower(F.trim(path))
+    return low.startswith("readme") | low.startswith("docs/")
