@@ -12,14 +12,33 @@ def cost_rollup(linked: DataFrame) -> DataFrame:
     return rows.groupingSets([["project"], ["tier"], []], "project", "tier").agg(F.grouping_id().alias("level"), F.count("*").alias("requests"), F.round(F.sum("cost"), 4).alias("cost_usd"))
 
 
-def exclusive_decile(values: str, p: float = 0.9) -> Column:
-    """Quantile at p (n + 1) for ten values or more, else the maximum."""
-    a = F.array_sort(F.collect_list(values))
-    n = F.size(a)
-    pos = F.lit(p) * (n + 1)
-    k = F.greatest(F.least(F.floor(pos).cast("int"), n - 1), F.lit(1))
-    inner = F.element_at(a, k) + (pos - k) * (F.element_at(a, k + 1) - F.element_at(a, k))
-    return F.when(n >= 10, inner).otherwise(F.element_at(a, -1))
+def exclusive_deciles(rows: DataFrame, key: str, value: str, p: float = 0.9) -> DataFrame:
+    """key, n, total, p50 (median) and the quantile at p (n + 1), for ten values or more, else the maximum.
+
+    Equal values are counted first; the running count over the different values finds the two that stand beside the
+    wanted place, so no group is gathered into one row.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    upto = counts.withColumn("high", F.sum("c").over(Window.partitionBy(key).orderBy("v"))).withColumn("n", F.sum("c").over(Window.partitionBy(key)))
+    pos = F.lit(p) * (F.col("n") + 1)
+    k = F.greatest(F.least(F.floor(pos), F.col("n") - 1), F.lit(1))
+    at = lambda place: F.max(F.when((F.col("high") >= place) & (F.col("high") - F.col("c") < place), F.col("v")))
+    middle = lambda place: at(F.floor(place))
+    found = upto.groupBy(key).agg(
+        F.max("n").alias("n"), F.sum(F.col("v") * F.col("c")).alias("total"), F.max("v").alias("largest"), F.max(pos - k).alias("share"),
+        at(k).alias("low"), at(k + 1).alias("up"), middle((F.col("n") + 1) / 2).alias("m1"), middle((F.col("n") + 2) / 2).alias("m2"),
+    )
+    inner = F.col("low") + F.col("share") * (F.col("up") - F.col("low"))
+    return found.select(key, "n", "total", ((F.col("m1") + F.col("m2")) / 2).alias("p50"), F.when(F.col("n") >= 10, inner).otherwise(F.col("largest")).alias("quantile"))
+
+
+def gaps(rows: DataFrame, key: str, at: str, tie: str, cell_ms: int = 86_400_000) -> DataFrame:
+    """Each row with the time since the row before it of its key. Rows are ordered within cells of time; the last stamp of
+    the cell before is carried over the border, so a key of many rows is spread over its cells."""
+    celled = rows.withColumn("cell", F.floor(F.col(at) / cell_ms))
+    border = celled.groupBy(key, "cell").agg(F.max(at).alias("last")).withColumn("carried", F.lag("last").over(Window.partitionBy(key).orderBy("cell"))).drop("last")
+    inside = celled.withColumn("before", F.lag(at).over(Window.partitionBy(key, "cell").orderBy(at, tie)))
+    return inside.join(border, [key, "cell"]).withColumn("gap", F.col(at) - F.coalesce("before", "carried")).drop("cell", "before", "carried")
 
 
 def cadence(stamps: DataFrame, key: str = "source_id", newest: int = 200, least: int = 20) -> DataFrame:
@@ -37,10 +56,58 @@ def cadence_status(rows: DataFrame, now_ms: int, k: int = 8) -> DataFrame:
     return rows.withColumn("cadence", status)
 
 
-def spend_gate(spends: DataFrame, key: str, order: str, cost: str, cap: float) -> DataFrame:
-    """Whether each spend was admitted: what earlier spends left of the cap must be positive and cover the largest seen."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.round(F.lit(cap) - F.coalesce(F.sum(cost).over(w), F.lit(0.0)), 4)
-    largest = F.max(cost).over(w)
-    reason = F.when(left <= 0, "cap_reached").when(left < largest, "cap_insufficient_remaining").otherwise("admitted")
-    return spends.select(key, order, left.alias("remaining"), reason.alias("reason"))
+def spend_gate(spends: DataFrame, key: str, order: str, cost: str, cap: float, cell: int = 4096) -> DataFrame:
+    """Whether each spend was admitted, with what the spends made before it left of the cap.
+
+    What is left must cover the largest spend made, and be positive; the first rule is asked first. A refused spend is not
+    made, so nothing changes after the first refusal and all that follow have its answer. Sums run within cells of the
+    order and are carried from cell to cell.
+    """
+    celled = spends.withColumn("cell", F.floor(F.col(order) / cell))
+    cells = celled.groupBy(key, "cell").agg(F.sum(cost).alias("spent"), F.max(F.when(F.col(cost) > 0, F.col(cost))).alias("top"))
+    earlier = Window.partitionBy(key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.select(key, "cell", F.coalesce(F.sum("spent").over(earlier), F.lit(0.0)).alias("spent0"), F.max("top").over(earlier).alias("top0"))
+    w = Window.partitionBy(key, "cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = celled.withColumn("spent1", F.coalesce(F.sum(cost).over(w), F.lit(0.0))).withColumn("top1", F.max(F.when(F.col(cost) > 0, F.col(cost))).over(w))
+    raw = inside.join(carried, [key, "cell"]).withColumn("left", F.round(F.lit(cap) - F.col("spent0") - F.col("spent1"), 4)).withColumn("largest", F.greatest("top0", "top1"))
+    refusal = F.when(F.col("left") < F.col("largest"), "cap_insufficient_remaining").when(F.col("left") <= 0, "cap_reached")
+    judged = raw.withColumn("refusal", refusal)
+    first = judged.where("refusal is not null").groupBy(key).agg(F.min(F.struct(F.col(order).alias("at"), F.col("left").alias("left"), "refusal")).alias("first"))
+    after = F.coalesce(F.col(order) >= F.col("first.at"), F.lit(False))
+    met = judged.join(first, key, "left")
+    return met.select(key, order, F.when(after, F.col("first.left")).otherwise(F.col("left")).alias("remaining"), F.when(after, F.col("first.refusal")).otherwise("admitted").alias("reason"))
+
+
+def admission(spent: DataFrame, per_run: float, daily_cap: float | None, monthly_cap: float | None) -> DataFrame:
+    """daily, monthly: what was spent. A run is admitted only where its whole cap still fits; the daily reason wins."""
+    over = lambda column, cap: F.lit(cap is not None and cap > 0) & (F.col(column) + per_run > F.lit(cap or 0.0))
+    reason = F.when(over("daily", daily_cap), "agent_skipped_cumulative_cap_daily").when(over("monthly", monthly_cap), "agent_skipped_cumulative_cap_monthly")
+    left = lambda column, cap: F.round(F.greatest(F.lit(cap) - F.col(column), F.lit(0.0)), 4)
+    return spent.withColumn("reason", reason).withColumn("daily_left", left("daily", daily_cap)).withColumn("monthly_left", left("monthly", monthly_cap))
+
+
+MARKER = r"-prompt:v(\d+):([0-9a-f]{6,})"
+
+
+def markers(text: Column) -> Column:
+    """All marker digests in a text."""
+    return F.regexp_extract_all(text, F.lit(MARKER), F.lit(2))
+
+
+def efficacy(artifacts: DataFrame, turns: DataFrame, completed: DataFrame) -> DataFrame:
+    """Per type: artifacts, those whose marker a turn holds, by harness, and whether their project completed after use.
+
+    artifacts: kind, project, content; turns: source_id, text; completed: project. Markers are extracted from both sides
+    and met by an equi-join. What was never seen is not observed, never failed.
+    """
+    emitted = artifacts.select("kind", "project", F.explode(markers(F.col("content"))).alias("marker"))
+    emitted = emitted.groupBy("marker").agg(F.max(F.struct("kind", "project")).alias("a")).select("marker", "a.*")
+    seen = turns.where(F.col("text").contains("-prompt:v")).select("source_id", F.explode(markers(F.col("text"))).alias("marker")).distinct()
+    uses = seen.groupBy("marker").agg(F.array_sort(F.collect_set("source_id")).alias("harnesses"))
+    met = emitted.join(uses, "marker", "left").join(completed.select("project").distinct().withColumn("complete", F.lit(True)), "project", "left")
+    used = F.col("harnesses").isNotNull()
+    done = F.coalesce("complete", F.lit(False))
+    per = met.groupBy("kind").agg(F.count("*").alias("total"), F.count_if(used).alias("observed"), F.count_if(~used).alias("not_observed"), F.count_if(used & done).alias("completed_after_use"), F.count_if(used & ~done).alias("unresolved_after_use"))
+    each = met.where(used).select("kind", F.explode("harnesses").alias("h")).groupBy("kind", "h").agg(F.count("*").alias("n"))
+    named = each.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "h", "n"))), ",").alias("harnesses"))
+    return per.join(named, "kind", "left").withColumn("observation_rate", F.round(F.try_divide("observed", "total"), 4)).withColumn("harnesses", F.coalesce("harnesses", F.lit("")))

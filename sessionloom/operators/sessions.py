@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.plan import written_once
 from ..functions.text import fingerprint
 
 WINDOW_MS = 30_000
@@ -79,13 +80,31 @@ def tier3(req: DataFrame, rec: DataFrame, sessions: DataFrame, window_ms: int =
 
 
 def link(req: DataFrame, rec: DataFrame, sessions: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
-    """Every request with tier, confidence and session of the first tier that has one; else tier null."""
-    one = tier1(req, rec, sessions)
-    left = req.join(one, "native_id", "left_anti")
-    two = tier2(left, sessions, window_ms)
-    three = tier3(left.join(two, "native_id", "left_anti"), rec, sessions, window_ms)
-    marked = [df.withColumn("tier", F.lit(k)).withColumn("confidence", F.lit(c)) for k, (df, c) in enumerate(((one, "exact"), (two, "high"), (three, "medium")), 1)]
-    return req.join(marked[0].union(marked[1]).union(marked[2]), "native_id", "left")
+    """Every request with tier, confidence and session of the first tier that has one; else tier null.
+
+    Candidates of all tiers stand in one table and meet once per request: each tier's best session and its range of
+    projects are partial sums, so a tier that is ambiguous falls through to the next in the same pass.
+    """
+    req, sessions = written_once(req), written_once(sessions)
+    own = rec.where("record_type <> 'router_request'").select("native_id", "source_id", "source_file", fingerprint(F.col("excerpt")).alias("print"))
+    ids = req.select("native_id", F.explode(F.array("native_id", "hint")).alias("id")).where("id is not null")
+    first = ids.join(own.select(F.col("native_id").alias("id"), "source_id", "source_file"), "id").join(sessions, ["source_id", "source_file"])
+    named = sessions.where("project_path <> ''")
+    second = within(req.select("native_id", "ms", "model"), named.where("model <> ''"), ["model"], window_ms)
+    prints = own.where("print <> ''").select("source_id", "source_file", "print").distinct()
+    third = within(req.select("native_id", "ms", fingerprint(F.col("excerpt")).alias("print")), named.drop("model").join(prints, ["source_id", "source_file"]), ["print"], window_ms)
+    key = F.struct("started_ms", "source_id", "source_file", "project_path")
+    found = [df.select("native_id", F.lit(k).alias("t"), key.alias("s")) for k, df in enumerate((first, second, third), 1)]
+    at = lambda k, value: F.when(F.col("t") == k, value)
+    met = found[0].union(found[1]).union(found[2]).groupBy("native_id").agg(
+        *[F.min(at(k, F.col("s"))).alias(f"s{k}") for k in (1, 2, 3)],
+        *[of(at(k, F.col("s.project_path"))).alias(f"{name}{k}") for k in (2, 3) for of, name in ((F.min, "low"), (F.max, "high"))],
+    )
+    clear = lambda k: F.col(f"low{k}") == F.col(f"high{k}")
+    tier = F.when(F.col("s1").isNotNull(), 1).when(clear(2), 2).when(clear(3), 3)
+    chosen = met.select("native_id", tier.alias("tier"), F.when(F.col("s1").isNotNull(), F.col("s1")).when(clear(2), F.col("s2")).when(clear(3), F.col("s3")).alias("s"))
+    confidence = F.when(F.col("tier") == 1, "exact").when(F.col("tier") == 2, "high").when(F.col("tier") == 3, "medium")
+    return req.join(chosen, "native_id", "left").select(*req.columns, "s.source_id", "s.source_file", "s.project_path", "tier", confidence.alias("confidence"))
 
 
 def sticky(rec: DataFrame) -> DataFrame:

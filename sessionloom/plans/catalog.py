@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analysis, lifecycle, rollups, sessions, state
 from ..sources import views as V
+from .registry import DAY, NOW, QUERIES, SQL, query, redact_sql
+from .registry import word_sql as _word
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-DAY = 86_400_000
-NOW = 1_706_745_600_000  # 2024-02-01 UTC, a fixed "now"
-#: Words that occur in the driver's texts, standing in for the keyword classes.
-DONE, ERRORS, PENDING, TODO, PIVOT = ["the", "and"], ["with", "für"], ["from", "pour"], ["this", "les"], ["that", "de"]
-
-
-def query(sql: str | None = None):
-    def register(function: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            SQL[function.__name__] = f"with {V.SQL_VIEWS} {sql}" if sql.lstrip()[0] != "!" else sql.lstrip()[1:]
-        return function
-
-    return register
-
-
-def _word(words: list[str], column: str = "text") -> str:
-    return f"regexp_matches({column}, '(^|[^0-9A-Za-z_])(?i:{'|'.join(words)})([^0-9A-Za-z_]|$)')"
+__all__ = ["QUERIES", "SQL"]
 
 
 def _rec(spark, d):
@@ -159,7 +140,8 @@ def cost_per_project(spark, d):
   v[k] + (0.9 * (count(*) + 1) - k) * (v[k + 1] - v[k]) else max(cost) end, 4) as p90
   from (select model, cost, list_sort(list(cost) over (partition by model)) as v, cast(greatest(least(floor(0.9 * (count(*) over (partition by model) + 1)), count(*) over (partition by model) - 1), 1) as bigint) as k from req) group by model, v, k""")
 def cost_deciles(spark, d):
-    return V.requests(_rec(spark, d)).groupBy("model").agg(F.round(F.sum("cost"), 4).alias("total"), F.round(F.median("cost"), 4).alias("p50"), F.round(rollups.exclusive_decile("cost"), 4).alias("p90"))
+    found = rollups.exclusive_deciles(V.requests(_rec(spark, d)), "model", "cost")
+    return found.select("model", F.round("total", 4).alias("total"), F.round("p50", 4).alias("p50"), F.round("quantile", 4).alias("p90"))
 
 
 @query(f"select round(coalesce(sum(cost) filter (where ms >= {NOW} - 5 * {DAY}::bigint), 0), 4) as daily, round(coalesce(sum(cost) filter (where ms >= {NOW} - 30 * {DAY}::bigint), 0), 4) as monthly, max(case when cost > 0 then cost end) as largest from req")
@@ -168,7 +150,13 @@ def spend_trailing(spark, d):
     return V.requests(_rec(spark, d)).agg(since(5).alias("daily"), since(30).alias("monthly"), F.max(F.when(F.col("cost") > 0, F.col("cost"))).alias("largest"))
 
 
-@query("select *, case when remaining <= 0 then 'cap_reached' when remaining < biggest then 'cap_insufficient_remaining' else 'admitted' end as reason from (select model, native_id, round(300 - coalesce(sum(cost) over w, 0), 4) as remaining, max(cost) over w as biggest from req window w as (partition by model order by native_id rows between unbounded preceding and 1 preceding))".replace("select *,", "select model, native_id, remaining,"))
+_GATE = """, raw as (select model, native_id, round(300 - coalesce(sum(cost) over w, 0), 4) as left_usd, max(case when cost > 0 then cost end) over w as biggest from req window w as (partition by model order by native_id rows between unbounded preceding and 1 preceding)),
+judged as (select *, case when left_usd < biggest then 'cap_insufficient_remaining' when left_usd <= 0 then 'cap_reached' end as refusal from raw),
+firsts as (select model, min(native_id) as stop_id, arg_min(left_usd, native_id) as first_left, arg_min(refusal, native_id) as first_refusal from judged where refusal is not null group by 1)
+"""
+
+
+@query(_GATE + "select model, native_id, case when native_id >= stop_id then first_left else left_usd end as remaining, case when native_id >= stop_id then first_refusal else 'admitted' end as reason from judged left join firsts using (model)")
 def spend_gate(spark, d):
     return rollups.spend_gate(V.requests(_rec(spark, d)), "model", "native_id", "cost", 300.0)
 
@@ -286,7 +274,7 @@ def asof_snapshot(spark, d):
 
 @query("select source_id, ms - lag(ms) over (partition by source_id order by ms, native_id) as gap, native_id from rec")
 def gap_lag(spark, d):
-    return _rec(spark, d).select("source_id", (F.col("ms") - F.lag("ms").over(Window.partitionBy("source_id").orderBy("ms", "native_id"))).alias("gap"), "native_id")
+    return rollups.gaps(_rec(spark, d).select("source_id", "ms", "native_id"), "source_id", "ms", "native_id").select("source_id", "gap", "native_id")
 
 
 @query("select source_id, ms from (select source_id, ms, row_number() over (partition by source_id order by ms desc) as k from (select distinct source_id, ms from rec)) where k <= 200")
@@ -331,9 +319,9 @@ def fingerprint(spark, d):
     return V.load(spark, d, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"))
 
 
-@query("""select doc_id, regexp_replace(text, '(token"?\\s*[:=]\\s*"?)[A-Za-z0-9_./+-]{8,}', '\\1[REDACTED]', 'gi') as redacted from documents""")
+@query(f"select doc_id, {redact_sql('t')} as redacted from (select doc_id, text || ' ' || {V.picked_sql(V.PLANTS, 'doc_id')} as t from documents)")
 def redact_text(spark, d):
-    return V.load(spark, d, "documents").select("doc_id", T.redact(F.col("text")).alias("redacted"))
+    return V.planted(V.load(spark, d, "documents")).select("doc_id", T.redact(F.col("text")).alias("redacted"))
 
 
 @query("select doc_id, substr(sha256('session|' || source || '|' || doc_id), 1, 16) as id, substr(sha256(source), 1, 12) as slug from documents")
@@ -341,9 +329,14 @@ def stable_ids(spark, d):
     return V.load(spark, d, "documents").select("doc_id", T.stable_id(F.lit("session"), F.col("source"), F.col("doc_id")).alias("id"), T.stable_id(F.col("source"), length=12).alias("slug"))
 
 
-@query("""select doc_id, case when length(text) > 200 then (case when instr(left(text, 200), ' ') > 0 then rtrim(left(text, 200 - instr(reverse(left(text, 200)), ' ')), ' ') else rtrim(left(text, 200), ' ') end) || '…' else text end as clipped from documents""")
+_LONG = "(select doc_id, case when doc_id % 3 = 0 then left(text, 150) || ' see /var/some/' || repeat('path', doc_id % 20) || ' and ' || substr(text, 150) else text end as t from documents)"
+
+
+@query(f"""select doc_id, case when length(t) <= 200 then t else rtrim(case when not regexp_matches(substr(t, 201, 1), '[\\s\\p{{Z}}]') and contains(list_last(string_split(left(t, 200), ' ')), '/')
+  then left(t, 200 - length(list_last(string_split(left(t, 200), ' ')))) else left(t, 200) end, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160)) || '…' end as clipped from {_LONG}""")
 def clip_text(spark, d):
-    return V.load(spark, d, "documents").select("doc_id", T.clip(F.col("text"), 200).alias("clipped"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 150), F.lit(" see /var/some/"), F.expr("repeat('path', cast(doc_id % 20 as int))"), F.lit(" and "), F.expr("substr(text, 150)"))).otherwise(F.col("text"))
+    return V.load(spark, d, "documents").select("doc_id", T.clip(text, 200).alias("clipped"))
 
 
 @query("select event_id, ms_text, coalesce(epoch_ms(try_cast(ms_text as timestamp)), 0) as back from (select event_id, case when event_id % 7 = 0 then 'nope' else strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' end as ms_text from events)")
@@ -358,12 +351,11 @@ def id_shaped_values(spark, d):
     return V.load(spark, d, "events").select("event_id", F.array_join(T.id_values(made), ",").alias("ids"))
 
 
+@query("""select event_id, substr(sha256('{"a":' || event_id || ',"b":{"c":"x","d":' || user_id || '}}'), 1, 16) as digest from events""")
 def evidence_digest(spark, d):
-    """Rows only: digests of canonical JSON."""
-    return V.load(spark, d, "events").select("event_id", T.evidence_digest(F.col("props")).alias("digest"))
-
-
-QUERIES["evidence_digest"] = evidence_digest
+    """Digests of JSON whose keys stand in another order."""
+    made = F.concat(F.lit('{"b": {"d": '), "user_id", F.lit(', "c":"x"},  "a": '), "event_id", F.lit("}"))
+    return V.load(spark, d, "events").select("event_id", T.evidence_digest(made).alias("digest"))
 
 
 @query("""select item_id, regexp_extract('note <!-- stamp:v1:' || substr(sha256(text), 1, 12) || ' -->', 'stamp:v([0-9]+):([0-9a-f]{6,})', 2) as marker from benchmark""")
@@ -398,24 +390,35 @@ def original_intent(spark, d):
     return analysis.original_intent(V.turns(spark, d))
 
 
-@query(f", i as (select session_id, min(idx) as intent_idx from turn where role = 'user' and length(text) > 40 group by 1) select session_id, min(idx) as pivot_idx from turn join i using (session_id) where role = 'user' and idx > intent_idx and {_word(PIVOT)} group by 1")
+@query(f", i as (select session_id, min(idx) as intent_idx from turn where role = 'user' and length(text) > 40 group by 1) select session_id, min(idx) as pivot_idx from turn join i using (session_id) where role = 'user' and idx > intent_idx and {_word(T.PIVOT)} group by 1")
 def pivot_point(spark, d):
-    return analysis.pivot_point(V.turns(spark, d), PIVOT)
+    return analysis.pivot_point(V.turns(spark, d))
 
 
-_SIGNALS = f""", sig as (select session_id, count(*) as turns, count(*) filter (where role = 'assistant' and {_word(DONE)}) as claims, count(*) filter (where {_word(ERRORS)}) as errors,
-count(*) filter (where {_word(PENDING)}) as pending, count(*) filter (where {_word(TODO)}) as todo from turn group by 1)
+_SIGNALS = f""", sig as (select session_id, count(*) as turns, count(*) filter (where role = 'assistant' and {_word(T.DONE)}) as claims, count(*) filter (where record_type = 'error' or {_word(T.ERRORS)}) as errors,
+count(*) filter (where {_word(T.PENDING)}) as pending, count(*) filter (where {_word(T.TODO)}) as todo from turn group by 1),
+done as (select sig.*, coalesce(commits, 0) as commits, case when ended_ms > 0 then ({NOW} - ended_ms) / 86400000.0 end as idle from sig left join git using (session_id)),
+told as (select *, case when claims > 0 and commits > 0 then 'unverified' when errors > 0 then 'in_progress' when claims = 0 and idle > 7 then 'abandoned' else 'in_progress' end as completion_status from done)
 """
 
 
 def _signals(spark, d):
-    return analysis.signals(V.turns(spark, d), DONE, ERRORS, PENDING, TODO)
+    return analysis.signals(V.turns(spark, d))
 
 
-@query(_SIGNALS + "select session_id, case when claims > 0 and session_id % 2 = 0 then 'unverified' when errors > 0 then 'in_progress' when claims = 0 and session_id % 20 > 7 then 'abandoned' else 'in_progress' end as completion_status from sig")
+@query(_SIGNALS + "select session_id, completion_status, claims > 0 as completion_claim, commits, errors, round(idle, 6) as days_since_last_activity from told")
 def completion_status(spark, d):
-    rows = _signals(spark, d).withColumn("commits", F.col("session_id") % 2 == 0).withColumn("idle_days", F.col("session_id") % 20)
-    return analysis.completion(rows).select("session_id", "completion_status")
+    return analysis.completion(_signals(spark, d), V.git(spark, d), NOW).select("session_id", "completion_status", "completion_claim", "commits", "errors", "days_since_last_activity")
+
+
+@query(_SIGNALS + f""", i as (select session_id, min(idx) as intent_idx, arg_min(text, idx) as intent from turn where role = 'user' and length(text) > 40 group by 1),
+p as (select session_id, min(idx) as pivot_idx from turn left join i using (session_id) where role = 'user' and (intent_idx is null or idx > intent_idx) and {_word(T.PIVOT)} group by 1),
+s as (select session_id, least(count(*), 10) as seeds from (select distinct session_id, text from turn where (role = 'user' and {_word(T.PENDING)}) or {_word(T.TODO)}) group by 1)
+select session_id, coalesce(intent, '(unknown intent)') as original_intent, completion_status, case when pivot_idx is not null then 'mid_session_pivot' end as drift_type, pivot_idx,
+concat_ws(',', case when pending > 0 then 'incomplete_work:medium' end, case when todo > 0 then 'tech_debt:low' end, case when errors >= 3 then 'error_burst:high' end) as findings, coalesce(seeds, 0) as seeds
+from told left join i using (session_id) left join p using (session_id) left join s using (session_id)""")
+def analyze_sessions(spark, d):
+    return analysis.analyse(V.turns(spark, d), V.git(spark, d), NOW)
 
 
 @query(_SIGNALS + "select session_id, errors from sig where errors >= 3")
@@ -431,14 +434,14 @@ def pending_and_todo(spark, d):
 
 
 @query(f"""select session_id, place, text from (select session_id, text, row_number() over (partition by session_id order by kind, idx) as place from (
-select session_id, text, kind, idx, row_number() over (partition by session_id, text order by kind, idx) as k from (select session_id, text, idx, case when role = 'user' and {_word(PENDING)} then 0 when {_word(TODO)} then 1 end as kind from turn) where kind is not null) where k = 1) where place <= 10""")
+select session_id, text, kind, idx, row_number() over (partition by session_id, text order by kind, idx) as k from (select session_id, text, idx, case when role = 'user' and {_word(T.PENDING)} then 0 when {_word(T.TODO)} then 1 end as kind from turn) where kind is not null) where k = 1) where place <= 10""")
 def next_task_seeds(spark, d):
-    return analysis.seeds(V.turns(spark, d), PENDING, TODO).withColumn("place", F.col("place").cast("long"))
+    return analysis.seeds(V.turns(spark, d)).withColumn("place", F.col("place").cast("long"))
 
 
-@query(f"select session_id, place, idx, role, substr(text, 1, 280) as excerpt from (select *, row_number() over (partition by session_id order by idx) as place from turn where {_word(ERRORS)}) where place <= 5")
+@query(f"select session_id, place, idx, role, substr(text, 1, 280) as excerpt from (select *, row_number() over (partition by session_id order by idx) as place from turn where {_word(T.ERRORS)}) where place <= 5")
 def citations_top5(spark, d):
-    return analysis.citations(V.turns(spark, d), ERRORS).withColumn("place", F.col("place").cast("long"))
+    return analysis.citations(V.turns(spark, d)).withColumn("place", F.col("place").cast("long"))
 
 
 @query("""select project, place, title, score from (select project, title, score, row_number() over (partition by project order by score desc, title) as place from (
@@ -454,19 +457,25 @@ def docs_drift(spark, d):
     return analysis.docs_drift(V.load(spark, d, "documents").select("source", path.alias("path")), "source")
 
 
-@query("""select kind, count(*) as total, count(*) filter (where seen) as observed, round(count(*) filter (where seen) / count(*), 4) as rate from (select item_id % 4 as kind, exists (select 1 from documents where contains(documents.text, b.text)) as seen from benchmark b) group by 1""")
+_MARKED = """, art as (select item_id % 4 as kind, item_id % 9 as project, substr(sha256(text), 1, 12) as marker from benchmark),
+ranked as (select marker, arg_max(kind, kind * 100 + project) as kind, arg_max(project, kind * 100 + project) as project from art group by 1),
+items as (select substr(sha256(text), 1, 12) as marker, item_id from benchmark),
+uses as (select distinct role as source_id, marker from conversations join items on item_id = conv_id % 60 where turn % 3 = 0),
+done as (select distinct c_nationkey as project from customer where c_acctbal > 9500),
+met as (select r.marker, r.kind, done.project is not null as complete, r.marker in (select marker from uses) as seen from ranked r left join done using (project)),
+per as (select kind, count(*) as total, count(*) filter (where seen) as observed, count(*) filter (where not seen) as not_observed, count(*) filter (where seen and complete) as completed_after_use, count(*) filter (where seen and not complete) as unresolved_after_use from met group by 1),
+h as (select kind, string_agg(source_id || ':' || n, ',' order by source_id || ':' || n) as harnesses from (select kind, source_id, count(*) as n from uses join ranked using (marker) group by 1, 2) group by 1)
+"""
+
+
+@query(_MARKED + "select per.*, coalesce(harnesses, '') as harnesses, round(observed / nullif(total, 0), 4) as observation_rate from per left join h using (kind)")
 def efficacy(spark, d):
-    """Markers found in texts: items as a bounded, size-checked list of patterns matched in one pass."""
-    items = V.load(spark, d, "benchmark").select("item_id", "text")
-    held = items.limit(10_001).collect()
-    docs = V.load(spark, d, "documents")
-    if len(held) <= 10_000:
-        patterns = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["text"]).alias("text")) for r in held])
-        seen = docs.select(F.explode(F.filter(patterns, lambda p: F.col("text").contains(p["text"]))).alias("p")).select("p.item_id").distinct()
-    else:
-        seen = docs.alias("d").join(items.alias("i"), F.col("d.text").contains(F.col("i.text"))).select("item_id").distinct()
-    marked = items.select("item_id").join(seen.withColumn("seen", F.lit(1)), "item_id", "left")
-    return marked.groupBy((F.col("item_id") % 4).alias("kind")).agg(F.count("*").alias("total"), F.count("seen").alias("observed"), F.round(F.count("seen") / F.count("*"), 4).alias("rate"))
+    items = V.load(spark, d, "benchmark").withColumn("stamp", F.concat(F.lit("<!-- made-prompt:v1:"), F.substring(F.sha2("text", 256), 1, 12), F.lit(" -->")))
+    artifacts = items.select((F.col("item_id") % 4).alias("kind"), (F.col("item_id") % 9).alias("project"), F.concat_ws(" ", "text", "stamp").alias("content"))
+    pasted = V.load(spark, d, "conversations").where("turn % 3 = 0").withColumn("item_id", F.col("conv_id") % 60).join(items.select("item_id", "stamp"), "item_id", "left")
+    turns = pasted.select(F.col("role").alias("source_id"), F.concat_ws(" ", "text", "stamp").alias("text"))
+    completed = V.load(spark, d, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").cast("long").alias("project"))
+    return rollups.efficacy(artifacts, turns, completed)
 
 
 # Projects, runs, neighbours --------------------------------------------------------------------------------------------
