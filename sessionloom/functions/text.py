@@ -102,7 +102,8 @@ def defang(text: Column) -> Column:
 def sections(markdown: Column) -> Column:
     """Array of (title, body) of the second-level headings of a Markdown text; what precedes the first one is left out."""
     parts = F.split(F.concat(F.lit("\n"), markdown), r"\n## ")
-    named = lambda p: F.struct(F.trim(F.substring_index(p, "\n", 1)).alias("title"), F.when(F.locate("\n", p) > 0, F.trim(F.regexp_replace(p, r"^[^\n]*\n", ""))).otherwise("").alias("body"))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    named = lambda p: F.struct(bare(F.substring_index(p, "\n", 1)).alias("title"), F.when(F.locate("\n", p) > 0, bare(F.regexp_replace(p, r"^[^\n]*\n", ""))).otherwise("").alias("body"))
     return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), named)
 
 
@@ -242,3 +243,13 @@ def diffstat_path(line: Column) -> Column:
 def is_docs(path: Column) -> Column:
     low = F.lower(F.trim(path))
     return low.startswith("readme") | low.startswith("docs/")
+
+
+def is_falsifiable(goal: Column) -> Column:
+    """Whether a goal names a command and an outcome of it that can be false."""
+    return goal.rlike(r"`[^`]+`") & goal.rlike(r"(?i)\b(exits?|prints?|shows?|returns?|contains?|outputs?|status)\b")
+
+
+def is_observable(criterion: Column) -> Column:
+    """Whether a criterion names something that can be seen: output, a status, a file, a screen."""
+    return criterion.rlike(r"(?i)\b(exits?|stdout|output|printed|status|body|file|screenshot|renders?|log|line|contains?|quote)\b")

@@ -108,7 +108,7 @@ def finish_run(runs: DataFrame, ended: DataFrame) -> DataFrame:
 def recover_runs(runs: DataFrame, now_ms: int) -> DataFrame:
     """Runs left running without an end are interrupted as of now; a finished run is not touched."""
     orphan = (F.col("status") == "running") & F.col("ended_ms").isNull()
-    return runs.withColumn("ended_ms", F.when(orphan, F.lit(now_ms)).otherwise(F.col("ended_ms"))).withColumn("status", F.when(orphan, "interrupted").otherwise(F.col("status")))
+    return runs.withColumns({"ended_ms": F.when(orphan, F.lit(now_ms)).otherwise(F.col("ended_ms")), "status": F.when(orphan, "interrupted").otherwise(F.col("status"))})
 
 
 def overwrite(current: DataFrame, updates: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:

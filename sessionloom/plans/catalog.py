@@ -512,17 +512,6 @@ def neighbours_same_intent(spark, d):
     return newest.join(F.broadcast(anchor), alike).select("session_id").orderBy(F.desc("session_id")).limit(10)
 
 
-@query("select session_id, 'x' || session_id as export_id, count(*) as turns, max(idx) as last_turn from turn group by 1")
-def export_payload(spark, d):
-    return V.turns(spark, d).groupBy("session_id").agg(F.count("*").alias("turns"), F.max("idx").alias("last_turn")).select("session_id", F.concat(F.lit("x"), "session_id").alias("export_id"), "turns", "last_turn")
-
-
-@query("select conv_id, count(*) = count(distinct turn) and min(turn) >= 0 and bool_and(role in ('user', 'assistant', 'system')) and count(*) <= 1000 as valid from conversations group by 1")
-def bundle_validate(spark, d):
-    roles = F.bool_and(F.col("role").isin("user", "assistant", "system"))
-    return V.load(spark, d, "conversations").groupBy("conv_id").agg(((F.count("*") == F.count_distinct("turn")) & (F.min("turn") >= 0) & roles & (F.count("*") <= 1000)).alias("valid"))
-
-
 @query("select count(*) as stored, count(*) as after_replay from (select distinct native_id from rec)")
 def upsert_replay(spark, d):
     rows = _rec(spark, d).select("native_id", "ms", "source_id")
@@ -536,3 +525,6 @@ def format_canary(spark, d):
     parsed = V.load(spark, d, "events").select(F.map_keys(F.from_json("props", "map<string,string>")).alias("keys"))
     flags = parsed.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(F.array_contains("keys", k), F.lit(False)).alias("has")) for k in ("k", "cwd")])).alias("f")).select("f.*")
     return flags.groupBy("key").agg(F.count_if(~F.col("has")).alias("missing"), (F.count_if("has") * 2 > F.count("*")).alias("majority"))
+
+
+from . import bundle_queries, store_queries, text_queries  # noqa: E402, F401  registers more queries
