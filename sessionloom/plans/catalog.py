@@ -527,4 +527,4 @@ def format_canary(spark, d):
     return flags.groupBy("key").agg(F.count_if(~F.col("has")).alias("missing"), (F.count_if("has") * 2 > F.count("*")).alias("majority"))
 
 
-from . import bundle_queries, store_queries, text_queries  # noqa: E402, F401  registers more queries
+from . import bundle_queries, finding_queries, store_queries, text_queries  # noqa: E402, F401  registers more queries
