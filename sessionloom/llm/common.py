@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.plan import shared_folder
+
 #: Text bytes that one vectorised step handles; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
@@ -33,13 +34,13 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() to the shared folder the session names; a folder of our own only where it names none.
+    """checkpoint() to the shared folder the session names; a folder of our own only in a local session that names none.
 
     The shuffle files behind the checkpoint go at once: nothing reads them again.
     """
     spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:

@@ -6,7 +6,7 @@ its whole word sequence where it has fewer words. Steps:
 1. One 64-bit hash function gives each set its sketch, the K least hashes. Equal sets (128-bit digest) form a class; the
    class's least id stands for it from here on.
 2. Inverted lists of retained values. Two sets of similarity s share about s * K retained values, at least LEAST_SHARED
-   but for about one pair in 10^8 at the limit of 0.8. So with all sketches in one order, two similar sets meet in the
+   but for about 3.4 pairs in 10^8 at the limit of 0.8. So with all sketches in one order, two similar sets meet in the
    first K - LEAST_SHARED + MEETINGS values of each, MEETINGS times (a smaller set needs ceil(0.8 n) shared). The order puts the commonest values
    last (the HEAVY_VALUES most frequent ones, a bounded list): values of shared passages rarely make a list.
 3. In every list each member meets the list's lead, the set whose values are commonest (the centre of a group of copies).
@@ -20,7 +20,9 @@ its whole word sequence where it has fewer words. Steps:
    goes untested.
 
 Null and blank texts have an empty set, link with nothing and stand alone. Repeated rows of one id count as one document
-(the result repeats per input row). Extra columns are not carried. Ties do not matter: components are sets.
+(the result repeats per input row; where their texts differ, the id stands in the classes of all of them). A null id has a
+null component and is never kept. An empty table gives an empty one; a text of any length is read whole, and its full set
+held where it is verified. Extra columns are not carried. Ties do not matter: components are sets.
 """
 
 from __future__ import annotations
@@ -54,8 +56,8 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np
     with np.errstate(over="ignore"):
         mixed = mix64(hashes + np.uint64(0x632BE59BD9B4E019))
         for k in range(1, size):
-            longer = np.zeros(len(hashes), np.uint64)
-            longer[: len(hashes) - k] = mix64(mixed[: len(hashes) - k] * np.uint64(0x9E3779B97F4A7C15) + hashes[k:])
+            longer, left = np.zeros(len(hashes), np.uint64), max(0, len(hashes) - k)
+            longer[:left] = mix64(mixed[:left] * np.uint64(0x9E3779B97F4A7C15) + hashes[k:])
             # a text with fewer words than the size has one shingle of all its words
             short = np.minimum(count, size)[doc] <= k
             mixed = np.where(short, mixed, longer) if len(hashes) else mixed

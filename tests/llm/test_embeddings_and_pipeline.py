@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from test_components import searched
+from test_models import plain_bits, plain_counts, plain_statistics
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sessionloom.llm import embedding_dedup
+from sessionloom.llm import embedding_dedup, packing, quality
 
 
 def brute(ids, vectors, cosine=0.95):
@@ -123,5 +129,68 @@ def test_pipeline(spark):
     assert packed.select("doc_id").distinct().count() == single.count()
 
 
-def test_run(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+def plain_near_duplicates(texts: dict[int, str]) -> set[int]:
+    """Ids that stay: the least of each component of pairs with 0.8 or more of five-word shingles in common."""
+    sets = {}
+    for i, text in texts.items():
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    ids = sorted(sets)
+    near = lambda x, y: 100 * min(len(x), len(y)) >= 80 * max(len(x), len(y))
+    edges = [(i, j) for n, i in enumerate(ids) for j in ids[:n] if near(sets[i], sets[j]) and (both := len(sets[i] & sets[j])) and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both)]
+    reach = searched(edges)
+    return {i for i in ids if reach.get(i, i) == i}
+
+
+def test_run_equals_plain_stages(spark):
+    """Every stage's decision, made again without Spark from the definition of its method, and the pieces at the end."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    sample: dict[str, list[str]] = {}
+    for r in docs.values():
+        if r.lang and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            sample.setdefault(r.lang, []).append(r.text)  # fewer than the sample's bound
+    counts = {l: plain_counts(t) for l, t in sorted(sample.items())}
+    known = {}
+    for i, r in docs.items():
+        if r.text and any(c.isalpha() for c in r.text):
+            if min(plain_bits(c, r.text[:600].encode()) for c in counts.values()) / len(r.text[:600].encode()) <= corpus_pipeline.MOST_BITS:
+                known[i] = r.text
+    labels = [r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in known]
+    model = quality.fit(np.array([plain_statistics(known[r.doc_id]) for r in labels]), np.array([float(r.quality) for r in labels]))
+    good = {i: t for i, t in known.items() if model.score(np.array([plain_statistics(t)]))[0] >= corpus_pipeline.LEAST_QUALITY}
+    kept = plain_near_duplicates(good)
+    assert len(docs) >= len(known) > len(good) > len(kept) > 100
+    tokenizer, want = Tokenizer.from_file(public_tokenizers.path(packing.MODEL)), {}
+    for i in kept:
+        n = len(tokenizer.encode(good[i], add_special_tokens=False).ids) + 1
+        want |= {(i, k): (at, min(2048, n - at)) for k, at in enumerate(range(0, n, 2048))}
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length) for r in rows} == want and len(rows) == len(want)
+    ends: dict[int, list] = {}
+    for r in rows:
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in ends.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_stages_take_odd_rows(spark, sf_dir):
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(9001, None, "en"), (9002, "", None), (9003, "12 !", "en"), (None, "the and of", None), (9004, "w " * 200_000, "en"), (9005, "The same words here again and again.", "en")], "doc_id long, text string, lang string")
+    extra = [F.lit(k).alias(c) for k, c in enumerate(("score", "s_n_bytes", "lang_pred", "component_id", "length"))]
+    docs = some.select("doc_id", "text", "lang").union(odd).union(odd.where("doc_id = 9005")).select("*", *extra)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        rows = stage(spark, docs, sf_dir)
+        if name != "packing":
+            assert rows.columns == docs.columns
+        found = rows.collect()
+        if name == "language_id":
+            ids = [r.doc_id for r in found]
+            assert not {9001, 9002, 9003} & set(ids) and ids.count(9005) == 2
+        if name == "packing":
+            assert {r.doc_id for r in found} >= {9001, 9002, 9003, 9004, 9005} and sum(r.doc_id == 9005 for r in found) == 2
