@@ -1,13 +1,17 @@
-"""Corpus pipeline: language ID, quality, near-duplicates, packing; every stage's rows go through shared Parquet."""
+"""Corpus pipeline: language ID, quality, near-duplicates, packing; every stage's rows go through shared Parquet.
 
-from __future__ import annotations
+Each stage takes any documents table with doc_id and text (and lang for the first stage's training): null texts and texts
+without a letter have no language and go in the first stage; empty tables give empty ones; repeated rows are judged alike
+and repeat, until the near-duplicate stage keeps rows by id; extra columns are carried by all stages but the last, which
+returns pieces and replaces clashing names; texts of any length are judged whole. Ties go by the least id.
+"""
 
-import tempfile
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.functions.plan import fresh_folder
 from sessionloom.llm import language_id, near_dedup, packing, quality
 from sessionloom.llm.common import table
 
@@ -55,11 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
+    """All stages. The last one has read its input when it returns (its pieces are checkpointed), so the folder goes then."""
+    folder = fresh_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        place = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(place)
-        docs = spark.read.parquet(place)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return packed
