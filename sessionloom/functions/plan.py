@@ -1,19 +1,32 @@
-"""Cuts in a plan: results that several branches read are written once to the shared checkpoint folder."""
+"""Cuts in a plan and folders for them: what several branches read is written once to the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Without one a local session gets a temporary folder; a cluster does not,
+    as its executors could not read it."""
+    context = spark.sparkContext
+    place = context.getConf().get("spark.checkpoint.dir")
+    if place:
+        return place.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="shared-")
 
-def written_once(df: DataFrame) -> DataFrame:
-    """checkpoint() to the folder that spark.checkpoint.dir names; without one the plan stays as it is, only longer.
 
-    A machine-local folder is no substitute: executors on other machines could not read it.
-    """
+def written_once(df: DataFrame) -> DataFrame:
+    """checkpoint() to the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        place = context.getConf().get("spark.checkpoint.dir")
-        if not place:
-            return df
-        context.setCheckpointDir(place)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -520,11 +520,4 @@ def upsert_replay(spark, d):
     return stored.agg(F.count("*").alias("stored")).crossJoin(again.agg(F.count("*").alias("after_replay")))
 
 
-@query("select key, count(*) filter (where not has) as missing, count(*) filter (where has) * 2 > count(*) as majority from (select 'k' as key, contains(props, '\"k\"') as has from events union all select 'cwd', contains(props, '\"cwd\"') from events) group by 1")
-def format_canary(spark, d):
-    parsed = V.load(spark, d, "events").select(F.map_keys(F.from_json("props", "map<string,string>")).alias("keys"))
-    flags = parsed.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(F.array_contains("keys", k), F.lit(False)).alias("has")) for k in ("k", "cwd")])).alias("f")).select("f.*")
-    return flags.groupBy("key").agg(F.count_if(~F.col("has")).alias("missing"), (F.count_if("has") * 2 > F.count("*")).alias("majority"))
-
-
-from . import bundle_queries, finding_queries, store_queries, text_queries  # noqa: E402, F401  registers more queries
+from . import bundle_queries, finding_queries, source_queries, store_queries, text_queries  # noqa: E402, F401  registers more queries

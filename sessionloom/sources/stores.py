@@ -37,8 +37,12 @@ def lines(spark: SparkSession, paths: list[str], glob: str = GLOB) -> DataFrame:
 
     A file is read whole, as its lines need their numbers; session files are small and many, so files are what is spread.
     """
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(paths, wholetext=True)
-    each = whole.select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", r"\r?\n")).alias("k", "value"))
+    return numbered(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value"))
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """source_file and value of whole files as numbered lines."""
+    each = files.select("source_file", F.posexplode(F.split("value", r"\r?\n")).alias("k", "value"))
     return each.where(F.trim("value") != "").select("source_file", (F.col("k") + 1).cast("long").alias("line"), "value")
 
 
@@ -91,12 +95,16 @@ def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RECORD)
 
 
-def stamped(spark: SparkSession, paths: list[str], floor_ms: int, glob: str = GLOB) -> DataFrame | None:
-    """Objects with a stamp above the floor: source_file, line, v, ms, type."""
-    known = [p for p in paths if there(spark, p)]
-    if not known:
-        return None
-    rows = parsed(lines(spark, known, glob)).where(F.col("v").isNotNull()).where(is_object(F.col("v")))
+def stamped(spark: SparkSession, paths: list[str] | DataFrame, floor_ms: int, glob: str = GLOB) -> DataFrame | None:
+    """Objects with a stamp above the floor: source_file, line, v, ms, type. paths: folders, or lines that are read already."""
+    if isinstance(paths, DataFrame):
+        found = paths
+    else:
+        known = [p for p in paths if there(spark, p)]
+        if not known:
+            return None
+        found = lines(spark, known, glob)
+    rows = parsed(found).where(F.col("v").isNotNull()).where(is_object(F.col("v")))
     rows = rows.withColumn("ms", iso_to_ms(string_at("timestamp"))).withColumn("type", string_at("type"))
     return rows.where((F.col("ms") > floor_ms) & (F.col("ms") > 0))
 
@@ -119,9 +127,9 @@ def decoded(paths: list[str], segment: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])[segment], F.lit(""))
 
 
-def claude(spark: SparkSession, path: str, floor_ms: int = 0, known_paths: list[str] = (), glob: str = GLOB) -> DataFrame:
+def claude(spark: SparkSession, path: str | DataFrame, floor_ms: int = 0, known_paths: list[str] = (), glob: str = GLOB) -> DataFrame:
     """Messages and errors; files under a subagents folder are left out. known_paths: project paths for folder names."""
-    rows = stamped(spark, [path], floor_ms, glob)
+    rows = stamped(spark, path if isinstance(path, DataFrame) else [path], floor_ms, glob)
     if rows is None:
         return empty(spark)
     rows = rows.where(~F.col("source_file").contains("/subagents/"))
@@ -139,9 +147,9 @@ def claude(spark: SparkSession, path: str, floor_ms: int = 0, known_paths: list[
     )
 
 
-def codex(spark: SparkSession, path: str, floor_ms: int = 0, glob: str = GLOB) -> DataFrame:
+def codex(spark: SparkSession, path: str | DataFrame, floor_ms: int = 0, glob: str = GLOB) -> DataFrame:
     """Both roots of the store; the working folder of the last session_meta line above the floor holds down the file."""
-    roots = [f"{path}/{name}" for name in ("sessions", "archived_sessions") if there(spark, f"{path}/{name}")] or [path]
+    roots = path if isinstance(path, DataFrame) else [f"{path}/{name}" for name in ("sessions", "archived_sessions") if there(spark, f"{path}/{name}")] or [path]
     rows = stamped(spark, roots, floor_ms, glob)
     if rows is None:
         return empty(spark)
@@ -163,13 +171,13 @@ def codex(spark: SparkSession, path: str, floor_ms: int = 0, glob: str = GLOB) -
     )
 
 
-def omp(spark: SparkSession, path: str, floor_ms: int = 0, source_id: str = "omp", known_paths: list[str] = (), glob: str = GLOB) -> DataFrame:
+def omp(spark: SparkSession, path: str | DataFrame, floor_ms: int = 0, source_id: str = "omp", known_paths: list[str] = (), glob: str = GLOB) -> DataFrame:
     """The two stores of one format; path and model of the last session line above the floor hold down the file."""
-    rows = stamped(spark, [path], floor_ms, glob)
+    rows = stamped(spark, path if isinstance(path, DataFrame) else [path], floor_ms, glob)
     if rows is None:
         return empty(spark)
     session = F.col("type") == "session"
-    root = path.rstrip("/") + "/"
+    root = "//" if isinstance(path, DataFrame) else path.rstrip("/") + "/"
     below = F.substring_index(F.substring_index("source_file", root, -1), "/", 1)  # the first folder under the store's own
     folder = decoded(list(known_paths), F.when(F.col("source_file").contains(root), below).otherwise(""))
     so_far = Window.partitionBy("source_file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)

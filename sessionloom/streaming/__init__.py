@@ -1 +1 @@
-"""Part of sessionloom."""
+"""Incremental ingest as Structured Streaming."""
