@@ -173,27 +173,40 @@ def _needed(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, size: int) -> DataFrame:
-    """Each pair with the shingles both have, from the words themselves, and whether they reach the similarity."""
+    """Each pair with the shingles both have, from the words themselves, and whether they reach the similarity.
+
+    The pairs of an ``a`` are dealt into parts of about PAIRS_A_PART; its text goes once to each part and every ``b``'s text
+    once to its pair, one text a row, so neither a row nor a task holds more than a part needs.
+    """
     pairs = cut_lineage(pairs)
     texts = _needed(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), text)
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col(text).alias(f"t_{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "t_a", "t_b")
+    parts = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PAIRS_A_PART)).cast("int")
+    dealt = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", parts.alias("part"))
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col(text).alias("t"))
+    leads = dealt.select("a", "part").distinct().join(side("a"), "a").select("a", "part", F.lit(None).cast("bigint").alias("b"), "t")
+    asked = dealt.join(side("b"), "b").select("a", "part", "b", "t")
+    met = leads.union(asked).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
+        last, own = None, []  # the sets of a part's a: one, or more where the id repeats with other texts
         for batch in batches:
-            shared, linked = [], []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("t_a"), batch.column("t_b"), strict=True):
-                if a != last:
-                    last, own = a, shingle_set(x.as_py(), size)
-                other = shingle_set(y.as_py(), size)
-                shared.append(len(own & other))
-                linked.append(shared[-1] > 0 and 100 * shared[-1] >= PERCENT * (len(own) + len(other) - shared[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "shared", "linked"])
+            out = []
+            for a, part, b, t in zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), batch.column("b").to_pylist(), batch.column("t"), strict=True):
+                if (a, part) != last:
+                    last, own = (a, part), []
+                other = shingle_set(t.as_py(), size)
+                if b is None:
+                    own.append(other)
+                    continue
+                for one in own:
+                    both = len(one & other)
+                    out.append((a, b, both, both > 0 and 100 * both >= PERCENT * (len(one) + len(other) - both)))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "shared", "linked"])
         own = other = None
         give_back()
 
-    return both.mapInArrow(check, "a bigint, b bigint, shared bigint, linked boolean").groupBy("a", "b").agg(F.max("shared").alias("shared"), F.max("linked").alias("linked"))
+    return met.mapInArrow(check, "a bigint, b bigint, shared bigint, linked boolean").groupBy("a", "b").agg(F.max("shared").alias("shared"), F.max("linked").alias("linked"))
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -283,6 +296,8 @@ def _hot_links(clusters: DataFrame, hot: DataFrame, docs: DataFrame, text: str,
 
 #: A lead with more members than this has its strangers matched in blocks of BLOCK sets.
 CROWD, BLOCK = 128, 256
+#: Pairs of one text that are verified together.
+PAIRS_A_PART = 64
 BITMAP_WORDS = 1 << 17
 
 
