@@ -145,7 +145,7 @@ def ms_to_iso(ms: Column, unknown: str = "unknown") -> Column:
 
 
 def duration(ms: Column) -> Column:
-    """Milliseconds as 1.2s or 3m04s; nothing, 0 and what is negative is a dash."""
+    """Milliseconds as 1.2s or 3m04s; nothing, 0 and what is negative is a dash. Half a tenth of a second goes up."""
     whole = F.floor(ms / 1000)
     long = F.concat(F.floor(whole / 60).cast("string"), F.lit("m"), F.lpad((whole % 60).cast("string"), 2, "0"), F.lit("s"))
     short = F.concat(F.format_string("%.1f", ms / F.lit(1000.0)), F.lit("s"))

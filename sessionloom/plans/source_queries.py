@@ -107,7 +107,7 @@ def _database(spark, name: str) -> str:
     return f"{folder}/data.sqlite"
 
 
-@query("select 'm' || n_nationkey as native_id, n_nationkey + 1000 as timestamp_ms, 'message' as record_type, '/r/' || n_regionkey as project_path, n_name || ' [tool:sh]' as content_excerpt from nation where n_nationkey % 6 <> 5 union all select 's' || r_regionkey, r_regionkey + 1000, 'session_start', '/r/' || r_regionkey, '' from region")
+@query("select 'm' || n_nationkey as native_id, n_nationkey::bigint + 1000 as timestamp_ms, 'message' as record_type, '/r/' || n_regionkey as project_path, n_name || ' [tool:sh]' as content_excerpt from nation where n_nationkey % 6 <> 5 union all select 's' || r_regionkey, r_regionkey::bigint + 1000, 'session_start', '/r/' || r_regionkey, '' from region")
 def source_opencode(spark, d):
     """SRC-05, JON-24, PRJ-02, FLT-02: sessions, messages and parts of a SQLite store, made of the 5 regions and 25 nations."""
     path = _database(spark, "opencode")
@@ -120,7 +120,7 @@ def source_opencode(spark, d):
     return stores.opencode(spark, path, 999).select("native_id", "timestamp_ms", "record_type", "project_path", "content_excerpt")
 
 
-@query("select cast(n_nationkey as varchar) as native_id, 1704067200000 + n_nationkey * 1000 as timestamp_ms, n_name as model, 'p' || n_regionkey as provider, n_nationkey / 4.0 as cost_usd, n_nationkey as prompt_tokens from nation where n_nationkey > 3")
+@query("select cast(n_nationkey as varchar) as native_id, 1704067200000 + n_nationkey * 1000 as timestamp_ms, n_name as model, 'p' || n_regionkey as provider, cast(n_nationkey / 4.0 as double) as cost_usd, n_nationkey::bigint as prompt_tokens from nation where n_nationkey > 3")
 def source_router(spark, d):
     """SRC-06, PRJ-04: requests of a SQLite log strictly above the mark, with their columns."""
     path = _database(spark, "router")
@@ -132,7 +132,7 @@ def source_router(spark, d):
     return stores.request_columns(rec).select("native_id", "timestamp_ms", "model", "provider", "cost_usd", "prompt_tokens")
 
 
-@query("select 'ok' as outcome, 200 as sampled, 200 as complete union all select 'drifted', 200, 0 union all select 'absent', 0, 0")
+@query("select 'ok' as outcome, 200::bigint as sampled, 200::bigint as complete union all select 'drifted', 200, 0 union all select 'absent', 0, 0")
 def format_health(spark, d):
     """SRC-08, AGG-21, SRT-11: the newest file's records against the keys they must carry, all there, one missing, no file."""
     every = F.to_json(F.struct(F.lit("x").alias("timestamp"), F.lit("y").alias("type")))

@@ -103,7 +103,7 @@ def runs_recovery(spark, d):
     return done.select("id", "started_ms", "ended_ms", "status", F.when(F.col("status") == "failed", F.col("ended_ms") - F.col("started_ms")).alias("failed_after_ms"))
 
 
-@query("select 'r' || run as id, run * 1000 as started_ms, case when run % 2 = 1 then 'ok' else 'interrupted' end as status, case when run % 2 = 1 then 500 end as duration_ms from (select distinct run from ap)")
+@query("select 'r' || run as id, run * 1000 as started_ms, case when run % 2 = 1 then 'ok' else 'interrupted' end as status, case when run % 2 = 1 then 500::bigint end as duration_ms from (select distinct run from ap)")
 def run_durations(spark, d):
     """PRJ-11: an interrupted run has no duration."""
     runs = state.recover_runs(_runs(spark, d).drop("run"), NOW)
