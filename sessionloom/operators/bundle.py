@@ -48,14 +48,16 @@ def read_element(page: Column) -> tuple[Column, Column]:
     return F.size(found), F.get(found, F.lit(0))
 
 
-def problem(page: Column) -> Column:
-    """The first rule that a page's payload breaks, or null where it is sound. A page is refused whole.
+def with_problem(pages: DataFrame, page: str = "page") -> DataFrame:
+    """Adds problem: the first rule that a page's payload breaks, or null where it is sound. A page is refused whole.
+
+    The payload is parsed once and its sessions and turns are taken out once; the rules read these columns.
 
     Repeated keys make the text no JSON for the parser, so they are refused with what cannot be parsed. Integers are told
     from booleans, fractions and texts by the kind the parser gives them.
     """
-    count, text = read_element(page)
-    v = F.try_parse_json(text)
+    count, text = read_element(F.col(page))
+    v, sessions, turns = F.col("_v"), F.col("_sessions"), F.col("_turns")
     get = lambda path: F.try_variant_get(v, f"$.{path}", "variant")
     kind = lambda c: F.coalesce(F.schema_of_variant(c), F.lit("VOID"))
     integer = lambda c, low, high: (kind(c) == "BIGINT") & F.try_variant_get(c, "$", "bigint").between(low, high)
@@ -65,14 +67,12 @@ def problem(page: Column) -> Column:
     inside = lambda c, name: F.try_variant_get(c, f"$.{name}", "variant")
     keys = lambda c: F.map_keys(F.coalesce(F.try_variant_get(c, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
     is_object = lambda c: kind(c).startswith("OBJECT")
-    sessions = items(get("sessions"))
     turns_of = lambda s: items(inside(s, "turns"))
-    turns = F.flatten(F.transform(sessions, turns_of))
     ids = lambda a: F.transform(a, lambda x: F.coalesce(F.try_variant_get(inside(x, "export_id"), "$", "string"), F.lit("")))
     known = lambda allowed: F.array(*map(F.lit, allowed))
     optional_ms = lambda x, name, low=MIN_MS, high=MAX_MS: missing(inside(x, name)) | integer(inside(x, name), low, high)
     rules = [
-        (count == 1, "elements"),
+        (F.col("_count") == 1, "elements"),
         (v.isNotNull() & is_object(v), "json"),
         (integer(get("schema_version"), min(VERSIONS), max(VERSIONS)), "schema_version"),
         (hexed(get("bundle_id")), "bundle_id"),
@@ -95,7 +95,8 @@ def problem(page: Column) -> Column:
         (F.forall(turns, lambda t: optional_ms(t, "timestamp_ms")), "turn numbers"),
     ]
     first = functools.reduce(lambda chain, r: chain.when(~F.coalesce(r[0], F.lit(False)), r[1]), rules[1:], F.when(~F.coalesce(rules[0][0], F.lit(False)), rules[0][1]))
-    return first
+    taken = pages.withColumn("_count", count).withColumn("_v", F.try_parse_json(text)).withColumn("_sessions", items(get("sessions")))
+    return taken.withColumn("_turns", F.flatten(F.transform("_sessions", turns_of))).withColumn("problem", first).drop("_count", "_v", "_sessions", "_turns")
 
 
 def digest(payload: Column) -> Column:

@@ -71,7 +71,7 @@ def _page(defect):
 def bundle_validate(spark, d):
     """CHK-01, SRC-15, JSN-05: every planted defect is named, sound pages pass."""
     rows = V.load(spark, d, "conversations").select("conv_id").distinct().withColumn("defect", V.picked([x for x, _ in DEFECTS], F.col("conv_id")))
-    return rows.select("conv_id", "defect", bundle.problem(_page(F.col("defect"))).alias("problem"))
+    return bundle.with_problem(rows.withColumn("page", _page(F.col("defect")))).select("conv_id", "defect", "problem")
 
 
 @query("select conv_id, case when conv_id % 3 = 0 and conv_id % 2 = 1 then 'refused' when conv_id % 3 = 0 then 'already imported' else 'new' end as outcome from (select distinct conv_id from conversations)")
@@ -91,7 +91,7 @@ def bundle_totals(spark, d):
     projects = V.load(spark, d, "conversations").select((F.col("conv_id") % 5).alias("project")).distinct().select("project", F.substring(F.sha2(F.col("project").cast("string"), 256), 1, 32).alias("bundle_id"), F.lit(1_700_000_000_000).alias("exported_ms"), F.lit("r1").alias("run_id"), F.struct(F.concat(F.lit("p"), "project").alias("name")).alias("about"))
     episodes = projects.select("project", F.struct(F.lit("in_progress").alias("completion_status"), F.lit("</script><b>").alias("original_intent")).alias("item"))
     pages = bundle.payloads(projects, _exported(spark, d), {"episodes": episodes}).select("project", bundle.element(F.col("payload")).alias("page"))
-    sound = pages.where(bundle.problem(F.col("page")).isNull()).select(F.col("project").alias("bundle_id"), bundle.read_element(F.col("page"))[1].alias("payload"))
+    sound = bundle.with_problem(pages).where("problem is null").select(F.col("project").alias("bundle_id"), bundle.read_element(F.col("page"))[1].alias("payload"))
     bundles, _, _ = bundle.skeleton(sound)
     return bundles.select(F.col("bundle_id").alias("project"), F.col("session_count").cast("long").alias("session_count"), F.col("turn_count").cast("long").alias("turn_count"))
 
