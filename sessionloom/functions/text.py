@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -144,11 +145,24 @@ def ms_to_iso(ms: Column, unknown: str = "unknown") -> Column:
     return F.when(F.coalesce(ms, F.lit(0)) == 0, unknown).otherwise(F.concat(day.cast("string"), F.lit("T"), clock, F.lit("Z")))
 
 
+def tenths(ms: Column) -> Column:
+    """Tenths of a second below a minute, rounded as the double ms / 1000 is: half a tenth goes where its binary value lies,
+    and to the even tenth where that is the half itself. Held to whole numbers: no double below 2**6 that is a half has a
+    bit beyond 2**-57."""
+    below = F.least(ms, F.lit(60_000))
+    exact = (below / F.lit(1000.0) * F.lit(float(2**57))).cast("bigint").cast("decimal(19,0)") * F.lit(Decimal(1000))
+    half = below.cast("decimal(5,0)") * F.lit(Decimal(2**57))
+    down, rest = F.floor(below / 100), below % 100
+    up = (rest > 50) | ((rest == 50) & ((exact > half) | ((exact == half) & (down % 2 == 1))))
+    return down + up.cast("int")
+
+
 def duration(ms: Column) -> Column:
-    """Milliseconds as 1.2s or 3m04s; nothing, 0 and what is negative is a dash. Half a tenth of a second goes up."""
+    """Milliseconds as 1.2s or 3m04s; nothing, 0 and what is negative is a dash."""
     whole = F.floor(ms / 1000)
     long = F.concat(F.floor(whole / 60).cast("string"), F.lit("m"), F.lpad((whole % 60).cast("string"), 2, "0"), F.lit("s"))
-    short = F.concat(F.format_string("%.1f", ms / F.lit(1000.0)), F.lit("s"))
+    count = tenths(ms)
+    short = F.concat(F.floor(count / 10).cast("string"), F.lit("."), (count % 10).cast("string"), F.lit("s"))
     return F.when(F.coalesce(ms, F.lit(0)) <= 0, "—").when(ms < 60_000, short).otherwise(long)
 
 
@@ -240,6 +254,23 @@ def diffstat_path(line: Column) -> Column:
     return F.when(line.contains("|"), F.trim(F.substring_index(line, "|", 1)))
 
 
+def relative_evidence(markdown: Column) -> Column:
+    """Array of what follows evidence/ in citations that do not name the place from the root; stand-ins in braces or angles
+    and the inlined skill blocks are no citations."""
+    found = F.regexp_extract_all(without_skills(markdown), F.lit(r"(?U)(?<![\w/])\.?/?evidence/(\S*)"), F.lit(1))
+    return F.filter(found, lambda rest: ~rest.rlike(r"[{}<>*]"))
+
+
+def skill_references(markdown: Column) -> Column:
+    """Array of skill references that nothing has resolved."""
+    return F.regexp_extract_all(markdown, F.lit(f"({SKILL_REFERENCE})"), F.lit(1))
+
+
+def cells(line: Column) -> Column:
+    """Trimmed cells of a Markdown table row."""
+    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
+
+
 def is_docs(path: Column) -> Column:
     low = F.lower(F.trim(path))
     return low.startswith("readme") | low.startswith("docs/")

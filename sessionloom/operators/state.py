@@ -105,6 +105,20 @@ def finish_run(runs: DataFrame, ended: DataFrame) -> DataFrame:
     return update(runs, ended, "id", ["ended_ms", "status", "source_counts_json", "warning_count", "error_count"])
 
 
+def open_calls(calls: DataFrame) -> DataFrame:
+    """Ledger rows of paid calls. Ids are random: two equal calls within a millisecond were both paid and both stay. Write the
+    rows before anything refers to an id."""
+    own = F.concat(F.lit("agent_call-"), F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")))
+    ends = {"ended_ms": "bigint", "status": "string", "cost_usd": "double", "prompt_tokens": "bigint", "completion_tokens": "bigint", "output_json": "string", "error_text": "string"}
+    return calls.withColumn("model", redact(F.col("model"))).withColumns({c: F.lit(None).cast(t) for c, t in ends.items()}).withColumn("id", own)
+
+
+def finish_calls(calls: DataFrame, ended: DataFrame) -> DataFrame:
+    """Outcomes written to the calls that are stored; free text is masked here, once for all callers."""
+    clean = ended.withColumns({c: redact(F.col(c)) for c in ("status", "output_json", "error_text")})
+    return update(calls, clean, "id", ["ended_ms", "status", "cost_usd", "prompt_tokens", "completion_tokens", "output_json", "error_text"])
+
+
 def recover_runs(runs: DataFrame, now_ms: int) -> DataFrame:
     """Runs left running without an end are interrupted as of now; a finished run is not touched."""
     orphan = (F.col("status") == "running") & F.col("ended_ms").isNull()

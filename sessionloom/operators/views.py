@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clip, defang, ms_to_iso
+from ..functions.text import canonical_json, clip, defang, ms_to_iso
 
 #: Finding states, the default ones of a listing, and the platforms with their marker files by priority.
 STATES = ["new", "persisting", "resolved", "regressed", "dismissed"]
@@ -163,3 +163,21 @@ def snapshot_asof(runs: DataFrame, snapshots: DataFrame, project: str = "project
     seen = events.withColumn("latest", F.max("s").over(before)).where("run is not null").select(project, "run", "latest")
     exact = own.select(project, F.col("r").alias("run"), F.lit(True).alias("exact"))
     return seen.join(exact, [project, "run"], "left").select(project, "run", F.when(F.col("exact"), F.col("run")).otherwise(F.col("latest.r")).alias("snapshot_run"))
+
+
+def signature(category: Column, evidence: Column, title: Column) -> Column:
+    """Id of what a finding says, whichever run it came from."""
+    return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in (category, canonical_json(evidence), title)]), 256), 1, 16)
+
+
+def cached_explanations(findings: DataFrame, events: DataFrame) -> DataFrame:
+    """Findings with a signature, and the latest message of topic teacher whose fields hold it anywhere.
+
+    A search within texts as an equi-join: every 16 hex digits in a row that the fields hold are a key, those within a longer
+    run too. Of messages with one stamp the greatest counts.
+    """
+    runs = F.regexp_extract_all("fields_json", F.lit("[0-9a-f]{16,}"), F.lit(0))
+    keys = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 15), lambda k: F.substring(r, k, F.lit(16)))))
+    said = events.where("topic = 'teacher'").select("ts_ms", "message", F.explode(F.array_distinct(keys)).alias("signature"))
+    latest = said.groupBy("signature").agg(F.max(F.struct("ts_ms", "message"))["message"].alias("explanation"))
+    return findings.join(latest, "signature", "left")

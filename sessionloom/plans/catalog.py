@@ -520,4 +520,4 @@ def upsert_replay(spark, d):
     return stored.agg(F.count("*").alias("stored")).crossJoin(again.agg(F.count("*").alias("after_replay")))
 
 
-from . import bundle_queries, finding_queries, source_queries, store_queries, text_queries  # noqa: E402, F401  registers more queries
+from . import audit_queries, bundle_queries, finding_queries, source_queries, store_queries, text_queries  # noqa: E402, F401  registers more queries

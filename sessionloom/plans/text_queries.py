@@ -101,10 +101,10 @@ def html_forms(spark, d):
     return V.load(spark, d, "pages").select("page_id", T.html_escape(head).alias("escaped"), T.script_json(head).alias("inert"))
 
 
-@query("select native_id, strftime(to_timestamp(ms // 1000), '%Y-%m-%dT%H:%M:%SZ') as at, case when d <= 0 then '—' when d < 60000 then printf('%.1fs', d / 1000.0) else (d // 1000 // 60) || 'm' || lpad(cast(d // 1000 % 60 as varchar), 2, '0') || 's' end as took, round((1706745600000 - ms) / 86400000.0, 6) as age_days from (select native_id, ms, native_id * 7919 % 4000 * 100 - 19970 as d from rec)")
+@query("select native_id, strftime(to_timestamp(ms // 1000), '%Y-%m-%dT%H:%M:%SZ') as at, case when d <= 0 then '—' when d < 60000 then printf('%.1fs', d / 1000.0) else (d // 1000 // 60) || 'm' || lpad(cast(d // 1000 % 60 as varchar), 2, '0') || 's' end as took, round((1706745600000 - ms) / 86400000.0, 6) as age_days from (select native_id, ms, native_id * 7919 % 8000 * 50 - 19950 as d from rec)")
 def time_forms(spark, d):
     """DTE-02, DTE-03, DTE-05: ISO stamps, durations, ages in days."""
-    r = V.records(spark, d).withColumn("d", F.col("native_id") * 7919 % 4000 * 100 - 19970)
+    r = V.records(spark, d).withColumn("d", F.col("native_id") * 7919 % 8000 * 50 - 19950)
     return r.select("native_id", T.ms_to_iso(F.col("ms")).alias("at"), T.duration(F.col("d")).alias("took"), F.round(T.days_between(F.col("ms"), F.lit(1_706_745_600_000)), 6).alias("age_days"))
 
 

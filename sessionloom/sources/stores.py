@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.text import iso_to_ms, redact, safe_path
+from ..functions.text import cells, iso_to_ms, redact, safe_path
 
 RECORD = (
     "source_id string, native_id string, timestamp_ms bigint, record_type string, role string, project_path string, git_branch string, "
@@ -119,6 +119,50 @@ def malformed(spark: SparkSession, paths: list[str], glob: str = GLOB) -> DataFr
     return rows.groupBy("source_file").agg(F.count_if(bad).alias("malformed"), F.min(F.when(bad, F.col("line"))).alias("first_bad_line"), F.count_if(~bad & ~is_object(F.col("v"))).alias("not_objects"))
 
 
+def topic_events(spark: SparkSession, path: str, since_ms: int = 0, topics: list[str] = (), most: int = 500, glob: str = GLOB) -> DataFrame:
+    """The newest events of a folder of topic logs, at most ``most``; lines without a stamp have 0.
+
+    Files are taken from the last name on until they hold ``most`` fitting lines; the rest is not looked at. Events of one
+    stamp stand by file, the last name first, then by line. The files taken are at most ``most``, so they are broadcast.
+    """
+    shape = "ts_ms bigint, topic string, level string, msg string, project_id string, agent_type string, source_file string, line bigint"
+    if not there(spark, path):
+        return spark.createDataFrame([], shape)
+    text = lambda name, default=None: F.coalesce(field(name), F.lit(default).cast("string")).alias(name)
+    at = F.coalesce(field("ts_ms", kind="bigint"), F.lit(0).cast("bigint")).alias("ts_ms")
+    rows = parsed(lines(spark, [path], glob)).where(is_object(F.col("v")))
+    rows = rows.select(at, text("topic", ""), text("level", "INFO"), text("msg", ""), text("project_id"), text("agent_type"), "source_file", "line")
+    rows = rows.where(F.col("ts_ms") >= since_ms)
+    if topics:
+        rows = rows.where(F.col("topic").isin(*topics))
+    files = rows.groupBy("source_file").agg(F.count("*").alias("n")).orderBy(F.desc("source_file")).limit(most)
+    before = F.sum("n").over(Window.orderBy(F.desc("source_file")).rowsBetween(Window.unboundedPreceding, -1))
+    taken = files.select("source_file", F.coalesce(before, F.lit(0)).alias("before")).where(F.col("before") < most).select("source_file")
+    return rows.join(F.broadcast(taken), "source_file", "left_semi").select(*[c.split()[0] for c in shape.split(", ")]).orderBy(F.desc("ts_ms"), F.desc("source_file"), "line").limit(most)
+
+
+#: What a requirement id, a gate row and a status cell look like.
+REQUIREMENT = r"^[A-Z]{3,6}-\d{3}$"
+GATE_ROW = r"^\|\s*(G\d+)\s*\|"
+STATUS = r"(?i)^\*{0,2}(PASS|FAIL|BLOCKED)\*{0,2}$"
+
+
+def gate_rows(markdown: DataFrame) -> DataFrame:
+    """source_file, gate, status and requirement_ids of the gate rows of Markdown lines; of a gate's rows in one file the last
+    counts. The status is the first cell that is one, else BLOCKED."""
+    rows = markdown.where(F.col("value").rlike(GATE_ROW)).withColumn("c", cells(F.col("value")))
+    status = F.upper(F.regexp_extract(F.get(F.filter("c", lambda x: x.rlike(STATUS)), F.lit(0)), STATUS, 1))
+    ids = F.filter(F.transform(F.split(F.get("c", F.lit(1)), ","), lambda x: F.trim(x)), lambda x: x.rlike(REQUIREMENT))
+    named = rows.select("source_file", "line", F.regexp_extract("value", GATE_ROW, 1).alias("gate"), F.struct(F.coalesce(status, F.lit("BLOCKED")).alias("status"), ids.alias("requirement_ids")).alias("row"))
+    return named.groupBy("source_file", "gate").agg(F.max_by("row", "line").alias("row")).select("source_file", "gate", "row.status", "row.requirement_ids")
+
+
+def requirement_ids(markdown: DataFrame) -> DataFrame:
+    """source_file and id of the requirements that a table row defines, which is one that starts with the id."""
+    rows = markdown.where(F.col("value").startswith("|")).select("source_file", cells(F.col("value")).alias("c"))
+    return rows.where((F.size("c") >= 2) & F.get("c", F.lit(0)).rlike(REQUIREMENT)).select("source_file", F.get("c", F.lit(0)).alias("id")).distinct()
+
+
 def decoded(paths: list[str], segment: Column) -> Column:
     """A store folder's name with - for / as a path that exists; '' where none of the known paths has that name."""
     names = {p.replace("/", "-"): p for p in paths}
