@@ -105,6 +105,26 @@ def finish_run(runs: DataFrame, ended: DataFrame) -> DataFrame:
     return update(runs, ended, "id", ["ended_ms", "status", "source_counts_json", "warning_count", "error_count"])
 
 
+def migrate(spark: SparkSession, tables: dict[str, DataFrame], version: int, ladder: list[tuple[int, str, str | None, str]]) -> tuple[dict[str, DataFrame], int]:
+    """The tables of a store at the top of a ladder, and the version reached.
+
+    A step is (version, table, column, type), or (version, table, None, schema) for a new table; those up to the store's version
+    are done. A column or table that is there stays as it is, so a ladder can be climbed again; a column for a table that is
+    not there is an error, and nothing is returned. Only plans change: no row is read.
+    """
+    out = dict(tables)
+    for step, table, column, kind in sorted(ladder, key=lambda s: s[0]):
+        if step <= version:
+            continue
+        if column is None:
+            out.setdefault(table, spark.createDataFrame([], kind))
+        elif table not in out:
+            raise ValueError(f"version {step} adds {table}.{column}, but there is no {table}")
+        elif column not in out[table].columns:
+            out[table] = out[table].withColumn(column, F.lit(None).cast(kind))
+    return out, max([version, *(s[0] for s in ladder)])
+
+
 def open_calls(calls: DataFrame) -> DataFrame:
     """Ledger rows of paid calls. Ids are random: two equal calls within a millisecond were both paid and both stay. Write the
     rows before anything refers to an id."""

@@ -118,6 +118,27 @@ def scope(sessions: DataFrame, key: str) -> DataFrame:
     return per.select(key, text.alias("scope"), F.col("h").alias("harnesses"))
 
 
+#: Finding categories that stand for pending work, seeds that are listed, and their length.
+PENDING_KINDS = ["incomplete_work", "tech_debt", "docs_drift"]
+LISTED_SEEDS, SEED_CHARS = 5, 200
+
+
+def progress(episodes: DataFrame, findings: DataFrame, seeds: DataFrame) -> DataFrame:
+    """project, list (completed, in_progress or pending), at and line: what a brief says of a project's work.
+
+    A line is a row, so a project of any size is never one group; a reader sorts by list and at. Nothing is called complete:
+    the best verdict on an episode is unverified. episodes: project, status, started_ms, ended_ms, intent; findings: project,
+    category and those of ``finding_line``; seeds: project, place, text. Pending lines have their place, findings 0, as at.
+    """
+    intent, ended = defang(F.col("intent")), ms_to_iso(F.col("ended_ms"))
+    row = lambda df, name, at, line: df.select("project", F.lit(name).alias("list"), at.cast("bigint").alias("at"), line.alias("line"))
+    done = row(episodes.where("status = 'unverified'"), "completed", F.col("ended_ms"), F.concat(intent, F.lit(" — last activity "), ended))
+    going = row(episodes.where("status = 'in_progress'"), "in_progress", F.col("ended_ms"), F.concat(intent, F.lit(" — started "), ms_to_iso(F.col("started_ms")), F.lit(", last activity "), ended))
+    found = row(findings.where(F.col("category").isin(*PENDING_KINDS)), "pending", F.lit(0), finding_line())
+    open_ends = row(seeds.where(F.col("place") <= LISTED_SEEDS), "pending", F.col("place"), clip(defang(F.col("text")), SEED_CHARS))
+    return done.union(going).union(found).union(open_ends).where(F.trim("line") != "")
+
+
 def rank_next(findings: DataFrame, episodes: DataFrame, seeds: DataFrame, span_end: DataFrame, most: int = 10) -> DataFrame:
     """Next tasks of every project from three sources, best score first, ties by title.
 

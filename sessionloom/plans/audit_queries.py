@@ -62,6 +62,18 @@ def requirement_ids(spark, d):
     return stores.requirement_ids(stores.lines(spark, [_tables(spark, d)], "*.txt")).select(_nation(), "id")
 
 
+_LADDER = [(1, "runs", "lost", "string"), (3, "runs", "lookback_days", "int"), (2, "pins", None, "name string, sha string"), (4, "pins", "seen_ms", "bigint"), (5, "runs", "status", "int")]
+
+
+@query("select o_orderkey as id, o_orderstatus as status, cast(null as int) as lookback_days, 5 as version, 'name,sha,seen_ms' as pins from orders")
+def store_migration(spark, d):
+    """SNK-26: a store of version 1 climbs to 5; what it has stays."""
+    runs = V.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    tables, version = state.migrate(spark, {"runs": runs}, 1, _LADDER)
+    tables, version = state.migrate(spark, tables, version, _LADDER)
+    return tables["runs"].select("*", F.lit(version).alias("version"), F.lit(",".join(tables["pins"].columns)).alias("pins"))
+
+
 _SAID = ["ok", "failed: password=hunter2hunter2", "sk-aaaabbbbccccdddd", ""]
 
 

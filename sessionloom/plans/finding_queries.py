@@ -142,6 +142,24 @@ def next_tasks(spark, d):
     return ranked.select("project", F.col("place").cast("long").alias("place"), "score", "unknown")
 
 
+_KINDS = ["incomplete_work", "tech_debt", "docs_drift", "error_burst"]
+
+
+@query(_EPISODES + f""", sd as (select session_id % 6 as project, text, row_number() over (partition by session_id % 6 order by session_id, idx) as place from (select session_id, text, min(idx) as idx from turn where {catalog._word(T.TODO)} group by 1, 2)),
+told_of as (select project, status, intent, ended_ms, case when coalesce(ended_ms, 0) = 0 then 'unknown' else strftime(to_timestamp(ended_ms // 1000), '%Y-%m-%dT%H:%M:%SZ') end as last, case when coalesce(ended_ms, 0) = 0 then 'unknown' else strftime(to_timestamp((ended_ms - 5000) // 1000), '%Y-%m-%dT%H:%M:%SZ') end as first from eps)
+select project, 'completed' as list, ended_ms as at, intent || ' — last activity ' || last as line from told_of where status = 'unverified'
+union all select project, 'in_progress', ended_ms, intent || ' — started ' || first || ', last activity ' || last from told_of where status = 'in_progress'
+union all select project % 6, 'pending', 0, '(D) [' || severity || '/' || {V.picked_sql(_KINDS, 'finding')} || '] ' || title || ' — d' from fin where finding % 4 <> 3
+union all select project, 'pending', place, {_CLIP.replace('141', '201').replace('140', '200').format('text')} from sd where place <= 5""")
+def project_progress(spark, d):
+    """CMP-01: what is done, under way and pending in every project."""
+    episodes = _episodes(spark, d).withColumn("started_ms", F.col("ended_ms") - 5000)
+    found = V.findings(spark, d).withColumns({"project": (F.col("project") % 6).cast("long"), "category": V.picked(_KINDS, F.col("finding")), "provenance": F.lit("deterministic"), "detail": F.lit("d")})
+    todo = V.turns(spark, d).where(T.has_word(F.col("text"), T.TODO)).groupBy("session_id", "text").agg(F.min("idx").alias("idx")).withColumn("project", F.col("session_id") % 6)
+    seeds = views.newest(todo, "project", [F.col("session_id"), F.col("idx")], 5).select("project", "place", "text")
+    return views.progress(episodes, found, seeds)
+
+
 def _cited(spark, d):
     path = F.when(F.col("ended_ms") % 2 == 0, F.concat(F.lit("/tmp/run/"), "source_file")).otherwise(F.col("source_file"))
     return sessions.group_sessions(V.records(spark, d)).where("project_path <> ''").select("project_path", "source_id", F.col("source_file").alias("native_id"), path.alias("raw_path"), "started_ms", "ended_ms", F.col("record_count").alias("turn_count"))
