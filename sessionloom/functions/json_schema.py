@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,15 +26,24 @@ def schema_error(text: Column, schema: dict) -> Column:
     parents before children; other keywords and types are passed by. The top must be an object. True is no number. Values of
     an enum are compared as JSON texts. The schema is walked once, on the driver; rows never leave the JVM.
     """
-    value = F.try_parse_json(text)
-    top = F.when(value.isNull(), "$: no JSON").when(kind(value) != "object", F.concat(F.lit("$: expected object, got "), kind(value)))
-    return F.coalesce(top, _walk(value, schema, F.lit("$")))
+    top = lambda v: F.when(v.isNull(), "$: no JSON").when(kind(v) != "object", F.concat(F.lit("$: expected object, got "), kind(v)))
+    return _once(F.try_parse_json(text), lambda v: F.coalesce(top(v), _walk(v, schema, F.lit("$"))))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is worked out once a row: the variable of a one-element array's transform."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _walk(value: Column, schema: dict, path: Column) -> Column:
-    is_kind, checks = kind(value), []
+    seen = F.struct(value.alias("value"), kind(value).alias("kind"), F.try_variant_get(value, "$", "map<string,variant>").alias("fields"))
+    return _once(seen, lambda s: _checks(s["value"], s["kind"], s["fields"], schema, path))
+
+
+def _checks(value: Column, is_kind: Column, fields: Column, schema: dict, path: Column) -> Column:
+    checks = []
     wanted = schema.get("type", [])
-    wanted = [t for t in ([wanted] if isinstance(wanted, str) else wanted)]
+    wanted = [wanted] if isinstance(wanted, str) else wanted
     known = {"string", "number", "integer", "boolean", "array", "object", "null"}
     if wanted and set(wanted) <= known:
         fits = is_kind.isin(*wanted, *(["integer"] if "number" in wanted else []))
@@ -41,7 +51,7 @@ def _walk(value: Column, schema: dict, path: Column) -> Column:
     if isinstance(schema.get("enum"), list):
         texts = [json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in schema["enum"]]
         checks.append(F.when(~F.to_json(value).isin(*texts), F.concat(path, F.lit(f": not one of [{', '.join(texts)}]"))))
-    fields, properties = F.try_variant_get(value, "$", "map<string,variant>"), schema.get("properties") or {}
+    properties = schema.get("properties") or {}
     own = F.when(is_kind == "object", F.map_keys(fields))
     for key in schema.get("required") or []:
         checks.append(F.when(~F.array_contains(own, key), F.concat(path, F.lit(f": no key {key}"))))
