@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, html_text, language_id, license_scan, near_dedup, packing, piece_tokens, quality, tiff_media, url_filter
+from . import embedding_dedup, html_text, language_id, license_scan, near_dedup, packing, piece_tokens, prefix_trie, quality, tiff_media, token_alignment, top_search, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,13 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_language": language_id.op9_language,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_top_search": top_search.op13_top_search,
 }
 
-SQL: dict[str, str] = {"op7_url_filter": url_filter.oracle_sql()}
+SQL: dict[str, str] = {
+    "op7_url_filter": url_filter.oracle_sql(),
+    "op11_prefix_trie": prefix_trie.oracle_sql(),
+    "op13_top_search": top_search.oracle_sql(),
+}
