@@ -37,6 +37,8 @@ MODEL_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 STEP_BYTES = 4 << 20
 #: Distinct chunks that a task keeps before it starts its table anew; the table goes with the task.
 TABLE_ROWS = 150_000
+#: New chunks that are coded and aligned in one step.
+STEP_CHUNKS = 20_000
 _PLACE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Texts that are not just words between single spaces or newlines: two kinds of white space in a row, or some at an end.
 _ODD = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -80,46 +82,41 @@ def piece_tokens(path: str) -> list[bytes]:
     return [bytes([int(m[1], 16)]) if (m := re.fullmatch(r"<0x([0-9A-F]{2})>", name)) else name.replace(MARK, " ").encode() for name in names]
 
 
-def overlap_groups(a: list[int], b: list[int]) -> list[tuple[list[int], list[int], list[tuple[int, int]]]]:
-    """Token lengths of A and B over the same bytes -> per connected component its A tokens, its B tokens and its links."""
-    parent = list(range(len(a) + len(b)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    links, i, j = [], 0, 0
-    end_a, end_b = a[0] if a else 0, b[0] if b else 0
-    while i < len(a) and j < len(b):  # each step links two tokens that share bytes, then leaves the one that ends first
-        links.append((i, j))
-        parent[root(len(a) + j)] = root(i)
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        if step_a:
-            i += 1
-            end_a += a[i] if i < len(a) else 0
-        if step_b:
-            j += 1
-            end_b += b[j] if j < len(b) else 0
-    found: dict[int, tuple[list, list, list]] = {}
-    for k in range(len(a)):
-        found.setdefault(root(k), ([], [], []))[0].append(k)
-    for k in range(len(b)):
-        found[root(len(a) + k)][1].append(k)
-    for link in links:
-        found[root(link[0])][2].append(link)
-    return list(found.values())
+def overlap_groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token lengths of A and B over the same bytes -> the links (token of A, token of B), and each token's component,
+    numbered in order. Union-find over all links at once: roots hang on the least root they are linked with, then every
+    path is halved until it ends, and again while a link joins two roots."""
+    end_a, end_b = np.cumsum(a), np.cumsum(b)
+    first = np.searchsorted(end_b, end_a - a, side="right")
+    many = np.searchsorted(end_b - b, end_a, side="left") - first
+    i = np.repeat(np.arange(len(a)), many)
+    j = np.repeat(first, many) + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+    parent = np.arange(len(a) + len(b))
+    while True:
+        x, y = parent[i], parent[len(a) + j]
+        apart = x != y
+        if not apart.any():
+            break
+        x, y = x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while (parent != (above := parent[parent])).any():
+            parent = above
+    number = np.cumsum(parent == np.arange(len(parent))) - 1  # a component's root is its first token of A
+    return i, j, number[parent[: len(a)]], number[parent[len(a) :]]
+
+
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
 
 class ChunkAlignments:
-    """Distinct chunk -> (whole, n_a, n_b, n_groups, groups as text, linked id pairs). Two bounded generations, as frequent
+    """Distinct chunk -> (whole, n_a, n_b, n_groups, groups as text, bytes of linked id pairs). Two bounded generations, as frequent
     chunks stay. The pair of ids a and b is the number b * 2**32 + a."""
 
     def __init__(self, path_a: str, path_b: str, rows: int = TABLE_ROWS):
         self.a, self.b, self.rows = byte_tokenizer(path_a), processor(path_b), rows
         self.bytes_a, self.bytes_b = byte_tokens(path_a), piece_tokens(path_b)
-        self.size_a, self.size_b = [*map(len, self.bytes_a)], [*map(len, self.bytes_b)]
+        self.size_a, self.size_b = (np.array([*map(len, names)]) for names in (self.bytes_a, self.bytes_b))
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
@@ -133,10 +130,9 @@ class ChunkAlignments:
                     missing.append(chunk)
                 else:
                     new[chunk] = row
-        for at in range(0, len(missing), 2000):
-            part = missing[at : at + 2000]
-            for chunk, ids_a, ids_b in zip(part, *self.coded(part), strict=True):
-                new[chunk] = self.aligned(chunk, ids_a, ids_b)
+        for at in range(0, len(missing), STEP_CHUNKS):
+            part = missing[at : at + STEP_CHUNKS]
+            new.update(zip(part, self.aligned(part, *self.coded(part)), strict=True))
 
     def coded(self, part: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of chunks; one that begins with a newline has no marker of its own, so the one the library adds goes."""
@@ -144,13 +140,26 @@ class ChunkAlignments:
         of_b = self.b.encode([chunk[1:] if chunk[0] == " " else chunk for chunk in part], num_threads=1)
         return of_a, [ids if chunk[0] == " " else ids[1:] for chunk, ids in zip(part, of_b, strict=True)]
 
-    def aligned(self, chunk: str, a: list[int], b: list[int]) -> tuple:
-        raw = chunk.encode()
-        if b"".join([self.bytes_a[k] for k in a]) != raw or b"".join([self.bytes_b[k] for k in b]) != raw:
-            return False, 0, 0, 0, "", ()
-        groups = overlap_groups([self.size_a[k] for k in a], [self.size_b[k] for k in b])
-        text = ";".join([f"{','.join([str(a[k]) for k in of_a])}|{','.join([str(b[k]) for k in of_b])}" for of_a, of_b, _ in groups])
-        return True, len(a), len(b), len(groups), text, tuple(b[j] << 32 | a[i] for _, _, links in groups for i, j in links)
+    def aligned(self, part: list[str], of_a: list[list[int]], of_b: list[list[int]]) -> list[tuple]:
+        raw = [chunk.encode() for chunk in part]
+        flat_a, flat_b = (np.fromiter((k for ids in of for k in ids), np.int64) for of in (of_a, of_b))
+        joined = [b"".join([names[k] for k in flat.tolist()]) for names, flat in ((self.bytes_a, flat_a), (self.bytes_b, flat_b))]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        n_a, n_b = (np.fromiter(map(len, of), np.int64, len(of)) for of in (of_a, of_b))
+        held = [_sums(sizes[flat], np.concatenate([[0], np.cumsum(n)])) for sizes, flat, n in ((self.size_a, flat_a, n_a), (self.size_b, flat_b, n_b))]
+        if not (joined[0] == joined[1] == b"".join(raw) and (held[0] == size).all() and (held[1] == size).all()):
+            whole = [b"".join([self.bytes_a[k] for k in a]) == r == b"".join([self.bytes_b[k] for k in b]) for a, b, r in zip(of_a, of_b, raw, strict=True)]
+            rest = iter(self.aligned(*([x for x, ok in zip(column, whole, strict=True) if ok] for column in (part, of_a, of_b))))
+            return [next(rest) if ok else (False, 0, 0, 0, "", b"") for ok in whole]
+        i, j, in_a, in_b = overlap_groups(self.size_a[flat_a], self.size_b[flat_b])
+        chunk_of = np.repeat(np.arange(len(part)), n_a)
+        heads = np.flatnonzero(np.diff(in_a, prepend=-1))  # the first A token of each group
+        n_groups, n_links = np.bincount(chunk_of[heads], minlength=len(part)), np.bincount(chunk_of[i], minlength=len(part))
+        names = [pc.binary_join(_lists(pa.array(flat).cast(pa.string()), np.bincount(within)), ",") for flat, within in ((flat_a, in_a), (flat_b, in_b))]
+        texts = pc.binary_join(_lists(pc.binary_join_element_wise(*names, "|"), n_groups), ";").to_pylist()
+        pairs, ends = (flat_b[j] << 32 | flat_a[i]).tobytes(), (8 * np.cumsum(n_links)).tolist()
+        linked = [pairs[low:high] for low, high in zip([0, *ends], ends, strict=False)]
+        return [*zip([True] * len(part), n_a.tolist(), n_b.tolist(), n_groups.tolist(), texts, linked, strict=True)]
 
     def split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Where each text's chunks begin, each chunk's number, the distinct chunks. A null or empty text has none."""
@@ -198,13 +207,13 @@ def slices(docs: DataFrame, text: str = "text", path_a: str | None = None, path_
             known.add(distinct)
             rows = [*map(known.new.__getitem__, distinct)]
             whole, n_a, n_b, n_groups = (np.fromiter((r[k] for r in rows), np.int64, len(rows)) for k in range(4))
-            size = np.fromiter((len(r[5]) for r in rows), np.int64, len(rows))
+            size = np.fromiter((len(r[5]) for r in rows), np.int64, len(rows)) // 8
             good = _sums(whole[number], offsets) == np.diff(offsets)
             own = np.array([r[4] for r in rows], object).take(number).tolist()
             digests = ["" if not ok or low == high else hashlib.sha256(";".join(own[low:high]).encode()).hexdigest() for ok, low, high in zip(good.tolist(), offsets.tolist(), offsets[1:].tolist(), strict=False)]
             number = number[np.repeat(good, np.diff(offsets))]
             offsets = np.concatenate([[0], np.cumsum(np.where(good, np.diff(offsets), 0))])
-            pairs, which = np.unique(np.fromiter((p for r in rows for p in r[5]), np.int64, int(size.sum())), return_inverse=True)
+            pairs, which = np.unique(np.frombuffer(b"".join([r[5] for r in rows]), np.int64), return_inverse=True)
             met = np.bincount(number, minlength=len(rows))
             counts = np.bincount(which, np.repeat(met, size), len(pairs)).astype(np.int64)
             stats = [_sums(column[number], offsets) for column in (n_a, n_b, n_groups, size)]
@@ -263,7 +272,7 @@ def groups(docs: DataFrame, text: str = "text", path_a: str | None = None, path_
                 own, at, listed = [rows[k] for k in number[low:high]], 0, []
                 for part in (g for r in own for g in r[4].split(";")) if all(r[0] for r in own) else ():
                     a, b = ([*map(int, ids.split(","))] for ids in part.split("|"))
-                    size = sum(known.size_a[k] for k in a)
+                    size = int(known.size_a[a].sum())
                     listed.append({"start": at, "length": size, "a": a, "b": b})
                     at += size
                 out.append(listed)

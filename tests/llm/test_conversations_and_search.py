@@ -158,11 +158,11 @@ def test_components_are_minimal_groups():
         n = rng.randrange(1, 30)
         cut = lambda: sorted({n, *rng.sample(range(1, n + 1), rng.randrange(n) + 1 if n > 1 else 1)})  # noqa: B023, E731
         a, b = cut(), cut()
-        sizes = lambda ends: np.diff([0, *ends]).tolist()
-        groups = token_alignment.overlap_groups(sizes(a), sizes(b))
-        assert [a[g[0][-1]] for g in groups] == sorted(set(a) & set(b)) == [b[g[1][-1]] for g in groups]
+        i, j, in_a, in_b = token_alignment.overlap_groups(np.diff([0, *a]), np.diff([0, *b]))
+        last = lambda ends, within: [ends[k] for k in np.flatnonzero(np.diff(within, append=-1))]
+        assert last(a, in_a) == sorted(set(a) & set(b)) == last(b, in_b) and (in_a[i] == in_b[j]).all()
         spans = lambda ends: list(zip([0, *ends], ends, strict=False))
-        assert sorted(x for g in groups for x in g[2]) == [(i, j) for i, (p, q) in enumerate(spans(a)) for j, (r, s) in enumerate(spans(b)) if p < s and r < q]
+        assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(i, j) for i, (p, q) in enumerate(spans(a)) for j, (r, s) in enumerate(spans(b)) if p < s and r < q]
 
 
 def plain_search(vectors, k=10, step=100):
