@@ -77,81 +77,105 @@ class Lists:
     def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray):
         self.rows, self.ids = rows, ids
         self.x = quantised(x if x.shape[1] else np.zeros((len(ids), 1)))
-        self.order = np.argsort(self.x, axis=0, kind="stable").T.astype(np.int32)
+        self.order = np.argsort(self.x, axis=0, kind="stable").T
         self.most = int(np.abs(self.x).max(initial=0))
 
+    def packed(self) -> bytes:
+        """As bytes, numbers and values in the narrowest kind that holds them."""
+        narrow = next((kind for kind in (np.int16, np.int32) if self.x.dtype != object and self.most <= np.iinfo(kind).max), None)
+        return pickle.dumps((self.rows, self.ids, self.x if narrow is None else self.x.astype(narrow), self.order.astype(np.uint16 if len(self.ids) <= 1 << 16 else np.int32), self.most), protocol=5)
+
+    @staticmethod
+    def unpacked(data: bytes) -> Lists:
+        out = Lists.__new__(Lists)
+        out.rows, out.ids, x, order, out.most = pickle.loads(data)
+        return out.of_kind(x if x.dtype == object else x.astype(np.float64), order.astype(np.int64))
+
+    def of_kind(self, x: np.ndarray, order: np.ndarray) -> Lists:
+        """The same block over these values; each list with its values beside its numbers."""
+        out = Lists.__new__(Lists)
+        vars(out).update(rows=self.rows, ids=self.ids, most=self.most, x=x, order=order, values=np.take_along_axis(x.T, order, 1))
+        return out
+
+
+def _per_vector(some: np.ndarray, gains: np.ndarray, n: int) -> np.ndarray:
+    if gains.dtype != object:
+        return np.bincount(some.ravel(), gains.ravel(), n)
+    out = np.zeros(n, object)
+    np.add.at(out, some.ravel(), gains.ravel())
+    return out
+
+
+def _kth(scores: np.ndarray, k: int):
+    return np.sort(scores)[-k] if scores.dtype == object else np.partition(scores, len(scores) - k)[len(scores) - k]
+
 
 def read_lists(block: Lists, q: np.ndarray, floor: int | None, skip: int, k: int) -> np.ndarray:
     """Numbers of the block's vectors that may be among the k best: none that is left out reaches ``floor`` (the k-th best
-    score known) or the k-th best lower bound found here. ``skip``: number of the query's own row, or -1."""
-    dims = np.flatnonzero(q != 0)
-    n = len(block.ids)
+    score known) or, where none is known, the k-th best lower bound found here. ``skip``: the query's own row, or -1.
+
+    What a vector has more than the places reached, summed over the components read, is what its upper bound has more than
+    the bound of a vector not met; in the same way its lower bound stands above the sum of the lists' far ends.
+    """
+    n, dims = len(block.ids), np.flatnonzero(q != 0)
     if not len(dims):
         return np.flatnonzero(np.arange(n) != skip)
-    q, up = q[dims], q[dims] > 0
-    order = np.where(up[:, None], block.order[dims, ::-1], block.order[dims])
-    sums = np.zeros(n, q.dtype)
-    read = np.zeros((n, len(dims)), q.dtype)
-    ends = q * block.x[order[:, -1], dims]  # the least that each component can add
-    low, step = 0, FIRST_STEP
+    q, down = q[dims, None], q[dims] > 0
+    order = np.where(down[:, None], block.order[dims, ::-1], block.order[dims])
+    gains = q * np.where(down[:, None], block.values[dims, ::-1], block.values[dims])
+    reached, step, limit = 0, FIRST_STEP, floor
     while True:
-        some = order[:, low : low + step]
-        gain = q[:, None] * block.x[some, dims[:, None]]
-        if q.dtype == object:
-            np.add.at(sums, some.ravel(), gain.ravel())
-        else:
-            sums += np.bincount(some.ravel(), gain.ravel(), n)
-        read[some, np.arange(len(dims))[:, None]] = 1
-        place = gain[:, -1]
-        low, step = low + step, 2 * step
-        outside = place.sum()
-        upper, lower = sums + (outside - read @ place), sums + (ends.sum() - read @ ends)
-        met = (read != 0).any(1)
-        if skip >= 0:
-            met[skip] = False
-        limit, known = floor, lower[met]
-        if len(known) >= k:
-            own = np.sort(known)[-k] if q.dtype == object else np.partition(known, len(known) - k)[-k]
-            limit = own if limit is None else max(limit, own)
+        reached, step = min(n, reached + step), 2 * step
+        place = gains[:, reached - 1]
+        if floor is None:
+            least = gains[:, -1]
+            lower = least.sum() + _per_vector(order[:, :reached], gains[:, :reached] - least[:, None], n)
+            lower = np.delete(lower, skip) if skip >= 0 else lower
+            limit = _kth(lower, k) if len(lower) >= k else None
         if limit is not None:  # scores beyond 64 bits are ties
             limit = min(limit, MOST) if limit > LEAST else None
-        if low >= n or (limit is not None and outside < limit):
-            return np.flatnonzero(met if limit is None else met & (upper >= limit))
+        if reached == n or (limit is not None and place.sum() < limit):
+            break
+    upper = place.sum() + _per_vector(order[:, :reached], gains[:, :reached] - place[:, None], n)
+    kept = np.ones(n, bool) if limit is None else upper >= limit
+    if skip >= 0:
+        kept[skip] = False
+    return np.flatnonzero(kept)
 
 
-def _best(scores: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
-    return sorted(scores, key=lambda s: (-s[0], s[1]))[:k]
+def _best(block: Lists, at: np.ndarray, q: np.ndarray, best: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
+    """The k best of those known and of these vectors, by their final scores."""
+    scores, ids = block.x[at] @ q, block.ids[at]
+    if len(scores) > k and (bar := _kth(scores, k)) > LEAST:
+        some = scores >= min(bar, MOST)
+        scores, ids = scores[some], ids[some]
+    found = [(min(max(int(score), LEAST), MOST), other) for score, other in zip(scores, ids.tolist(), strict=True)]
+    return sorted(best + found, key=lambda s: (-s[0], s[1]))[:k]
 
 
 def _searched(group: pa.Table, k: int) -> pa.Table:
     """Queries of a task over its blocks, one after another."""
-    parts = [(kind, pickle.loads(data)) for kind, data in zip(group.column("kind").to_pylist(), group.column("data").to_pylist(), strict=True)]
-    blocks = [part for kind, part in parts if kind == "block"]
+    whole = np.frompyfunc(int, 1, 1)
+    parts = [*zip(group.column("kind").to_pylist(), group.column("data").to_pylist(), strict=True)]
+    blocks = [Lists.unpacked(data) for kind, data in parts if kind == "block"]
     out = []
-    for rows, ids, x in (part for kind, part in parts if kind == "query"):
+    for rows, ids, x in (pickle.loads(data) for kind, data in parts if kind == "query"):
         coded = quantised(x if x.shape[1] else np.zeros((len(ids), 1)))
+        most = int(np.abs(coded).max(initial=0))
+        # Sums that doubles may not hold are taken in Python's integers.
+        wide = [coded.dtype == object or b.x.dtype == object or coded.shape[1] * most * b.most >= EXACT for b in blocks]
+        near = [b.of_kind(whole(b.x), b.order) if w else b for b, w in zip(blocks, wide, strict=True)]
         for row, vec_id, q in zip(rows.tolist(), ids.tolist(), coded, strict=True):
             best: list[tuple[int, int]] = []
-            for block in blocks:
-                own = block
-                if q.dtype == object or block.x.dtype == object or len(q) * int(np.abs(q).max(initial=0)) * block.most >= EXACT:
-                    whole = np.frompyfunc(int, 1, 1)
-                    q, own = whole(q), _as_integers(block, whole)
-                skip = np.flatnonzero(block.rows == row)
-                at = read_lists(own, q, best[-1][0] if len(best) == k else None, int(skip[0]) if len(skip) else -1, k)
-                found = [(min(max(int(score), LEAST), MOST), other) for score, other in zip(own.x[at] @ q, block.ids[at].tolist(), strict=True)]
-                best = _best(best + found, k)
+            for block, w in zip(near, wide, strict=True):
+                own, skip = whole(q) if w else q, np.flatnonzero(block.rows == row)
+                at = read_lists(block, own, best[-1][0] if len(best) == k else None, int(skip[0]) if len(skip) else -1, k)
+                best = _best(block, at, own, best, k)
             out += [(row, vec_id, other, score) for score, other in best]
     columns = list(zip(*out, strict=True)) or [[]] * 4
     return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_row", "query_id", "vec_id", "score"])
 
 
-def _as_integers(block: Lists, whole) -> Lists:
-    out = Lists.__new__(Lists)
-    vars(out).update(vars(block), x=whole(block.x))
-    return out
-
-
 def _grouped(rows: DataFrame, size: int, kind: str) -> DataFrame:
     """Rows in parts of about ``size`` components, one row a part: kind, dim, part, data."""
     parts = rows.groupBy("dim").agg(F.ceil(F.count("*") * F.greatest("dim", F.lit(1)) / F.lit(float(size))).cast("bigint").alias("parts"))
@@ -162,7 +186,7 @@ def _grouped(rows: DataFrame, size: int, kind: str) -> DataFrame:
         dim = group.column("dim")[0].as_py()
         x = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.float64).reshape(-1, dim) if dim else np.zeros((group.num_rows, 0))
         own, ids = group.column("row").to_numpy(), group.column("vec_id").to_numpy()
-        data = pickle.dumps(Lists(own, ids, x) if kind == "block" else (own, ids, x), protocol=5)
+        data = Lists(own, ids, x).packed() if kind == "block" else pickle.dumps((own, ids, x), protocol=5)
         return pa.table([pa.array([kind]), group.column("dim")[:1], group.column("part")[:1], pa.array([data], pa.binary())], names=["kind", "dim", "part", "data"])
 
     return dealt.select("dim", "part", "row", "vec_id", "vec").groupBy("dim", "part").applyInArrow(build, "kind string, dim int, part bigint, data binary")

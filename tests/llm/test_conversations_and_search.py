@@ -204,7 +204,7 @@ def test_reading_stops_early_and_loses_nothing():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(4000, 6)) * 0.01
     x[:40] += 1.0
-    block = top_search.Lists(np.arange(4000), np.arange(4000), x)
+    block = top_search.Lists.unpacked(top_search.Lists(np.arange(4000), np.arange(4000), x).packed())
     q = top_search.quantised(np.ones((1, 6)))[0]
     scores = block.x @ q
     left = top_search.read_lists(block, q, None, -1, 10)
