@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import evidence_digest, redact, stable_id
+from .delta import CommitLog
 
 Rule = Callable[[Column, Column], Column]
 new_value: Rule = lambda old, new: new
@@ -243,35 +244,23 @@ def scrub(tables: dict[str, DataFrame], columns: dict[str, list[str]] = SCRUBBED
 
 
 class VersionedTable:
-    """Parquet versions under one folder. The commit of version n is the exclusive creation of the marker ``n``; of two
-    writers that read the same version only one can create it, and the other's rows are never seen."""
+    """Parquet versions under one folder, each whole. A version is committed by its number in a log that renames without
+    overwriting: of two writers that read the same version only one can commit, and the other's rows are never seen."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.hadoop(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.log = CommitLog(spark, f"{self.path}/_committed")
 
     def number(self) -> int:
         """The newest committed version; 0 before the first."""
-        folder = self.hadoop(f"{self.path}/_committed")
-        return max((int(s.getPath().getName()) for s in self.fs.listStatus(folder)), default=0) if self.fs.exists(folder) else 0
+        return self.log.newest()
 
     def read(self, number: int | None = None) -> DataFrame | None:
         number = self.number() if number is None else number
-        if not number:
-            return None
-        name = self.spark.read.text(f"{self.path}/_committed/{number:012d}").first()[0]
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{self.log.read(number)['name']}") if number else None
 
     def commit(self, rows: DataFrame, based_on: int) -> int:
         """Writes the version after ``based_on``, the number that the rows were made from."""
-        name, number = f"version-{uuid.uuid4().hex}", based_on + 1
+        name = f"version-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{name}")
-        marker = self.hadoop(f"{self.path}/_committed/{number:012d}")
-        try:
-            out = self.fs.create(marker, False)  # fails where the marker exists
-        except Exception as error:
-            raise RuntimeError(f"another writer committed version {number}") from error
-        out.write(bytearray(name.encode()))
-        out.close()
-        return number
+        return self.log.write(based_on + 1, {"name": name})

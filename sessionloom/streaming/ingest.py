@@ -1,41 +1,59 @@
-"""Incremental ingest as a stream of session files: each micro-batch is parsed, its turns appended, its marks advanced.
+"""Incremental ingest as a stream of session files: each micro-batch is parsed once, its new turns and marks appended.
 
 The stream's own checkpoint remembers the files read; a file is read once, whole, so a store that rewrites a file gives it
 a new name. The per-source mark of the batch runs is kept beside it with the same rule: stamps at or below it are not read
-(there is no allowance for lateness), unless a backfill starts below it. A batch that is run again after a failure adds
-nothing: turns have ids from their content, marks only rise, and a table's version is committed by its exclusive number.
+(there is no allowance for lateness), unless a backfill starts below it. What a batch writes are its own rows: turns that
+are not there yet (their ids are made from their content, which holds their stamp, so only parts whose range of stamps
+meets the batch's are looked into), one mark a source, and the newest stamps a source for its cadence. A batch that is run
+again after a failure adds nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import fingerprint, stable_id
 from ..operators import rollups, state
+from ..operators.delta import DeltaTable
 from ..sources import stores
+from .cadence import NEWEST
 
 TURN = "id string, source_id string, native_id string, timestamp_ms bigint, role string, content_fingerprint string, source_file string"
 MARK = "source_id string, last_ms bigint"
-CADENCE = "source_id string, median_gap_ms bigint, sample_size bigint, watermark_ms bigint"
+STAMP = "source_id string, ms bigint"
+#: Parts of a table beyond which a batch has it compacted.
+MOST_PARTS = 16
+
+
+def raised(marks: DataFrame) -> DataFrame:
+    return marks.groupBy("source_id").agg(F.max("last_ms").alias("last_ms"))
+
+
+def newest_stamps(stamps: DataFrame) -> DataFrame:
+    """The newest distinct stamps of each source."""
+    top = Window.partitionBy("source_id").orderBy(F.desc("ms"))
+    return stamps.select("source_id", "ms").distinct().withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= NEWEST).drop("rank")
 
 
 class Store:
-    """Turns, marks and cadence as versioned tables under one folder."""
+    """Turns, marks and newest stamps as tables that append, under one folder."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.tables = {name: (state.VersionedTable(spark, f"{path}/{name}"), schema) for name, schema in (("turns", TURN), ("marks", MARK), ("cadence", CADENCE))}
+        self.turns = DeltaTable(spark, f"{path}/turns", TURN, ranged="timestamp_ms")
+        self.marks = DeltaTable(spark, f"{path}/marks", MARK, raised)
+        self.stamps = DeltaTable(spark, f"{path}/stamps", STAMP, newest_stamps)
 
     def read(self, name: str) -> DataFrame:
-        table, schema = self.tables[name]
-        found = table.read()
-        return self.spark.createDataFrame([], schema) if found is None else found
+        """turns, marks, stamps, or cadence, which follows from the stamps."""
+        return rollups.cadence(self.stamps.read()) if name == "cadence" else getattr(self, name).read()
 
-    def commit(self, name: str, rows: DataFrame) -> int:
-        table, _ = self.tables[name]
-        return table.commit(rows, table.number())
+    def tidy(self, most: int = MOST_PARTS) -> None:
+        """Compacts the tables that have many parts."""
+        for table in (self.turns, self.marks, self.stamps):
+            if len(table.document()["parts"]) > most:
+                table.compact()
 
 
 def turns_of(rec: DataFrame) -> DataFrame:
@@ -44,14 +62,21 @@ def turns_of(rec: DataFrame) -> DataFrame:
     return said.select(own.alias("id"), "source_id", "native_id", "timestamp_ms", "role", "content_fingerprint", "source_file")
 
 
-def take(store: Store, rec: DataFrame) -> None:
+def take(store: Store, rec: DataFrame, stream: str | None = None, batch: int = 0) -> None:
     """One batch of records into the store: turns first, then the mark, as the mark vouches for what is durable."""
-    stored = store.read("turns")
-    store.commit("turns", stored.unionByName(state.append_new(stored, turns_of(rec), "id", "native_id")))
-    seen = rec.groupBy("source_id").agg(F.max("timestamp_ms").alias("last_ms"))
-    store.commit("marks", state.advance(store.read("marks"), seen))
-    stamps = store.read("turns").select("source_id", F.col("timestamp_ms").alias("ms")).union(rec.select("source_id", "timestamp_ms"))
-    store.commit("cadence", rollups.cadence(stamps))
+    columns = ["source_id", "native_id", "timestamp_ms", "record_type", "role", "tool_name", "content_excerpt", "source_file"]
+    rec = rec.select(*columns).persist()
+    try:
+        span = rec.agg(F.min("timestamp_ms").alias("low"), F.max("timestamp_ms").alias("high")).first()
+        if span["low"] is not None:
+            base = store.turns.log.newest()
+            stored = store.turns.between(span["low"], span["high"])
+            store.turns.append(state.append_new(stored, turns_of(rec), "id", "native_id"), stream, batch, base)
+            store.stamps.append(newest_stamps(rec.select("source_id", F.col("timestamp_ms").alias("ms"))), stream, batch)
+            store.marks.append(raised(rec.select("source_id", F.col("timestamp_ms").alias("last_ms"))), stream, batch)
+            store.tidy()
+    finally:
+        rec.unpersist()
 
 
 def ingest(spark: SparkSession, source_id: str, folder: str, store: Store, checkpoint: str, glob: str = stores.GLOB, files_a_batch: int = 1000, floor_ms: int = 0) -> StreamingQuery:
@@ -59,7 +84,7 @@ def ingest(spark: SparkSession, source_id: str, folder: str, store: Store, check
     files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_a_batch).text(folder, wholetext=True)
 
     def batch(rows: DataFrame, number: int) -> None:
-        take(store, stores.READERS[source_id](rows.sparkSession, stores.numbered(rows), floor_ms))
+        take(store, stores.READERS[source_id](rows.sparkSession, stores.numbered(rows), floor_ms), checkpoint, number)
 
     named = files.select(F.col("_metadata.file_path").alias("source_file"), "value")
     return named.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
