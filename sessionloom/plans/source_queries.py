@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,7 @@ from ..functions.plan import fresh_folder
 from ..sources import stores
 from ..sources import views as V
 from ..streaming import ingest
-from .registry import query
-
+from .registry import DAY, NOW, query
 
 
 def _files(spark, d, name: str, line) -> str:
@@ -98,46 +99,77 @@ def stream_ingest(spark, d):
     return store.read("turns").select("native_id", "timestamp_ms", "role")
 
 
-def _database(spark, name: str) -> str:
-    """A path for a database file in the shared folder."""
-    import os
+_MIDDLE = NOW - 16 * DAY
+
+
+def _databases(frames: dict[str, DataFrame], schema: dict[str, str]) -> DataFrame:
+    """source_file and content of SQLite files: rows of several tables, those of one ``file`` in one file, made by tasks."""
+    rows = None
+    for name, df in frames.items():
+        part = df.select("file", F.lit(name).alias("into"), "row")
+        rows = part if rows is None else rows.union(part)
+
+    def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        db = sqlite3.connect(":memory:")
+        for name, columns in schema.items():
+            db.execute(f"create table {name}({columns})")
+        for into, row in zip(group["into"], group["row"], strict=True):
+            values = json.loads(row)
+            db.execute(f"insert into {into} values ({', '.join('?' * len(values))})", values)
+        db.commit()
+        return pd.DataFrame({"source_file": [key[0]], "content": [db.serialize()]})
 
-    folder = fresh_folder(spark, name).removeprefix("file://").removeprefix("file:")
-    os.makedirs(folder)
-    return f"{folder}/data.sqlite"
+    return rows.groupBy("file").applyInPandas(build, "source_file string, content binary")
 
 
-@query("select 'm' || n_nationkey as native_id, n_nationkey::bigint + 1000 as timestamp_ms, 'message' as record_type, '/r/' || n_regionkey as project_path, n_name || ' [tool:sh]' as content_excerpt from nation where n_nationkey % 6 <> 5 union all select 's' || r_regionkey, r_regionkey::bigint + 1000, 'session_start', '/r/' || r_regionkey, '' from region")
+def _texts(df: DataFrame, *columns) -> DataFrame:
+    """file, and a row's values as a JSON list of texts, which SQLite takes for the kind that a column has."""
+    return df.select("file", F.to_json(F.array(*[c.cast("string") for c in columns])).alias("row"))
+
+
+@query(_READ + f""", mine as (select *, user_id || '/' || strftime(ts, '%Y-%m-%d') as file from ev where event_type in ('view', 'click')), kept as (select * from mine where event_id % 6 <> 5),
+begun as (select file, min(ms) as low, max(ms) as high, any_value(user_id) as user_id from mine group by 1)
+select 'm' || event_id as native_id, ms as timestamp_ms, 'message' as record_type, '/p/' || (user_id % 16) as project_path, event_type || ' [tool:sh]' as content_excerpt from kept where ms > {_MIDDLE}
+union all select 's' || file, low, 'session_start', '/p/' || (user_id % 16), '' from begun where low > {_MIDDLE}""")
 def source_opencode(spark, d):
-    """SRC-05, JON-24, PRJ-02, FLT-02: sessions, messages and parts of a SQLite store, made of the 5 regions and 25 nations."""
-    path = _database(spark, "opencode")
-    regions, nations = V.load(spark, d, "region").collect(), V.load(spark, d, "nation").collect()  # tables of a fixed size
-    with sqlite3.connect(path) as db:
-        db.executescript("create table session(id, project_id, directory, title, time_created, time_updated, model, agent); create table message(id, session_id, time_created, data); create table part(message_id, data, time_created)")
-        db.executemany("insert into session values (?, 'p', ?, 't', ?, ?, 'm', 'a')", [(f"s{r.r_regionkey}", f"/r/{r.r_regionkey}", r.r_regionkey + 1000, r.r_regionkey + 2000) for r in regions])
-        db.executemany("insert into message values (?, ?, ?, ?)", [(f"m{n.n_nationkey}", f"s{n.n_regionkey}", n.n_nationkey + 1000, "{broken" if n.n_nationkey % 6 == 5 else '{"role":"user"}') for n in nations])
-        db.executemany("insert into part values (?, ?, ?)", [x for n in nations for x in ((f"m{n.n_nationkey}", '{"type":"tool","tool":"sh"}', 2), (f"m{n.n_nationkey}", f'{{"type":"text","text":"{n.n_name}"}}', 1))])
-    return stores.opencode(spark, path, 999).select("native_id", "timestamp_ms", "record_type", "project_path", "content_excerpt")
-
-
-@query("select cast(n_nationkey as varchar) as native_id, 1704067200000 + n_nationkey * 1000 as timestamp_ms, n_name as model, 'p' || n_regionkey as provider, cast(n_nationkey / 4.0 as double) as cost_usd, n_nationkey::bigint as prompt_tokens from nation where n_nationkey > 3")
+    """SRC-05, JON-24, PRJ-02, FLT-02: sessions, messages and parts of SQLite files, one a user and day, read above a mark."""
+    ms = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts) div 1000")
+    e = V.load(spark, d, "events").where("event_type in ('view', 'click')").withColumn("ms", ms).withColumn("file", F.concat("user_id", F.lit("/"), F.date_format("ts", "yyyy-MM-dd")))
+    own, said = F.concat(F.lit("m"), "event_id"), F.concat(F.lit("s"), "file")
+    session = e.groupBy("file").agg(F.min("ms").alias("low"), F.max("ms").alias("high"), F.any_value("user_id").alias("user_id"))
+    data = F.when(F.col("event_id") % 6 == 5, "{broken").otherwise('{"role":"user"}')
+    parts = e.withColumn("p", F.explode(F.array(F.struct(F.lit(2).alias("at"), F.lit('{"type":"tool","tool":"sh"}').alias("data")), F.struct(F.lit(1).alias("at"), F.concat(F.lit('{"type":"text","text":"'), "event_type", F.lit('"}')).alias("data")))))
+    frames = {
+        "session": _texts(session, said, F.lit("p"), F.concat(F.lit("/p/"), F.col("user_id") % 16), F.lit("t"), F.col("low"), F.col("high"), F.lit("m"), F.lit("a")),
+        "message": _texts(e, own, said, F.col("ms"), data),
+        "part": _texts(parts, own, F.col("p.data"), F.col("p.at")),
+    }
+    kinds = {"session": "id, project_id, directory, title, time_created integer, time_updated integer, model, agent", "message": "id, session_id, time_created integer, data", "part": "message_id, data, time_created integer"}
+    return stores.opencode(spark, _databases(frames, kinds), _MIDDLE).select("native_id", "timestamp_ms", "record_type", "project_path", "content_excerpt")
+
+
+@query(_READ + f"select event_id::varchar as native_id, ms as timestamp_ms, 'm' || (user_id % 50) as model, 'p' || (user_id % 5) as provider, value as cost_usd, event_id as prompt_tokens from ev where event_type = 'purchase' and ms > {_MIDDLE}")
 def source_router(spark, d):
-    """SRC-06, PRJ-04: requests of a SQLite log strictly above the mark, with their columns."""
-    path = _database(spark, "router")
-    nations = V.load(spark, d, "nation").collect()
-    with sqlite3.connect(path) as db:
-        db.execute("create table usageHistory(id, timestamp, provider, model, connectionId, endpoint, promptTokens, completionTokens, cost, status)")
-        db.executemany("insert into usageHistory values (?, ?, ?, ?, 'c', '/v1', ?, 1, ?, 'ok')", [(n.n_nationkey, f"2024-01-01T00:00:{n.n_nationkey:02d}Z", f"p{n.n_regionkey}", n.n_name, n.n_nationkey, n.n_nationkey / 4) for n in nations])
-    rec = stores.router(spark, path, 1_704_067_200_000 + 3000)
+    """SRC-06, PRJ-04: requests of SQLite logs, one a user, strictly above the mark, with their columns."""
+    e = V.load(spark, d, "events").where("event_type = 'purchase'").withColumn("file", F.col("user_id").cast("string"))
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    rows = _texts(e, F.col("event_id"), stamp, F.concat(F.lit("p"), F.col("user_id") % 5), F.concat(F.lit("m"), F.col("user_id") % 50), F.lit("c"), F.lit("/v1"), F.col("event_id"), F.lit(1), F.col("value"), F.lit("ok"))
+    kinds = {"usageHistory": "id, timestamp, provider, model, connectionId, endpoint, promptTokens integer, completionTokens integer, cost real, status"}
+    rec = stores.router(spark, _databases({"usageHistory": rows}, kinds), _MIDDLE)
     return stores.request_columns(rec).select("native_id", "timestamp_ms", "model", "provider", "cost_usd", "prompt_tokens")
 
 
-@query("select 'ok' as outcome, 200::bigint as sampled, 200::bigint as complete union all select 'drifted', 200, 0 union all select 'absent', 0, 0")
+def _partly_keyed(_: DataFrame):
+    """Lines of users of odd number lack one key or both, save every third."""
+    keyed = F.to_json(F.struct(F.col("stamp").alias("timestamp"), F.col("event_type").alias("type")))
+    lacking = F.when(F.col("event_id") % 3 == 1, F.to_json(F.struct(F.col("stamp").alias("timestamp")))).otherwise('{"n": 1}')
+    return F.when((F.col("user_id") % 2 == 0) | (F.col("event_id") % 3 == 0), keyed).otherwise(lacking)
+
+
+@query(_READ + """, sampled as (select *, row_number() over (partition by user_id order by event_id) as r, user_id % 2 = 0 or event_id % 3 = 0 as whole from ok),
+told as (select user_id, count(*) as sampled, count(*) filter (where whole) as complete, count(*) filter (where not whole) as no_type, count(*) filter (where not whole and event_id % 3 <> 1) as no_stamp from sampled where r <= 200 group by 1)
+select user_id, case when 2 * complete <= sampled then 'drifted' else 'ok' end as outcome, sampled, complete, case when no_type = 0 then null when no_stamp = no_type then 'timestamp' else 'type' end as worst from told""")
 def format_health(spark, d):
-    """SRC-08, AGG-21, SRT-11: the newest file's records against the keys they must carry, all there, one missing, no file."""
-    every = F.to_json(F.struct(F.lit("x").alias("timestamp"), F.lit("y").alias("type")))
-    good, bad = (fresh_folder(spark, name) for name in ("good", "bad"))
-    spark.range(0, 300, 1, 1).select(every.alias("value")).write.text(good)
-    spark.range(0, 300, 1, 1).select(F.lit('{"type": 1}').alias("value")).write.text(bad)
-    health = [stores.jsonl_health(spark, p, stores.FORMAT_KEYS["claude"], glob="*.txt") for p in (good, bad, f"{good}-none")]
-    return health[0].union(health[1]).union(health[2]).select("outcome", "sampled", "complete")
+    """SRC-08, AGG-21, SRT-11: each user's file of events against the keys its records must carry."""
+    rows = stores.lines(spark, [_files(spark, d, "health", _partly_keyed)], "*.txt")
+    return stores.file_health(rows, stores.FORMAT_KEYS["claude"]).select(F.regexp_extract("source_file", "user_id=([0-9]+)", 1).cast("long").alias("user_id"), "outcome", "sampled", "complete", "worst")

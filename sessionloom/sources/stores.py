@@ -35,15 +35,22 @@ def blank() -> Column:
 def lines(spark: SparkSession, paths: list[str], glob: str = GLOB) -> DataFrame:
     """source_file, line (from 1) and value of every line that is not blank, of all files of that name under the paths.
 
-    A file is read whole, as its lines need their numbers; session files are small and many, so files are what is spread.
+    Spark splits large files by bytes and packs small ones, so no file is ever one row or one task.
     """
-    return numbered(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text(paths)
+    return numbered(files.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), "value"))
 
 
-def numbered(files: DataFrame) -> DataFrame:
-    """source_file and value of whole files as numbered lines."""
-    each = files.select("source_file", F.posexplode(F.split("value", r"\r?\n")).alias("k", "value"))
-    return each.where(F.trim("value") != "").select("source_file", (F.col("k") + 1).cast("long").alias("line"), "value")
+def numbered(rows: DataFrame) -> DataFrame:
+    """source_file, block (first byte of its split) and value of each line, as numbered lines: a line's place in its split
+    is where it was read, and a split's first number is one more than the lines of the splits before it. What is counted
+    beforehand is one row a split; lines themselves are not shuffled for it."""
+    placed = rows.withColumn("k", F.monotonically_increasing_id())
+    splits = placed.groupBy("source_file", "block").agg(F.count("*").alias("n"), F.min("k").alias("first"))
+    before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begin = splits.select("source_file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1 - F.col("first")).alias("shift"))
+    value = F.regexp_replace("value", r"\r$", "")
+    return placed.join(begin, ["source_file", "block"]).where(F.trim(value) != "").select("source_file", (F.col("k") + F.col("shift")).alias("line"), value.alias("value"))
 
 
 def there(spark: SparkSession, path: str) -> bool:
@@ -311,56 +318,101 @@ def sqlite_health(path: str, tables: dict[str, str]) -> tuple[str, str]:
     return ("drifted", "; ".join(problems)) if problems else ("ok", "")
 
 
+def file_health(rows: DataFrame, keys: list[str], sample: int = 200) -> DataFrame:
+    """Per file of numbered lines: outcome, records sampled (its first objects), those with all keys, the key missing most."""
+    first = Window.partitionBy("source_file").orderBy("line")
+    objects = parsed(rows).where(F.col("v").isNotNull()).where(is_object(F.col("v"))).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample)
+    has = {k: F.try_variant_get(F.col("v"), f"$.{k}", "variant").isNotNull() for k in keys}
+    counts = objects.groupBy("source_file").agg(F.count("*").alias("sampled"), F.count_if(functools.reduce(lambda a, b: a & b, has.values())).alias("complete"), *[F.count_if(~h).alias(f"_{k}") for k, h in has.items()])
+    worst = F.array_sort(F.array(*[F.struct((-F.col(f"_{k}")).alias("n"), F.lit(k).alias("key")) for k in keys]))[0]
+    outcome = F.when(2 * F.col("complete") <= F.col("sampled"), "drifted").otherwise("ok")
+    return counts.select("source_file", outcome.alias("outcome"), "sampled", "complete", F.when(worst["n"] < 0, worst["key"]).alias("worst"))
+
+
 def jsonl_health(spark: SparkSession, path: str, keys: list[str], sample: int = 200, glob: str = GLOB) -> DataFrame:
-    """One row: outcome, records sampled from the newest file, those with all keys, and the key missing most."""
+    """One row: what file_health says of the newest file; a file without an object is ok, no file is absent."""
+    none = spark.createDataFrame([("absent", 0, 0, None)], "outcome string, sampled bigint, complete bigint, worst string")
     if not there(spark, path):
-        return spark.createDataFrame([("absent", 0, 0, None)], "outcome string, sampled bigint, complete bigint, worst string")
+        return none
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).format("binaryFile").load(path)
     newest = files.select("path", "modificationTime").agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path")).first()["path"]
     if newest is None:
-        return spark.createDataFrame([("absent", 0, 0, None)], "outcome string, sampled bigint, complete bigint, worst string")
-    rows = parsed(lines(spark, [newest], newest.rsplit("/", 1)[-1])).where(F.col("v").isNotNull()).where(is_object(F.col("v"))).orderBy("line").limit(sample)
-    has = {k: F.try_variant_get(F.col("v"), f"$.{k}", "variant").isNotNull() for k in keys}
-    counts = rows.agg(F.count("*").alias("sampled"), F.count_if(functools.reduce(lambda a, b: a & b, has.values())).alias("complete"), *[F.count_if(~h).alias(f"_{k}") for k, h in has.items()])
-    worst = F.array_sort(F.array(*[F.struct((-F.col(f"_{k}")).alias("n"), F.lit(k).alias("key")) for k in keys]))[0]
-    outcome = F.when((F.col("sampled") > 0) & (2 * F.col("complete") <= F.col("sampled")), "drifted").otherwise("ok")
-    return counts.select(outcome.alias("outcome"), "sampled", "complete", F.when(worst["n"] < 0, worst["key"]).alias("worst"))
+        return none
+    found = file_health(lines(spark, [newest], newest.rsplit("/", 1)[-1]), keys, sample).drop("source_file")
+    return found.groupBy().agg(F.coalesce(F.first("outcome"), F.lit("ok")).alias("outcome"), F.coalesce(F.first("sampled"), F.lit(0)).alias("sampled"), F.coalesce(F.first("complete"), F.lit(0)).alias("complete"), F.first("worst").alias("worst"))
 
 
-def opencode(spark: SparkSession, path: str, floor_ms: int = 0) -> DataFrame:
-    """Sessions updated above the floor with their messages above it; a session's start only where it was created above it."""
-    if not there(spark, path):
+def databases(spark: SparkSession, path: str) -> DataFrame:
+    """source_file and content of the SQLite files that a path names: a file, a folder or a pattern."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), "content")
+
+
+def database_rows(files: DataFrame, table: str, schema: str, column: str | None = None, above: int = 0) -> DataFrame:
+    """Rows of a table of every SQLite file, with source_file; where ``column`` is given only those in which it is larger
+    than ``above``. Spark brings the bytes, so files may lie wherever Spark reads, and each is opened in its task's memory;
+    a file above 2 GB is read in place by the "sqlite" source."""
+    fields = T.StructType.fromDDL(schema).fields
+    shape = T.StructType([T.StructField("source_file", T.StringType()), *fields])
+    kinds = [{T.LongType: int, T.DoubleType: float}.get(type(f.dataType), str) for f in fields]
+    ask = f"select {', '.join(f'\"{f.name}\"' for f in fields)} from \"{table}\"" + (f' where "{column}" > ?' if column else "")
+
+    def run(batches: Iterator) -> Iterator:
+        import sqlite3
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = bytearray(content.as_buffer())
+                raw[18:20] = b"\x01\x01"  # a file in write-ahead mode is read as it stands
+                db = sqlite3.connect(":memory:")
+                db.text_factory = lambda b: b.decode("utf-8", "replace")
+                db.deserialize(bytes(raw))
+                cursor = db.execute(ask, [above] if column else [])
+                while rows := cursor.fetchmany(10_000):
+                    clean = [[None if v is None else kind(v.decode("utf-8", "replace") if isinstance(v, bytes) else v) for v in values] for kind, values in zip(kinds, zip(*rows, strict=True), strict=True)]
+                    columns = [pa.array([name] * len(rows)), *(pa.array(v, {int: pa.int64(), float: pa.float64()}.get(k, pa.string())) for k, v in zip(kinds, clean, strict=True))]
+                    yield pa.RecordBatch.from_arrays(columns, names=shape.fieldNames())
+                db.close()
+
+    return files.select("source_file", "content").mapInArrow(run, shape)
+
+
+def opencode(spark: SparkSession, path: str | DataFrame, floor_ms: int = 0) -> DataFrame:
+    """Sessions updated above the floor with their messages above it; a session's start only where it was created above it.
+    path: a place of SQLite files, or a frame of their source_file and content. Ids hold within a file."""
+    if isinstance(path, str) and not there(spark, path):
         return empty(spark)
+    files = databases(spark, path) if isinstance(path, str) else path
     above = {"session": "time_updated", "message": "time_created"}
-    session, message, part = (sqlite_table(spark, path, t, s, **({"column": above[t], "above": floor_ms} if t in above else {})) for t, s in OPENCODE.items())
+    session, message, part = (database_rows(files, t, s, above.get(t), floor_ms) for t, s in OPENCODE.items())
     session = session.withColumnsRenamed({"id": "session_id"}).drop("time_updated")
-    file = F.lit(path).alias("source_file")
     meta = lambda *names: F.to_json(F.struct(*names))
     begun = record(
-        session.where(F.col("time_created") > floor_ms).withColumn("line", F.lit(0)).select("*", file), "opencode",
+        session.where(F.col("time_created") > floor_ms).withColumn("line", F.lit(0)), "opencode",
         native_id=F.col("session_id"), timestamp_ms=F.col("time_created"), record_type=F.lit("session_start"), project_path=F.col("directory"), model=F.col("model"), raw_meta=meta("title", "agent", "session_id", "project_id"),
     )
     data = F.try_parse_json("data")
     said = F.when(F.col("ptype") == "text", F.coalesce(F.try_variant_get(F.col("p"), "$.text", "string"), blank())).when(F.col("ptype") == "tool", F.concat(F.lit("[tool:"), F.coalesce(F.try_variant_get(F.col("p"), "$.tool", "string"), blank()), F.lit("]")))
     parts = part.withColumn("p", data).withColumn("ptype", F.try_variant_get(F.col("p"), "$.type", "string")).withColumn("said", said).where("said is not null")
-    texts = parts.groupBy(F.col("message_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("time_created", "said"))), lambda x: x["said"]), " ").alias("text"))
+    texts = parts.groupBy("source_file", F.col("message_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("time_created", "said"))), lambda x: x["said"]), " ").alias("text"))
     kept = message.withColumn("v", data).where(F.col("v").isNotNull()).withColumn("message_id", F.col("id"))
-    joined = kept.join(session.drop("time_created"), "session_id").join(texts, "id", "left")
+    joined = kept.join(session.drop("time_created"), ["source_file", "session_id"]).join(texts, ["source_file", "id"], "left")
     told = record(
-        joined.withColumn("line", F.lit(1)).select("*", file), "opencode",
+        joined.withColumn("line", F.lit(1)), "opencode",
         native_id=F.col("message_id"), timestamp_ms=F.col("time_created"), record_type=F.lit("message"), role=field("role"), project_path=F.col("directory"), model=F.col("model"),
         content_excerpt=excerpt(F.coalesce("text", blank())), raw_meta=meta("session_id", "project_id", "message_id"),
     )
     return begun.union(told)
 
 
-def router(spark: SparkSession, path: str, floor_ms: int = 0) -> DataFrame:
-    """Requests above the floor; what they cost and used is in raw_meta."""
-    if not there(spark, path):
+def router(spark: SparkSession, path: str | DataFrame, floor_ms: int = 0) -> DataFrame:
+    """Requests above the floor; what they cost and used is in raw_meta. path: as for opencode."""
+    if isinstance(path, str) and not there(spark, path):
         return empty(spark)
-    rows = sqlite_table(spark, path, "usageHistory", ROUTER).withColumn("ms", iso_to_ms(F.col("timestamp"))).where((F.col("ms") > floor_ms) & (F.col("ms") > 0))
+    rows = database_rows(databases(spark, path) if isinstance(path, str) else path, "usageHistory", ROUTER).withColumn("ms", iso_to_ms(F.col("timestamp"))).where((F.col("ms") > floor_ms) & (F.col("ms") > 0))
     meta = F.to_json(F.struct("provider", F.col("connectionId").alias("connection_id"), "endpoint", F.col("promptTokens").alias("prompt_tokens"), F.col("completionTokens").alias("completion_tokens"), F.col("cost").alias("cost_usd"), "status"))
-    return record(rows.withColumn("line", F.lit(0)).withColumn("source_file", F.lit(path)), "nine_router", native_id=F.col("id"), timestamp_ms=F.col("ms"), record_type=F.lit("router_request"), model=F.col("model"), raw_meta=meta)
+    return record(rows.withColumn("line", F.lit(0)), "nine_router", native_id=F.col("id"), timestamp_ms=F.col("ms"), record_type=F.lit("router_request"), model=F.col("model"), raw_meta=meta)
 
 
 def request_columns(rec: DataFrame) -> DataFrame:

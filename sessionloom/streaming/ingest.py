@@ -81,10 +81,10 @@ def take(store: Store, rec: DataFrame, stream: str | None = None, batch: int = 0
 
 def ingest(spark: SparkSession, source_id: str, folder: str, store: Store, checkpoint: str, glob: str = stores.GLOB, files_a_batch: int = 1000, floor_ms: int = 0) -> StreamingQuery:
     """Starts a stream over a store's folder that takes all files there are and ends (availableNow)."""
-    files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_a_batch).text(folder, wholetext=True)
+    files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_a_batch).option("lineSep", "\n").text(folder)
 
     def batch(rows: DataFrame, number: int) -> None:
         take(store, stores.READERS[source_id](rows.sparkSession, stores.numbered(rows), floor_ms), checkpoint, number)
 
-    named = files.select(F.col("_metadata.file_path").alias("source_file"), "value")
+    named = files.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), "value")
     return named.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -147,3 +147,37 @@ def test_format_health(spark, tmp_path):
     os.utime(tmp_path / "a.jsonl", (time.time() - 100,) * 2)
     assert tuple(stores.jsonl_health(spark, str(tmp_path), stores.FORMAT_KEYS["claude"]).first()) == ("drifted", 2, 1, "timestamp")
     assert stores.jsonl_health(spark, str(tmp_path / "none"), ["x"]).first().outcome == "absent"
+
+
+def test_lines_of_split_files_keep_their_numbers(spark, tmp_path):
+    """A large file is read by several tasks; each line has its number in the file all the same."""
+    (tmp_path / "big.jsonl").write_text("".join(f'{{"n": {k}}}\r\n' if k % 7 else "\n" for k in range(1, 200_001)))
+    (tmp_path / "small.jsonl").write_text('{"n": 1}\n\n{"n": 3}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        got = stores.lines(spark, [str(tmp_path)])
+        assert spark.read.text(str(tmp_path / "big.jsonl")).rdd.getNumPartitions() > 5
+        n = F.regexp_extract("value", "([0-9]+)", 1).cast("long")
+        assert got.where(n != F.col("line")).count() == 0 and got.count() == 200_000 - 200_000 // 7 + 2
+        assert got.where(F.col("value").contains("\r")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_databases_of_a_folder(spark, tmp_path):
+    """Ids hold within a file; a file in write-ahead mode is read; text that is no UTF-8 loses its odd bytes only."""
+    for k, name in enumerate(("a.db", "b.db")):
+        with sqlite3.connect(tmp_path / name) as db:
+            if k:
+                db.execute("pragma journal_mode=wal")
+            db.executescript("create table session(id, project_id, directory, title, time_created, time_updated, model, agent); create table message(id, session_id, time_created, data); create table part(message_id, data, time_created);")
+            db.execute("insert into session values ('s', 'p', ?, 't', 10, 20, 'm', 'a')", (f"/p/{k}",))
+            db.execute("insert into message values ('m', 's', 15, '{}')")
+            db.execute("insert into part values ('m', ?, 1)", (json.dumps({"type": "text", "text": f"t{k}"}),))
+            db.execute("insert into part values ('m', cast(x'ff' as text), 2)")
+        if k:
+            db.execute("pragma wal_checkpoint(truncate)")
+        db.close()
+    got = stores.opencode(spark, str(tmp_path)).where("record_type = 'message'").collect()
+    assert sorted((r.project_path, r.content_excerpt) for r in got) == [("/p/0", "t0"), ("/p/1", "t1")]
