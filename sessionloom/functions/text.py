@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -56,16 +57,54 @@ def redact(text: Column, literals: list[str] = ()) -> Column:
     return functools.reduce(lambda c, s: F.replace(c, F.lit(s), F.lit(MASK)), sorted(literals, key=lambda s: (-len(s), s)), out)
 
 
+#: The tokens of a JSON text: strings, structure, white space, all else.
+JSON_TOKEN = r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|\s+|[^"{}\[\]:,\s]+'
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _numbered_keys(tokens: Column) -> Column:
+    """Tokens (t, key: whether it names a field) as text, equal keys of one object numbered."""
+    none = F.expr("cast(array() as array<string>)")
+    with_number = lambda t, n: F.concat(F.substring(t, F.lit(1), F.length(t) - 1), F.lit("#"), n.cast("string"), F.lit('"'))
+
+    def named(own: Column, t: Column) -> Column:
+        free = F.filter(F.sequence(F.lit(2), F.size(own) + 2), lambda n: ~F.array_contains(own, with_number(t, n)))
+        return F.when(F.array_contains(own, t), with_number(t, free[0])).otherwise(t)
+
+    def step(s: Column, x: Column) -> Column:
+        """seen: the keys met so far of every object that is open; out: the tokens so far."""
+        t, above = x["t"], F.slice(s["seen"], F.lit(1), F.size(s["seen"]) - 1)
+        own = F.element_at(s["seen"], -1)
+        key = F.when(x["key"], named(own, t)).otherwise(t)
+        seen = F.when(t == "{", F.concat(s["seen"], F.array(none))).when(t == "}", above).when(x["key"], F.concat(above, F.array(F.concat(own, F.array(key))))).otherwise(s["seen"])
+        return F.struct(F.concat(s["out"], F.array(key)).alias("out"), seen.alias("seen"))
+
+    start = F.struct(none.alias("out"), F.expr("array(cast(array() as array<string>))").alias("seen"))
+    return F.array_join(F.aggregate(tokens, start, step, lambda s: s["out"]), "")
+
+
 def redact_json(json: Column) -> Column:
-    """A JSON text with every string value and key redacted; what is no JSON is redacted as text.
+    """Every string of a JSON text masked by itself, values and keys at any depth; numbers and structure stay.
 
-    Strings are masked one by one: a JSON string token never holds a bare quote, so the text is split at string tokens and
-    each is redacted by itself; numbers, names and structure stay as they are.
+    Of keys of one object that are equal once masked, all but the first are numbered from #2 on, past numbers that the
+    object has already. A text that is no JSON is masked as a text.
     """
-    tokens = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*"|[^"]+'), F.lit(0))
-    inner = lambda t: F.substring(t, F.lit(2), F.length(t) - 2)
-    masked = F.array_join(F.transform(tokens, lambda t: F.when(t.startswith('"'), F.concat(F.lit('"'), redact(inner(t)), F.lit('"'))).otherwise(t)), "")
-    return F.when(F.try_parse_json(json).isNull(), redact(json)).when(json.rlike(SUSPECT), masked).otherwise(json)
+    masked = lambda t: F.when(t.startswith('"'), F.concat(F.lit('"'), redact(F.substring(t, F.lit(2), F.length(t) - 2)), F.lit('"'))).otherwise(t)
+    colon = lambda ts, i: (F.get(ts, i + 1) == ":") | (F.get(ts, i + 1).rlike(r"^\s") & (F.get(ts, i + 2) == ":"))
+    marked = lambda ts: F.transform(ts, lambda t, i: F.struct(masked(t).alias("t"), (t.startswith('"') & F.coalesce(colon(ts, i), F.lit(False))).alias("key")))
+    plain = lambda m: F.array_join(F.transform(m, lambda x: x["t"]), "")
+    collide = lambda m: F.size(F.filter(m, lambda x: x["key"] & x["t"].contains(MASK))) > 1
+    whole = _bound(_bound(F.regexp_extract_all(json, F.lit(JSON_TOKEN), F.lit(0)), marked), lambda m: F.when(collide(m), _numbered_keys(m)).otherwise(plain(m)))
+    return F.when(F.try_parse_json(json).isNull(), redact(json)).when(json.rlike(SUSPECT), whole).otherwise(json)
+
+
+def redact_bytes(data: Column, literals: list[str] = ()) -> Column:
+    """Bytes as UTF-8 text, what is none replaced, masked."""
+    return redact(F.make_valid_utf8(data.cast("string")), literals)
 
 
 def leaks(text: Column, literals: list[str] = ()) -> Column:

@@ -472,7 +472,7 @@ h as (select kind, string_agg(source_id || ':' || n, ',' order by source_id || '
 def efficacy(spark, d):
     items = V.load(spark, d, "benchmark").withColumn("stamp", F.concat(F.lit("<!-- made-prompt:v1:"), F.substring(F.sha2("text", 256), 1, 12), F.lit(" -->")))
     artifacts = items.select((F.col("item_id") % 4).alias("kind"), (F.col("item_id") % 9).alias("project"), F.concat_ws(" ", "text", "stamp").alias("content"))
-    pasted = V.load(spark, d, "conversations").where("turn % 3 = 0").withColumn("item_id", F.col("conv_id") % 60).join(items.select("item_id", "stamp"), "item_id", "left")
+    pasted = V.load(spark, d, "conversations").withColumn("item_id", F.when(F.col("turn") % 3 == 0, F.col("conv_id") % 60)).join(items.select("item_id", "stamp"), "item_id", "left")
     turns = pasted.select(F.col("role").alias("source_id"), F.concat_ws(" ", "text", "stamp").alias("text"))
     completed = V.load(spark, d, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").cast("long").alias("project"))
     return rollups.efficacy(artifacts, turns, completed)

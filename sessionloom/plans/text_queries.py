@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import folders
 from ..sources import views as V
 from .registry import query, quoted, redact_sql
 
 _QUOTES = ["see /tmp/a/b.txt now", "(/private/tmp/x) and /skill:plan", "Skill(run) then @skill", "/var/log/x.", "nothing here", "compiler=ab12 end", "compiler=zz", "/opt/a/b, /opt/a/b; /Users/me/x.py:"]
-_PROSE = f"(select doc_id, left(text, 40) || ' ' || {V.picked_sql(_QUOTES, 'doc_id')} as t from documents)"
+_PROSE = f"(select doc_id, text || ' ' || {V.picked_sql(_QUOTES, 'doc_id')} as t from documents)"
 
 
 def _prose(spark, d):
-    return V.load(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 40), F.lit(" "), V.picked(_QUOTES, F.col("doc_id"))).alias("t"))
+    return V.load(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" "), V.picked(_QUOTES, F.col("doc_id"))).alias("t"))
 
 
 @query(f"select doc_id, case when length(s) > 48 then left(s, 47) || '…' else s end as line from (select doc_id, trim(replace(coalesce(t, ''), chr(10), ' '), ' ') as s from {_PROSE})")
@@ -94,11 +95,10 @@ def path_forms(spark, d):
     return V.load(spark, d, "customer").select("c_custkey", T.plain_path(raw).alias("plain"), T.safe_path(wanted, other).alias("chosen"), T.project_name(raw).alias("name"))
 
 
-@query("select page_id, replace(replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') as escaped, replace(replace(replace(left(html, 200), '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e') as inert from pages")
+@query("select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') as escaped, replace(replace(replace(html, '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e') as inert from pages")
 def html_forms(spark, d):
     """STR-19."""
-    head = F.substring("html", 1, 200)
-    return V.load(spark, d, "pages").select("page_id", T.html_escape(head).alias("escaped"), T.script_json(head).alias("inert"))
+    return V.load(spark, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"), T.script_json(F.col("html")).alias("inert"))
 
 
 @query("select native_id, strftime(to_timestamp(ms // 1000), '%Y-%m-%dT%H:%M:%SZ') as at, case when d <= 0 then '—' when d < 60000 then printf('%.1fs', d / 1000.0) else (d // 1000 // 60) || 'm' || lpad(cast(d // 1000 % 60 as varchar), 2, '0') || 's' end as took, round((1706745600000 - ms) / 86400000.0, 6) as age_days from (select native_id, ms, native_id * 7919 % 8000 * 50 - 19950 as d from rec)")
@@ -137,6 +137,18 @@ def redact_json(spark, d):
     return V.load(spark, d, "events").select("event_id", T.redact_json(made).alias("safe"))
 
 
+_NEST = """case when event_id % 4 = 0 then '{"password=aaaaaaaa1": {"token=bbbbbbbb2": 1, "token=bbbbbbbb3": [{"secret=cccccccc4": 2, "secret=cccccccc5": 3}]}, "password=aaaaaaaa6": 4, "password=REDACTED_SECRET#2": ' || event_id || '}'
+  when event_id % 4 = 1 then '{"a": {"password=aaaaaaaa1": "x"}, "b": {"password=aaaaaaaa2" : "' || event_type || '"}}' when event_id % 4 = 2 then '{"note": "token=bbbbbbbb2", "n": ' || event_id || '}' else 'token=bbbbbbbb2 in no JSON {' end"""
+
+
+@query("""select event_id, case when event_id % 4 = 0 then '{"password=REDACTED_SECRET": {"token=REDACTED_SECRET": 1, "token=REDACTED_SECRET#2": [{"secret=REDACTED_SECRET": 2, "secret=REDACTED_SECRET#2": 3}]}, "password=REDACTED_SECRET#2": 4, "password=REDACTED_SECRET#3": ' || event_id || '}'
+  when event_id % 4 = 1 then '{"a": {"password=REDACTED_SECRET": "x"}, "b": {"password=REDACTED_SECRET" : "' || event_type || '"}}' when event_id % 4 = 2 then '{"note": "token=REDACTED_SECRET", "n": ' || event_id || '}' else 'token=REDACTED_SECRET in no JSON {' end as safe, 'b token=REDACTED_SECRET ' || event_type || chr(65533) as safe_bytes from events""")
+def redact_nested(spark, d):
+    """STR-02, UDF-02: keys at any depth, those that collide numbered within their object; bytes that are no UTF-8."""
+    data = F.concat(F.encode(F.concat(F.lit("b token=bbbbbbbb2 "), "event_type"), "UTF-8"), F.unhex(F.lit("FF")))
+    return V.load(spark, d, "events").select("event_id", T.redact_json(F.expr(_NEST)).alias("safe"), T.redact_bytes(data).alias("safe_bytes"))
+
+
 @query("select event_id, 'a' || event_id || ',u' || user_id as ids, case when event_id % 2 = 0 then 's' || user_id end as session_id, event_id % 3 <> 0 as counted from events")
 def nested_ids(spark, d):
     """JSN-01, JSN-02, JSN-07: id-shaped values of nested objects, the session id by name, counts from JSON or nothing."""
@@ -153,3 +165,16 @@ def goal_checks(spark, d):
     goal = F.when(F.col("turn") % 3 == 0, "Running `make test` prints its result, and that output satisfies: exits 0").otherwise("Make it better")
     criterion = F.when(F.col("turn") % 4 == 1, "works well").otherwise("HTTP status is 2xx and the body contains the field")
     return V.load(spark, d, "conversations").select("conv_id", "turn", (F.col("text").contains("xyz") | T.is_falsifiable(goal)).alias("falsifiable"), T.is_observable(criterion).alias("observable"))
+
+
+@query("""select c_custkey, case c_custkey % 5 when 0 then base || '/src' when 1 then base || case when c_nationkey % 2 = 0 then '/-cfg' else '/.cfg' end when 2 then base || '/gone-' || c_custkey when 3 then '' else '/x-' || c_custkey end as path, c_custkey % 5 = 3 as malformed
+from (select *, '/p/' || (c_nationkey % 5) || case when c_nationkey % 2 = 0 then '-' else '/' end || c_nationkey as base from customer)""")
+def folder_paths(spark, d):
+    """STR-21, UDF-01: names against known folders, some with hyphens, some hidden, some gone, some that would climb."""
+    n, k = F.col("c_nationkey"), F.col("c_custkey")
+    c = V.load(spark, d, "customer")
+    own = F.when(n % 2 == 0, F.concat(F.lit("/p/"), n % 5, F.lit("-"), n, F.lit("/src"))).otherwise(F.concat(F.lit("/p/"), n % 5, F.lit("/"), n, F.lit("/.cfg")))
+    coded = F.concat(F.lit("-p-"), n % 5, F.lit("-"), n)
+    end = F.when(k % 5 == 0, "-src").when(k % 5 == 1, "--cfg").when(k % 5 == 2, F.concat(F.lit("-gone-"), k)).otherwise("-..")
+    names = c.select("c_custkey", F.when(k % 5 == 4, F.concat(F.lit("x-"), k)).otherwise(F.concat(coded, end)).alias("name"))
+    return names.join(folders.decode(names, folders.ancestors(c.select(own.alias("path")))), "name").select("c_custkey", "path", "malformed")

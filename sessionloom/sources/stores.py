@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import cells, iso_to_ms, redact, safe_path
+from ..operators import folders
 
 RECORD = (
     "source_id string, native_id string, timestamp_ms bigint, record_type string, role string, project_path string, git_branch string, "
@@ -170,12 +171,15 @@ def requirement_ids(markdown: DataFrame) -> DataFrame:
     return rows.where((F.size("c") >= 2) & F.get("c", F.lit(0)).rlike(REQUIREMENT)).select("source_file", F.get("c", F.lit(0)).alias("id")).distinct()
 
 
-def decoded(paths: list[str], segment: Column) -> Column:
-    """A store folder's name with - for / as a path that exists; '' where none of the known paths has that name."""
-    names = {p.replace("/", "-"): p for p in paths}
-    if not names:
-        return F.lit("")
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])[segment], F.lit(""))
+def with_folder(rows: DataFrame, segment: Column, known_paths: list[str], layout: str) -> DataFrame:
+    """Adds folder: the path that a store folder's name stands for, among the known paths and what lies above them; '' where
+    none are known or the name is malformed."""
+    if not known_paths:
+        return rows.withColumn("folder", blank())
+    spark, named = rows.sparkSession, rows.withColumn("segment", segment)
+    known = folders.ancestors(spark.createDataFrame([(p,) for p in known_paths], "path string"))
+    names = folders.decode(named.select(F.col("segment").alias("name")).distinct(), known, layout)
+    return named.join(names.select(F.col("name").alias("segment"), F.col("path").alias("folder")), "segment", "left").withColumn("folder", F.coalesce("folder", blank())).drop("segment")
 
 
 def claude(spark: SparkSession, path: str | DataFrame, floor_ms: int = 0, known_paths: list[str] = (), glob: str = GLOB) -> DataFrame:
@@ -184,7 +188,7 @@ def claude(spark: SparkSession, path: str | DataFrame, floor_ms: int = 0, known_
     if rows is None:
         return empty(spark)
     rows = rows.where(~F.col("source_file").contains("/subagents/"))
-    folder = F.element_at(F.split("source_file", "/"), -2)
+    rows = with_folder(rows, F.element_at(F.split("source_file", "/"), -2), list(known_paths), "claude")
     message = F.col("type").isin("user", "assistant")
     error = (F.col("type") == "system") & (string_at("subtype") == "error")
     block = "case when try_variant_get(x, '$.type', 'string') = 'text' then coalesce(try_variant_get(x, '$.text', 'string'), '') when try_variant_get(x, '$.type', 'string') = 'tool_use' then concat('[tool:', coalesce(try_variant_get(x, '$.name', 'string'), ''), ']') end"
@@ -192,7 +196,7 @@ def claude(spark: SparkSession, path: str | DataFrame, floor_ms: int = 0, known_
     return record(
         rows.where(message | error), "claude",
         native_id=field("uuid"), timestamp_ms=F.col("ms"), record_type=F.when(message, "message").otherwise("error"),
-        role=F.when(message, role).otherwise(""), project_path=safe_path(string_at("cwd"), decoded(list(known_paths), folder)), git_branch=field("gitBranch"),
+        role=F.when(message, role).otherwise(""), project_path=safe_path(string_at("cwd"), F.col("folder")), git_branch=field("gitBranch"),
         model=F.when(message, field("message.model")), content_excerpt=F.when(message, excerpt(text_of("message.content", block))),
         error_text=F.when(error, excerpt(F.coalesce(field("hookErrors"), blank()))),
     )
@@ -230,11 +234,11 @@ def omp(spark: SparkSession, path: str | DataFrame, floor_ms: int = 0, source_id
     session = F.col("type") == "session"
     root = "//" if isinstance(path, DataFrame) else path.rstrip("/") + "/"
     below = F.substring_index(F.substring_index("source_file", root, -1), "/", 1)  # the first folder under the store's own
-    folder = decoded(list(known_paths), F.when(F.col("source_file").contains(root), below).otherwise(""))
+    rows = with_folder(rows, F.when(F.col("source_file").contains(root), below).otherwise(""), list(known_paths), "omp")
     so_far = Window.partitionBy("source_file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     sticky = lambda value: F.coalesce(F.last(F.when(session, value), ignorenulls=True).over(so_far), blank())
     chosen = safe_path(string_at("cwd"), blank())
-    rows = rows.withColumn("cwd", F.coalesce(F.nullif(F.coalesce(F.last(F.when(session & (chosen != ""), chosen), ignorenulls=True).over(so_far), blank()), blank()), folder))
+    rows = rows.withColumn("cwd", F.coalesce(F.nullif(F.coalesce(F.last(F.when(session & (chosen != ""), chosen), ignorenulls=True).over(so_far), blank()), blank()), F.col("folder")))
     rows = rows.withColumn("model", sticky(F.coalesce(field("model"), blank())))
     tool = (F.col("type") == "custom") & string_at("customType").isin("tool_call", "tool_result", "tool_error") & kind_of("data").startswith("OBJECT")
     kind = F.when(session, "session_start").when(F.col("type") == "message", "message").when(tool, F.when(string_at("customType") == "tool_error", "error").otherwise("tool_call"))
