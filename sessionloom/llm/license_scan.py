@@ -124,20 +124,21 @@ def _template_words() -> frozenset:
     return frozenset(w for notice, _ in TEMPLATES.values() for w in block_words(notice))
 
 
-def _widened(text: str, low: int, high: int) -> tuple[int, int]:
-    """The span with the lines before and after it that are made of the templates' words, over single blank lines."""
-    known = _template_words()
+@functools.lru_cache(64)
+def _fits(line: str) -> bool:
+    """Whether a line, whole, is made of the templates' words."""
+    known, words = _template_words(), block_words(line)
+    return bool(words) and sum(w in known for w in words) >= (LIKE_TEMPLATES * len(words) if len(words) > 2 else len(words))
 
-    def fits(line: str) -> bool:
-        words = block_words(line[:4000])
-        return bool(words) and sum(w in known for w in words) >= (LIKE_TEMPLATES * len(words) if len(words) > 2 else len(words))
 
+def _widened(text: str, low: int, high: int) -> tuple[int, int]:
+    """The span with the lines before and after it that are made of the templates' words, over single blank lines."""
     while low:
         end = low - 1
         if end and text[end - 1] == "\n":
             end -= 1
         before = text.rfind("\n", 0, end) + 1
-        if not fits(text[before:end]):
+        if not _fits(text[before:end]):
             break
         low = before
     while high < len(text):
@@ -146,7 +147,7 @@ def _widened(text: str, low: int, high: int) -> tuple[int, int]:
             start += 1
         after = text.find("\n", start)
         after = len(text) if after < 0 else after
-        if not fits(text[start:after]):
+        if not _fits(text[start:after]):
             break
         high = after
     return low, high
