@@ -4,9 +4,9 @@ Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z l
 ``#`` or the end. A null url or one without ``://`` has an empty host and path. A rule (host, path, verdict) fits its host
 and every subdomain where the path starts with the rule's; the longest wins (ties: the first in order of text).
 
-Template tree, per host: the path's segments down to DEPTH, the rest folded into one ``**``. A run of digits becomes
-``#``; where a node has more than MOST_CHILDREN different children, its children become ``*``. Pages with a rule are the
-labelled ones. Sibling branches stand in order of their rejected share; a branch that a two-proportion test does not tell
+Template tree, per host: all segments of the path, however deep. A run of digits becomes ``#``; where a node has more than
+MOST_CHILDREN different children, its children become ``*``. A branch is left as it is once it holds so few paths that no
+node below can have more children than that. Pages with a rule are the labelled ones. Sibling branches stand in order of their rejected share; a branch that a two-proportion test does not tell
 apart from the one before it (|z| < Z_APART) joins its group, and a group takes its pooled counts. Branches without labels
 form one group with the whole family's counts, and where the family has none, with those of the host. A template is rejected where its purity,
 (blocked + SMOOTHING / 2) / (labelled + SMOOTHING), reaches LEAST_PURITY; on a host without labels all are allowed. All
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, table
 
-DEPTH = 4
 MOST_CHILDREN = 32
 Z_APART = 1.96
 SMOOTHING = 2.0
@@ -61,22 +60,26 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 
 def template_path(path: Column) -> Column:
-    """Digits as #, and segments below DEPTH as one **."""
-    parts = F.split(F.regexp_replace(path, "[0-9]+", "#"), "/")
-    return F.when(F.size(parts) > DEPTH + 1, F.concat(F.slice(parts, 1, DEPTH + 1), F.array(F.lit("**")))).otherwise(parts)
+    """Segments of a path, digits as #."""
+    return F.split(F.regexp_replace(path, "[0-9]+", "#"), "/")
 
 
 def generalise(counts: DataFrame) -> DataFrame:
-    """counts: host, parts, blocked, labelled. Adds node, the parts with crowded levels as *, from the root downwards."""
-    tree = counts.withColumn("node", F.col("parts"))
-    for depth in range(1, DEPTH + 1):
+    """counts: host, parts, blocked, labelled. Adds node, the parts with crowded levels as *, from the root downwards, for as
+    long as a branch has paths enough for a crowded level."""
+    tree, done, depth = counts.withColumn("node", F.col("parts")), [], 1
+    columns = tree.columns
+    while True:
         keyed = tree.withColumn("prefix", F.slice("node", 1, depth)).withColumn("segment", F.get("node", F.lit(depth)))
-        kids = keyed.where(F.col("segment").isNotNull()).select("host", "prefix", "segment").distinct()
-        crowded = cut_lineage(kids.groupBy("host", "prefix").count().where(F.col("count") > MOST_CHILDREN).select("host", "prefix", F.lit(True).alias("crowded")))
-        starred = F.concat(F.slice("node", 1, depth), F.array(F.lit("*")), F.slice("node", depth + 2, DEPTH + 2))
-        marked = keyed.join(crowded, ["host", "prefix"], "left")
-        tree = cut_lineage(marked.withColumn("node", F.when(F.col("crowded") & F.col("segment").isNotNull(), starred).otherwise(F.col("node"))).drop("prefix", "segment", "crowded"))
-    return tree
+        kids = keyed.where(F.col("segment").isNotNull()).groupBy("host", "prefix", "segment").agg(F.count("*").alias("paths"))
+        crowds = kids.groupBy("host", "prefix").agg(F.count("*").alias("kids"), F.sum("paths").alias("paths")).where(F.col("paths") > MOST_CHILDREN)
+        starred = F.concat(F.slice("node", 1, depth), F.array(F.lit("*")), F.slice("node", F.lit(depth + 2), F.size("node")))
+        marked = keyed.join(cut_lineage(crowds), ["host", "prefix"], "left").withColumn("open", F.col("kids").isNotNull() & F.col("segment").isNotNull())
+        tree = cut_lineage(marked.withColumn("node", F.when(F.col("open") & (F.col("kids") > MOST_CHILDREN), starred).otherwise(F.col("node"))).select(*columns, "open"))
+        done.append(tree.where(~F.col("open")).select(columns))
+        tree, depth = tree.where("open").select(columns), depth + 1
+        if tree.isEmpty():
+            return functools.reduce(DataFrame.union, done)
 
 
 def judged_templates(counts: DataFrame) -> DataFrame:
@@ -124,26 +127,25 @@ def oracle_sql() -> str:
     ordered = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
     rule = " ".join(f"{fits(r)}'{r[0]}{r[1]}'" for r in ordered)
     verdict = " ".join(f"{fits(r)}'{r[2]}'" for r in ordered)
-    steps, tree = [], "t0"
-    for d in range(1, DEPTH + 1):
-        steps.append(f"""c{d} as (select host, node[1:{d}] as prefix from (select distinct host, node[1:{d}] as node, node[{d + 1}] as segment from {tree} where len(node) > {d}) group by host, node having count(*) > {MOST_CHILDREN}),
-t{d} as (select t.host, t.parts, t.blocked, t.labelled, case when c.host is not null and len(t.node) > {d} then list_concat(list_concat(t.node[1:{d}], ['*']), t.node[{d + 2}:]) else t.node end as node
-  from {tree} t left join c{d} c on c.host = t.host and c.prefix = t.node[1:{d}])""".replace("node[1:%d] as prefix from" % d, "node as prefix from"))
-        tree = f"t{d}"
     pick = lambda k: f"case when n > 0 then g{k} when fn > 0 then f{k} else h{k} end"
-    return f"""with u as (select page_id, coalesce(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end, '') as rest from pages),
+    return f"""with recursive u as (select page_id, coalesce(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end, '') as rest from pages),
 v as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
 w as (select *, case {rule} end as rule, case {verdict} end as given, string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/') as cut from v),
-x as (select *, case when len(cut) > {DEPTH + 1} then list_concat(cut[1:{DEPTH + 1}], ['**']) else cut end as parts from w),
-t0 as (select host, parts, count(*) filter (where given = 'block') as blocked, count(rule) as labelled, parts as node from x group by host, parts),
-{", ".join(steps)},
-nodes as (select host, node, node[1:greatest(len(node) - 1, 1)] as parent, cast(sum(blocked) as double) as b, cast(sum(labelled) as double) as n from {tree} group by host, node),
+x as (select *, cut as parts from w),
+t0 as (select 0 as d, host, parts, count(*) filter (where given = 'block') as blocked, count(rule) as labelled, parts as node from x group by host, parts),
+deepest as (select max(len(parts)) as most from t0),
+levels as (select * from t0 union all
+  select l.d + 1, l.host, l.parts, l.blocked, l.labelled, case when c.host is not null and len(l.node) > l.d + 1 then list_concat(list_concat(l.node[1:l.d + 1], ['*']), l.node[l.d + 3:]) else l.node end
+  from levels l left join (select host, prefix from (select distinct host, node[1:d + 1] as prefix, node[d + 2] as segment from levels where len(node) > d + 1) group by host, prefix having count(*) > {MOST_CHILDREN}) c
+  on c.host = l.host and c.prefix = l.node[1:l.d + 1] where l.d < (select most from deepest)),
+tree as (select host, parts, blocked, labelled, node from levels where d = (select most from deepest)),
+nodes as (select host, node, node[1:greatest(len(node) - 1, 1)] as parent, cast(sum(blocked) as double) as b, cast(sum(labelled) as double) as n from tree group by host, node),
 prior as (select *, lag(b) over o as b0, lag(n) over o as n0, array_to_string(node, '/') as name from nodes window o as (partition by host, parent order by n = 0, b / nullif(n, 0), array_to_string(node, '/'))),
 apart as (select *, case when n = 0 and coalesce(n0, 0) > 0 or coalesce(abs(b / nullif(n, 0) - b0 / nullif(n0, 0)) / nullif(sqrt((b + b0) / nullif(n + n0, 0) * (1 - (b + b0) / nullif(n + n0, 0)) * (1 / nullif(n, 0) + 1 / nullif(n0, 0))), 0), 0) >= {Z_APART} then 1 else 0 end as apart from prior),
 part as (select *, sum(apart) over (partition by host, parent order by n = 0, b / nullif(n, 0), name rows unbounded preceding) as part, sum(b) over (partition by host, parent) as fb, sum(n) over (partition by host, parent) as fn, sum(b) over (partition by host) as hb, sum(n) over (partition by host) as hn from apart),
 met as (select *, sum(b) over (partition by host, parent, part) as gb, sum(n) over (partition by host, parent, part) as gn from part),
 judged as (select host, node, name, {pick("b")} as jb, {pick("n")} as jn from met),
-templates as (select t.host, t.parts, t.host || j.name as template, (jb + {SMOOTHING / 2}) / (jn + {SMOOTHING}) as purity, jn > 0 and (jb + {SMOOTHING / 2}) / (jn + {SMOOTHING}) >= {LEAST_PURITY} as reject from {tree} t join judged j on j.host = t.host and j.node = t.node)
+templates as (select t.host, t.parts, t.host || j.name as template, (jb + {SMOOTHING / 2}) / (jn + {SMOOTHING}) as purity, jn > 0 and (jb + {SMOOTHING / 2}) / (jn + {SMOOTHING}) >= {LEAST_PURITY} as reject from tree t join judged j on j.host = t.host and j.node = t.node)
 select x.page_id, x.host, x.path, x.rule, coalesce(x.given, case when m.reject then 'block' else 'allow' end) as verdict, m.template, round(m.purity, 6) as purity from x left join templates m on m.host = x.host and m.parts = x.parts"""
 
 

@@ -131,6 +131,27 @@ def test_unlabelled_templates_take_their_family(spark):
     assert got["http://mixed.com/a/z/3"] == "allow" and got["http://none.com/a/1"] == "allow"
 
 
+def test_templates_go_as_deep_as_paths(spark, tmp_path):
+    """Branches that part below many shared segments are judged apart; the SQL goes as deep."""
+    import duckdb
+
+    top = "http://bad.com/a/b/c/d/e/f"
+    urls = [f"{top}/{s}/{k}/w{n % 40}x/{n}" for s in ("spam", "good") for k in ("k", "m") for n in range(100)] + ["http://short.com", f"{top}/spam", "http://deep.com/" + "/".join("abcdefghij" * 3)]
+    rules = [("bad.com", "/a/b/c/d/e/f/spam/k/w1", "block"), ("bad.com", "/a/b/c/d/e/f/good/k/w1", "allow")]
+    got = {r.url: (r.verdict, r.template) for r in url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules=rules).collect()}
+    assert got[f"{top}/spam/k/w2x/2"][0] == "block" and got[f"{top}/good/k/w2x/2"][0] == "allow"
+    assert got[f"{top}/spam/m/w2x/2"][1] != got[f"{top}/good/m/w2x/2"][1] and got[urls[-1]] == ("allow", "deep.com/" + "/".join("abcdefghij" * 3))
+    deep = [f"http://www.site{n % 2}.com/en/{n % 9}/b/c/d/{'xyz'[n % 3]}/{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}/q{'abc'[n % 3]}" for n in range(600)]
+    spark.createDataFrame(list(enumerate(deep + deep[:20] + [None, ""])), "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    df = url_filter.op7_url_filter(spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        want = con.execute(url_filter.oracle_sql())
+        names = [d[0] for d in want.description]
+        assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r[c] for c in names)) for r in df.collect())
+    assert any("*" in r.template.split("/") for r in df.where("template is not null").collect())
+
+
 def test_url_query_equals_its_sql(spark):
     import duckdb
 
@@ -155,6 +176,17 @@ def test_license_texts_over_many_lines():
             assert name in [m[0] for m in found], (name, width, found)
 
 
+def test_long_lines_join_a_block_by_all_their_words():
+    """What counts is the whole neighbouring line, not how it begins."""
+    words = " ".join(sorted(w for w in license_scan._template_words() if w.isalpha() and not license_scan._TRIGGER.search(w)))
+    assert not license_scan._TRIGGER.search((words + " ") * 2)
+    like, unlike = (words + " ") * 8, (words + " ") * 3 + "river stone cloud meadow " * 3000
+    assert len(like) > 4000 < len((words + " ") * 3) and license_scan._fits(like) and not license_scan._fits(unlike)
+    notice = "Licensed under CC BY 4.0"
+    assert license_scan.candidate_blocks(f"{unlike}\n{notice}\n{unlike}")[0][0] == len(unlike) + 1
+    assert license_scan.candidate_blocks(f"{like}\n{notice}")[0][0] == 0
+
+
 def test_licenses(spark):
     rows = [(1, "text\nLicensed under the Apache License, Version 2.0\nmore"), (2, "Released under the MIT License. All rights reserved."), (3, "a driving license is needed"), (4, None), (5, ""), (6, "filler " * 200_000 + "\nThis work is licensed under the GNU General Public License, version 3"), (7, "This work is licensed under the GNU General Public License, version 2")]
     got = {r.doc_id: sorted(m.license for m in r.matches) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
