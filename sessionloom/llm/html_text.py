@@ -22,6 +22,7 @@ are parsed whole, in memory that follows the longest page. Repeated rows repeat;
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -83,18 +84,35 @@ class Lines(HTMLParser):
         self.marks: list[tuple[int, int, int]] = [(-1, 0, -1)]  # mark around it, element, kind; number 0 is no mark
         self.under: list[tuple[int, int]] = [(0, 0)]  # of each mark: what is left of it inside article, and inside main
         self.marked: list[int] = [-1]  # marked element around each marked element; number 0 is none
-        self.parts: list[str] = []
-        self.plain = 0  # characters of the line's parts that are words outside links
+        self.open: dict[str, int] = defaultdict(int)  # elements on the stack by name
+        self.parts: list[tuple[str, tuple, int]] = []  # text, what it stands in, characters that are words outside links
         self.tags = 0
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split()) if self.parts else ""
-        self.parts.clear()
+        """Ends a line. Where its runs of text stand under different marks, the line is under the mark of most of its characters,
+        and runs that a hidden element or furniture inside it holds are left out."""
+        around = self.stack[-1] if self.stack else OUTSIDE
+        parts = self.parts
+        marks = {part[1][2] for part in parts}
+        if marks and marks != {around[2]}:
+            size: Counter[int] = Counter()
+            for data, state, _ in parts:
+                size[state[2]] += len(data.strip())
+            mark = max(size, key=lambda m: (size[m], -m))
+            around = next(state for _, state, _ in parts if state[2] == mark)
+            parts = [part for part in parts if part[1][2] == mark or self.marks[part[1][2]][2] < BY_ELEMENT]
+        text = " ".join("".join([data for data, *_ in parts]).split()) if parts else ""
         if text:
-            _, container, mark, marked, _, prose, _ = self.stack[-1] if self.stack else OUTSIDE
-            self.lines.append((text, max(1, self.tags), mark, container, marked, prose, self.plain))
+            _, container, mark, marked, _, prose, _ = around
+            self.lines.append((text, max(1, self.tags), mark, container, marked, prose, sum([plain for *_, plain in parts])))
             self.tags = 0
-        self.plain = 0
+        self.parts = []
+
+    def cut(self, k: int) -> None:
+        """Closes all elements from the k-th on."""
+        for element in self.stack[k:]:
+            self.open[element[0]] -= 1
+        del self.stack[k:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK or tag == "br":
@@ -116,12 +134,13 @@ class Lines(HTMLParser):
             kind = self.kind(tag, dict(attrs))
             if kind is not None:
                 self.marked.append(marked)
-                mark, marked = self.add_mark(mark, kind), len(self.marked) - 1
+                mark, marked = self.add_mark(mark, kind, tag != "nav"), len(self.marked) - 1
         if tag in CONTAINER:
             self.parents.append(container)
             self.names.append(tag)
             container = len(self.parents) - 1
         self.stack.append((tag, container, mark, marked, silent, prose, link))
+        self.open[tag] += 1
 
     def kind(self, tag: str, given: dict[str, str | None]) -> int | None:
         role = (given.get("role") or "").lower()
@@ -133,8 +152,9 @@ class Lines(HTMLParser):
             return BY_ELEMENT
         return BY_NAME if named(given) is None and (tag == "form" or role == "form") else named(given)
 
-    def add_mark(self, around: int, kind: int) -> int:
-        """A mark of the newest marked element; what of it holds inside article and main is made beside it."""
+    def add_mark(self, around: int, kind: int, lasting: bool = True) -> int:
+        """A mark of the newest marked element; what of it holds inside article and main is made beside it. One that does not
+        last ends where an article begins: an article in a menu means that the menu's end is missing."""
 
         def made(around: int, under: tuple[int, int] | None) -> int:
             self.marks.append((around, len(self.marked) - 1, kind))
@@ -144,16 +164,18 @@ class Lines(HTMLParser):
         article, main = self.under[around]
         if kind == HIDDEN:
             main = made(main, None)
-        if kind != BY_NAME:
+        if kind == HIDDEN or kind != BY_NAME and lasting:
             article = made(article, None)
             self.under[article] = (article, main)
         return made(around, (article, main))
 
     def close_open(self, tag: str, borders: set[str]) -> None:
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 self.flush()
-                del self.stack[k:]
+                self.cut(k)
                 return
             if self.stack[k][0] in borders:
                 return
@@ -162,18 +184,19 @@ class Lines(HTMLParser):
         if tag in BLOCK or tag == "br":
             self.flush()
         self.tags += 1
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
-                del self.stack[k:]
+                self.cut(k)
                 return
 
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][0] == "head" and data.strip():
             self.close_open("head", set())
-        if not (self.stack and self.stack[-1][4]):
-            self.parts.append(data)
-            if not (self.stack and self.stack[-1][6]) and _WORD.search(data):
-                self.plain += len(data)
+        state = self.stack[-1] if self.stack else OUTSIDE
+        if not state[4]:
+            self.parts.append((data, state, len(data) if not state[6] and _WORD.search(data) else 0))
 
 
 def in_article(parser: Lines) -> list[bool]:

@@ -70,6 +70,26 @@ def test_the_threshold_parts_links_from_text():
         html_text.threshold = keep
 
 
+def test_open_elements_lose_no_article_text():
+    """Ends that are missing, and marked elements inside a sentence."""
+    body = " ".join(f"Sentence number {n} tells a little more about the river and its many stones." for n in range(6))
+    assert html_text.main_text(f"<nav><a href=1>x</a><div><article><p>{body}</p></article></div>") == body
+    for tail in ("<button>Click", "<span class='share'>Share", "<span hidden>no"):
+        got = html_text.main_text(f"<article><p>{body}</p><p>Good text here to the very end of it {tail}</p><p>{body}</p></article>")
+        assert got.startswith(body) and "Good text here to the very end of it" in got and "no" not in got.split()
+    inside = html_text.main_text(f"<article><p>{body}</p><p>Text of the tale <span hidden>secret</span><button>Click</button> goes on here</p></article>")
+    assert inside == f"{body}\nText of the tale goes on here"
+
+
+def test_pages_of_very_many_tags():
+    """End tags without a start cost no walk over the open elements."""
+    import time
+
+    began = time.process_time()
+    got = html_text.main_text("<div>" * 2000 + "<p>" + "<i>" * 100_000 + "</b>" * 100_000 + "the only words here")
+    assert "the only words here" in got and time.process_time() - began < 20
+
+
 def test_known_articles(spark):
     """Pages made around known articles: the query gives exactly their blocks."""
     import random
