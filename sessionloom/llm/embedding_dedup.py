@@ -374,3 +374,15 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
 
 def op10_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def oracle_sql() -> str:
+    """All pairs of vectors, for tables small enough for that; components by reachable ids."""
+    return f"""
+WITH RECURSIVE doubles AS (SELECT vec_id, embedding::double[] AS v FROM embeddings),
+good AS (SELECT vec_id, v FROM doubles WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= {MIN_COSINE}),
+degrees AS (SELECT a AS vec_id, count(*) AS n_links FROM edges GROUP BY a),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, e.b FROM reach r JOIN edges e ON e.a = r.other)
+SELECT r.vec_id, coalesce(any_value(d.n_links), 0) AS n_links, min(r.other) AS component_id, r.vec_id = min(r.other) AS kept FROM reach r LEFT JOIN degrees d USING (vec_id) GROUP BY r.vec_id
+"""

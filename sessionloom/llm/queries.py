@@ -21,7 +21,9 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_near_dedup": near_dedup.oracle_sql(),
     "op7_url_filter": url_filter.oracle_sql(),
+    "op10_embedding_dedup": embedding_dedup.oracle_sql(),
     "op11_prefix_trie": prefix_trie.oracle_sql(),
     "op13_top_search": top_search.oracle_sql(),
 }

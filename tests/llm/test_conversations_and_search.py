@@ -212,7 +212,7 @@ def test_reading_stops_early_and_loses_nothing():
     assert not len(top_search.read_lists(block, q, int(scores.max()) + 1, -1, 10))
 
 
-@pytest.mark.parametrize("name", ["op11_prefix_trie", "op13_top_search"])
+@pytest.mark.parametrize("name", ["op2_near_dedup", "op10_embedding_dedup", "op11_prefix_trie", "op13_top_search"])
 def test_query_equals_sql(spark, sf_dir, name):
     df = queries.QUERIES[name](spark, sf_dir)
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == answers(queries.SQL[name], sf_dir)
