@@ -8,8 +8,10 @@ of reading. A missing path gives an empty frame. Stamps are kept above a floor (
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,10 +61,23 @@ def there(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def _last_keys(lines: pd.Series) -> pd.Series:
+    """JSON texts with only the last of repeated keys; null for null and for what is no JSON."""
+
+    def once(line: str | None) -> str | None:
+        try:
+            return None if line is None else json.dumps(json.loads(line), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    return lines.map(once, na_action="ignore")
+
+
 def parsed(rows: DataFrame) -> DataFrame:
-    """Adds v, the line as a variant; null where it is no JSON. Repeated keys keep their last value where the session's
-    spark.sql.variant.allowDuplicateKeys is on; otherwise such a line counts as malformed."""
-    return rows.withColumn("v", F.try_parse_json("value"))
+    """Adds v, the line as a variant; null where it is no JSON. Of repeated keys the last counts, whatever the session's
+    settings: a line that the parser does not take, and no other, is written anew with its last keys."""
+    tried = rows.withColumn("_v", F.try_parse_json("value")).withColumn("_again", F.pandas_udf(_last_keys, T.StringType())(F.when(F.col("_v").isNull(), F.col("value"))))
+    return tried.withColumn("v", F.coalesce("_v", F.try_parse_json("_again"))).drop("_v", "_again")
 
 
 def is_object(v: Column) -> Column:

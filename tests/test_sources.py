@@ -181,3 +181,20 @@ def test_databases_of_a_folder(spark, tmp_path):
         db.close()
     got = stores.opencode(spark, str(tmp_path)).where("record_type = 'message'").collect()
     assert sorted((r.project_path, r.content_excerpt) for r in got) == [("/p/0", "t0"), ("/p/1", "t1")]
+
+
+def test_the_last_of_repeated_keys_counts(spark, tmp_path):
+    """In all three formats, at any depth, whatever the session allows."""
+    stamp = f'"timestamp": "{TS.format(2, 1)}"'
+    write(tmp_path / "c" / "a.jsonl", [f'{{{stamp}, "type": "x", "type": "user", "uuid": "u", "message": {{"content": "first", "content": "last"}}}}', '{"a": 1, "a": }', "\\u0000"])
+    write(tmp_path / "x" / "a.jsonl", [f'{{{stamp}, "type": "session_meta", "payload": {{"cwd": "/p/a", "cwd": "/p/b", "id": "s"}}}}'])
+    write(tmp_path / "o" / "a.jsonl", [f'{{{stamp}, "type": "message", "id": "no", "id": "m", "message": {{"role": "user", "content": "x", "content": [{{"type": "text", "text": "y"}}]}}}}'])
+    for allowed in ("false", "true"):
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", allowed)
+        try:
+            assert [(r["record_type"], r["content_excerpt"]) for r in rows(stores.claude(spark, str(tmp_path / "c")))] == [("message", "last")]
+            assert [r["project_path"] for r in rows(stores.codex(spark, str(tmp_path / "x")))] == ["/p/b"]
+            assert [(r["native_id"], r["content_excerpt"]) for r in rows(stores.omp(spark, str(tmp_path / "o")))] == [("m", "y")]
+            assert stores.malformed(spark, [str(tmp_path / "c")]).first().malformed == 2
+        finally:
+            spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
