@@ -323,3 +323,15 @@ def is_falsifiable(goal: Column) -> Column:
 def is_observable(criterion: Column) -> Column:
     """Whether a criterion names something that can be seen: output, a status, a file, a screen."""
     return criterion.rlike(r"(?i)\b(exits?|stdout|output|printed|status|body|file|screenshot|renders?|log|line|contains?|quote)\b")
+
+
+#: A citation without a root with what follows it, and the marks of a stand-in.
+CITATION = r"(?U)(?<![\w/])\.?/?evidence/\S*"
+STAND_IN = r"[{}<>*]"
+
+
+def rooted_evidence(text: Column, root: Column) -> Column:
+    """A text whose citations of evidence/ name the place from the root; stand-ins stay as they are, to their last sign."""
+    cited = F.regexp_extract_all(text, F.lit(f"({CITATION})"), F.lit(1))
+    placed = lambda c: F.when(F.regexp_replace(c, r"^\.?/?evidence/", "").rlike(STAND_IN), c).otherwise(F.concat(root, F.lit("/"), F.regexp_replace(c, r"^\.?/?evidence/", "")))
+    return F.array_join(F.zip_with(F.split(text, CITATION), cited, lambda between, c: F.concat(between, F.coalesce(placed(c), F.lit("")))), "")

@@ -137,3 +137,9 @@ def portable(text: Column, home: str) -> Column:
     for form in (home, home.replace("/", "\\/"), home.replace("/", "%2F"), home.replace("/", "-"), home.replace("/", "&#x2F;")):
         text = F.replace(text, F.lit(form), F.lit("~"))
     return text
+
+
+def listed(stored: DataFrame, most: int | None = None) -> DataFrame:
+    """Imported bundles, newest first, ties by id. They share no keys with projects, sessions or turns and are never joined."""
+    rows = stored.select("bundle_id", "project_name", "source_file", "exported_ms", "imported_ms", "session_count", "turn_count").orderBy(F.desc("imported_ms"), "bundle_id")
+    return rows if most is None else rows.limit(most)

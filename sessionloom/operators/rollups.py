@@ -12,26 +12,75 @@ def cost_rollup(linked: DataFrame) -> DataFrame:
     return rows.groupingSets([["project"], ["tier"], []], "project", "tier").agg(F.grouping_id().alias("level"), F.count("*").alias("requests"), F.round(F.sum("cost"), 4).alias("cost_usd"))
 
 
+def _cell(v: Column, an_octave: int = 64) -> Column:
+    """A number that never falls as a value grows: parts of an octave, on both sides of 0. Values of a cell are alike."""
+    away = F.floor(F.log2(F.abs(v)) * an_octave) + 1200 * an_octave
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("long") * away)
+
+
 def exclusive_deciles(rows: DataFrame, key: str, value: str, p: float = 0.9) -> DataFrame:
     """key, n, total, p50 (median) and the quantile at p (n + 1), for ten values or more, else the maximum.
 
-    Equal values are counted first; the running count over the different values finds the two that stand beside the
-    wanted place, so no group is gathered into one row.
+    Equal values are counted first and the counts summed by cells of the value; running counts over a key's cells find those
+    in which the wanted places lie, and only their values are ordered, each cell by itself. So no key's values meet in one task.
+    Nulls count as nothing, a key of nulls alone has no row.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("high", F.sum("c").over(Window.partitionBy(key).orderBy("v"))).withColumn("n", F.sum("c").over(Window.partitionBy(key)))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")).withColumn("cell", _cell(F.col("v")))
+    cells = counts.groupBy(key, "cell").agg(F.sum("c").alias("held"), F.sum(F.col("v") * F.col("c")).alias("part"), F.max("v").alias("top"))
+    own = Window.partitionBy(key)
+    placed = cells.select(
+        key, "cell", "held", F.sum("held").over(own.orderBy("cell")).alias("upto"), F.sum("held").over(own).alias("n"), F.sum("part").over(own).alias("total"), F.max("top").over(own).alias("largest"),
+    )
     pos = F.lit(p) * (F.col("n") + 1)
     k = F.greatest(F.least(F.floor(pos), F.col("n") - 1), F.lit(1))
-    at = lambda place: F.max(F.when((F.col("high") >= place) & (F.col("high") - F.col("c") < place), F.col("v")))
-    middle = lambda place: at(F.floor(place))
-    found = upto.groupBy(key).agg(
-        F.max("n").alias("n"), F.sum(F.col("v") * F.col("c")).alias("total"), F.max("v").alias("largest"), F.max(pos - k).alias("share"),
-        at(k).alias("low"), at(k + 1).alias("up"), middle((F.col("n") + 1) / 2).alias("m1"), middle((F.col("n") + 2) / 2).alias("m2"),
-    )
+    places = F.array(k, F.least(k + 1, F.col("n")), F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2))
+    before = F.col("upto") - F.col("held")
+    wanted = placed.withColumn("places", places).where(F.exists("places", lambda x: (x > before) & (x <= F.col("upto")))).select(key, "cell", before.alias("before"), "n", "total", "largest", "places", (pos - k).alias("share"))
+    inside = counts.join(wanted, [key, "cell"]).withColumn("high", F.col("before") + F.sum("c").over(Window.partitionBy(key, "cell").orderBy("v")))
+    at = lambda j: F.max(F.when((F.col("high") >= F.col("places")[j]) & (F.col("high") - F.col("c") < F.col("places")[j]), F.col("v")))
+    found = inside.groupBy(key).agg(*[F.max(c).alias(c) for c in ("n", "total", "largest", "share")], *[at(j).alias(name) for j, name in enumerate(("low", "up", "m1", "m2"))])
     inner = F.col("low") + F.col("share") * (F.col("up") - F.col("low"))
     return found.select(key, "n", "total", ((F.col("m1") + F.col("m2")) / 2).alias("p50"), F.when(F.col("n") >= 10, inner).otherwise(F.col("largest")).alias("quantile"))
 
 
+#: How sure a link is; requests without a word for it are unknown.
+CONFIDENCES = ["exact", "high", "medium", "unknown"]
+
+
+def project_costs(projects: DataFrame, linked: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Per project its cost, requests, sessions, cost per complete episode (0 without one) and requests by confidence.
+
+    projects: project; linked: project, session, cost, confidence; episodes: project, status. Every project has a row, also
+    one without requests; a null cost is 0; requests of a project that is not listed are left out.
+    """
+    sure = F.coalesce(F.nullif("confidence", F.lit("")), F.lit("unknown"))
+    spent = linked.where("project is not null").groupBy("project").agg(F.sum("cost").alias("cost"), F.count("*").alias("requests"), F.count_distinct("session").alias("sessions"), *[F.count_if(sure == c).alias(c) for c in CONFIDENCES])
+    done = episodes.where("status = 'complete'").groupBy("project").agg(F.count("*").alias("complete"))
+    met = projects.select("project").distinct().join(spent, "project", "left").join(done, "project", "left").na.fill(0)
+    mix = F.map_filter(F.create_map(*[x for c in CONFIDENCES for x in (F.lit(c), F.col(c))]), lambda _, n: n > 0)
+    return met.select("project", F.col("cost").alias("total_usd"), "requests", "sessions", F.when(F.col("complete") > 0, F.col("cost") / F.col("complete")).otherwise(0.0).alias("per_complete_usd"), mix.alias("confidence"))
+
+
+def cost_summary(costs: DataFrame) -> DataFrame:
+    """Total, median, ninth exclusive decile (the largest below ten projects) and count of project totals; zeros without one."""
+    one = costs.select(F.lit(1).alias("all"), "total_usd")
+    found = exclusive_deciles(one, "all", "total_usd").select("n", "total", "p50", "quantile")
+    none = costs.sparkSession.range(1).select(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in ("total", "p50", "quantile")])
+    return found.union(none).agg(F.max_by(F.struct("total", "p50", "quantile", "n"), "n").alias("s")).select(F.col("s.total").alias("total_usd"), F.col("s.p50").alias("p50_usd"), F.col("s.quantile").alias("p90_usd"), F.col("s.n").alias("project_count"))
+
+
+def source_overview(counts: DataFrame, marks: DataFrame, rows: DataFrame, now_ms: int) -> DataFrame:
+    """What is known of each source from three sides: records of the latest run, watermark, cadence baseline.
+
+    counts: source_id, records; marks: source_id, last_ms; rows: source_id, median_gap_ms, sample_size (a source once in each).
+    A source of any side has a row. A baseline that was never computed has no word, one without a gap too little data.
+    """
+    met = counts.join(marks, "source_id", "full_outer").join(rows.select("source_id", "median_gap_ms", F.lit(True).alias("computed")), "source_id", "full_outer")
+    judged = cadence_status(met.withColumn("watermark_ms", F.coalesce("last_ms", F.lit(0))), now_ms)
+    n = F.coalesce("records", F.lit(0))
+    return judged.select("source_id", (n > 0).alias("available"), n.alias("record_count"), F.when(n <= 0, "no records in window").alias("error"), F.col("last_ms").isNotNull().alias("ever_ingested"), F.when(F.col("computed"), F.col("cadence")).alias("cadence"))
+
+
 def gaps(rows: DataFrame, key: str, at: str, tie: str, cell_ms: int = 86_400_000) -> DataFrame:
     """Each row with the time since the row before it of its key. Rows are ordered within cells of time; the last stamp of
     the cell before is carried over the border, so a key of many rows is spread over its cells."""

@@ -111,3 +111,18 @@ def sticky(rec: DataFrame) -> DataFrame:
     """Each record with its file's last project that is not empty up to it."""
     w = Window.partitionBy("source_id", "source_file").orderBy("native_id").rowsBetween(Window.unboundedPreceding, 0)
     return rec.withColumn("sticky_project", F.last(F.when(F.col("project_path") != "", F.col("project_path")), ignorenulls=True).over(w))
+
+
+def skipped(sessions: DataFrame, rec: DataFrame, links: DataFrame) -> DataFrame:
+    """Per source what a store leaves out as its session has no project: sessions, turns and links.
+
+    sessions: source_id, source_file, project_path; rec: records with source_id, source_file, record_type; links: source_id,
+    source_file. A source that loses nothing has a row of zeros.
+    """
+    key = ["source_id", "source_file"]
+    bare = sessions.select(*key, (F.coalesce("project_path", F.lit("")) == "").alias("bare"))
+    turns = rec.where("record_type = 'message'").groupBy(*key).agg(F.count("*").alias("turns"))
+    linked = links.where("source_file is not null").groupBy(*key).agg(F.count("*").alias("links"))
+    met = bare.join(turns, key, "left").join(linked, key, "left").na.fill(0)
+    lost = lambda n: F.coalesce(F.sum(F.when(F.col("bare"), n)), F.lit(0))
+    return met.groupBy("source_id").agg(lost(F.lit(1)).alias("sessions"), lost(F.col("turns")).alias("turns"), lost(F.col("links")).alias("links"))
