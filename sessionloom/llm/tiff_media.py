@@ -33,13 +33,18 @@ FIELD_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11:
 FIELD_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 
 
+#: A page of more samples than a binary value of Arrow can hold is refused; no codec here makes more than GROWTH of a byte.
+MOST_BYTES, GROWTH = 2**31 - 1, 4096
+
+
 class TiffError(ValueError):
     """The bytes are no TIFF that this reader can decode."""
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int = MOST_BYTES) -> bytes:
+    """Decodes until ``most`` bytes are there, as the other decoders do."""
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and len(out) < most:
         count = data[at]
         at += 1
         if count < 128:
@@ -69,11 +74,11 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = MOST_BYTES) -> bytes:
     """Clear code 256, end code 257, widths from 9 to 12 bits that grow one code early."""
     table: list[bytes] = []
     out: list[bytes] = []
-    previous, width, bits, held = b"", 9, 0, 0
+    previous, width, bits, held, size = b"", 9, 0, 0, 0
     for byte in data:
         bits, held = (bits << 8) | byte, held + 8
         if held < width:
@@ -94,7 +99,10 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise TiffError("LZW code out of range")
         out.append(entry)
-        if previous:
+        size += len(entry)
+        if size >= most:
+            break
+        if previous and len(table) < 4096:
             table.append(previous + entry[:1])
         previous = entry
         width = min(12, max(9, (len(table) + 1).bit_length()))
@@ -138,18 +146,27 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _unpack(data: bytes, compression: int) -> bytes:
+def _inflate(data: bytes, most: int) -> bytes:
+    try:
+        stream = zlib.decompressobj()
+        found = stream.decompress(data, most)
+        if not stream.decompress(stream.unconsumed_tail, 1) and not stream.eof:
+            raise TiffError("deflate: the stream is cut short")
+    except zlib.error as error:
+        raise TiffError(f"deflate: {error}") from error
+    return found
+
+
+def _unpack(data: bytes, compression: int, most: int) -> bytes:
+    """The first ``most`` bytes of a strip or tile, so that no stream makes more than its place holds."""
     if compression == NONE:
-        return data
+        return data[:most]
     if compression in (DEFLATE, OLD_DEFLATE):
-        try:
-            return zlib.decompress(data)
-        except zlib.error as error:
-            raise TiffError(f"deflate: {error}") from error
+        return _inflate(data, most)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, most)
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, most)
     raise TiffError(f"compression {compression}")
 
 
@@ -172,6 +189,14 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
         raise TiffError(f"directory: {error}") from error
 
 
+def _whole(tags: dict[int, tuple], tag: int, default: int | None = None) -> int:
+    """The first value of a tag, a number above 0."""
+    value = (tags.get(tag) or (default,))[0] if tag in tags or default is not None else None
+    if tag in tags and not tags[tag] or value is None or value < 1:
+        raise TiffError(f"tag {tag} is missing or no size")
+    return value
+
+
 def pages(data: bytes) -> Iterator[dict]:
     """Every page in order: width, height, samples (pixels' samples, rows from the top), compression, predictor, tiled."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
@@ -183,24 +208,26 @@ def pages(data: bytes) -> Iterator[dict]:
             raise TiffError("the directories form a ring")
         seen.add(at)
         tags, at = _directory(data, at, order)
-        if 256 not in tags or 257 not in tags:
-            raise TiffError("a page without size")
-        width, height, planes = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
-        if set(tags.get(258, (8,))) - {8} or tags.get(284, (1,))[0] != 1:
+        width, height, planes = _whole(tags, 256), _whole(tags, 257), _whole(tags, 277, 1)
+        if set(tags.get(258, (8,))) - {8} or _whole(tags, 284, 1) != 1:
             raise TiffError("only 8-bit samples, interleaved")
-        compression, predictor = tags.get(259, (1,))[0], tags.get(317, (1,))[0]
+        compression, predictor = _whole(tags, 259, 1), _whole(tags, 317, 1)
+        if width * height * planes > min(MOST_BYTES, GROWTH * len(data)):
+            raise TiffError("a page larger than its bytes can hold")
         tiled = 324 in tags
-        across, down = (tags[322][0], tags[323][0]) if tiled else (width, min(height, tags.get(278, (height,))[0]))
+        across, down = (_whole(tags, 322), _whole(tags, 323)) if tiled else (width, min(height, _whole(tags, 278, height)))
+        if across * down * planes > min(MOST_BYTES, GROWTH * len(data)):
+            raise TiffError("a tile larger than its bytes can hold")
         places, sizes = (tags[324], tags.get(325)) if tiled else (tags.get(273), tags.get(279))
-        columns = -(-width // across) if across else 0
-        if not places or not sizes or not columns or not down or len(places) < columns * -(-height // down):
+        columns, lines = -(-width // across), -(-height // down)
+        if not places or not sizes or min(len(places), len(sizes)) < columns * lines or min(places) < 0 or min(sizes) < 0:
             raise TiffError("strips or tiles are missing")
         image = np.zeros((height, width, planes), np.uint8)
-        for k, (place, size) in enumerate(zip(places, sizes, strict=False)):
+        for k, (place, size) in enumerate(zip(places[: columns * lines], sizes, strict=False)):
             top, left = k // columns * down, k % columns * across
             rows = down if tiled else min(down, height - top)
-            raw = np.frombuffer(_unpack(data[place : place + size], compression), np.uint8)
-            if top >= height or len(raw) < rows * across * planes:
+            raw = np.frombuffer(_unpack(data[place : place + size], compression, rows * across * planes), np.uint8)
+            if len(raw) < rows * across * planes:
                 raise TiffError("a strip or tile is cut short")
             part = raw[: rows * across * planes].reshape(rows, across, planes)
             if predictor == 2:
@@ -259,15 +286,14 @@ def text_media(text: str | None) -> bytes:
     return write([samples[k : k + PAGE_ROWS] for k in range(0, len(samples), PAGE_ROWS)])
 
 
-def feature(stored: list[dict]) -> str:
-    """Pages, pixels, mean, deviation, share of zero samples and entropy in bits, of all samples of the stored pages."""
-    counts = sum(np.bincount(np.frombuffer(p["samples"], np.uint8), minlength=256) for p in stored)
+def feature(pages_read: int, counts: np.ndarray) -> str:
+    """Pages, pixels, mean, deviation, share of zero samples and entropy in bits, from how often each sample occurs."""
     total = int(counts.sum())
     share, level = counts / total, np.arange(256)
     mean = float(share @ level)
     deviation = float(np.sqrt(max(0.0, share @ level**2 - mean * mean)))
     entropy = float(-(share[share > 0] * np.log2(share[share > 0])).sum()) + 0.0
-    return f"pages={len(stored)};pixels={total};mean={mean:.4f};sd={deviation:.4f};zero={share[0]:.6f};bits={entropy:.4f}"
+    return f"pages={pages_read};pixels={total};mean={mean:.4f};sd={deviation:.4f};zero={share[0]:.6f};bits={entropy:.4f}"
 
 
 def media_column(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
@@ -313,26 +339,63 @@ def page_rows(frame: DataFrame, media: str = "media") -> DataFrame:
     return frame.select(*keep, media).mapInArrow(run, schema)
 
 
-DIGEST_FIELDS = [("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")]
+DIGEST_FIELDS = [("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("feature", "string")]
 
 
-def media_digests(frame: DataFrame, media: str = "media") -> DataFrame:
-    """Reads each stored file back and digests it; a file that cannot be read fails the job, as its content is lost."""
-    keep = [c for c in frame.columns if c != media and c not in dict(DIGEST_FIELDS)]
-    schema = T.StructType([frame.schema[c] for c in keep] + T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in DIGEST_FIELDS)).fields)
+class _FileDigest:
+    """What is kept of a file while its pages go by."""
 
-    def digest(data: bytes) -> tuple:
-        stored = list(pages(data))
-        samples = b"".join(p["samples"] for p in stored)
-        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(stored)
+    def __init__(self, row: pa.RecordBatch):
+        self.row, self.sha, self.size, self.tail, self.pages, self.counts = row, hashlib.sha256(), 0, b"", 0, np.zeros(256, np.int64)
+
+    def add(self, samples: memoryview) -> None:
+        self.sha.update(samples)
+        self.size += len(samples)
+        self.tail = (self.tail + bytes(samples[-WIDTH:]))[-WIDTH:]
+        self.pages += 1
+        self.counts += np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
+
+    def values(self) -> tuple:
+        return self.size, self.sha.hexdigest(), zlib.crc32(self.tail), feature(self.pages, self.counts)
+
+
+def page_digests(rows: DataFrame) -> DataFrame:
+    """One row per file from its rows of ``page_rows``, which follow each other in their partition; a page at a time is held.
+
+    A file that could not be read fails the job here, as its content would be lost.
+    """
+    keep = [c for c in rows.columns if c not in dict(PAGE_FIELDS) and c not in dict(DIGEST_FIELDS)]
+    schema = T.StructType([rows.schema[c] for c in keep] + T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in DIGEST_FIELDS)).fields)
+    kinds = [pa.int64() if t == "long" else pa.string() for _, t in DIGEST_FIELDS]
+
+    def result(files: list[_FileDigest]) -> pa.RecordBatch:
+        own = pa.Table.from_batches([f.row for f in files]).combine_chunks()
+        found = [pa.array(v, k) for v, k in zip(zip(*(f.values() for f in files), strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([own.column(c).combine_chunks() for c in keep] + found, names=[*keep, *dict(DIGEST_FIELDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files: list[_FileDigest] = []
         for batch in batches:
-            found = list(zip(*(digest(value.as_py()) for value in batch.column(media)), strict=True)) or [[]] * len(DIGEST_FIELDS)
-            kinds = [pa.int64() if t == "long" else pa.string() for _, t in DIGEST_FIELDS]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(v, k) for v, k in zip(found, kinds, strict=True)], names=[*keep, *dict(DIGEST_FIELDS)])
+            own, samples = batch.select(keep), batch.column("samples")
+            for i, (page, error) in enumerate(zip(batch.column("page").to_pylist(), batch.column("error").to_pylist(), strict=True)):
+                if error is not None:
+                    raise TiffError(error)
+                if page == 0:
+                    files.append(_FileDigest(own.take(pa.array([i]))))
+                files[-1].add(memoryview(samples[i].as_buffer()))
+            if len(files) > 1:
+                yield result(files[:-1])
+                del files[:-1]
+        if files:
+            yield result(files)
+
+    return rows.select(*keep, "page", "samples", "error").mapInArrow(run, schema)
 
-    return frame.select(*keep, media).mapInArrow(run, schema)
+
+def media_digests(frame: DataFrame, media: str = "media") -> DataFrame:
+    """Reads each stored file back page by page and digests its samples, the file's own size and digest beside them."""
+    stored = frame.withColumns({"media_bytes": F.length(media).cast("long"), "media_sha256": F.sha2(media, 256)})
+    return page_digests(page_rows(stored, media))
 
 
 def op6_media(spark, sf_dir: str) -> DataFrame:

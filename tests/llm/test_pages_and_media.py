@@ -263,6 +263,69 @@ def test_files_of_every_kind(spark):
     assert tiff_media.page_rows(spark.createDataFrame([], "id long, media binary")).count() == 0
 
 
+def test_hostile_files_are_one_row(spark):
+    """Sizes beyond the bytes at hand, tags without values or sizes, streams that grow: each an error row, none ends the job."""
+    import struct
+
+    def made(tags: dict[int, list[int] | None], body: bytes = b"") -> bytes:
+        out = b"II" + struct.pack("<HI", 42, 8 + len(body)) + body + struct.pack("<H", len(tags))
+        for tag in sorted(tags):
+            out += struct.pack("<HHII", tag, 4, 1 if tags[tag] else 0, (tags[tag] or [0])[0])
+        return out + b"\0\0\0\0"
+
+    page = {256: [4], 257: [4], 258: [8], 259: [1], 273: [8], 278: [4], 279: [16]}
+    body = bytes(range(16))
+    bomb = zlib.compress(bytes(40_000_000), 9)
+    files = {
+        "sound": made(page, body),
+        "vast": made(page | {256: [2**31], 257: [2**31], 278: [2**31]}, body),
+        "no width": made(page | {256: None}, body),
+        "zero": made(page | {257: [0]}, body),
+        "no rows a strip": made(page | {278: None}, body),
+        "no samples": made(page | {277: None}, body),
+        "no tile size": made({k: v for k, v in page.items() if k not in (273, 278, 279)} | {324: [8], 325: [16]}, body),
+        "vast tile": made({k: v for k, v in page.items() if k not in (273, 278, 279)} | {322: [2**31], 323: [2**31], 324: [8], 325: [16]}, body),
+        "no places": made(page | {273: None}, body),
+        "cut": made(page | {279: [15]}, body),
+        "far": made(page | {273: [2**31]}, body),
+    }
+    rows = [(name, data) for name, data in files.items()] + [("bomb", made(page | {259: [8], 279: [len(bomb)]}, bomb))]
+    got = tiff_media.page_rows(spark.createDataFrame(rows, "name string, media binary")).collect()
+    assert len(got) == len(rows)
+    by = {r.name: r for r in got}
+    assert bytes(by["sound"].samples) == body and bytes(by["bomb"].samples) == bytes(16)
+    assert [n for n, r in by.items() if r.error is None] == ["sound", "bomb"] and by["vast"].page is None
+    short = zlib.compress(body)[:-2]
+    assert tiff_media.page_rows(spark.createDataFrame([(made(page | {259: [8], 279: [len(short)]}, short),)], "media binary")).first().error
+
+
+def test_decoders_stop_where_the_place_ends():
+    data = b"ab" * 5000
+    assert len(tiff_media.lzw_decode(tiff_media.lzw_encode(data), 100)) < 200
+    assert len(tiff_media.packbits_decode(tiff_media.packbits_encode(data), 100)) < 300
+    endless = b"\x80\x00" + b"\x55" * 50_000
+    try:
+        tiff_media.lzw_decode(endless, 1 << 20)
+    except tiff_media.TiffError:
+        pass
+
+
+def test_files_of_many_pages_go_by_one_at_a_time(spark):
+    """Digests over batches of one row are those of the whole file."""
+    rng = np.random.default_rng(8)
+    files = {k: [rng.integers(0, 256, (int(rng.integers(1, 40)), 64), np.uint8) for _ in range(k)] for k in (1, 2, 5)}
+    frame = spark.createDataFrame([(k, tiff_media.write(images)) for k, images in files.items()], "id long, media binary").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        got = {r.id: r for r in tiff_media.media_digests(frame).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k, images in files.items():
+        whole = b"".join(i.tobytes() for i in images)
+        assert (got[k].payload_bytes, got[k].payload_sha256, got[k].tail_crc32) == (len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))
+        assert got[k].feature.startswith(f"pages={k};pixels={len(whole)};")
+
+
 def test_media_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 9), (2, "", 9), (2, "", 9), (3, "é" * 700_000, 9), (4, "x" * 64, 9)], "doc_id long, text string, feature int")
     rows = sorted(tiff_media.media_digests(tiff_media.media_column(docs)).collect(), key=lambda r: r.doc_id)
