@@ -139,6 +139,64 @@ def progress(episodes: DataFrame, findings: DataFrame, seeds: DataFrame) -> Data
     return done.union(going).union(found).union(open_ends).where(F.trim("line") != "")
 
 
+#: Finding categories that warn, characters of an intent and of a citation, citations of a finding, tasks of a plan.
+WARNING_KINDS = ["error_burst", "docs_drift"]
+INTENT_SHOWN, EXCERPT_SHOWN, CITED, PLANNED = 120, 160, 3, 3
+
+
+def notes(episodes: DataFrame, findings: DataFrame) -> DataFrame:
+    """project, list (decisions or gotchas), item, place and line: pivots, warnings with what they cite, abandoned work.
+
+    A line is a row as in ``progress``; an item's own line has place 0, what it cites places 1 to CITED. episodes: project,
+    session_id, status, drift, pivot_ms, ended_ms, intent; findings: project, finding, category, those of ``finding_line`` and
+    citations, an array of (ts_ms, role, excerpt), null for none. A role that is missing is a question mark.
+    """
+    intent = clip(defang(F.coalesce("intent", F.lit(""))), INTENT_SHOWN)
+    row = lambda df, name, item, place, line: df.select("project", F.lit(name).alias("list"), item.cast("string").alias("item"), place.cast("long").alias("place"), line.alias("line"))
+    pivots = row(episodes.where("drift is not null"), "decisions", F.col("session_id"), F.lit(0), F.concat(F.lit("Pivot detected at "), ms_to_iso(F.col("pivot_ms")), F.lit(": intent drifted ("), "drift", F.lit(") away from “"), intent, F.lit("”")))
+    left = row(episodes.where("status = 'abandoned'"), "gotchas", F.col("session_id"), F.lit(0), F.concat(F.lit("(D) Abandoned without completion evidence: “"), intent, F.lit("” (last activity "), ms_to_iso(F.col("ended_ms")), F.lit(")")))
+    warned = findings.where(F.col("category").isin(*WARNING_KINDS))
+    told = row(warned, "gotchas", F.col("finding"), F.lit(0), defang(finding_line()))
+    cited = warned.select("project", "finding", F.posexplode(F.slice("citations", 1, CITED)).alias("k", "c"))
+    said = F.concat(F.lit("    "), ms_to_iso(F.col("c.ts_ms")), F.lit(" "), F.coalesce("c.role", F.lit("?")), F.lit(": "), clip(defang(F.coalesce("c.excerpt", F.lit(""))), EXCERPT_SHOWN))
+    return pivots.union(left).union(told).union(row(cited, "gotchas", F.col("finding"), F.col("k") + 1, said))
+
+
+def remediation(episodes: DataFrame, projects: DataFrame, most: int = PLANNED) -> DataFrame:
+    """project, phase, task: the newest unfinished episodes of every project, one phase each; a project without one has a
+    phase that says so. Ties go by session. A phase after the first one asks that the one before it still passes."""
+    open_ones = episodes.where(F.col("status").isin("in_progress", "abandoned"))
+    top = newest(open_ones, "project", [F.desc(F.coalesce("ended_ms", "started_ms", F.lit(0))), F.col("session_id")], most)
+    task = F.coalesce(F.nullif(clip(defang(F.coalesce("intent", F.lit(""))), EXCERPT_SHOWN), F.lit("")), F.lit("Unnamed work item"))
+    planned = projects.select("project").distinct().join(top.select("project", F.col("place").alias("phase"), task.alias("task")), "project", "left")
+    none = "No unfinished episode was observed in this window; nothing to remediate."
+    return planned.select("project", F.coalesce("phase", F.lit(1)).cast("long").alias("phase"), F.coalesce("task", F.lit(none)).alias("task"), (F.col("phase") - 1).cast("long").alias("after"))
+
+
+def brief(sessions: DataFrame, episodes: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row per project: window, sessions, harnesses, episodes by status, findings, and what it is about in a sentence.
+
+    All three tables become partial sums of one kind that meet in one shuffle; a project's rows are never gathered. Projects
+    of any table have a row. sessions: project, source_id, started_ms, ended_ms; episodes: project, status; findings: project.
+    """
+    one, nil = F.lit(1).cast("long"), F.lit(0).cast("long")
+    part = lambda df, **given: df.where("project is not null").select("project", *[given.get(c, F.lit(None).cast(t)).alias(c) for c, t in (("a", "long"), ("b", "long"), ("source_id", "string"), ("s", "long"), ("status", "string"), ("f", "long"))])
+    rows = part(sessions, a=F.coalesce("started_ms", nil), b=F.coalesce("ended_ms", nil), source_id=F.coalesce("source_id", F.lit("")), s=one)
+    rows = rows.union(part(episodes, status=F.coalesce("status", F.lit("in_progress")))).union(part(findings, f=one))
+    total = lambda c: F.coalesce(F.sum(c), nil)
+    of = lambda *names: F.count_if(F.coalesce(F.col("status").isin(*names), F.lit(False)))
+    per = rows.groupBy("project").agg(
+        F.coalesce(F.min("a"), nil).alias("started_ms"), F.coalesce(F.max("b"), nil).alias("ended_ms"), total("s").alias("sessions"), F.count_distinct("source_id").alias("harnesses"),
+        F.count("status").alias("episodes"), of("unverified").alias("unverified"), of("in_progress").alias("in_progress"), of("abandoned").alias("abandoned"), total("f").alias("findings"),
+    )
+    n = lambda c: F.col(c).cast("string")
+    text = F.concat(
+        F.lit("Observed window: "), ms_to_iso(F.col("started_ms")), F.lit(" → "), ms_to_iso(F.col("ended_ms")), F.lit(" across "), n("sessions"), F.lit(" correlated session(s) from "), n("harnesses"),
+        F.lit(" harness(es), "), n("episodes"), F.lit(" intent episode(s), "), n("findings"), F.lit(" deterministic finding(s)."),
+    )
+    return per.withColumn("scope", text)
+
+
 def rank_next(findings: DataFrame, episodes: DataFrame, seeds: DataFrame, span_end: DataFrame, most: int = 10) -> DataFrame:
     """Next tasks of every project from three sources, best score first, ties by title.
 

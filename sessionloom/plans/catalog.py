@@ -520,4 +520,4 @@ def upsert_replay(spark, d):
     return stored.agg(F.count("*").alias("stored")).crossJoin(again.agg(F.count("*").alias("after_replay")))
 
 
-from . import artifact_queries, audit_queries, bundle_queries, connector_queries, cost_queries, doctor_queries, finding_queries, source_queries, store_queries, stream_queries, text_queries  # noqa: E402, F401  registers more queries
+from . import artifact_queries, audit_queries, brief_queries, bundle_queries, connector_queries, cost_queries, doctor_queries, finding_queries, source_queries, store_queries, stream_queries, text_queries  # noqa: E402, F401  registers more queries
