@@ -2,9 +2,9 @@
 
 Every task packs its pieces best-fit by decreasing length into bins of ``capacity`` tokens. A bin that no remaining item
 could still fit (its free room is below the shortest open item) is final. The other bins become items of the next round,
-in which ``FAN_IN`` groups merge into one; rounds go on until one group is left or a round no longer saves bins. A group
-holds GROUP_BINS bins at most on average, so no task sees all bins: when more stay open, the rounds end without a single
-last group. Nothing is dropped: bins open at the end are sequences too.
+in which ``FAN_IN`` groups merge into one. A group holds GROUP_BINS bins at most on average, so no task sees all bins: while
+more stay open, each round deals them to other groups, and the rounds end where one group held all of them or a round over
+all groups has saved no bin. Nothing is dropped: bins open at the end are sequences too.
 
 Only documents longer than ``capacity`` are cut, at multiples of ``capacity``. A null text is empty and consists of the
 end id alone. Equal documents are packed separately. Ties (equal free room, equal length) fall in arrival order, so
@@ -191,6 +191,23 @@ def _pack_round(bins: DataFrame, capacity: int) -> DataFrame:
     return bins.mapInArrow(run, BINS)
 
 
+def _placed(bins: DataFrame) -> DataFrame:
+    """One row per part of a bin, with the sum of the lengths before it in its bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column("parts")
+            flat, ends = parts.flatten(), np.diff(parts.offsets.to_numpy())
+            length = flat.field("length").to_numpy(zero_copy_only=False).astype(np.int64)
+            before = np.cumsum(length) - length
+            first = np.repeat(np.cumsum(ends) - ends, ends)
+            columns = [flat.field(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
+            numbers = np.repeat(batch.column("sequence_id").to_numpy(), ends)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers), pa.array(before - before[first] if len(first) else before)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    return bins.mapInArrow(run, f"{PIECES}, sequence_id bigint, offset bigint")
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, group_bins: int = GROUP_BINS) -> DataFrame:
     """items: doc_id, piece, start, length (1 to capacity), ids_crc32. Adds sequence_id and offset."""
     items = cut_lineage(items.select("doc_id", "piece", "start", "length", "ids_crc32"))
@@ -199,26 +216,22 @@ def pack(items: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, group
     as_bin = lambda df: df.select(F.col("length").alias("used"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32")).alias("parts"))
     count = rest.count()
     groups = max(1, -(-count // group_bins))
-    done, live, before = [as_bin(full)], as_bin(rest), None
+    done, live, turn = [as_bin(full)], as_bin(rest), 0
     while count:
-        spread = live.repartition(groups, F.xxhash64(F.col("parts")[0]["doc_id"], F.col("parts")[0]["piece"]))
+        spread = live.repartition(groups, F.xxhash64(F.col("parts")[0]["doc_id"], F.col("parts")[0]["piece"], F.lit(turn)))
         packed = cut_lineage(_pack_round(spread, capacity))
         least = packed.agg(F.min("used").alias("least"), F.count("*").alias("n")).first()
         still = packed.where(F.col("used") <= capacity - least["least"])
         done.append(packed.where(F.col("used") > capacity - least["least"]))
-        count = still.count()
-        last = groups == 1 or (before is not None and count > 0.9 * before)
-        before, live = count, still
+        last = groups == 1 or least["n"] == count
+        count, live, turn = still.count(), still, turn + 1
         if last:
             done.append(still)
             break
         groups = max(1, -(-groups // fan_in), -(-count // group_bins))
     bins = functools.reduce(DataFrame.unionByName, done)
     numbered = bins.withColumn("sequence_id", F.monotonically_increasing_id())
-    inner = F.posexplode("parts").alias("k", "part")
-    placed = numbered.select("sequence_id", F.col("parts.length").alias("lengths"), inner)
-    offset = F.aggregate(F.slice("lengths", 1, F.col("k")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return placed.select("part.*", "sequence_id", offset.alias("offset"))
+    return _placed(numbered.select("sequence_id", "parts"))
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

@@ -77,6 +77,31 @@ def test_rounds_merge_groups(spark):
     assert len(used) <= 1.05 * len(set(packing.pack_sizes(np.array(sizes), 2048)))
 
 
+@pytest.mark.parametrize("group_bins, most", [(40, 1.08), (300, 1.03)])
+def test_many_small_groups_come_near_one_group(spark, group_bins, most):
+    """Sizes that pair only with few others: the larger the groups, the nearer to what one group over all makes."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(500, 1500, 4000).tolist()
+    items = spark.createDataFrame([(i, 0, 0, s, 0) for i, s in enumerate(sizes)], packing.PIECES)
+    got = packing.pack(items, group_bins=group_bins, fan_in=4).collect()
+    used = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used.get(r.sequence_id, 0)
+        used[r.sequence_id] = r.offset + r.length
+    assert len(got) == len(sizes) and max(used.values()) <= 2048
+    assert len(used) <= most * len(set(packing.pack_sizes(np.array(sizes), 2048)))
+
+
+def test_places_of_many_pieces(spark):
+    """A bin of very many pieces is placed in one pass over its lengths."""
+    items = spark.range(30_000).selectExpr("id as doc_id", "0 as piece", "0L as start", "1L as length", "id as ids_crc32")
+    got = packing.pack(items).collect()
+    by_bin = {}
+    for r in got:
+        by_bin.setdefault(r.sequence_id, []).append(r.offset)
+    assert len(by_bin) == 15 and all(sorted(v) == list(range(len(v))) for v in by_bin.values()) and len(got) == 30_000
+
+
 @pytest.mark.parametrize("operator", [lambda d: packing.pack(packing.pieces(d)), piece_tokens.encode_digests])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], "doc_id long, text string")).count() == 0
