@@ -56,11 +56,48 @@ def within(req: DataFrame, sessions: DataFrame, keys: list[str], window_ms: int
     return req.withColumn("cell", F.floor(F.col("ms") / cell_ms)).join(spread, [*keys, "cell"]).where((F.col("ms") >= low) & (F.col("ms") <= high)).drop("cell")
 
 
-def unambiguous(candidates: DataFrame) -> DataFrame:
-    """Candidates of requests whose candidates name exactly one project; those without a project fall away."""
-    named = candidates.where("project_path <> ''")
-    clear = named.groupBy("native_id").agg(F.min("project_path").alias("low"), F.max("project_path").alias("high")).where("low = high").select("native_id")
-    return named.join(clear, "native_id", "left_semi")
+def _level(window_ms: int) -> Column:
+    """Half the binary digits of a widened span's length: the largest k for which a cell of 4^k ms is no longer than it."""
+    return F.expr(f"(length(bin(greatest(ended_ms - started_ms + 2 * {int(window_ms)}L, 1L))) - 1) div 2").cast("int")
+
+
+def levels(sessions: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
+    """The levels that sessions' spans take; a row for each power of 4 at most, whatever the table's size."""
+    return sessions.select(_level(window_ms).alias("level")).where("level is not null").distinct()
+
+
+def best_within(req: DataFrame, sessions: DataFrame, keys: list[str], taken: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
+    """Per request the session of equal keys that starts first, of those whose span widened by window_ms holds it, and the
+    least and greatest project of all of these (s, low, high); requests without any are left out. taken: levels of sessions.
+
+    No pair of request and session is made, so what is shuffled does not grow with how many overlap. A span is dealt into
+    cells of the largest power of 4 ms that is no longer than itself, five at most: in all but its last cell it counts from
+    its start on, in the last up to its end. A request stands once in its cell of each level, and running minima from
+    either side of a cell, which is one window's partition, give it what counts there.
+    """
+    first, last = F.col("started_ms") - window_ms, F.col("ended_ms") + window_ms
+    cell = lambda at: F.call_function("shiftright", at, 2 * F.col("level"))
+    key = F.struct("started_ms", "source_id", "source_file", "project_path").alias("s")
+    own = ["native_id", *keys, "level"]
+    spans = sessions.where(first <= last).select(*keys, key, first.alias("first"), last.alias("last"), _level(window_ms).alias("level"))
+    spans = spans.withColumn("cell", F.explode(F.sequence(cell(F.col("first")), cell(F.col("last"))))).withColumn("ends", (F.col("cell") == cell(F.col("last"))) & (F.col("cell") > cell(F.col("first"))))
+    spans = spans.select(F.lit(None).cast(req.schema["native_id"].dataType).alias("native_id"), *keys, "level", "cell", F.when(F.col("ends"), F.col("last")).otherwise(F.col("first")).alias("at"), F.lit(False).alias("asks"), "ends", "s")
+    asked = req.select("native_id", *keys, F.col("ms").alias("at")).crossJoin(F.broadcast(taken)).withColumn("cell", cell(F.col("at")))
+    asked = asked.select(*own, "cell", "at", F.lit(True).alias("asks"), F.lit(None).cast("boolean").alias("ends"), F.lit(None).cast(spans.schema["s"].dataType).alias("s"))
+    met = spans.union(asked).where(" and ".join(f"{k} is not null" for k in [*keys, "at"]))
+    place = Window.partitionBy(*keys, "level", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = [("0", ~F.col("ends"), place.orderBy("at", "asks")), ("1", F.col("ends"), place.orderBy(F.desc("at"), "asks"))]
+    project = F.col("s.project_path")
+    for side, counts, w in sides:
+        for name, of, value in (("s", F.min, F.col("s")), ("low", F.min, project), ("high", F.max, project)):
+            met = met.withColumn(f"{name}{side}", of(F.when(counts, value)).over(w))
+    found = met.where("asks").where("s0 is not null or s1 is not null")
+    return found.groupBy("native_id").agg(F.min(F.least("s0", "s1")).alias("s"), F.min(F.least("low0", "low1")).alias("low"), F.max(F.greatest("high0", "high1")).alias("high"))
+
+
+def _clear(found: DataFrame) -> DataFrame:
+    """The session of requests whose sessions name exactly one project."""
+    return found.where("low = high").select("native_id", "s.source_id", "s.source_file", "s.project_path")
 
 
 def tier2_candidates(req: DataFrame, sessions: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
@@ -68,7 +105,8 @@ def tier2_candidates(req: DataFrame, sessions: DataFrame, window_ms: int = WINDO
 
 
 def tier2(req: DataFrame, sessions: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
-    return _best(unambiguous(tier2_candidates(req, sessions, window_ms)))
+    named = sessions.where("project_path <> ''")
+    return _clear(best_within(req, named.where("model <> ''"), ["model"], levels(named, window_ms), window_ms))
 
 
 def tier3(req: DataFrame, rec: DataFrame, sessions: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
@@ -76,13 +114,13 @@ def tier3(req: DataFrame, rec: DataFrame, sessions: DataFrame, window_ms: int =
     prints = rec.where("record_type <> 'router_request'").select("source_id", "source_file", fingerprint(F.col("excerpt")).alias("print")).where("print <> ''").distinct()
     owned = sessions.where("project_path <> ''").drop("model").join(prints, ["source_id", "source_file"])
     asked = req.select("native_id", "ms", fingerprint(F.col("excerpt")).alias("print"))
-    return _best(unambiguous(within(asked, owned, ["print"], window_ms)))
+    return _clear(best_within(asked, owned, ["print"], levels(sessions, window_ms), window_ms))
 
 
 def link(req: DataFrame, rec: DataFrame, sessions: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     """Every request with tier, confidence and session of the first tier that has one; else tier null.
 
-    Candidates of all tiers stand in one table and meet once per request: each tier's best session and its range of
+    What the tiers found stands in one table and meets once per request: each tier's best session and its range of
     projects are partial sums, so a tier that is ambiguous falls through to the next in the same pass.
     """
     req, sessions = written_once(req), written_once(sessions)
@@ -90,15 +128,17 @@ def link(req: DataFrame, rec: DataFrame, sessions: DataFrame, window_ms: int = W
     ids = req.select("native_id", F.explode(F.array("native_id", "hint")).alias("id")).where("id is not null")
     first = ids.join(own.select(F.col("native_id").alias("id"), "source_id", "source_file"), "id").join(sessions, ["source_id", "source_file"])
     named = sessions.where("project_path <> ''")
-    second = within(req.select("native_id", "ms", "model"), named.where("model <> ''"), ["model"], window_ms)
+    taken = levels(named, window_ms)
+    second = best_within(req, named.where("model <> ''"), ["model"], taken, window_ms)
     prints = own.where("print <> ''").select("source_id", "source_file", "print").distinct()
-    third = within(req.select("native_id", "ms", fingerprint(F.col("excerpt")).alias("print")), named.drop("model").join(prints, ["source_id", "source_file"]), ["print"], window_ms)
+    third = best_within(req.select("native_id", "ms", fingerprint(F.col("excerpt")).alias("print")), named.drop("model").join(prints, ["source_id", "source_file"]), ["print"], taken, window_ms)
     key = F.struct("started_ms", "source_id", "source_file", "project_path")
-    found = [df.select("native_id", F.lit(k).alias("t"), key.alias("s")) for k, df in enumerate((first, second, third), 1)]
-    at = lambda k, value: F.when(F.col("t") == k, value)
+    none = F.lit(None).cast("string")
+    found = [first.select("native_id", F.lit(1).alias("t"), key.alias("s"), none.alias("low"), none.alias("high")), *[df.select("native_id", F.lit(k).alias("t"), "s", "low", "high") for k, df in ((2, second), (3, third))]]
+    at = lambda k, value: F.when(F.col("t") == k, F.col(value))
     met = found[0].union(found[1]).union(found[2]).groupBy("native_id").agg(
-        *[F.min(at(k, F.col("s"))).alias(f"s{k}") for k in (1, 2, 3)],
-        *[of(at(k, F.col("s.project_path"))).alias(f"{name}{k}") for k in (2, 3) for of, name in ((F.min, "low"), (F.max, "high"))],
+        *[F.min(at(k, "s")).alias(f"s{k}") for k in (1, 2, 3)],
+        *[of(at(k, name)).alias(f"{name}{k}") for k in (2, 3) for of, name in ((F.min, "low"), (F.max, "high"))],
     )
     clear = lambda k: F.col(f"low{k}") == F.col(f"high{k}")
     tier = F.when(F.col("s1").isNotNull(), 1).when(clear(2), 2).when(clear(3), 3)

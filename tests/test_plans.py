@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
-from sessionloom.operators import rollups, state
+from sessionloom.operators import rollups, sessions, state
 from sessionloom.plans import catalog
 
 
@@ -58,3 +60,23 @@ def test_scrub_refuses_unknown_columns(spark):
     assert sorted(str(r[0]) for r in cleaned["sessions"].collect()) == ["None", "main", "x password=REDACTED_SECRET"] and counts["sessions"].first()[0] == 1
     with pytest.raises(ValueError, match="sessions.git_branch"):
         state.scrub({"sessions": spark.range(1)})
+
+
+def test_overlapping_sessions_meet_no_request_one_by_one(spark):
+    """Spans of every length against all pairs, and no join of requests with sessions in the plan."""
+    dice = random.Random(7)
+    lengths = [0, 0, 1, 3, 4, 63, 64, 65, 1000, 70_000]
+    spans = [("s", str(k), low, low + (5_000_000 if k == 1 else dice.choice(lengths)), f"p{dice.randrange(3)}" if k % 4 else "", dice.choice(["a", "b", "", None])) for k in range(600) for low in [dice.randrange(-6_000_000, 6_000_000)]]
+    asked = [(k, None if k == 5 else spans[k][2] + dice.choice([-30_001, -30_000, -7, -1, 0, 0, 1, 4, 30_000, 60_000]), dice.choice(["a", "b", "c", None])) for k in range(400)]
+    ses = spark.createDataFrame(spans, "source_id string, source_file string, started_ms long, ended_ms long, project_path string, model string")
+    req = spark.createDataFrame(asked, "native_id long, ms long, model string")
+    for window in (0, 7, 30_000):
+        want = []
+        for own, ms, model in asked:
+            met = [s for s in spans if ms is not None and model and s[5] == model and s[4] and s[2] - window <= ms <= s[3] + window]
+            if len({s[4] for s in met}) == 1:
+                s = min(met, key=lambda s: (s[2], s[0], s[1]))
+                want.append((own, s[0], s[1], s[4]))
+        found = sessions.tier2(req, ses, window)
+        assert want and sorted(map(tuple, found.collect())) == want
+        assert "Join Inner" not in found._jdf.queryExecution().optimizedPlan().toString()
