@@ -1,9 +1,11 @@
 """Session logs as one data source: ``spark.read.format("session_log")`` and, following files that grow, ``readStream``.
 
-Options: path (several are split at commas), glob (``*.jsonl``), splitBytes (64 MB), counts (a range is one row, k its lines).
+Options: path (several are split at commas), glob (``*.jsonl``), splitBytes (64 MB), counts (a range is one row, k its lines),
+tasks (how many there should be, as far as there are ranges; 64).
 Columns are those of the schema asked for, of COLUMNS, so a reader that wants no stamps parses nothing. Files are read by
 byte ranges: a line belongs to the range in which it begins, so a file of any size is read by many tasks and a task holds
-a line at a time. ``at`` is the line's first byte, ``k`` its place among its range's lines, dropped ones included, by which
+a line at a time. Small ranges are packed: a task takes ranges in turn, of TASK_BYTES at most with OPEN_BYTES for each, but no
+more than leave every core some tasks (tasks), so a store of many small files does not cost a task a file. ``at`` is the line's first byte, ``k`` its place among its range's lines, dropped ones included, by which
 ``numbered`` turns places into line numbers with one row a range.
 
 Pushed filters: bounds on stamp_ms (lines at or below a floor never leave the reader), and source_file, which leaves other
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import itertools
 import json
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -34,6 +37,7 @@ from . import stores
 
 COLUMNS = "source_file string, block bigint, at bigint, k bigint, stamp_ms bigint, value string"
 SPLIT_BYTES, BATCH_BYTES, BUFFER = 64 << 20, 4 << 20, 1 << 20
+TASK_BYTES, OPEN_BYTES, TASKS = 64 << 20, 1 << 16, 64
 
 
 def stamp_of(line: bytes) -> int | None:
@@ -54,6 +58,7 @@ class Files:
         self.paths = [p.strip() for p in options["path"].split(",") if p.strip()]
         self.glob = options.get("glob", "*.jsonl")
         self.split = max(1, int(options.get("splitbytes", SPLIT_BYTES)))
+        self.tasks = max(1, int(options.get("tasks", TASKS)))
         self.counts = str(options.get("counts", "false")).lower() == "true"
 
     @staticmethod
@@ -72,8 +77,19 @@ class Files:
         return found
 
     def ranges(self, spans: dict[str, tuple[int, int]]) -> list[InputPartition]:
-        """Byte ranges of spans of files."""
-        return [InputPartition((name, k, min(k + self.split, stop))) for name, (start, stop) in sorted(spans.items()) for k in range(start, stop, self.split)]
+        """Byte ranges of spans of files, packed into tasks in the order of their files; a task's value is the name, start and
+        stop of one range after the other."""
+        found = [(name, k, min(k + self.split, stop)) for name, (start, stop) in sorted(spans.items()) for k in range(start, stop, self.split)]
+        most = min(TASK_BYTES, sum(stop - start + OPEN_BYTES for _, start, stop in found) / self.tasks)
+        packs, size = [], 0
+        for name, start, stop in found:
+            cost = stop - start + OPEN_BYTES
+            if not packs or size + cost > most:
+                packs.append([])
+                size = 0
+            packs[-1].extend((name, start, stop))
+            size += cost
+        return [InputPartition(tuple(pack)) for pack in packs]
 
     def whole(self, name: str, size: int) -> int:
         """The end of the last whole line within ``size`` bytes, looked for from the end; 0 without one."""
@@ -114,10 +130,9 @@ class Files:
 
 
 def batches(files: Files, schema: T.StructType, partition: InputPartition | None, floor: int | None) -> Iterator[pa.RecordBatch]:
-    """The lines of a range as batches of some megabytes. Without any range Spark asks once for none."""
+    """The lines of a task's ranges as batches of some megabytes. Without any range Spark asks once for none."""
     if partition is None:
         return
-    name, start, stop = partition.value
     wanted = [f.name for f in schema.fields]
     kinds = {"source_file": pa.string(), "value": pa.string()}
     stamps = floor is not None or "stamp_ms" in wanted
@@ -125,25 +140,24 @@ def batches(files: Files, schema: T.StructType, partition: InputPartition | None
     size = 0
 
     def batch() -> pa.RecordBatch:
-        columns = dict(zip(("at", "k", "stamp_ms", "value"), zip(*held, strict=True), strict=True))
-        columns |= {"source_file": [name] * len(held), "block": [start] * len(held)}
+        columns = dict(zip(("source_file", "block", "at", "k", "stamp_ms", "value"), zip(*held, strict=True), strict=True))
         return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds.get(c, pa.int64())) for c in wanted], names=wanted)
 
-    if files.counts:
-        held.append((start, files.begun(name, start, stop), None, None))
-        yield batch()
-        return
-    for k, (at, line) in enumerate(files.lines(name, start, stop)):
-        stamp = stamp_of(line) if stamps else None
-        text = line.removesuffix(b"\n").removesuffix(b"\r")
-        if not text.strip() or floor is not None and (stamp is None or stamp <= floor):
+    for name, start, stop in itertools.batched(partition.value, 3):
+        if files.counts:
+            held.append((name, start, start, files.begun(name, start, stop), None, None))
             continue
-        held.append((at, k, stamp, text.decode("utf-8", "replace")))
-        size += len(line)
-        if size >= BATCH_BYTES:
-            yield batch()
-            held.clear()
-            size = 0
+        for k, (at, line) in enumerate(files.lines(name, start, stop)):
+            stamp = stamp_of(line) if stamps else None
+            text = line.removesuffix(b"\n").removesuffix(b"\r")
+            if not text.strip() or floor is not None and (stamp is None or stamp <= floor):
+                continue
+            held.append((name, start, at, k, stamp, text.decode("utf-8", "replace")))
+            size += len(line)
+            if size >= BATCH_BYTES:
+                yield batch()
+                held.clear()
+                size = 0
     if held:
         yield batch()
 
@@ -214,7 +228,7 @@ def log(spark: SparkSession, path: str, columns: str = COLUMNS, stream: bool = F
     """The lines of session logs, with the columns asked for."""
     spark.dataSource.register(SessionLog)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
-    return (spark.readStream if stream else spark.read).format("session_log").schema(columns).options(path=path, **options).load()
+    return (spark.readStream if stream else spark.read).format("session_log").schema(columns).options(**{"path": path, "tasks": 4 * spark.sparkContext.defaultParallelism} | options).load()
 
 
 def numbered(spark: SparkSession, path: str, floor_ms: int | None = None, **options: object) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNotNull
 
-from sessionloom.sources import connector
+from sessionloom.sources import connector, stores
 
 LINES = [
     b'{"timestamp": "2024-01-01T00:00:00.000Z", "n": 1}', b"", b"{broken", b'{"timestamp": "2024-01-02T00:00:00+02:00"}\r', b"   ", b"[1]",
@@ -93,3 +93,21 @@ def test_stream_follows_files_that_grow(spark, tmp_path):
     assert drained() == ["four", "half", "one", "three", "two"]
     file.write_bytes(b"new\n")
     assert drained() == ["four", "half", "new", "one", "three", "two"]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """A store of many small files is read by a few tasks, and its folders are listed by a few."""
+    for k in range(200):
+        (tmp_path / f"u{k}").mkdir()
+        (tmp_path / f"u{k}" / "a.jsonl").write_text(f'{{"n": {k}}}\n' * 3)
+    rows = connector.log(spark, str(tmp_path), "source_file string, value string", splitBytes=16)
+    assert 8 <= rows.rdd.getNumPartitions() <= 8 * 4 + 8
+    assert rows.count() == 600 and rows.distinct().count() == 200
+    context = spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    listed = stores.lines(spark, [str(tmp_path)])
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and max(s.numTasks for s in stages) <= 4 * context.defaultParallelism
+    assert listed.count() == 600
