@@ -132,7 +132,8 @@ class DeltaTable(DeltaReader):
             return number
         rows = self._rows(taken)
         files = max(1, size >> 27)
-        whole = self._write((self.merge(rows) if self.merge and not parts else rows).coalesce(files))
+        merged = (self.merge(rows) if self.merge and not parts else rows).repartition(files)  # coalesce would have few tasks merge, too
+        whole = self._write(merged)
         return self.log.write(number + 1, document | {"parts": [*parts, whole]})
 
     def expire(self, keep: int = 1, grace_ms: int = 86_400_000) -> list[str]:

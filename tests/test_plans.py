@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionloom.operators import rollups, sessions, state
+from sessionloom.operators.delta import DeltaTable
 from sessionloom.plans import catalog
 
 
@@ -80,3 +82,15 @@ def test_overlapping_sessions_meet_no_request_one_by_one(spark):
         found = sessions.tier2(req, ses, window)
         assert want and sorted(map(tuple, found.collect())) == want
         assert "Join Inner" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_compaction_merges_in_many_tasks(spark, tmp_path):
+    """Few files are written, but not by having as few tasks merge all parts."""
+    table = DeltaTable(spark, str(tmp_path / "t"), "id bigint, n bigint", lambda rows: rows.groupBy("id").agg(F.sum("n").alias("n")))
+    for k in range(2):
+        table.append(spark.range(100).select("id", F.lit(k).alias("n")), "s", k)
+    write, plans = table._write, []
+    table._write = lambda rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or write(rows)
+    table.compact()
+    assert "Repartition 1, true" in plans[0] and len(table.document()["parts"]) == 1
+    assert table.read().agg(F.count("*"), F.sum("n")).first() == (100, 100)
