@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, let_go
 
 
 def _large_star(live: DataFrame) -> DataFrame:
@@ -37,5 +37,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     live = cut_lineage(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
     while not _stars_only(live):
-        live = cut_lineage(_small_star(_large_star(live)))
+        before, live = live, cut_lineage(_small_star(_large_star(live)))
+        let_go(before)
     return live.select(F.col("v").alias("id"), F.col("u").alias("component")).union(live.select("u", "u").distinct())

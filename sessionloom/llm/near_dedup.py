@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, flat_bytes, give_back, mix64, table, text_slices, words
+from .common import cut_lineage, flat_bytes, give_back, let_go, mix64, table, text_slices, words
 from .components import components
 
 SKETCH = 48
@@ -206,7 +206,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, size: int) -> DataFr
         own = other = None
         give_back()
 
-    return met.mapInArrow(check, "a bigint, b bigint, shared bigint, linked boolean").groupBy("a", "b").agg(F.max("shared").alias("shared"), F.max("linked").alias("linked"))
+    found = cut_lineage(met.mapInArrow(check, "a bigint, b bigint, shared bigint, linked boolean").groupBy("a", "b").agg(F.max("shared").alias("shared"), F.max("linked").alias("linked")))
+    let_go(pairs)
+    return found
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -291,7 +293,9 @@ def _hot_links(clusters: DataFrame, hot: DataFrame, docs: DataFrame, text: str,
                 out.append((min(ids[x[i]], ids[y[j]]), max(ids[x[i]], ids[y[j]])))
         return pa.table([pa.array([k[c] for k in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return asking.union(asked).groupBy("lead", "s", "o").applyInArrow(match, "a bigint, b bigint").distinct()
+    joining = cut_lineage(asking.union(asked).groupBy("lead", "s", "o").applyInArrow(match, "a bigint, b bigint").distinct())
+    let_go(crowd)
+    return joining
 
 
 #: A lead with more members than this has its strangers matched in blocks of BLOCK sets.
@@ -302,11 +306,15 @@ BITMAP_WORDS = 1 << 17
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, k: int = SKETCH, least_shared: int = LEAST_SHARED) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links) and kept, a row for each input row."""
+    """doc_id, n_shingles, component_id (least id reachable by links) and kept, a row for each input row.
+
+    Every step's table goes when the next one stands, so what lies on disk is about two of them, whatever their number.
+    """
     found = cut_lineage(sketches(docs, text, size, k))
-    live = found.where("n_shingles > 0")
-    sets = cut_lineage(live.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch")))
-    classes = sets.select("set_key", F.col("doc_id").alias("class_id"))
+    sets = cut_lineage(found.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch")))
+    rows = cut_lineage(found.select("doc_id", "n_shingles", "set_key"))
+    let_go(found)
+    classes = cut_lineage(sets.select("set_key", F.col("doc_id").alias("class_id")))
     counts = cut_lineage(sets.select(F.explode("sketch").alias("value")).groupBy("value").count().where(F.col("count") >= HEAVY_COUNT))
     least, values = HEAVY_COUNT, 0  # the least count that leaves HEAVY_VALUES values at most; counts in powers of 2
     for row in counts.groupBy(F.expr("cast(log2(count) as int)").alias("power")).agg(F.count("*").alias("n")).orderBy(F.desc("power")).collect():
@@ -315,43 +323,51 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, k: int =
             least = 2 << row["power"]
             break
     common = counts.where(F.col("count") >= least).toArrow().sort_by("value")
+    let_go(counts)
     heavy = common.column("value").to_numpy(), common.column("count").to_numpy()
     entries = cut_lineage(_lists(sets, heavy, k, least_shared))
     lead = F.max(F.struct("score", (-F.col("doc_id")).alias("minus"), "n"))
     leads = cut_lineage(entries.groupBy("value").agg(lead.alias("lead"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("value", (-F.col("lead.minus")).alias("lead"), F.col("lead.n").alias("lead_n")))
     listed = cut_lineage(entries.drop("score").join(leads, "value"))
+    let_go(entries, leads)
     alike = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)  # noqa: E731  sizes further apart cannot link
     stars = listed.where(F.col("doc_id") != F.col("lead")).where(alike("n", "lead_n")).select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tested = cut_lineage(_verified(_estimated(stars, sets, k, least_shared), docs, text, size))
-    links = tested.where("linked").select("a", "b")
+    tested = _verified(_estimated(stars, sets, k, least_shared), docs, text, size)
+    links = cut_lineage(tested.where("linked").select("a", "b"))
     named = components(links)
     known = named.select(F.col("id").alias("doc_id"), F.col("component").alias("own"))
     overlap = tested.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), F.col("shared").alias("c"))
-    tagged = listed.join(overlap, ["lead", "doc_id"], "left").join(known, "doc_id", "left").select("value", "lead", "doc_id", "n", "c", F.coalesce("own", "doc_id").alias("own"))
+    tagged = listed.drop("lead_n").join(overlap, ["lead", "doc_id"], "left").join(known, "doc_id", "left").select("value", "lead", "doc_id", "n", "c", F.coalesce("own", "doc_id").alias("own"))
     tagged = cut_lineage(tagged)
+    let_go(listed, tested)
     led = tagged.where("doc_id = lead").select("value", F.col("own").alias("lead_own"))
     others = cut_lineage(tagged.join(led, "value").select("value", "lead", "doc_id", "n", "c", "own", (F.col("own") != F.col("lead_own")).alias("stranger")))
+    let_go(tagged)
     clusters = cut_lineage(others.groupBy("lead", "doc_id").agg(F.min("own").alias("own"), F.bool_or("stranger").alias("stranger")))
     members = clusters.groupBy("lead").agg(F.count("*").alias("members"), F.count_if("stranger").alias("strangers"))
     hot = cut_lineage(members.where((F.col("members") > CROWD) & (F.col("strangers") > 0)))
     joining = _hot_links(clusters, hot, docs, text, size) if hot.take(1) else links.limit(0)
-    others = others.where("doc_id <> lead").join(hot.select("lead"), "lead", "left_anti")
-    mixed = cut_lineage(others.where("stranger").select("value").distinct())
-    others = others.join(mixed, "value", "left_semi")
-    strangers = cut_lineage(others.where("stranger").select("value", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("c").alias("x_c"), F.col("own").alias("x_own")))
+    let_go(clusters)
+    cool = others.where("doc_id <> lead").join(hot.select("lead"), "lead", "left_anti")
+    mixed = cut_lineage(cool.where("stranger").select("value").distinct())
+    met = cut_lineage(cool.join(mixed, "value", "left_semi"))
+    let_go(others, mixed)
+    strangers = met.where("stranger").select("value", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("c").alias("x_c"), F.col("own").alias("x_own"))
     # Shared by x and y: at most min(c) of the lead's shingles and min(n - c) others; unknown c bounds nothing.
     most = F.coalesce(F.least("c", "x_c") + F.least(F.col("n") - F.col("c"), F.col("x_n") - F.col("x_c")) + F.col("c") * 0 + F.col("x_c") * 0, F.least("n", "x_n"))
     able = (100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("x_n"))
-    cross = others.join(strangers, "value").where("own <> x_own and (not stranger or doc_id < x)").where(alike("n", "x_n") & able)
+    cross = met.join(strangers, "value").where("own <> x_own and (not stranger or doc_id < x)").where(alike("n", "x_n") & able)
     pairs = cross.groupBy(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).agg(F.count("*").alias("meetings"), F.min(F.least("n", "x_n")).alias("least"))
     more = pairs.where(F.col("meetings") >= F.least(F.lit(MEETINGS), F.col("least"))).select("a", "b")
-    checked = _estimated(more, sets, k, least_shared).union(joining).distinct()
-    extra = cut_lineage(_verified(checked, docs, text, size).where("linked").select("a", "b"))
+    close = cut_lineage(_estimated(more, sets, k, least_shared))
+    let_go(met, sets)
+    extra = _verified(close.union(joining).distinct(), docs, text, size).where("linked").select("a", "b")
     if extra.take(1):
         named = components(links.union(extra))
     heads = cut_lineage(classes.join(named.withColumnRenamed("id", "class_id"), "class_id", "left").select("set_key", F.coalesce("component", "class_id").alias("component_id")))
-    alone = found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    joined = live.select("doc_id", "n_shingles", "set_key").join(heads, "set_key").select("doc_id", "n_shingles", "component_id")
+    let_go(classes, links, hot, close)
+    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    joined = rows.where("n_shingles > 0").join(heads, "set_key").select("doc_id", "n_shingles", "component_id")
     return joined.union(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
