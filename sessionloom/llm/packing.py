@@ -31,9 +31,9 @@ CAPACITY = 2048
 FAN_IN = 8
 GROUP_BINS = 20_000
 #: Distinct words that a task keeps before it starts its table anew; the table goes with the task.
-TABLE_ROWS = 200_000
-#: Bytes of text between two look-ups in the table.
-STEP_BYTES = 2 << 20
+TABLE_ROWS = 300_000
+#: Bytes of text between two look-ups in the table: a word is looked up once a step, so longer steps meet fewer words.
+STEP_BYTES = 8 << 20
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 

@@ -105,3 +105,13 @@ def test_places_of_many_pieces(spark):
 @pytest.mark.parametrize("operator", [lambda d: packing.pack(packing.pieces(d)), piece_tokens.encode_digests])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_word_is_looked_up_once_in_some_megabytes():
+    """The words of a batch of 6 MB are looked up in one step, not in three."""
+    import pyarrow as pa
+
+    from sessionloom.llm.common import text_slices
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["word " * 400_000] * 3})
+    assert len(list(text_slices(batch, "text", packing.STEP_BYTES))) == 1
