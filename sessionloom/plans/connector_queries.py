@@ -26,4 +26,4 @@ select 'user_id=' || user_id as file, lines, stamped, last_ms from n""")
 def connector_files(spark, d):
     """SRC-01, SRC-07: each file's lines, stamped lines and newest stamp, counted over its ranges."""
     rows = connector.log(spark, _files(spark, d, "connector", _claude_line), "source_file string, stamp_ms bigint", glob="*.txt", splitBytes=1 << 15)
-    return rows.groupBy(F.element_at(F.split("source_file", "/"), -2).alias("file")).agg(F.count("*").alias("lines"), F.count("stamp_ms").alias("stamped"), F.max("stamp_ms").alias("last_ms"))
+    return rows.groupBy(F.regexp_extract("source_file", "user_id=[0-9]+", 0).alias("file")).agg(F.count("*").alias("lines"), F.count("stamp_ms").alias("stamped"), F.max("stamp_ms").alias("last_ms"))

@@ -25,6 +25,8 @@ MARK = "source_id string, last_ms bigint"
 STAMP = "source_id string, ms bigint"
 #: Parts of a table beyond which a batch has it compacted.
 MOST_PARTS = 16
+#: Bytes of files that a batch takes: every batch looks into the stored turns of its span, so few batches do it seldom.
+BATCH_BYTES = 256 << 20
 
 
 def raised(marks: DataFrame) -> DataFrame:
@@ -79,9 +81,11 @@ def take(store: Store, rec: DataFrame, stream: str | None = None, batch: int = 0
         rec.unpersist()
 
 
-def ingest(spark: SparkSession, source_id: str, folder: str, store: Store, checkpoint: str, glob: str = stores.GLOB, files_a_batch: int = 1000, floor_ms: int = 0) -> StreamingQuery:
-    """Starts a stream over a store's folder that takes all files there are and ends (availableNow)."""
-    files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_a_batch).option("lineSep", "\n").text(folder)
+def ingest(spark: SparkSession, source_id: str, folder: str, store: Store, checkpoint: str, glob: str = stores.GLOB, files_a_batch: int | None = None, floor_ms: int = 0) -> StreamingQuery:
+    """Starts a stream over a store's folder that takes all files there are and ends (availableNow). A batch takes BATCH_BYTES,
+    in however many files, or ``files_a_batch`` files where that is given."""
+    most = ("maxBytesPerTrigger", BATCH_BYTES) if files_a_batch is None else ("maxFilesPerTrigger", files_a_batch)
+    files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option(*most).option("lineSep", "\n").text(folder)
 
     def batch(rows: DataFrame, number: int) -> None:
         take(store, stores.READERS[source_id](rows.sparkSession, stores.numbered(rows), floor_ms), checkpoint, number)
