@@ -308,7 +308,7 @@ BITMAP_WORDS = 1 << 17
 def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, k: int = SKETCH, least_shared: int = LEAST_SHARED) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable by links) and kept, a row for each input row.
 
-    Every step's table goes when the next one stands, so what lies on disk is about two of them, whatever their number.
+    A step's table goes when nothing reads it again; the sketches of the sets stay to the last estimate, and small tables beside them.
     """
     found = cut_lineage(sketches(docs, text, size, k))
     sets = cut_lineage(found.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch")))
