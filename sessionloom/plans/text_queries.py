@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.plan import dealt
 from ..operators import folders
 from ..sources import views as V
 from .registry import query, quoted, redact_sql
@@ -134,7 +135,7 @@ def redact_json(spark, d):
     """STR-02, UDF-02: every string of a JSON text is masked by itself; numbers and structure stay."""
     p = V.picked(_JSON_PLANTS, F.col("event_id"))
     made = F.concat(F.lit('{"k": '), "user_id", F.lit(', "note": "'), p, F.lit('", "list": [1, "'), p, F.lit('"]}'))
-    return V.load(spark, d, "events").select("event_id", T.redact_json(made).alias("safe"))
+    return dealt(V.load(spark, d, "events").select("event_id", "user_id"), "event_id").select("event_id", T.redact_json(made).alias("safe"))
 
 
 _NEST = """case when event_id % 4 = 0 then '{"password=aaaaaaaa1": {"token=bbbbbbbb2": 1, "token=bbbbbbbb3": [{"secret=cccccccc4": 2, "secret=cccccccc5": 3}]}, "password=aaaaaaaa6": 4, "password=REDACTED_SECRET#2": ' || event_id || '}'
@@ -146,7 +147,8 @@ _NEST = """case when event_id % 4 = 0 then '{"password=aaaaaaaa1": {"token=bbbbb
 def redact_nested(spark, d):
     """STR-02, UDF-02: keys at any depth, those that collide numbered within their object; bytes that are no UTF-8."""
     data = F.concat(F.encode(F.concat(F.lit("b token=bbbbbbbb2 "), "event_type"), "UTF-8"), F.unhex(F.lit("FF")))
-    return V.load(spark, d, "events").select("event_id", T.redact_json(F.expr(_NEST)).alias("safe"), T.redact_bytes(data).alias("safe_bytes"))
+    rows = dealt(V.load(spark, d, "events").select("event_id", "event_type"), "event_id")
+    return rows.select("event_id", T.redact_json(F.expr(_NEST)).alias("safe"), T.redact_bytes(data).alias("safe_bytes"))
 
 
 @query("select event_id, 'a' || event_id || ',u' || user_id as ids, case when event_id % 2 = 0 then 's' || user_id end as session_id, event_id % 3 <> 0 as counted from events")
