@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionloom.operators import doctor
 
@@ -43,3 +44,10 @@ def test_one_fault_turns_its_audit_red(spark, check):
 def test_nothing_to_look_at_is_no_pass(spark):
     checks, code = told(spark, GOOD | {"health": []})
     assert code == {2} and checks["I2-1"] == ("SKIP", 0, None)
+
+
+def test_texts_are_dealt_to_all_cores(spark):
+    """A file of one row group is no single task."""
+    texts = spark.range(3).select("id", F.lit("x").alias("content")).coalesce(1)
+    for subject in (doctor.artifacts(texts, "id", "content"), doctor.bundles(texts, "id", "content", ["c"], ["/h"])):
+        assert subject.rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
