@@ -215,3 +215,12 @@ def test_topic_logs_are_read_once(spark, tmp_path):
     found = stores.topic_events(spark, str(tmp_path))
     assert "FileScan text" not in found._jdf.queryExecution().toString()
     assert [(r.ts_ms, r.msg, r.line) for r in found.collect()] == [(5, "m", 1)]
+
+
+def test_files_are_read_once_where_no_number_is_asked_for(spark, tmp_path):
+    write(tmp_path / "a.jsonl", ["", "x", "y"])
+    found = stores.lines(spark, [str(tmp_path)])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.line, r.value) for r in found.orderBy("line").collect()] == [(2, "x"), (3, "y")]
+    assert plan(found.select("source_file", "value")).count("Relation ") == 1
+    assert plan(stores.claude(spark, str(tmp_path)).drop("line")).count("Join ") == 0
