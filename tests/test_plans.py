@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.operators import rollups, sessions, state
+from sessionloom.operators import rollups, session_state, sessions, state
 from sessionloom.operators.delta import DeltaTable
 from sessionloom.plans import catalog
 
@@ -94,3 +94,18 @@ def test_compaction_merges_in_many_tasks(spark, tmp_path):
     table.compact()
     assert "Repartition 1, true" in plans[0] and len(table.document()["parts"]) == 1
     assert table.read().agg(F.count("*"), F.sum("n")).first() == (100, 100)
+
+
+def test_sessions_parse_a_record_once_in_all_tasks(spark, tmp_path):
+    """A batch's records are dealt before they are parsed, and neither a test of the key nor nested objects parse them again."""
+    rec = spark.range(200).select(
+        F.lit("opencode").alias("source_id"), F.concat(F.lit("n"), "id").alias("native_id"), F.col("id").alias("timestamp_ms"), F.lit("message").alias("record_type"), F.lit("/p").alias("project_path"), F.lit("b").alias("git_branch"),
+        F.lit("m").alias("model"), F.lit("x").alias("content_excerpt"), F.lit('{"sessionId": "s", "z": {"user_id": "u"}}').alias("raw_meta"), F.lit("f").alias("source_file"), F.col("id").alias("line"), F.lit(0).alias("source_order"),
+    ).coalesce(1)
+    store, plans = session_state.SessionStore(spark, str(tmp_path / "t")), []
+    for table in (store.members, store.heads):
+        write = table._write
+        table._write = lambda rows, write=write: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or write(rows)
+    store.fold(rec, "s", 0)
+    assert [("RepartitionByExpression" in p, p.count("from_json(") <= most) for p, most in zip(plans, (6, 4), strict=True)] == [(True, True)] * 2, plans
+    assert store.members.read().count() == 200 + 1 + 2 and store.read().count() == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,3 +36,11 @@ def test_schema_odd_rows(spark):
     told = {None: "$: no JSON", "": "$: no JSON", "{}": "$: no key a", '{"a": null}': "$.a: expected number, got null", '{"a": 1, "b": [[1], [2, "x"]]}': "$.b[1][1]: expected integer, got string", '{"a": 1e300, "b": 5}': None}
     rows = spark.createDataFrame([(t,) for t in told], "t string").select("t", schema_error(F.col("t"), schema)).collect()
     assert dict(map(tuple, rows)) == told
+
+
+def test_id_shaped_keys_are_told_without_their_marks(spark):
+    """One search tells what taking - and _ out, small letters and a search for id at the end tell, line ends included."""
+    keys = ["".join(k) for n in range(6) for k in itertools.product("iDx-_\n\r"[: 7 if n < 5 else 4], repeat=n)] + ["id ", "ID_\u0085-", "İd", "ıd", "i_d\r_\n-", "id ", "idé"]
+    k = F.col("k")
+    off = spark.createDataFrame([(x,) for x in keys], "k string").where(T.id_shaped(k) != F.lower(F.regexp_replace(k, "[_-]", "")).rlike("id$"))
+    assert off.collect() == []

@@ -135,6 +135,14 @@ def test_sessions_fold_in_any_order(spark, tmp_path):
     assert session_state.sessions(session_state.heads(df.limit(0))).count() == 0
 
 
+def test_records_without_a_key_belong_to_no_session(spark):
+    """What is there of ids, stamps and files makes the key; with nothing of it a record is left out."""
+    named, bare = '{"a": {"session-id": "s"}}', '{"session_id": ""}'
+    odd = [("opencode", None, None, named, None), ("opencode", "", None, bare, None), ("opencode", "", 5, bare, None), ("opencode", "n", None, None, "f"), ("claude", None, 5, named, ""), ("claude", "", 5, named, None), ("claude", None, 5, "", "f"), (None, "n", 5, named, "f")]
+    df = spark.createDataFrame([(s, n, ms, "message", "", "", "", "", meta, file, k, 0) for k, (s, n, ms, meta, file) in enumerate(odd)], REC)
+    assert sorted((r.line, r.group_key) for r in session_state.bearing(df).collect()) == [(0, "s"), (2, "__ungrouped__5"), (3, "__ungrouped__n"), (5, ""), (6, "f")]
+
+
 def batch_cadence(spark, stamps):
     got = rollups.cadence(spark.createDataFrame(stamps, "source_id string, ms long")).collect()
     return sorted((r.source_id, r.median_gap_ms, r.sample_size, r.watermark_ms) for r in got)
