@@ -107,5 +107,5 @@ def test_sessions_parse_a_record_once_in_all_tasks(spark, tmp_path):
         write = table._write
         table._write = lambda rows, write=write: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or write(rows)
     store.fold(rec, "s", 0)
-    assert [("RepartitionByExpression" in p, p.count("from_json(") <= most) for p, most in zip(plans, (6, 4), strict=True)] == [(True, True)] * 2, plans
+    assert [("RebalancePartitions" in p, p.count("from_json(") <= most) for p, most in zip(plans, (6, 4), strict=True)] == [(True, True)] * 2, plans
     assert store.members.read().count() == 200 + 1 + 2 and store.read().count() == 1
