@@ -7,15 +7,16 @@ its whole word sequence where it has fewer words. Steps:
    class's least id stands for it from here on.
 2. Inverted lists of retained values. Two sets of similarity s share about s * K retained values, at least LEAST_SHARED
    but for about 3.4 pairs in 10^8 at the limit of 0.8. So with all sketches in one order, two similar sets meet in the
-   first K - LEAST_SHARED + MEETINGS values of each, MEETINGS times (a smaller set needs ceil(0.8 n) shared). The order puts the commonest values
-   last (the HEAVY_VALUES most frequent ones, a bounded list): values of shared passages rarely make a list.
+   first K - LEAST_SHARED + MEETINGS values of each, MEETINGS times (a smaller set needs ceil(0.8 n) shared). The order puts rare values first, by
+   exact counts that come from a join: values of shared passages rarely make a list, and lists stay short as tables grow.
 3. In every list each member meets the list's lead, the set whose values are commonest (the centre of a group of copies).
    Pairs that the estimate from the union sketch lets through are verified on the words of both texts, which also gives
    the shingles shared with the lead. Verified pairs join components.
 4. In lists that still span several components, members outside the lead's component meet members of other components,
    unless sizes or the overlaps with the lead rule a link out, and pairs that meet in too few lists for the sketches'
-   order fall away; the rest take the same estimate and check. Where a lead has more than CROWD members, its strangers
-   meet all of them inside tasks, block by block, on full sets; only pairs that join components come out. A group of
+   order fall away; the rest take the same estimate and check. Where a lead has more than CROWD members in one list, its strangers
+   meet all of them inside tasks, block by block, on sketches, and those that may link on full sets; only pairs that join
+   components come out. A group of
    copies is thus linked by a number of pairs linear in its size, and no pair of different components that could link
    goes untested.
 
@@ -43,8 +44,6 @@ SKETCH = 48
 LEAST_SHARED = 22
 PERCENT = 80
 MEETINGS = 3
-HEAVY_VALUES = 1 << 18
-HEAVY_COUNT = 4
 SKETCHES = "doc_id bigint, n_shingles bigint, set_key binary, sketch array<bigint>"
 
 
@@ -90,36 +89,26 @@ def sketches(docs: DataFrame, text: str = "text", size: int = 2, k: int = SKETCH
     return docs.select("doc_id", text).mapInArrow(run, SKETCHES)
 
 
-def _lists(sets: DataFrame, heavy: tuple[np.ndarray, np.ndarray], k: int, least_shared: int) -> DataFrame:
-    """(value, doc_id, n, score) for the first values of each sketch, the common ones last; heavy: sorted values, their counts.
+def _lists(sets: DataFrame, k: int, least_shared: int) -> DataFrame:
+    """(value, doc_id, n, score) for the first values of each sketch, the rarest first; values of one sketch alone make no list.
 
     Two sets that share LEAST_SHARED values of their sketches share MEETINGS of these (or all, where sets are smaller).
-    The score, the mean count of a sketch's values, is highest for the set at the centre of a group of copies.
+    The score, the mean count of a sketch's values, is highest for the set at the centre of a group of copies. Counts are
+    exact, whatever the table's size: an order that knows the commonest values only has all others meet in long lists.
     """
-    sent = sets.sparkSession.sparkContext.broadcast(heavy)  # HEAVY_VALUES values at most
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, times = sent.value
-        for batch in batches:
-            sketch = batch.column("sketch")
-            offsets = sketch.offsets.to_numpy().astype(np.int64)
-            values = sketch.values.to_numpy()[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            size = np.diff(offsets)
-            row = np.repeat(np.arange(len(size)), size)
-            late = np.zeros(len(values), np.int64)
-            if len(common):
-                near = np.minimum(np.searchsorted(common, values), len(common) - 1)
-                late = np.where(common[near] == values, times[near], 0)
-            order = np.lexsort((values.view(np.uint64), late, row))
-            place = np.arange(len(values)) - offsets[row]
-            shared = np.minimum(np.where(size < k, -(-PERCENT * size // 100), least_shared), least_shared)
-            keep = place < (size - shared + np.minimum(MEETINGS, shared))[row]
-            score = np.bincount(row, late, len(size)) / np.maximum(size, 1)
-            held = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(values[order][keep]), batch.column("doc_id").take(held), batch.column("n_shingles").take(held), pa.array(score[row[keep]])], names=["value", "doc_id", "n", "score"])
-
-    return sets.select("doc_id", "n_shingles", "sketch").mapInArrow(run, "value bigint, doc_id bigint, n bigint, score double")
+    flat = sets.select("row", F.explode("sketch").alias("value"))
+    times = cut_lineage(flat.groupBy("value").agg(F.count("*").alias("times")).where("times > 1"))
+    # a row's values that other sketches have too, the rarest first; those before them are its own
+    met = cut_lineage(flat.join(times, "value").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("met")))
+    let_go(times)
+    size = F.size("sketch")
+    shared = F.least(F.when(size < k, F.ceil(PERCENT * size / 100)).otherwise(least_shared), F.lit(least_shared))
+    kept = size - shared + F.least(F.lit(MEETINGS), shared) - (size - F.size("met"))
+    score = ((size - F.size("met") + F.aggregate("met", F.lit(0).cast("bigint"), lambda total, x: total + x["times"])) / size).alias("score")
+    held = sets.join(met, "row").select("doc_id", F.col("n_shingles").alias("n"), score, F.slice("met", F.lit(1), F.greatest(kept, F.lit(0)).cast("int")).alias("met"))
+    entries = cut_lineage(held.select("doc_id", "n", "score", F.explode("met.value").alias("value")).select("value", "doc_id", "n", "score"))
+    let_go(met)
+    return entries
 
 
 def _estimated(pairs: DataFrame, sets: DataFrame, k: int, least_shared: int) -> DataFrame:
@@ -248,13 +237,52 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _hot_links(clusters: DataFrame, hot: DataFrame, docs: DataFrame, text: str, size: int) -> DataFrame:
-    """Pairs (a, b) that join the components of crowded leads: strangers against all members, in blocks of full sets.
+def _in_blocks(rows: DataFrame, most: int, *columns: str) -> DataFrame:
+    """Rows of crowds for each pair of a block of a lead's strangers (asks) and one of its members, about ``most`` rows each."""
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(n) / most)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / most) - 1).cast("int")))
+    asking = rows.where("stranger").select("lead", block("strangers").alias("s"), every("members").alias("o"), F.lit(True).alias("asks"), "doc_id", "own", *columns)
+    asked = rows.select("lead", every("strangers").alias("s"), block("members").alias("o"), F.lit(False).alias("asks"), "doc_id", "own", *columns)
+    return asking.union(asked).groupBy("lead", "s", "o")
+
+
+def _partnered(crowd: DataFrame, sets: DataFrame, least_shared: int) -> DataFrame:
+    """(lead, doc_id) of strangers and members of other components whose sizes and sketches leave a link between them open.
+
+    The rest of a crowd, which has no more than a passage in common, needs no full set in any block.
+    """
+
+    def match(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        asks = np.array(group.column("asks").to_pylist(), bool)
+        ids, own, n = (group.column(c).to_numpy() for c in ("doc_id", "own", "n_shingles"))
+        sets = [x.values.to_numpy() for x in group.column("sketch")]
+        held = np.array([len(v) for v in sets])
+        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+        found = shared_counts([sets[i] for i in x], [sets[i] for i in y])
+        # what both retain is at least what the union's sketch shows, and the union is no smaller than either
+        needed = np.minimum(least_shared, -(-PERCENT * np.maximum(held[x][:, None], held[y][None, :]) // 100))
+        hit = (found >= needed) & (100 * np.minimum(n[x][:, None], n[y][None, :]) >= PERCENT * np.maximum(n[x][:, None], n[y][None, :])) & (own[x][:, None] != own[y][None, :])
+        met = np.unique(np.concatenate([ids[x][hit.any(1)], ids[y][hit.any(0)]]))
+        return pa.table([pa.array(np.full(len(met), group.column("lead")[0].as_py(), np.int64)), pa.array(met)], names=["lead", "doc_id"])
+
+    rows = crowd.join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    return _in_blocks(rows, WIDE_BLOCK, "n_shingles", "sketch").applyInArrow(match, "lead bigint, doc_id bigint").distinct()
+
+
+def _hot_links(clusters: DataFrame, hot: DataFrame, sets: DataFrame, docs: DataFrame, text: str, size: int, least_shared: int) -> DataFrame:
+    """Pairs (a, b) that join the components of crowded leads: strangers against all members, in blocks: of sketches first,
+    then of the full sets of those that these leave.
 
     clusters: lead, doc_id, own, stranger; hot: lead, members, strangers. No pair leaves a task but those that join two
     components which no other pair of the task has joined.
     """
-    crowd = cut_lineage(clusters.join(hot, "lead").where("doc_id <> lead"))
+    every = cut_lineage(clusters.drop("crowded").join(hot, "lead").where("doc_id <> lead"))
+    left = every.drop("members", "strangers").join(_partnered(every, sets, least_shared), ["lead", "doc_id"], "left_semi")
+    left = cut_lineage(left)
+    let_go(every)
+    crowd = cut_lineage(left.join(left.groupBy("lead").agg(F.count("*").alias("members"), F.count_if("stranger").alias("strangers")), "lead"))
+    let_go(left)
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in text_slices(whole, text)):
@@ -265,10 +293,6 @@ def _hot_links(clusters: DataFrame, hot: DataFrame, docs: DataFrame, text: str,
 
     full = _needed(docs, crowd.select("doc_id"), text).mapInArrow(full_sets, "doc_id bigint, full binary")
     rows = crowd.join(full, "doc_id")
-    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(n) / BLOCK)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK) - 1).cast("int")))
-    asking = rows.where("stranger").select("lead", block("strangers").alias("s"), every("members").alias("o"), F.lit(True).alias("asks"), "doc_id", "own", "full")
-    asked = rows.select("lead", every("strangers").alias("s"), block("members").alias("o"), F.lit(False).alias("asks"), "doc_id", "own", "full")
 
     def match(group: pa.Table) -> pa.Table:
         asks = np.array(group.column("asks").to_pylist(), bool)
@@ -293,13 +317,13 @@ def _hot_links(clusters: DataFrame, hot: DataFrame, docs: DataFrame, text: str,
                 out.append((min(ids[x[i]], ids[y[j]]), max(ids[x[i]], ids[y[j]])))
         return pa.table([pa.array([k[c] for k in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    joining = cut_lineage(asking.union(asked).groupBy("lead", "s", "o").applyInArrow(match, "a bigint, b bigint").distinct())
+    joining = cut_lineage(_in_blocks(rows, BLOCK, "full").applyInArrow(match, "a bigint, b bigint").distinct())
     let_go(crowd)
     return joining
 
 
-#: A lead with more members than this has its strangers matched in blocks of BLOCK sets.
-CROWD, BLOCK = 128, 256
+#: A lead with more members than this in one list has its strangers matched in blocks of WIDE_BLOCK sketches and BLOCK sets.
+CROWD, BLOCK, WIDE_BLOCK = 128, 256, 1024
 #: Pairs of one text that are verified together.
 PAIRS_A_PART = 64
 BITMAP_WORDS = 1 << 17
@@ -311,23 +335,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, k: int =
     A step's table goes when nothing reads it again; the sketches of the sets stay to the last estimate, and small tables beside them.
     """
     found = cut_lineage(sketches(docs, text, size, k))
-    sets = cut_lineage(found.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch")))
+    sets = cut_lineage(found.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch")).withColumn("row", F.monotonically_increasing_id()))
     rows = cut_lineage(found.select("doc_id", "n_shingles", "set_key"))
     let_go(found)
     classes = cut_lineage(sets.select("set_key", F.col("doc_id").alias("class_id")))
-    counts = cut_lineage(sets.select(F.explode("sketch").alias("value")).groupBy("value").count().where(F.col("count") >= HEAVY_COUNT))
-    least, values = HEAVY_COUNT, 0  # the least count that leaves HEAVY_VALUES values at most; counts in powers of 2
-    for row in counts.groupBy(F.expr("cast(log2(count) as int)").alias("power")).agg(F.count("*").alias("n")).orderBy(F.desc("power")).collect():
-        values += row["n"]
-        if values > HEAVY_VALUES:
-            least = 2 << row["power"]
-            break
-    common = counts.where(F.col("count") >= least).toArrow().sort_by("value")
-    let_go(counts)
-    heavy = common.column("value").to_numpy(), common.column("count").to_numpy()
-    entries = cut_lineage(_lists(sets, heavy, k, least_shared))
+    entries = _lists(sets, k, least_shared)
     lead = F.max(F.struct("score", (-F.col("doc_id")).alias("minus"), "n"))
-    leads = cut_lineage(entries.groupBy("value").agg(lead.alias("lead"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("value", (-F.col("lead.minus")).alias("lead"), F.col("lead.n").alias("lead_n")))
+    leads = cut_lineage(entries.groupBy("value").agg(lead.alias("lead"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.count("*") > CROWD).alias("crowded")).where("low < high").select("value", (-F.col("lead.minus")).alias("lead"), F.col("lead.n").alias("lead_n"), "crowded"))
     listed = cut_lineage(entries.drop("score").join(leads, "value"))
     let_go(entries, leads)
     alike = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)  # noqa: E731  sizes further apart cannot link
@@ -337,16 +351,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, k: int =
     named = components(links)
     known = named.select(F.col("id").alias("doc_id"), F.col("component").alias("own"))
     overlap = tested.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), F.col("shared").alias("c"))
-    tagged = listed.drop("lead_n").join(overlap, ["lead", "doc_id"], "left").join(known, "doc_id", "left").select("value", "lead", "doc_id", "n", "c", F.coalesce("own", "doc_id").alias("own"))
+    tagged = listed.drop("lead_n").join(overlap, ["lead", "doc_id"], "left").join(known, "doc_id", "left").select("value", "crowded", "lead", "doc_id", "n", "c", F.coalesce("own", "doc_id").alias("own"))
     tagged = cut_lineage(tagged)
     let_go(listed, tested)
     led = tagged.where("doc_id = lead").select("value", F.col("own").alias("lead_own"))
-    others = cut_lineage(tagged.join(led, "value").select("value", "lead", "doc_id", "n", "c", "own", (F.col("own") != F.col("lead_own")).alias("stranger")))
+    others = cut_lineage(tagged.join(led, "value").select("value", "crowded", "lead", "doc_id", "n", "c", "own", (F.col("own") != F.col("lead_own")).alias("stranger")))
     let_go(tagged)
-    clusters = cut_lineage(others.groupBy("lead", "doc_id").agg(F.min("own").alias("own"), F.bool_or("stranger").alias("stranger")))
-    members = clusters.groupBy("lead").agg(F.count("*").alias("members"), F.count_if("stranger").alias("strangers"))
-    hot = cut_lineage(members.where((F.col("members") > CROWD) & (F.col("strangers") > 0)))
-    joining = _hot_links(clusters, hot, docs, text, size) if hot.take(1) else links.limit(0)
+    clusters = cut_lineage(others.groupBy("lead", "doc_id").agg(F.min("own").alias("own"), F.bool_or("stranger").alias("stranger"), F.bool_or("crowded").alias("crowded")))
+    members = clusters.groupBy("lead").agg(F.count("*").alias("members"), F.count_if("stranger").alias("strangers"), F.bool_or("crowded").alias("crowded"))
+    # many members in short lists are not crowded: their lists' pairs are few, where all their full sets would be many
+    hot = cut_lineage(members.where(F.col("crowded") & (F.col("strangers") > 0)).drop("crowded"))
+    joining = _hot_links(clusters, hot, sets, docs, text, size, least_shared) if hot.take(1) else links.limit(0)
     let_go(clusters)
     cool = others.where("doc_id <> lead").join(hot.select("lead"), "lead", "left_anti")
     mixed = cut_lineage(cool.where("stranger").select("value").distinct())
