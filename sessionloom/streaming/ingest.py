@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.plan import session_with
 from ..functions.text import fingerprint, stable_id
 from ..operators import rollups, state
 from ..operators.delta import DeltaTable
@@ -85,7 +86,9 @@ def ingest(spark: SparkSession, source_id: str, folder: str, store: Store, check
     """Starts a stream over a store's folder that takes all files there are and ends (availableNow). A batch takes BATCH_BYTES,
     in however many files, or ``files_a_batch`` files where that is given."""
     most = ("maxBytesPerTrigger", BATCH_BYTES) if files_a_batch is None else ("maxFilesPerTrigger", files_a_batch)
-    files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option(*most).option("lineSep", "\n").text(folder)
+    # a batch's files are listed by a few tasks a core, not each by one, in the session of the reader while the stream runs
+    own = session_with(spark, stores.LISTING, 4 * spark.sparkContext.defaultParallelism)
+    files = own.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option(*most).option("lineSep", "\n").text(folder)
 
     def batch(rows: DataFrame, number: int) -> None:
         take(store, stores.READERS[source_id](rows.sparkSession, stores.numbered(rows), floor_ms), checkpoint, number)
